@@ -44,8 +44,8 @@ def day_of(ts="ts") -> Column:
 def schedule_seconds(text) -> Column:
     """``HH:MM:SS`` with hours past 24 allowed -> seconds; anything else -> NULL."""
     parts = F.split(F.trim(col(text)), ":")
-    units = [parts.getItem(i).try_cast("int") for i in range(3)]
-    return F.when(F.size(parts) == 3, units[0] * 3600 + units[1] * 60 + units[2])
+    units = [F.get(parts, F.lit(i)).try_cast("int").cast("bigint") for i in range(3)]
+    return F.when(F.size(parts) == 3, (units[0] * 3600 + units[1] * 60 + units[2]).try_cast("int"))
 
 
 def schedule_text(seconds) -> Column:

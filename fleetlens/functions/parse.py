@@ -62,7 +62,7 @@ def service_date(text) -> Column:
 def dispatch_minute(trip_id) -> Column:
     """``route_HH_MM...`` -> minutes since midnight; hours up to 47."""
     parts = F.split(col(trip_id), "_")
-    hour, minute = parts.getItem(1).try_cast("int"), parts.getItem(2).try_cast("int")
+    hour, minute = (F.get(parts, F.lit(i)).try_cast("int") for i in (1, 2))
     shaped = (F.size(parts) >= 3) & hour.between(0, 47) & minute.between(0, 59)
     return F.when(shaped, hour * 60 + minute)
 
@@ -70,6 +70,6 @@ def dispatch_minute(trip_id) -> Column:
 def dispatch_hour(trip_id) -> Column:
     """Hour 0-23 of a trip id with exactly four parts."""
     parts = F.split(col(trip_id), "_")
-    hour = F.when((F.size(parts) == 4) & parts.getItem(1).rlike("^[0-9]+$"),
-                  parts.getItem(1).try_cast("int"))
+    text = F.get(parts, F.lit(1))
+    hour = F.when((F.size(parts) == 4) & text.rlike("^[0-9]+$"), text.try_cast("int"))
     return F.when(hour.between(0, 23), hour)
