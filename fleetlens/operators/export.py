@@ -5,9 +5,10 @@ from pyspark.sql import functions as F
 
 from ..functions.measures import display_round
 from .keyed import lookup_join
-from .quantiles import floor_rank_percentiles
+from .quantiles import floor_rank
 from .rollup import with_speed_and_dwell
 
+# The seven fields of a trail point.
 TRAIL_COLUMNS = ["ts", "lat", "lon", "speed", "bearing", "route_id", "trip_id"]
 
 
@@ -19,15 +20,19 @@ def grid_compact_export(cells: DataFrame) -> DataFrame:
 
 
 def grid_scales(rows: DataFrame, limit: int) -> DataFrame:
-    """Legend ranges of the exported rows, their count, and whether the limit was reached."""
-    speed = floor_rank_percentiles(rows, "speed_kmh", {"p10": 0.10, "p90": 0.90})
-    volume = floor_rank_percentiles(rows, "obs", {"p90": 0.90})
+    """Legend ranges of the exported rows, their count, and whether the limit was reached.
+
+    The export holds at most ``limit`` rows, so its sorted values fit an array.
+    """
     return rows.agg(
         F.count("*").alias("count"), (F.count("*") >= limit).alias("truncated"),
-        F.min("speed_kmh").alias("speed_min"), F.max("speed_kmh").alias("speed_max"),
-        F.min("obs").alias("obs_min"), F.max("obs").alias("obs_max"),
-    ).select("*", speed.select("p10").scalar().alias("speed_p10"), speed.select("p90").scalar().alias("speed_p90"),
-             volume.select("p90").scalar().cast("bigint").alias("obs_p90"))
+        F.sort_array(F.collect_list("speed_kmh")).alias("speeds"),
+        F.sort_array(F.collect_list("obs")).alias("volumes"),
+    ).select(
+        "count", "truncated", F.array_min("speeds").alias("speed_min"), F.array_max("speeds").alias("speed_max"),
+        floor_rank("speeds", 0.10).alias("speed_p10"), floor_rank("speeds", 0.90).alias("speed_p90"),
+        F.array_min("volumes").alias("obs_min"), F.array_max("volumes").alias("obs_max"),
+        floor_rank("volumes", 0.90).alias("obs_p90"))
 
 
 def wire_vehicles(batch: DataFrame) -> DataFrame:

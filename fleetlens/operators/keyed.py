@@ -18,6 +18,7 @@ def first_per_key(df: DataFrame, keys, *order) -> DataFrame:
 
 
 def top_per_key(df: DataFrame, keys, n: int, *order) -> DataFrame:
+    keys = [keys] if isinstance(keys, str) else list(keys)
     ranked = df.withColumn("_rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
     return ranked.filter(F.col("_rank") <= n).drop("_rank")
 
@@ -55,7 +56,7 @@ def key_list_lookup(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
 
 def plan_bytes(df: DataFrame) -> int:
     """Size of a frame as the optimizer bounds it."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
 
 
 def lookup_join(big: DataFrame, small: DataFrame, on, how: str = "left", spread: int = 16) -> DataFrame:

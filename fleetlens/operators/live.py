@@ -164,7 +164,7 @@ def fleet_speeds(latest: DataFrame, now: int) -> DataFrame:
 def speed_percentiles(latest: DataFrame, now: int) -> DataFrame:
     """Mean, median and 85th percentile of plausible fresh speeds, linear between ranks."""
     speeds = fleet_speeds(latest, now)
-    ranks = linear_percentiles(speeds, "speed", {"p50": 0.50, "p85": 0.85})
+    ranks = linear_percentiles(speeds, "speed", {"p50": 0.50, "p85": 0.85}, 0.0, IMPLAUSIBLE_MPS)
     mean = speeds.agg(kmh(F.avg("speed")).alias("avg_kmh"), F.count("*").alias("sample"))
     return mean.select("avg_kmh", *[kmh(ranks.select(p).scalar()).alias(f"{p}_kmh") for p in ("p50", "p85")],
                        "sample")

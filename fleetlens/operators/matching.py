@@ -35,8 +35,10 @@ def nearest_departures(live: DataFrame, scheduled: DataFrame) -> DataFrame:
     planned = F.col("first_trip").isNotNull()
     before = F.last(F.when(planned, F.struct("minute", F.col("last_trip").alias("trip"))), ignorenulls=True).over(
         by_minute.rowsBetween(Window.unboundedPreceding, -1))
-    after = F.first(F.when(planned, F.struct("minute", F.col("first_trip").alias("trip"))), ignorenulls=True).over(
-        by_minute.rowsBetween(0, Window.unboundedFollowing))
+    # Looking back in descending order keeps the frame a running one, linear in the rows.
+    descending = Window.partitionBy("route_id").orderBy(F.desc("minute"))
+    after = F.last(F.when(planned, F.struct("minute", F.col("first_trip").alias("trip"))), ignorenulls=True).over(
+        descending.rowsBetween(Window.unboundedPreceding, 0))
     around = _minutes(live, scheduled).withColumn("before", before).withColumn("after", after)
     back = F.col("minute") - F.col("before.minute")
     ahead = F.col("after.minute") - F.col("minute")

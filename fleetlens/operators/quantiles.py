@@ -1,6 +1,6 @@
 """Exact percentiles without gathering the values anywhere.
 
-Values are counted per distinct value, the distinct values are counted per slice of the value
+Values are counted per distinct value, the distinct values are counted per slice of a given value
 range (a bounded number of slices), and only the slices that hold a wanted rank are ordered.
 """
 
@@ -10,52 +10,43 @@ from pyspark.sql import functions as F
 SLICES = 4096
 
 
-def _ranked(df: DataFrame, column: str, size: DataFrame, wanted) -> DataFrame:
-    """Values at 0-based ranks. ``wanted`` is an array of (name, rank) computed from ``size.n``."""
+def linear_percentiles(df: DataFrame, column: str, probabilities: dict, low: float, high: float) -> DataFrame:
+    """One row; linear interpolation between the two neighbouring ranks.
+
+    ``low`` and ``high`` bound most values; any others fall into the end slices, which costs
+    evenness but never exactness.
+    """
     counts = df.filter(F.col(column).isNotNull()).groupBy(F.col(column).cast("double").alias("v")).agg(
         F.count("*").alias("n"))
-    ends = counts.agg(F.min("v").alias("low"), F.max("v").alias("high"))
-    low, high = ends.select("low").scalar(), ends.select("high").scalar()
-    width = F.when(high > low, (high - low) / SLICES).otherwise(F.lit(1.0))
-    sliced = counts.withColumn("slice", F.least(F.floor((F.col("v") - low) / width), F.lit(SLICES - 1)))
-    per_slice = sliced.groupBy("slice").agg(F.sum("n").alias("n"))
-    running = Window.orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)  # at most SLICES rows
-    starts = per_slice.withColumn("before", F.coalesce(F.sum("n").over(running), F.lit(0)))
-    ranks = size.select(wanted.alias("wanted")).scalar()
-    hits = F.filter(ranks, lambda w: (w["rank"] >= F.col("before")) & (w["rank"] < F.col("before") + F.col("n")))
-    holding = starts.withColumn("hits", hits).filter(F.size("hits") > 0).select("slice", "before", "hits")
-    upto = Window.partitionBy("slice").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    placed = sliced.join(holding, "slice").withColumn("end", F.col("before") + F.sum("n").over(upto))
-    return placed.select("v", "n", "end", F.explode("hits").alias("hit")).filter(
-        (F.col("hit.rank") < F.col("end")) & (F.col("hit.rank") >= F.col("end") - F.col("n"))
-    ).select(F.col("hit.name").alias("name"), F.col("v").alias("value"))
-
-
-def _wide(values: DataFrame, names) -> DataFrame:
-    return values.agg(*[F.max(F.when(F.col("name") == n, F.col("value"))).alias(n) for n in names])
-
-
-def linear_percentiles(df: DataFrame, column: str, probabilities: dict) -> DataFrame:
-    """One row; linear interpolation between the two neighbouring ranks."""
-    size = df.filter(F.col(column).isNotNull()).agg(F.count("*").alias("n")).filter(F.col("n") > 0)
-    wanted = F.array(*[
-        F.struct(F.lit(f"{name}_{side}").alias("name"),
-                 rounding((F.col("n") - 1) * F.lit(float(p))).cast("bigint").alias("rank"))
-        for name, p in probabilities.items() for side, rounding in (("lo", F.floor), ("hi", F.ceil))])
-    picked = _wide(_ranked(df, column, size, wanted), [f"{n}_{s}" for n in probabilities for s in ("lo", "hi")])
-    n = size.select("n").scalar()
-    def between(name, p):
-        position = (n - 1) * F.lit(float(p))
-        low, high = F.col(f"{name}_lo"), F.col(f"{name}_hi")
-        return (low + (high - low) * (position - F.floor(position))).alias(name)
-    return picked.select(*[between(name, p) for name, p in probabilities.items()])
-
-
-def floor_rank_percentiles(df: DataFrame, column: str, probabilities: dict) -> DataFrame:
-    """One row; the value at 0-based rank ``min(n - 1, int(n * p))``."""
-    size = df.filter(F.col(column).isNotNull()).agg(F.count("*").alias("n")).filter(F.col("n") > 0)
-    wanted = F.array(*[
-        F.struct(F.lit(name).alias("name"),
-                 F.least(F.col("n") - 1, F.floor(F.col("n") * F.lit(float(p))).cast("bigint")).alias("rank"))
-        for name, p in probabilities.items()])
-    return _wide(_ranked(df, column, size, wanted), list(probabilities))
+    slice_of = F.floor((F.col("v") - low) * (SLICES / (high - low)))
+    sliced = counts.withColumn("slice", F.greatest(F.lit(0), F.least(slice_of, F.lit(SLICES - 1))))
+    # Both windows run over at most SLICES rows.
+    running = Window.orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sliced.groupBy("slice").agg(F.sum("n").alias("size")).withColumn(
+        "before", F.coalesce(F.sum("size").over(running), F.lit(0))).withColumn(
+        "total", F.sum("size").over(Window.orderBy("slice").rowsBetween(
+            Window.unboundedPreceding, Window.unboundedFollowing)))
+
+    position = {name: (F.col("total") - 1) * F.lit(float(p)) for name, p in probabilities.items()}
+    ranks = {(name, side): rounding(k) for name, k in position.items()
+             for side, rounding in (("lo", F.floor), ("hi", F.ceil))}
+    def holds(rank, size):
+        return (rank >= F.col("before")) & (rank < F.col("before") + F.col(size))
+    wanted = F.lit(False)
+    for rank in ranks.values():
+        wanted = wanted | holds(rank, "size")
+    holding = starts.filter(wanted).select("slice", "before", "total")
+    upto = Window.partitionBy("slice").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
+    placed = sliced.join(holding, "slice").withColumn(
+        "before", F.col("before") + F.coalesce(F.sum("n").over(upto), F.lit(0)))
+    ends = placed.agg(F.max("total").alias("total"), *[
+        F.max(F.when(holds(rank, "n"), F.col("v"))).alias("_".join(key)) for key, rank in ranks.items()])
+    return ends.select(*[
+        (F.col(f"{name}_lo") + (F.col(f"{name}_hi") - F.col(f"{name}_lo")) * (k - F.floor(k))).alias(name)
+        for name, k in position.items()])
+
+
+def floor_rank(values, p: float):
+    """Value at 0-based rank ``min(n - 1, int(n * p))`` of an ascending array of bounded length."""
+    n = F.size(values)
+    return F.get(values, F.least(n - 1, F.floor(n * F.lit(float(p))).cast("int")))

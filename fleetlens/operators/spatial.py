@@ -199,23 +199,45 @@ def off_route_summary(vehicles: DataFrame, distances: DataFrame, k: int = OFF_RO
 
 
 # ---- hotspots -------------------------------------------------------------
+def label_few(points: DataFrame, stops: DataFrame, radius_deg: float = HOTSPOT_LABEL_RADIUS_DEG) -> DataFrame:
+    """Nearest stop for a handful of points (a top-k list): one pass over the stops.
+
+    The points, repeated for the nine cells around them, are broadcast: at most 9 rows per point.
+    """
+    cell = lambda name: F.floor(F.col(name) / radius_deg)
+    around = F.sequence(F.lit(-1), F.lit(1))
+    spread = (points.select("point_id", F.col("lat").alias("_lat"), F.col("lon").alias("_lon"))
+              .withColumn("_dy", F.explode(around)).withColumn("_dx", F.explode(around))
+              .select("point_id", "_lat", "_lon", (cell("_lat") + F.col("_dy")).alias("_y"),
+                      (cell("_lon") + F.col("_dx")).alias("_x")))
+    placed = stops.select("stop_id", "stop_name", "stop_lat", "stop_lon", cell("stop_lat").alias("_y"),
+                          cell("stop_lon").alias("_x"))
+    inside = (F.col("stop_lat").between(F.col("_lat") - radius_deg, F.col("_lat") + radius_deg)
+              & F.col("stop_lon").between(F.col("_lon") - radius_deg, F.col("_lon") + radius_deg))
+    d2 = _square(F.col("stop_lat") - F.col("_lat")) + _square(F.col("stop_lon") - F.col("_lon"))
+    best = placed.join(F.broadcast(spread), ["_y", "_x"]).filter(inside).groupBy("point_id").agg(
+        F.min(F.struct(d2.alias("d2"), "stop_id", "stop_name")).alias("hit"))
+    return points.join(best, "point_id", "left").withColumn("stop_id", F.col("hit.stop_id")).withColumn(
+        "stop_name", F.col("hit.stop_name")).drop("hit")
+
+
 def hotspots(cells: DataFrame, stops: DataFrame, limit: int = 12) -> DataFrame:
-    """Cells ranked three ways, each labelled with its nearest stop."""
+    """Cells ranked three ways, each labelled with its nearest stop.
+
+    One pass gives every cell a sort key per ranking it qualifies for; the top of each ranking is
+    cut inside the tasks before anything is shuffled.
+    """
     known = cell_centers(with_speed_and_dwell(cells.filter(F.col("speed_n") > 0)))
-    crawling = known.filter((F.col("dwell_pct") <= MAX_DWELL_FOR_CONGESTION_PCT)
-                            & (F.col("speed_kmh") <= CONGESTED_KMH))
-    rankings = {
-        "congestion": (crawling, [F.asc("speed_kmh")]),
-        "dwell": (known, [F.desc("dwell_pct")]),
-        "busiest": (known, [F.desc("observations")]),
-    }
-    listed = None
-    for name, (pool, order) in rankings.items():
-        top = pool.orderBy(*order, "gy", "gx").limit(limit)
-        rank = F.row_number().over(Window.orderBy(*order, "gy", "gx"))  # over at most `limit` rows
-        part = top.withColumn("ranking", F.lit(name)).withColumn("rank", rank)
-        listed = part if listed is None else listed.unionByName(part)
-    points = listed.withColumn("point_id", F.concat_ws(":", "ranking", "rank"))
-    return nearest_stop(points, stops).select(
+    crawling = (F.col("dwell_pct") <= MAX_DWELL_FOR_CONGESTION_PCT) & (F.col("speed_kmh") <= CONGESTED_KMH)
+    entry = lambda name, key: F.struct(F.lit(name).alias("ranking"), key.alias("sort_key"))
+    entries = F.array_compact(F.array(
+        F.when(crawling, entry("congestion", F.col("speed_kmh"))),
+        entry("dwell", -F.col("dwell_pct")),
+        entry("busiest", -F.col("observations").cast("double"))))
+    ranked = known.withColumn("e", F.explode(entries)).select("*", "e.ranking", "e.sort_key").drop("e")
+    order = Window.partitionBy("ranking").orderBy("sort_key", "gy", "gx")
+    listed = ranked.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= limit)
+    labelled = label_few(listed.withColumn("point_id", F.concat_ws(":", "ranking", "rank")), stops)
+    return labelled.select(
         "ranking", "rank", "gy", "gx", "lat", "lon", "observations", "peak_vehicles", "speed_kmh",
         "dwell_pct", "stop_id", F.col("stop_name").alias("place"))
