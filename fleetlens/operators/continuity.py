@@ -11,12 +11,13 @@ from pyspark.sql import functions as F
 from ..constants import GAP_BUCKETS, GAP_THRESHOLD_S, REPORT_INTERVAL_S
 from ..functions import clock
 from ..functions.measures import count_if, gap_bucket_conditions, safe_pct
+from ..sources.scans import time_window
 
 COUNTERS = ["gaps_total", "gaps_over_threshold", *[name for name, _, _ in GAP_BUCKETS]]
 
 
 def _batch(log: DataFrame, since: int, until: int) -> DataFrame:
-    return log.filter((F.col("ts") > since) & (F.col("ts") <= until)).withColumn(
+    return time_window(log, since + 1, until).withColumn(
         "hour_bucket", clock.hour_bucket())
 
 
@@ -113,7 +114,7 @@ def gap_state_join(log: DataFrame, since: int, until: int, vehicles: DataFrame,
 def continuity_report(log: DataFrame, hours: DataFrame, since: int, until: int) -> DataFrame:
     """Fleet means over vehicles and summed gap counters. Hours are taken by bucket start, so the
     partial first hour of the window is left out."""
-    per_vehicle = log.filter(F.col("ts").between(since, until)).groupBy("vehicle_id").agg(
+    per_vehicle = time_window(log, since, until).groupBy("vehicle_id").agg(
         F.count("*").alias("n"), (F.max("ts") - F.min("ts")).alias("span"))
     fleet = per_vehicle.agg(
         F.count("*").alias("vehicles"), F.coalesce(F.sum("n"), F.lit(0)).alias("observations"),
@@ -124,13 +125,13 @@ def continuity_report(log: DataFrame, hours: DataFrame, since: int, until: int)
     return both.select(*fleet.columns, *[F.col(f"gaps.{c}").alias(c) for c in COUNTERS])
 
 
-def report_continuity_pct(report: DataFrame, interval_s: int = REPORT_INTERVAL_S) -> DataFrame:
-    """Observed against expected reports per vehicle, as a ratio of fleet means, at most 100."""
+def with_report_pct(report: DataFrame, interval_s: int = REPORT_INTERVAL_S) -> DataFrame:
+    """Adds observed against expected reports per vehicle, as a ratio of fleet means, at most 100."""
     slots = F.when(F.col("avg_span_s") > 0, F.col("avg_span_s") / max(interval_s, 1) + 1)
     ratio = F.col("avg_observations_per_vehicle") / slots * 100
     pct = F.when(slots.isNotNull(), F.round(F.least(F.lit(100.0), ratio), 1))
-    return report.select("vehicles", pct.alias("report_continuity_pct"),
-                         safe_pct("gaps_over_threshold", "gaps_total").alias("pct_of_gaps"))
+    return report.withColumn("report_continuity_pct", pct).withColumn(
+        "pct_of_gaps", safe_pct("gaps_over_threshold", "gaps_total"))
 
 
 def trip_completeness(state: DataFrame, since: int, until: int) -> DataFrame:

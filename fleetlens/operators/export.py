@@ -4,6 +4,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.measures import display_round
+from ..sources.scans import time_window
 from .keyed import lookup_join
 from .quantiles import floor_rank
 from .rollup import with_speed_and_dwell
@@ -52,7 +53,7 @@ def wire_routes(batch: DataFrame, routes: DataFrame) -> DataFrame:
 
 def trail(positions: DataFrame, vehicle_id: str, since: int, until: int) -> DataFrame:
     """One vehicle's reports in a closed window, oldest first."""
-    return positions.filter((F.col("vehicle_id") == vehicle_id) & F.col("ts").between(since, until)).select(
+    return time_window(positions, since, until).filter(F.col("vehicle_id") == vehicle_id).select(
         *TRAIL_COLUMNS).orderBy("ts")
 
 
@@ -61,7 +62,7 @@ def trail_linestring(positions: DataFrame, since: int, until: int) -> DataFrame:
 
     (vehicle, ts) is unique, so a line has at most one point per second of the window.
     """
-    window = positions.filter(F.col("ts").between(since, until))
+    window = time_window(positions, since, until)
     point = F.when(F.col("lat").isNotNull() & F.col("lon").isNotNull(), F.struct("ts", "lon", "lat"))
     return window.groupBy("vehicle_id").agg(
         F.count("*").alias("reports"), F.sort_array(F.collect_list(point)).alias("p")).select(

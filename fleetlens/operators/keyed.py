@@ -3,6 +3,8 @@
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.scans import time_window
+
 BROADCAST_LIMIT_BYTES = 10 * 1024 * 1024
 
 
@@ -32,14 +34,13 @@ def argmax_per_group(df: DataFrame, group: str, item: str) -> DataFrame:
 def latest_in_window(positions: DataFrame, since: int, until: int) -> DataFrame:
     """Newest row of each vehicle with ``since <= ts <= until``."""
     order = [F.desc("ts")] + ([F.desc("arrival")] if "arrival" in positions.columns else [])
-    return first_per_key(positions.filter(F.col("ts").between(since, until)), "vehicle_id", *order)
+    return first_per_key(time_window(positions, since, until), "vehicle_id", *order)
 
 
 def live_trip_keys(positions: DataFrame, since: int, until: int) -> DataFrame:
     """Newest vehicle of each (route, trip) seen in ``[since, until)``."""
-    seen = positions.filter(
-        (F.col("ts") >= since) & (F.col("ts") < until)
-        & F.col("trip_id").isNotNull() & F.col("route_id").isNotNull())
+    seen = time_window(positions, since, until - 1).filter(
+        F.col("trip_id").isNotNull() & F.col("route_id").isNotNull())
     newest = first_per_key(seen.select("route_id", "trip_id", "vehicle_id", "ts"),
                            ["route_id", "trip_id"], F.desc("ts"), F.asc("vehicle_id"))
     return newest.select("route_id", "trip_id", "vehicle_id")

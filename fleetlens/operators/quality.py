@@ -8,6 +8,7 @@ from ..constants import (DAY_S, DELAY_FEED_ZONE, FRESH_THRESHOLDS_S, GAP_BUCKETS
                          IMPLAUSIBLE_MPS, POPULATION_FIELDS, STALE_S)
 from ..functions import clock
 from ..functions.measures import count_if, safe_pct
+from ..sources.scans import time_window
 from .keyed import latest_in_window, lookup_join
 from .live import coverage_against, fleet_stats
 
@@ -96,7 +97,7 @@ def coordinate_validity(rows: DataFrame, stops: DataFrame) -> DataFrame:
 
 def referential_integrity(positions: DataFrame, routes: DataFrame, trips: DataFrame, since: int) -> DataFrame:
     """Rows whose route or trip is not in the schedule; rows are counted per (route, trip) first."""
-    pairs = positions.filter(F.col("ts") >= since).groupBy("route_id", "trip_id").agg(F.count("*").alias("n"))
+    pairs = time_window(positions, since).groupBy("route_id", "trip_id").agg(F.count("*").alias("n"))
     known = lambda df, key, flag: df.select(key).distinct().withColumn(flag, F.lit(True))
     checked = lookup_join(pairs, known(routes, "route_id", "_route"), "route_id")
     checked = lookup_join(checked, known(trips, "trip_id", "_trip"), "trip_id")
@@ -116,7 +117,7 @@ def duplicate_snapshot_rate(polls: DataFrame) -> DataFrame:
 
 # ---- field richness -------------------------------------------------------
 def field_population(positions: DataFrame, since: int) -> DataFrame:
-    counted = positions.filter(F.col("ts") >= since).agg(
+    counted = time_window(positions, since).agg(
         F.count("*").alias("total"), *[F.count(f).alias(f) for f in POPULATION_FIELDS])
     pairs = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("populated")) for f in POPULATION_FIELDS])
     return counted.select("total", F.explode(pairs).alias("p")).select(

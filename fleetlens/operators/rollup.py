@@ -7,6 +7,7 @@ from ..constants import (GRID_LAT_DEG, GRID_LON_DEG, HOUR_S, MIN_OBS_DEFAULT, RO
 from ..functions import clock, geo
 from ..functions.measures import (count_if, is_plausible_moving, is_stopped, kmh, label_range, mean_kmh,
                                   safe_pct)
+from ..sources.scans import time_window
 
 
 def _speed_measures(extremes: bool) -> list:
@@ -31,14 +32,14 @@ def grid_hour_rollup(positions: DataFrame, since: int = 0) -> DataFrame:
     The distinct count is planned as a partial aggregate on (cell, hour, vehicle), so a terminal
     cell with a large share of all rows is spread by vehicle before it is merged.
     """
-    located = positions.filter((F.col("ts") >= since) & F.col("lat").isNotNull() & F.col("lon").isNotNull())
+    located = time_window(positions, since).filter(F.col("lat").isNotNull() & F.col("lon").isNotNull())
     return located.groupBy(geo.cell_y().alias("cell_y"), geo.cell_x().alias("cell_x"),
                            clock.hour_bucket().alias("hour_bucket")).agg(*_speed_measures(True))
 
 
 def route_hour_rollup(positions: DataFrame, since: int = 0) -> DataFrame:
     """The same per route and hour; rows without a position count too."""
-    routed = positions.filter((F.col("ts") >= since) & F.col("route_id").isNotNull())
+    routed = time_window(positions, since).filter(F.col("route_id").isNotNull())
     return routed.groupBy("route_id", clock.hour_bucket().alias("hour_bucket")).agg(*_speed_measures(False))
 
 
@@ -148,7 +149,7 @@ def temporal_extremes(temporal: DataFrame) -> DataFrame:
 
 
 def ingest_timeseries(positions: DataFrame, bucket_s: int, since: int) -> DataFrame:
-    return (positions.filter(F.col("ts") >= since)
+    return (time_window(positions, since)
             .groupBy(clock.time_bucket("ts", bucket_s).alias("bucket"))
             .agg(F.count("*").alias("observations"), F.count_distinct("vehicle_id").alias("vehicles"),
                  kmh(F.avg("speed")).alias("avg_speed_kmh"))
@@ -158,7 +159,7 @@ def ingest_timeseries(positions: DataFrame, bucket_s: int, since: int) -> DataFr
 def speed_histogram(positions: DataFrame, since: int, bins: int = 12, width: float = 2.0) -> DataFrame:
     """Counts in bins of ``width`` m/s, the last one open-ended; every bin is present."""
     bin_of = F.least(F.floor(F.col("speed") / width).cast("int"), F.lit(bins - 1))
-    counts = (positions.filter((F.col("ts") >= since) & F.col("speed").isNotNull())
+    counts = (time_window(positions, since).filter(F.col("speed").isNotNull())
               .groupBy(bin_of.alias("bin")).agg(F.count("*").alias("n")))
     axis = positions.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin"))
     return axis.join(counts, "bin", "left").select(
@@ -168,7 +169,7 @@ def speed_histogram(positions: DataFrame, since: int, bins: int = 12, width: flo
 
 def route_corridor(positions: DataFrame, since: int, route_id: str | None = None) -> DataFrame:
     """Cells along a route with mean position, speed and dwell; all routes when none is named."""
-    rows = positions.filter((F.col("ts") >= since) & F.col("lat").isNotNull() & F.col("route_id").isNotNull())
+    rows = time_window(positions, since).filter(F.col("lat").isNotNull() & F.col("route_id").isNotNull())
     if route_id is not None:
         rows = rows.filter(F.col("route_id") == route_id)
     moving = is_plausible_moving()
