@@ -55,7 +55,8 @@ def metric_class(value, low, high, classes: int = 7, reverse: bool = False) -> C
     value, low, high = map(lit_or_col, (value, low, high))
     span = F.when(high == low, F.lit(1.0)).otherwise(high - low)
     rank = F.least(F.greatest(F.ceil((value - low) / span * (classes - 1)), F.lit(0)), F.lit(classes - 1))
-    return ((F.lit(classes - 1) - rank) if reverse else rank).cast("int")
+    placed = (F.lit(classes - 1) - rank) if reverse else rank
+    return F.when(value.isNotNull(), placed).cast("int")
 
 
 def any_differs(old: list, new: list) -> Column:
