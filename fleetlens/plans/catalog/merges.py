@@ -214,10 +214,10 @@ def pull_log_retention(t):
 
 
 # Written by day and hour, read back with the partition columns the directories carry.
-@query("time_partition_layout", "SELECT DATE '1970-01-01' + CAST(ts // 86400 AS INT) AS day, CAST(ts % 86400 // 3600 AS INT) AS hour, count(*) AS n FROM positions_v GROUP BY 1, 2")
+@query("time_partition_layout", "SELECT DATE '1970-01-01' + CAST(ts // 86400 AS INT) AS day, CAST(ts % 86400 // 3600 AS INT) AS hour, count(*) AS n FROM positions_fast_v GROUP BY 1, 2")
 def time_partition_layout(t):
     root = shared_dir(t.spark, "layout")
-    placed = tables.time_partition_layout(t.positions.select("vehicle_id", "ts", "speed"), hourly=True)
+    placed = tables.time_partition_layout(t.positions_fast.select("vehicle_id", "ts", "speed"), hourly=True)
     tables.replace_partitions(placed, root, "day", "hour")
     back = t.spark.read.schema("vehicle_id string, ts bigint, speed double, day date, hour int").parquet(root)
     return back.groupBy("day", "hour").agg(F.count("*").alias("n"))
