@@ -1,6 +1,6 @@
 """Tolerant parsing of feed text: a bad value becomes NULL, never an error."""
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .columns import col
@@ -19,11 +19,14 @@ def to_float(text) -> Column:
 
 def clean_text(text) -> Column:
     value = F.trim(col(text))
-    return F.when(~value.isin(*PLACEHOLDERS), value)
+    for blank in PLACEHOLDERS:
+        value = F.nullif(value, F.lit(blank))
+    return value
 
 
 def clean_float(text) -> Column:
-    return clean_text(text).try_cast("double")
+    """Placeholders are no numbers, so the cast alone turns them into NULL; it also trims."""
+    return col(text).try_cast("double")
 
 
 def clean_int(text) -> Column:
@@ -59,12 +62,17 @@ def service_date(text) -> Column:
     return F.coalesce(*(F.when(F.year(d).between(2000, 2100), d) for d in readings))
 
 
-def dispatch_minute(trip_id) -> Column:
-    """``route_HH_MM...`` -> minutes since midnight; hours up to 47."""
-    parts = F.split(col(trip_id), "_")
-    hour, minute = (F.get(parts, F.lit(i)).try_cast("int") for i in (1, 2))
-    shaped = (F.size(parts) >= 3) & hour.between(0, 47) & minute.between(0, 59)
-    return F.when(shaped, hour * 60 + minute)
+def with_dispatch_minute(df: DataFrame, trip_id: str = "trip_id", name: str = "minute") -> DataFrame:
+    """Adds minutes since midnight of ``route_HH_MM...``; hours up to 47, anything else is NULL.
+
+    In steps, because each later expression uses the one before several times.
+    """
+    cut = df.withColumn("_parts", F.split(col(trip_id), "_"))
+    number = lambda i: F.get("_parts", F.lit(i)).try_cast("int")
+    timed = cut.withColumn("_hour", number(1)).withColumn("_minute", number(2))
+    shaped = (F.size("_parts") >= 3) & F.col("_hour").between(0, 47) & F.col("_minute").between(0, 59)
+    return timed.withColumn(name, F.when(shaped, F.col("_hour") * 60 + F.col("_minute"))).drop(
+        "_parts", "_hour", "_minute")
 
 
 def dispatch_hour(trip_id) -> Column:

@@ -11,35 +11,37 @@ from pyspark.sql import functions as F
 from ..constants import MATCH_TOLERANCE_MIN
 from ..functions import parse
 from ..functions.measures import count_if, safe_pct
-from .keyed import lookup_join
+from ..sources.scans import time_window
+from .keyed import live_trip_keys, lookup_join
 
 
-def _minutes(live: DataFrame, scheduled: DataFrame) -> DataFrame:
-    """(route, minute) of both sides with the first and last timetabled trip of the minute."""
-    planned = scheduled.select("route_id", parse.dispatch_minute("trip_id").alias("minute"),
-                               F.col("trip_id").alias("planned"))
-    asked = live.select("route_id", parse.dispatch_minute("trip_id").alias("minute"),
-                        F.lit(None).cast("string").alias("planned"))
-    return planned.unionByName(asked).filter(
-        F.col("minute").isNotNull() & F.col("route_id").isNotNull()).groupBy("route_id", "minute").agg(
+def _minutes(asked: DataFrame, scheduled: DataFrame) -> DataFrame:
+    """(route, minute) of both sides with the first and last timetabled trip of the minute.
+
+    Rows without a minute stay as one group per route; a filter here would be evaluated on the
+    whole parsing expression once more for every row.
+    """
+    planned = parse.with_dispatch_minute(scheduled.select("route_id", "trip_id")).select(
+        "route_id", "minute", F.col("trip_id").alias("planned"))
+    live = parse.with_dispatch_minute(asked.select("route_id", "trip_id")).select(
+        "route_id", "minute", F.lit(None).cast("string").alias("planned"))
+    return planned.unionByName(live).groupBy("route_id", "minute").agg(
         F.min("planned").alias("first_trip"), F.max("planned").alias("last_trip"))
 
 
-def nearest_departures(live: DataFrame, scheduled: DataFrame) -> DataFrame:
+def nearest_departures(asked: DataFrame, scheduled: DataFrame) -> DataFrame:
     """Per (route, minute): the nearest timetabled trip and its distance in minutes.
 
     The earlier neighbour wins a tie in distance. Of trips in one minute the last counts when the
     minute lies before the asked one, the first when it lies at or after it.
     """
-    by_minute = Window.partitionBy("route_id").orderBy("minute")
-    planned = F.col("first_trip").isNotNull()
-    before = F.last(F.when(planned, F.struct("minute", F.col("last_trip").alias("trip"))), ignorenulls=True).over(
-        by_minute.rowsBetween(Window.unboundedPreceding, -1))
+    ascending = Window.partitionBy("route_id").orderBy("minute").rowsBetween(Window.unboundedPreceding, -1)
     # Looking back in descending order keeps the frame a running one, linear in the rows.
-    descending = Window.partitionBy("route_id").orderBy(F.desc("minute"))
-    after = F.last(F.when(planned, F.struct("minute", F.col("first_trip").alias("trip"))), ignorenulls=True).over(
-        descending.rowsBetween(Window.unboundedPreceding, 0))
-    around = _minutes(live, scheduled).withColumn("before", before).withColumn("after", after)
+    descending = Window.partitionBy("route_id").orderBy(F.desc("minute")).rowsBetween(Window.unboundedPreceding, 0)
+    planned = F.col("minute").isNotNull() & F.col("first_trip").isNotNull()
+    neighbour = lambda trip: F.last(F.when(planned, F.struct("minute", F.col(trip).alias("trip"))), ignorenulls=True)
+    around = _minutes(asked, scheduled).withColumn("before", neighbour("last_trip").over(ascending)).withColumn(
+        "after", neighbour("first_trip").over(descending))
     back = F.col("minute") - F.col("before.minute")
     ahead = F.col("after.minute") - F.col("minute")
     take_before = back.isNotNull() & (ahead.isNull() | (back <= ahead))
@@ -48,11 +50,16 @@ def nearest_departures(live: DataFrame, scheduled: DataFrame) -> DataFrame:
         F.when(take_before, F.col("before.trip")).otherwise(F.col("after.trip")).alias("nearest_trip"))
 
 
-def trip_nearest_match(live: DataFrame, scheduled: DataFrame, now: int,
+def trip_nearest_match(live: DataFrame, scheduled: DataFrame, now: int, seen: DataFrame | None = None,
                        tolerance_min: int = MATCH_TOLERANCE_MIN) -> DataFrame:
-    """``strict`` at distance 0, ``relaxed`` within the tolerance, else ``none`` (distance kept)."""
-    asked = live.select("route_id", "trip_id", "vehicle_id", parse.dispatch_minute("trip_id").alias("minute"))
-    found = lookup_join(asked, nearest_departures(live, scheduled), ["route_id", "minute"])
+    """``strict`` at distance 0, ``relaxed`` within the tolerance, else ``none`` (distance kept).
+
+    ``seen`` may name the rows the live keys were taken from; their minutes are then read from
+    there instead of reducing them to keys a second time.
+    """
+    wanted = parse.with_dispatch_minute(live.select("route_id", "trip_id", "vehicle_id"))
+    nearest = nearest_departures(live if seen is None else seen, scheduled)
+    found = lookup_join(wanted, nearest, ["route_id", "minute"])
     delta = F.col("delta")
     kind = F.when(delta == 0, "strict").when(delta <= tolerance_min, "relaxed").otherwise("none")
     return found.select(
@@ -62,6 +69,12 @@ def trip_nearest_match(live: DataFrame, scheduled: DataFrame, now: int,
         F.lit(now).cast("bigint").alias("matched_at"))
 
 
+def match_window(positions: DataFrame, scheduled: DataFrame, since: int, until: int, now: int) -> DataFrame:
+    """Match the live trips seen in ``[since, until)`` of the log."""
+    live = live_trip_keys(positions, since, until)
+    return trip_nearest_match(live, scheduled, now, seen=time_window(positions, since, until - 1))
+
+
 def trip_match_summary(matches: DataFrame, since: int) -> DataFrame:
     kinds = ("strict", "relaxed", "none")
     counts = matches.filter(F.col("matched_at") >= since).agg(

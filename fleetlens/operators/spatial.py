@@ -181,10 +181,11 @@ def off_route_distance(vehicles: DataFrame, trips: DataFrame, shapes: DataFrame,
     line = route_shape(trips, shapes).join(chosen, "route_id", "left_semi")
     parts = shape_segments(line).select("route_id", "segments")
     sampled = lookup_join(placed.select("vehicle_id", "route_id", "lat", "lon"), parts, "route_id", "inner")
-    nearest = F.array_min(F.transform("segments", lambda s: geo.point_segment_distance_m(
-        "lat", "lon", s["lat_a"], s["lon_a"], s["lat_b"], s["lon_b"])))
-    return sampled.select("vehicle_id", "route_id", nearest.alias("d")).groupBy("vehicle_id", "route_id").agg(
-        F.min("d").alias("distance_m"))
+    # Unpacked row by row: the distance then runs in generated code and is folded to one value per
+    # vehicle before anything moves.
+    pairs = sampled.select("vehicle_id", "route_id", "lat", "lon", F.inline("segments"))
+    metres = geo.point_segment_distance_m("lat", "lon", "lat_a", "lon_a", "lat_b", "lon_b")
+    return pairs.groupBy("vehicle_id", "route_id").agg(F.min(metres).alias("distance_m"))
 
 
 def off_route_summary(vehicles: DataFrame, distances: DataFrame, k: int = OFF_ROUTE_MAX_ROUTES) -> DataFrame:

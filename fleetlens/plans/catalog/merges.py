@@ -74,7 +74,7 @@ def fk_restrict_check(t):
 
 
 def _matches(t):
-    return matching.trip_nearest_match(keyed.live_trip_keys(t.positions, 0, NOW), t.trips, NOW)
+    return matching.match_window(t.positions, t.trips, 0, NOW, NOW)
 
 
 @query("fk_set_null", "SELECT live_trip_id, route_id, match_type, CASE WHEN CAST(split_part(matched_trip_id, '_', 4) AS BIGINT) % 7 <> 0 THEN matched_trip_id END AS matched_trip_id FROM matches_v")

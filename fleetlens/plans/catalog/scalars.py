@@ -139,7 +139,7 @@ def service_date_parse(t):
     key, day = F.col("o_orderkey"), F.date_add(F.col("o_orderdate").cast("date"), 3650)
     text = (F.when(key % 5 < 2, F.date_format(day, "ddMMyyyy")).when(key % 5 < 4, F.date_format(day, "yyyyMMdd"))
             .otherwise(F.when(key % 10 == 4, "000000").otherwise("31022026")))
-    return t.table("orders").select("o_orderkey", parse.service_date(text).alias("day"))
+    return t.table("orders").select("o_orderkey", text.alias("text")).select("o_orderkey", parse.service_date("text").alias("day"))
 
 
 @query("gtfs_time_to_seconds", "SELECT trip_id, stop_sequence, arrival_s AS seconds, CAST(NULL AS INT) AS malformed FROM stop_times_v")

@@ -140,7 +140,7 @@ def radius_distance_m(t):
 
 # ---- matching to the timetable --------------------------------------------
 def _matches(t):
-    return matching.trip_nearest_match(keyed.live_trip_keys(t.positions, 0, NOW), t.trips, NOW)
+    return matching.match_window(t.positions, t.trips, 0, NOW, NOW)
 
 
 @query("live_trip_keys", "SELECT * FROM live_keys_v")
@@ -165,4 +165,4 @@ def trip_match_summary(t):
 def dispatch_minute_parse(t):
     from ...functions import parse
     ids = t.trips.select("trip_id").unionByName(t.positions.select("trip_id")).filter(F.col("trip_id").isNotNull()).distinct()
-    return ids.select("trip_id", parse.dispatch_minute("trip_id").alias("minute"))
+    return parse.with_dispatch_minute(ids)

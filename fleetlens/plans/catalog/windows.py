@@ -165,7 +165,7 @@ def _report_tables(t) -> report.ReportTables:
         route_hours=rollup.route_hour_rollup(log),
         gap_hours=continuity.gap_hour_counters(log, BASE_TS - 1, NOW_FAST),
         trip_state=continuity.trip_gap_state(log, BASE_TS - 1, NOW_FAST),
-        matches=matching.trip_nearest_match(keyed.live_trip_keys(log, 0, NOW_FAST), t.trips, NOW_FAST),
+        matches=matching.match_window(log, t.trips, 0, NOW_FAST, NOW_FAST),
         routes=t.routes, trips=t.trips, stops=t.stops, shapes=t.shapes,
         static_loaded_at=NOW_FAST - DAY_S, expected_fleet=200)
 

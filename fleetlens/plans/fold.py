@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from .. import schemas
 from ..constants import (CONTINUITY_CHUNK_S, GAP_THRESHOLD_S, MATCH_CHUNK_S, MATCH_REWIND_S, RETENTION_S)
-from ..operators import continuity, keyed, matching, merge, rollup
+from ..operators import continuity, matching, merge, rollup
 from . import tables
 
 LOG_SCHEMA = schemas.T.StructType(
@@ -106,7 +106,7 @@ def match_new_trips(t: FoldTables, trips: DataFrame, newest: int, now: int) -> b
     if since >= newest:
         return False
     until = min(since + MATCH_CHUNK_S, newest)
-    found = matching.trip_nearest_match(keyed.live_trip_keys(t.log, since, until), trips, now)
+    found = matching.match_window(t.log, trips, since, until, now)
     version = tables.latest_version(t.spark, t.path("trip_match"))
     tables.write_version(merge.trip_match_upsert(t.matches, found), t.path("trip_match"),
                          0 if version is None else version + 1)

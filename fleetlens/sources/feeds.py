@@ -17,6 +17,12 @@ def _text(path: str):
     return F.nullif(F.col(path), F.lit(""))
 
 
+def _entities(array: str):
+    """Entities with their position. The outer form: an inner one makes the optimizer test the size
+    of the array first, and for that parse every message twice."""
+    return F.posexplode_outer(array).alias("entity_no", "e")
+
+
 def position_feed_flatten(messages: DataFrame, now: int, body: str = "body") -> DataFrame:
     """One row per entity that carries a vehicle.
 
@@ -26,7 +32,7 @@ def position_feed_flatten(messages: DataFrame, now: int, body: str = "body") ->
     kept = [c for c in messages.columns if c != body]
     parsed = messages.withColumn("m", F.from_json(body, schemas.POSITION_MESSAGE))
     entities = parsed.select(*kept, F.col("m.header.timestamp").alias("_header"),
-                             F.posexplode("m.entity").alias("entity_no", "e")).filter(F.col("e.vehicle").isNotNull())
+                             _entities("m.entity")).filter(F.col("e.vehicle").isNotNull())
     vehicle_id = F.trim(F.coalesce(_text("e.vehicle.vehicle.id"), _text("e.vehicle.vehicle.label"), _text("e.id")))
     ts = F.coalesce(F.nullif("e.vehicle.timestamp", F.lit(0)), F.nullif("_header", F.lit(0)), F.lit(now))
     position = lambda name: F.col(f"e.vehicle.position.{name}")
@@ -58,21 +64,22 @@ def json_envelope_split(messages: DataFrame, body: str = "body") -> DataFrame:
 
 def _vehicle_entities(messages: DataFrame, offset_s: int, data: str) -> DataFrame:
     parsed = messages.select("message_id", F.from_json(data, schemas.VEHICLE_MESSAGE).alias("m"))
-    e = parsed.select("message_id", F.posexplode("m.entity").alias("entity_no", "e"))
+    e = parsed.select("message_id", _entities("m.entity")).filter(F.col("e").isNotNull())
     trip = lambda name: parse.clean_text(f"e.vehicle.trip.{name}")
-    relationship = trip("schedule_relationship")
-    return e.select(
+    cleaned = e.select(
         "message_id", "entity_no", parse.clean_text("e.vehicle.vehicle.id").alias("vehicle_id"),
         parse.clean_text("e.vehicle.vehicle.label").alias("label"),
-        parse.clean_epoch("e.vehicle.timestamp", offset_s).alias("ts"),
+        parse.clean_int("e.vehicle.timestamp").alias("stamp"),
         parse.clean_float("e.vehicle.position.latitude").alias("lat"),
         parse.clean_float("e.vehicle.position.longitude").alias("lon"),
-        F.nullif(parse.clean_float("e.vehicle.position.bearing"), F.lit(0.0)).alias("bearing"),
+        parse.clean_float("e.vehicle.position.bearing").alias("bearing"),
         trip("trip_id").alias("trip_id"), trip("route_id").alias("route_id"),
         trip("start_time").alias("start_time"), parse.compact_date("e.vehicle.trip.start_date").alias("start_date"),
-        (relationship == "SCHEDULED").alias("scheduled"), trip("sch_no").alias("sch_no"),
+        (trip("schedule_relationship") == "SCHEDULED").alias("scheduled"), trip("sch_no").alias("sch_no"),
         parse.clean_text("e.vehicle.stop_id").alias("stop_id"),
         parse.clean_int("e.vehicle.current_status").cast("int").alias("status"))
+    return cleaned.withColumn("ts", F.when(F.col("stamp") > 0, F.col("stamp") - offset_s)).withColumn(
+        "bearing", F.when(F.col("bearing") != 0, F.col("bearing"))).drop("stamp")
 
 
 def vehicle_json_flatten(messages: DataFrame, now: int, offset_s: int = DELAY_FEED_CLOCK_OFFSET_S,
@@ -86,8 +93,11 @@ def vehicle_json_flatten(messages: DataFrame, now: int, offset_s: int = DELAY_FE
     complete = (F.col("vehicle_id").isNotNull() & F.col("ts").isNotNull()
                 & F.col("lat").isNotNull() & F.col("lon").isNotNull())
     fresh = F.col("ts") >= now - retention_s
-    rows = first_per_key(entities.filter(complete & fresh), ["message_id", "vehicle_id"], F.desc("ts"),
-                         "entity_no").drop("entity_no")
+    # Usable rows rank first and the rest is cut afterwards. A filter in front would be pushed down
+    # to the raw message and evaluate all of the cleaning twice.
+    usable = entities.withColumn("usable", F.coalesce(complete & fresh, F.lit(False)))
+    rows = first_per_key(usable, ["message_id", "vehicle_id"], F.desc("usable"), F.desc("ts"), "entity_no").filter(
+        "usable").drop("entity_no", "usable")
     audit = entities.groupBy("message_id").agg(F.count("*").alias("entities"),
                                                count_if(complete & ~fresh).alias("stale"))
     return rows, audit
@@ -99,18 +109,20 @@ def trip_update_flatten(messages: DataFrame, data: str = "data"):
     The figures of a trip come from the update list inside its own entity, without a shuffle.
     """
     parsed = messages.select("message_id", "zone_id", F.from_json(data, schemas.TRIP_MESSAGE).alias("m"))
-    entity = parsed.select("message_id", "zone_id", F.posexplode("m.entity").alias("entity_no", "e"))
+    entity = parsed.select("message_id", "zone_id", _entities("m.entity"))
     text = lambda name: parse.clean_text(f"e.trip_update.trip.{name}")
     delay = lambda u, side: parse.clean_int(u[side]["delay"]).cast("int")
-    def stop(u, i):
-        late = lambda side: F.coalesce(F.abs(delay(u, side)) > IMPLAUSIBLE_DELAY_S, F.lit(False))
+    def cleaned(u, i):
         return F.struct(
             i.alias("update_no"), parse.clean_int(u["stop_sequence"]).alias("stop_sequence"),
             parse.clean_text(u["stop_id"]).alias("stop_id"), delay(u, "arrival").alias("arrival_delay_s"),
             delay(u, "departure").alias("departure_delay_s"),
-            parse.clean_text(u["schedule_relationship"]).alias("stop_status"),
-            (late("arrival") | late("departure")).alias("implausible"))
-    updates = F.filter(F.transform("e.trip_update.stop_time_update", stop), lambda s: s["stop_sequence"].isNotNull())
+            parse.clean_text(u["schedule_relationship"]).alias("stop_status"))
+    def marked(u):
+        late = lambda name: F.coalesce(F.abs(u[name]) > IMPLAUSIBLE_DELAY_S, F.lit(False))
+        return u.withField("implausible", late("arrival_delay_s") | late("departure_delay_s"))
+    updates = F.transform(F.filter(F.transform("e.trip_update.stop_time_update", cleaned),
+                                   lambda s: s["stop_sequence"].isNotNull()), marked)
     rows = entity.select(
         "message_id", "zone_id", "entity_no", parse.service_date("e.trip_update.trip.start_date").alias("service_date"),
         text("trip_id").alias("trip_id"), text("route_id").alias("route_id"), text("start_time").alias("start_time"),
@@ -125,8 +137,8 @@ def trip_update_flatten(messages: DataFrame, data: str = "data"):
         how_many(lambda s: s["arrival_delay_s"].isNotNull()).alias("stops_with_delay"),
         F.array_max(F.transform(plausible, lambda s: s["arrival_delay_s"])).alias("max_delay_s"))
     trips = first_per_key(trips, ["message_id", "service_date", "trip_id"], F.desc("entity_no")).drop("entity_no")
-    stops = rows.select("message_id", "entity_no", "service_date", "trip_id", F.explode("updates").alias("s")).select(
-        "message_id", "entity_no", "service_date", "trip_id", "s.*")
+    stops = rows.select("message_id", "entity_no", "service_date", "trip_id", F.explode_outer("updates").alias("s")).filter(
+        F.col("s").isNotNull()).select("message_id", "entity_no", "service_date", "trip_id", "s.*")
     stops = first_per_key(stops, ["message_id", "service_date", "trip_id", "stop_sequence"],
                           F.desc("entity_no"), F.desc("update_no")).drop("entity_no", "update_no")
     return trips, stops

@@ -10,7 +10,7 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 from ..constants import GAP_THRESHOLD_S, HOUR_S
 from ..functions import clock, geo
 from ..functions.measures import count_if, is_plausible_moving, is_stopped
-from ..operators import keyed, matching, merge
+from ..operators import matching, merge
 from ..plans import tables
 from .. import schemas
 
@@ -133,8 +133,7 @@ def match_batch(root: str, trips: DataFrame, now: int):
     """Writer that matches the live trips of a batch and upserts them into a versioned table."""
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        live = keyed.live_trip_keys(batch, 0, 2**62)
         stored = tables.read_version(spark, root, schemas.TRIP_MATCH, batch_id - 1)
-        matched = matching.trip_nearest_match(live, trips, now)
+        matched = matching.match_window(batch, trips, 0, 2**62, now)
         tables.write_version(merge.trip_match_upsert(stored, matched), root, batch_id)
     return write
