@@ -100,7 +100,7 @@ def routes_nearby(probes: DataFrame, stops: DataFrame, stop_times: DataFrame, tr
     Probes and stops meet through latitude bands as high as the radius, then the exact circle
     decides. The timetable is narrowed to the stops found before it is joined.
     """
-    band = radius_m / METRES_PER_DEGREE
+    band = radius_m / METRES_PER_DEGREE * (1 + 1e-6)  # a hair wider, against rounding
     near_probe = probes.select("probe_id", F.col("lat").alias("probe_lat"), F.col("lon").alias("probe_lon"))
     home = F.floor(F.col("probe_lat") / band)
     near_probe = near_probe.withColumn("band", F.explode(F.sequence(home - 1, home + 1)))

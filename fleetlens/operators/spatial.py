@@ -16,6 +16,9 @@ from .keyed import first_per_key, lookup_join
 from .rollup import cell_centers, with_speed_and_dwell
 from .schedule import route_shape
 
+# Cells and prefilters are a hair wider than the radius: rounding must not lose a point on the edge,
+# which the exact test of the rows still decides.
+_WIDER = 1 + 1e-6
 _METRES_PER_RADIAN_DEGREE = EARTH_RADIUS_M * 3.141592653589793 / 180.0
 
 
@@ -51,7 +54,7 @@ def nearest_stop(points: DataFrame, stops: DataFrame, radius_deg: float = HOTSPO
     best than some other cell at its worst. At most (3 * split)^2 stop cells face one point cell,
     whatever the number of rows in them, and only the kept ones reach the row-level comparison.
     """
-    step = radius_deg / split
+    step = radius_deg * _WIDER / split
     # Stops at one coordinate cannot be told apart by distance: the smallest id stands for them.
     unique = first_per_key(stops.filter(F.col("stop_lat").isNotNull() & F.col("stop_lon").isNotNull()).select(
         "stop_id", "stop_name", "stop_lat", "stop_lon"), ["stop_lat", "stop_lon"], "stop_id")
@@ -68,10 +71,9 @@ def nearest_stop(points: DataFrame, stops: DataFrame, radius_deg: float = HOTSPO
     sides = {axis: [F.col(f"{p}_{axis}{i}") for p in "ps" for i in (0, 1)] for axis in ("lat", "lon")}
     gap = {axis: _axis_gap(*bounds) for axis, bounds in sides.items()}
     reach = {axis: _axis_reach(*bounds) for axis, bounds in sides.items()}
-    surely_inside = (reach["lat"] <= radius_deg) & (reach["lon"] <= radius_deg)
-    # A hair of slack keeps rounding of the box arithmetic from discarding an exact tie.
+    surely_inside = (reach["lat"] <= radius_deg / _WIDER) & (reach["lon"] <= radius_deg / _WIDER)
     candidates = asking.join(answering, ["block_y", "block_x"]).filter(
-        (gap["lat"] <= radius_deg) & (gap["lon"] <= radius_deg)
+        (gap["lat"] <= radius_deg * _WIDER) & (gap["lon"] <= radius_deg * _WIDER)
     ).withColumn("best", _square(gap["lat"]) + _square(gap["lon"])).withColumn(
         "worst", F.when(surely_inside, _square(reach["lat"]) + _square(reach["lon"])))
     bound = candidates.groupBy("p_y", "p_x").agg(F.min("worst").alias("bound"))
@@ -205,7 +207,7 @@ def label_few(points: DataFrame, stops: DataFrame, radius_deg: float = HOTSPOT_L
 
     The points, repeated for the nine cells around them, are broadcast: at most 9 rows per point.
     """
-    cell = lambda name: F.floor(F.col(name) / radius_deg)
+    cell = lambda name: F.floor(F.col(name) / (radius_deg * _WIDER))
     around = F.sequence(F.lit(-1), F.lit(1))
     spread = (points.select("point_id", F.col("lat").alias("_lat"), F.col("lon").alias("_lon"))
               .withColumn("_dy", F.explode(around)).withColumn("_dx", F.explode(around))
