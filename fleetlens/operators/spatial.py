@@ -76,8 +76,9 @@ def nearest_stop(points: DataFrame, stops: DataFrame, radius_deg: float = HOTSPO
         (gap["lat"] <= radius_deg * _WIDER) & (gap["lon"] <= radius_deg * _WIDER)
     ).withColumn("best", _square(gap["lat"]) + _square(gap["lon"])).withColumn(
         "worst", F.when(surely_inside, _square(reach["lat"]) + _square(reach["lon"])))
-    bound = candidates.groupBy("p_y", "p_x").agg(F.min("worst").alias("bound"))
-    kept = candidates.join(bound, ["p_y", "p_x"]).filter(
+    # The window holds one row per stop cell in reach, never the stops themselves.
+    bound = F.min("worst").over(Window.partitionBy("p_y", "p_x"))
+    kept = candidates.withColumn("bound", bound).filter(
         F.col("bound").isNull() | (F.col("best") <= F.col("bound") * (1 + 1e-9) + 1e-18)
     ).select("p_y", "p_x", "s_y", "s_x")
 

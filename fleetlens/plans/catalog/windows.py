@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from ...constants import DAY_S
 from ...operators import continuity, export, keyed, live, matching, merge, quality, rollup, spatial
+from ...session import shared_dir
 from ...sources import scans
 from .. import report
 from .. import report_sql
@@ -159,11 +160,17 @@ def busiest_k_routes(t):
 
 # ---- the whole report -----------------------------------------------------
 def _report_tables(t) -> report.ReportTables:
-    log = t.log_fast
+    """The report reads stored tables; here they are written once to the shared folder."""
+    def stored(frame, name):
+        path = shared_dir(t.spark, name)
+        frame.write.parquet(path)
+        return t.spark.read.schema(frame.schema).parquet(path)
+
+    log = stored(t.log_fast, "log")
     return report.ReportTables(
-        positions=log, latest=t.latest_fast, polls=t.polls, grid_hours=rollup.grid_hour_rollup(log),
-        route_hours=rollup.route_hour_rollup(log),
-        gap_hours=continuity.gap_hour_counters(log, BASE_TS - 1, NOW_FAST),
+        positions=log, latest=stored(t.latest_fast, "latest"), polls=stored(t.polls, "polls"),
+        grid_hours=rollup.grid_hour_rollup(log), route_hours=rollup.route_hour_rollup(log),
+        gap_hours=stored(continuity.gap_hour_counters(log, BASE_TS - 1, NOW_FAST), "gaps"),
         trip_state=continuity.trip_gap_state(log, BASE_TS - 1, NOW_FAST),
         matches=matching.match_window(log, t.trips, 0, NOW_FAST, NOW_FAST),
         routes=t.routes, trips=t.trips, stops=t.stops, shapes=t.shapes,

@@ -5,7 +5,7 @@ partitions are replaced with dynamic partition overwrite, so a repeated batch or
 same content. Small keyed tables are kept as numbered versions.
 """
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..constants import DAY_S
@@ -92,12 +92,12 @@ def prune_log(spark: SparkSession, root: str, schema, cutoff: int) -> list[str]:
 def replace_hours(folded: DataFrame, root: str, since: int) -> None:
     """Replace every hour from ``since`` on, and remove those that hold nothing any more."""
     spark = folded.sparkSession
-    stale = {int(v) for v in partition_values(spark, root, "hour_bucket") if int(v) >= since}
-    replace_partitions(folded, root, "hour_bucket")
-    if stale:
-        alive = {row[0] for row in folded.select("hour_bucket").distinct().collect()}  # hours of one fold
-        for hour in stale - alive:
-            drop_partition(spark, root, "hour_bucket", hour)
+    stored = {int(v) for v in partition_values(spark, root, "hour_bucket") if int(v) >= since}
+    # The hours written are noted while writing, so the fold runs once.
+    written = Observation()
+    replace_partitions(folded.observe(written, F.collect_set("hour_bucket").alias("hours")), root, "hour_bucket")
+    for hour in stored - set(written.get["hours"] or ()):
+        drop_partition(spark, root, "hour_bucket", hour)
 
 
 # ---- small keyed tables ---------------------------------------------------

@@ -78,13 +78,15 @@ class GapProcessor(StatefulProcessor):
         self.trips = handle.getMapState("trips", "trip_id string", "ts bigint, has_gap boolean")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        # One vehicle within one micro-batch: at most one new report per second.
-        reports = pd.concat(list(rows)).sort_values(["ts", "arrival"])
         last = self.last.get()[0] if self.last.exists() else None
-        reports = reports[reports["ts"].diff().ne(0)]
-        if last is not None:
-            reports = reports[reports["ts"] > last]
-        if reports.empty:
+        reports = None
+        for chunk in rows:
+            # Copies and late rows go chunk by chunk: what is held is one report per second.
+            if last is not None:
+                chunk = chunk[chunk["ts"] > last]
+            held = chunk if reports is None else pd.concat([reports, chunk])
+            reports = held.sort_values(["ts", "arrival"]).drop_duplicates("ts")
+        if reports is None or reports.empty:
             return
         times = reports["ts"].astype("int64").tolist()
         gaps = [(t, p) for t, p in zip(times, [last, *times[:-1]]) if p is not None]
