@@ -21,7 +21,7 @@ def _batch(log: DataFrame, since: int, until: int) -> DataFrame:
         "hour_bucket", clock.hour_bucket())
 
 
-def _gap_flags(gap, threshold: int) -> dict:
+def gap_flags(gap, threshold: int) -> dict:
     return {"gaps_total": gap.isNotNull(), "gaps_over_threshold": gap > threshold,
             **gap_bucket_conditions(gap)}
 
@@ -68,10 +68,10 @@ def gap_hour_counters(log: DataFrame, since: int, until: int, threshold: int = G
                       state: DataFrame | None = None) -> DataFrame:
     """Gaps per hour of the later report: total, over the threshold, and by duration."""
     batch = _batch(log, since, until).select("vehicle_id", "ts", "hour_bucket")
-    inner = _gap_flags(F.col("ts") - F.col("prev_ts"), threshold)
+    inner = gap_flags(F.col("ts") - F.col("prev_ts"), threshold)
     pieces = _pieces(batch, ["vehicle_id"], [count_if(c).alias(f"_{n}") for n, c in inner.items()])
     entered = _entering_gap(pieces, ["vehicle_id"], state)
-    outer = _gap_flags(F.col("gap_in"), threshold)
+    outer = gap_flags(F.col("gap_in"), threshold)
     summed = entered.groupBy("hour_bucket").agg(
         *[(F.sum(f"_{n}") + count_if(c)).alias(n) for n, c in outer.items()])
     return summed.filter(F.col("gaps_total") > 0)

@@ -2,11 +2,11 @@
 
 from pyspark.sql import functions as F
 
-from ...operators import keyed, matching, merge
+from ...operators import matching, merge
 from ...session import shared_dir
 from .. import fold, tables
 from ..driver_tables import BASE_TS, NOW, NOW_FAST
-from .registry import query, rounded
+from .registry import query
 
 _HALF = BASE_TS + 5400
 

@@ -2,8 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from ...functions.measures import safe_pct
-from ...operators import keyed, live, quality, rollup, spatial
+from ...operators import keyed, quality, rollup, spatial
 from ..driver_sql import LAT_STEP, LON_STEP, pct
 from ..driver_tables import BASE_TS, NOW, NOW_FAST
 from .registry import query, rounded

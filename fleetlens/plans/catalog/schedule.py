@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from ...functions import geo
+from ...functions import geo, measures, parse
 from ...operators import keyed, matching, schedule, spatial
 from ..driver_sql import planar, tangent
 from ..driver_tables import NOW
@@ -33,8 +33,7 @@ def page(t):
 
 @query("like_ci", "SELECT stop_id, stop_name FROM stops_v WHERE stop_name ILIKE '%MER#0000007%'")
 def like_ci(t):
-    from ...functions.measures import like_ci as contains
-    return t.stops.filter(contains("stop_name", "MER#0000007")).select("stop_id", "stop_name")
+    return t.stops.filter(measures.like_ci("stop_name", "MER#0000007")).select("stop_id", "stop_name")
 
 
 @query("stop_search", "SELECT stop_id, stop_code, stop_name, stop_lat, stop_lon FROM stops_v WHERE (stop_name ILIKE '%r#00000%' OR stop_code ILIKE '%r#00000%') "
@@ -163,6 +162,5 @@ def trip_match_summary(t):
 
 @query("dispatch_minute_parse", "SELECT trip_id, CAST(minute AS INT) AS minute FROM minutes_v")
 def dispatch_minute_parse(t):
-    from ...functions import parse
     ids = t.trips.select("trip_id").unionByName(t.positions.select("trip_id")).filter(F.col("trip_id").isNotNull()).distinct()
     return parse.with_dispatch_minute(ids)

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from ...constants import DAY_S
-from ...operators import continuity, export, keyed, live, matching, merge, quality, rollup, spatial
+from ...operators import continuity, export, keyed, matching, merge, rollup, spatial
 from ...session import shared_dir
 from ...sources import scans
 from .. import report

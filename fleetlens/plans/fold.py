@@ -16,9 +16,9 @@ from ..operators import continuity, matching, merge, rollup
 from . import tables
 
 LOG_SCHEMA = schemas.T.StructType(
-    schemas.POSITIONS.fields + schemas._struct("arrival:l day:D batch:l").fields)
-WATERMARKS = schemas._struct("key:s value:l")
-COUNTERS = schemas.T.StructType(schemas.CONTINUITY_HOUR.fields + schemas._struct("step:l").fields)
+    schemas.POSITIONS.fields + schemas.struct_of("arrival:l day:D batch:l").fields)
+WATERMARKS = schemas.struct_of("key:s value:l")
+COUNTERS = schemas.T.StructType(schemas.CONTINUITY_HOUR.fields + schemas.struct_of("step:l").fields)
 
 
 @dataclass(frozen=True)

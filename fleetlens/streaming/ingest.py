@@ -12,8 +12,8 @@ from ..plans.fold import LOG_SCHEMA
 from ..sources.feeds import position_feed_flatten
 from ..sources.scans import time_window
 
-DEAD_SCHEMA = schemas.T.StructType(schemas.DEADLETTERS.fields + schemas._struct("arrival:l batch:l").fields)
-POLL_SCHEMA = schemas.T.StructType(schemas.POLLS.fields + schemas._struct("batch:l").fields)
+DEAD_SCHEMA = schemas.T.StructType(schemas.DEADLETTERS.fields + schemas.struct_of("arrival:l batch:l").fields)
+POLL_SCHEMA = schemas.T.StructType(schemas.POLLS.fields + schemas.struct_of("batch:l").fields)
 FIELD_SETS = "changed_at bigint, fields string, batch bigint"
 WATCHED = [c for c in schemas.POSITION_COLUMNS if c != "ingested_at"]
 

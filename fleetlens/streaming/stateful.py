@@ -7,12 +7,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-from ..constants import GAP_THRESHOLD_S, HOUR_S
+from .. import schemas
+from ..constants import GAP_THRESHOLD_S
 from ..functions import clock, geo
 from ..functions.measures import count_if, is_plausible_moving, is_stopped
 from ..operators import matching, merge
+from ..operators.continuity import gap_flags
 from ..plans import tables
-from .. import schemas
 
 
 # ---- latest row per vehicle ----------------------------------------------
@@ -124,10 +125,9 @@ def gap_events(positions: DataFrame, threshold_s: int = GAP_THRESHOLD_S) -> Data
 
 def gap_counters(events: DataFrame, threshold_s: int = GAP_THRESHOLD_S) -> DataFrame:
     """Hour counters from written gap rows. Deriving them when read keeps a replay harmless."""
-    from ..operators.continuity import _gap_flags
     gap = F.col("ts") - F.col("prev_ts")
     return events.filter(F.col("kind") == "gap").groupBy(clock.hour_bucket().alias("hour_bucket")).agg(
-        *[count_if(c).alias(n) for n, c in _gap_flags(gap, threshold_s).items()])
+        *[count_if(c).alias(n) for n, c in gap_flags(gap, threshold_s).items()])
 
 
 # ---- trip matching --------------------------------------------------------

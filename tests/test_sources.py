@@ -1,9 +1,7 @@
 import json
 from datetime import date
 
-import pytest
 from conftest import NOW, one, values
-from pyspark.sql import functions as F
 
 from fleetlens.functions import clock, parse
 from fleetlens.functions.measures import metric_class
