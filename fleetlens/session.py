@@ -34,6 +34,9 @@ def local_session(cores: str = "8", **conf: str) -> SparkSession:
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.session.timeZone", "UTC")
+        # Otherwise the call site of every column expression is recorded, which takes longer than
+        # planning. A static setting: a cluster job passes it when it is submitted.
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
     )
     for key, value in conf.items():
         builder = builder.config(key, value)
