@@ -5,7 +5,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import configure
-from . import op1_simhash, op3_decontaminate, op6_pack, op9_secrets, op10_quality
+from . import (op1_simhash, op2_language, op3_decontaminate, op4_syncmers, op5_url_filters, op6_pack, op7_substrings,
+               op8_warc, op9_secrets, op10_quality)
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -28,3 +29,10 @@ QUERIES["op6_packing"] = _documents(op6_pack.piece_digests)
 QUERIES["op9_secret_scans"] = _documents(op9_secrets.span_digests)
 QUERIES["op10_quality_classifier"] = lambda spark, sf_dir: op10_quality.scores(
     _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+QUERIES["op2_language_id"] = _documents(op2_language.predictions)
+QUERIES["op4_document_fingerprints"] = _documents(op4_syncmers.compare_next)
+QUERIES["op5_url_filters"] = lambda spark, sf_dir: op5_url_filters.verdicts(_table(spark, sf_dir, "pages"))
+ORACLES["op5_url_filters"] = op5_url_filters.ORACLE_SQL
+QUERIES["op7_substring_dedup"] = _documents(op7_substrings.removals)
+ORACLES["op7_substring_dedup"] = op7_substrings.ORACLE_SQL
+QUERIES["op8_warc"] = lambda spark, sf_dir: op8_warc.round_trip(_table(spark, sf_dir, "pages"))
