@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from .common import batches, staged
 
-PER_LANGUAGE = 1000  # labelled documents that each language is learned from, at most
+PER_LANGUAGE = 500  # labelled documents that each language is learned from, at most
 BUCKETS = 1 << 15  # trigrams are counted by hash
 PENALTY = 12.0  # of a change of language, in nats
 SMOOTHING = 0.1
@@ -164,20 +164,24 @@ def learn(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model | None:
     kind = pa.schema([("lang", pa.string()), ("what", pa.string()), ("at", pa.int64()), ("n", pa.int64())])
 
     def counted(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def rows():
-            for part in parts:
-                for lang, text in zip(part.column(0).to_pylist(), part.column(1)):
-                    words = _WORD.findall(text.as_py())
-                    yield (lang, "documents", 0, 1), 32
-                    if words:
-                        buckets, firsts, scripts, letters = _trigrams(words)
-                        inside = np.ones(len(buckets), bool)
-                        inside[firsts[1:] - 1] = inside[firsts[1:] - 2] = False
-                        at, n = np.unique(buckets[inside], return_counts=True)
-                        yield from (((lang, "trigram", a, b), 32) for a, b in zip(at.tolist(), n.tolist()))
-                        seen = np.bincount(scripts, weights=letters, minlength=len(_NAMES))
-                        yield from (((lang, "script", s, int(c)), 32) for s, c in enumerate(seen) if c)
-        return batches(kind, rows())
+        sums: dict[tuple[str, str], np.ndarray] = {}  # by language and table
+
+        def add(lang, what, values):
+            held = sums.get((lang, what))
+            sums[lang, what] = values if held is None else held + values
+
+        for part in parts:
+            for lang, text in zip(part.column(0).to_pylist(), part.column(1)):
+                add(lang, "documents", np.ones(1))
+                words = _WORD.findall(text.as_py())
+                if words:
+                    buckets, firsts, scripts, letters = _trigrams(words)
+                    inside = np.ones(len(buckets), bool)
+                    inside[firsts[1:] - 1] = inside[firsts[1:] - 2] = False
+                    add(lang, "trigram", np.bincount(buckets[inside], minlength=BUCKETS))
+                    add(lang, "script", np.bincount(scripts, weights=letters, minlength=len(_NAMES)))
+        return batches(kind, (((lang, what, at, int(v[at])), 32) for (lang, what), v in sums.items()
+                              for at in np.flatnonzero(v).tolist()))
 
     sums = sample.mapInArrow(counted, "lang string, what string, at long, n long").groupBy("lang", "what", "at").agg(
         F.sum("n").alias("n")).toPandas()

@@ -33,7 +33,7 @@ WITH w AS (
 ), s AS (
   SELECT DISTINCT kind, id, shingle FROM (
     SELECT kind, id, unnest(CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 5 THEN [array_to_string(words, ' ')] ELSE
-      list_transform(range(1, len(words) - 3), k -> array_to_string(words[k:k+4], ' ')) END) AS shingle FROM w)
+      [array_to_string(words[k:k+4], ' ') FOR k IN range(1, len(words) - 3)] END) AS shingle FROM w)
 ), n AS (SELECT id AS item_id, count(*) AS n FROM s WHERE kind = 'i' GROUP BY id)
 SELECT d.id AS doc_id, i.id AS item_id, round(count(*) / n, 6) AS containment
 FROM s d JOIN s i ON d.shingle = i.shingle AND d.kind = 'd' AND i.kind = 'i' JOIN n ON n.item_id = i.id

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from .common import batches, mixed, rolling, staged
 
 K, S = 16, 6
+SHORT_TEXT, SHORT_K, SHORT_S = 256, 5, 2  # texts under 256 code points have too few long k-mers
 ANCHORS = 28
 DRIFT = 64  # code points that a common anchor may be away from where most have moved
 _HASH_BITS, _PLACE_BITS = 28, 20  # seven and five hex digits
@@ -47,7 +48,8 @@ def fingerprint(text: str, size: int = ANCHORS) -> str:
     an empty text the empty string."""
     if not text:
         return ""
-    hashes, places = anchors(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4"))
+    sizes = (SHORT_K, SHORT_S) if len(text) < SHORT_TEXT else (K, S)
+    hashes, places = anchors(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4"), *sizes)
     if not len(hashes):
         hashes = np.frombuffer(hashlib.sha256(text.encode("utf-8", "surrogatepass")).digest()[:8], "<u8")
         places = np.zeros(1, np.int64)

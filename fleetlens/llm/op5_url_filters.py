@@ -110,15 +110,15 @@ ORACLE_SQL = r"""
 WITH cap AS (
   SELECT page_id, url, 1704067200 + page_id * 7919 % 31536000 AS fetched_at,
     regexp_replace(lower(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1)), '\.+$', '') AS host,
-    list_filter(string_split(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.\-]*://[^/?#]*(/[^?#]*)', 1), '/'), p -> p <> '') AS parts
+    [p FOR p IN string_split(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.\-]*://[^/?#]*(/[^?#]*)', 1), '/') IF p <> ''] AS parts
   FROM pages
 ), keyed AS (
   SELECT page_id, url, fetched_at, host, parts, string_split(host, '.') AS labels FROM cap WHERE host <> ''
 ), probes AS (
   SELECT DISTINCT page_id, url, fetched_at, pattern FROM (
     SELECT page_id, url, fetched_at, unnest(list_concat(
-      list_transform(range(1, len(labels) + 1), i -> array_to_string(labels[i:], '.')),
-      list_transform(range(1, len(parts) + 1), i -> host || '/' || array_to_string(parts[:i], '/')))) AS pattern FROM keyed)
+      [array_to_string(labels[i:], '.') FOR i IN range(1, len(labels) + 1)],
+      [host || '/' || array_to_string(parts[:i], '/') FOR i IN range(1, len(parts) + 1)])) AS pattern FROM keyed)
 ), patterns AS (
   SELECT DISTINCT pattern FROM (
     SELECT unnest([host, regexp_replace(host, '^[^.]*\.', ''), CASE WHEN len(parts) > 0 THEN host || '/' || parts[1] END]) AS pattern
@@ -126,15 +126,15 @@ WITH cap AS (
   WHERE pattern IS NOT NULL AND ('0x' || substr(md5(pattern), 1, 6))::BIGINT % 3 = 0
 ), entries AS (
   SELECT CASE WHEN ('0x' || substr(md5(pattern || 'list'), 1, 6))::BIGINT % 2 = 0 THEN 'ads' ELSE 'abuse' END AS list, pattern,
-    1704067200 + ('0x' || substr(md5(pattern || k || 'at'), 1, 6))::BIGINT % 365 * 86400 AS at, k % 2 = 0 AS added
+    1704067200 + ('0x' || substr(md5(pattern || k || 'at'), 1, 6))::BIGINT % 365 * 86400 AS ts, k % 2 = 0 AS added
   FROM patterns, range(4) r(k)
-), states AS (SELECT list, pattern, at, bool_and(added) AS added FROM entries GROUP BY list, pattern, at),
+), states AS (SELECT list, pattern, ts, bool_and(added) AS added FROM entries GROUP BY list, pattern, ts),
 changes AS (
-  SELECT *, lead(at) OVER (PARTITION BY list, pattern ORDER BY at) AS until FROM (
-    SELECT *, lag(added, 1, false) OVER (PARTITION BY list, pattern ORDER BY at) AS before FROM states) WHERE added <> before
+  SELECT *, lead(ts) OVER (PARTITION BY list, pattern ORDER BY ts) AS until FROM (
+    SELECT *, lag(added, 1, false) OVER (PARTITION BY list, pattern ORDER BY ts) AS before FROM states) WHERE added <> before
 ), hits AS (
-  SELECT p.page_id, c.list, c.pattern, c.at AS since FROM probes p JOIN changes c ON p.pattern = c.pattern AND c.added
-    AND c.at <= p.fetched_at AND (c.until IS NULL OR p.fetched_at < c.until)
+  SELECT p.page_id, c.list, c.pattern, c.ts AS since FROM probes p JOIN changes c ON p.pattern = c.pattern AND c.added
+    AND c.ts <= p.fetched_at AND (c.until IS NULL OR p.fetched_at < c.until)
 ), found AS (
   SELECT page_id, count(*) AS n, array_to_string(list_sort(list_distinct(list(list))), ',') AS lists,
     first(pattern ORDER BY length(pattern) DESC, list, pattern) AS rule, first(since ORDER BY length(pattern) DESC, list, pattern) AS since

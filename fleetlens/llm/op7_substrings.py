@@ -266,14 +266,14 @@ ORACLE_SQL = r"""
 WITH d AS (
   SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents
 ), w AS (
-  SELECT doc_id, at, array_to_string(words[at:at + 12], ' ') AS run
-  FROM (SELECT doc_id, words, unnest(range(1, len(words) - 11)) AS at FROM d)
+  SELECT doc_id, ts, array_to_string(words[ts:ts + 12], ' ') AS run
+  FROM (SELECT doc_id, words, unnest(range(1, len(words) - 11)) AS ts FROM d)
 ), gone AS (
-  SELECT DISTINCT doc_id, unnest(range(at, at + 13)) AS place FROM w
+  SELECT DISTINCT doc_id, unnest(range(ts, ts + 13)) AS place FROM w
   JOIN (SELECT run, min(doc_id) AS least FROM w GROUP BY run) m USING (run) WHERE doc_id > least
 ), g AS (SELECT doc_id, list(place) AS places FROM gone GROUP BY doc_id)
 SELECT d.doc_id, len(words)::BIGINT AS n_words, coalesce(len(places), 0)::BIGINT AS n_removed,
-  sha256(array_to_string(CASE WHEN places IS NULL THEN words ELSE list_transform(list_filter(range(1, len(words) + 1),
-    i -> NOT list_contains(places, i)), i -> words[i]) END, ' ')) AS kept_sha256
+  sha256(array_to_string(CASE WHEN places IS NULL THEN words ELSE [words[i] FOR i IN range(1, len(words) + 1)
+    IF NOT list_contains(places, i)] END, ' ')) AS kept_sha256
 FROM d LEFT JOIN g ON d.doc_id = g.doc_id
 """
