@@ -108,7 +108,8 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle
     grown = first.join(linked, "fp").select("fp", "root", "first")
     roots = grown.groupBy("root").agg(F.min("first").alias("component_id"))
     reached = grown.join(roots, "root").select("fp", "component_id")
-    known = first.join(reached, "fp", "left").select("fp", F.coalesce("component_id", "first").alias("component_id"))
+    known = staged(first.join(reached, "fp", "left").select(
+        "fp", F.coalesce("component_id", "first").alias("component_id")), "classes")  # so the last join can split a hot fp
     return prints.join(known, "fp").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
