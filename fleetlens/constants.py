@@ -43,7 +43,6 @@ DELAY_FEED_ZONE = "Asia/Kolkata"
 # Distances in metres.
 BUNCH_M = 300.0
 OFF_ROUTE_M = 50.0
-OFF_ROUTE_MAX_ROUTES = 150
 
 # Observation minimums and ranking rules.
 MIN_OBS_DEFAULT = 8

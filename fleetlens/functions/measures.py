@@ -38,8 +38,9 @@ def is_stopped(speed="speed") -> Column:
 
 
 def like_ci(column, text: str) -> Column:
-    """Case-insensitive contains; ``%`` and ``_`` in the text stay wildcards."""
-    return col(column).ilike(f"%{text}%")
+    """Case-insensitive contains; ``%`` and ``_`` in the text stay wildcards, a backslash is itself."""
+    literal = text.replace("\\", "\\\\")
+    return col(column).ilike(f"%{literal}%")
 
 
 def label_range(index, width: float, bins: int) -> Column:

@@ -9,12 +9,20 @@ from .columns import col
 PLACEHOLDERS = ("", "N/A")
 
 
+# A decimal number and nothing else: the cast alone also takes Java suffixes such as "12f" and "500D".
+_NUMBER = r"^\s*[+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][+-]?[0-9]+)?\s*$"
+
+
+def _number(text, kind: str) -> Column:
+    return F.when(col(text).rlike(_NUMBER), F.trim(col(text)).try_cast(kind))
+
+
 def to_int(text) -> Column:
-    return F.trim(col(text)).try_cast("int")
+    return _number(text, "int")
 
 
 def to_float(text) -> Column:
-    return F.trim(col(text)).try_cast("double")
+    return _number(text, "double")
 
 
 def clean_text(text) -> Column:
@@ -25,8 +33,8 @@ def clean_text(text) -> Column:
 
 
 def clean_float(text) -> Column:
-    """Placeholders are no numbers, so the cast alone turns them into NULL; it also trims."""
-    return col(text).try_cast("double")
+    """Placeholders are no numbers, so the test for one turns them into NULL."""
+    return _number(text, "double")
 
 
 def clean_int(text) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from ..functions.measures import display_round
 from ..sources.scans import time_window
 from .keyed import lookup_join
-from .quantiles import floor_rank
+from .quantiles import floor_ranks
 from .rollup import with_speed_and_dwell
 
 # The seven fields of a trail point.
@@ -20,20 +20,19 @@ def grid_compact_export(cells: DataFrame) -> DataFrame:
         "speed_kmh", "dwell_pct")
 
 
-def grid_scales(rows: DataFrame, limit: int) -> DataFrame:
-    """Legend ranges of the exported rows, their count, and whether the limit was reached.
-
-    The export holds at most ``limit`` rows, so its sorted values fit an array.
-    """
-    return rows.agg(
-        F.count("*").alias("count"), (F.count("*") >= limit).alias("truncated"),
-        F.sort_array(F.collect_list("speed_kmh")).alias("speeds"),
-        F.sort_array(F.collect_list("obs")).alias("volumes"),
-    ).select(
-        "count", "truncated", F.array_min("speeds").alias("speed_min"), F.array_max("speeds").alias("speed_max"),
-        floor_rank("speeds", 0.10).alias("speed_p10"), floor_rank("speeds", 0.90).alias("speed_p90"),
-        F.array_min("volumes").alias("obs_min"), F.array_max("volumes").alias("obs_max"),
-        floor_rank("volumes", 0.90).alias("obs_p90"))
+def grid_scales(rows: DataFrame, limit: int | None = None) -> DataFrame:
+    """Legend ranges of the exported rows, their count, and whether the limit, if any, was reached."""
+    reached = F.lit(False) if limit is None else F.count("*") >= limit
+    totals = rows.agg(F.count("*").alias("count"), reached.alias("truncated"),
+                      F.min("speed_kmh").alias("speed_min"), F.max("speed_kmh").alias("speed_max"),
+                      F.min("obs").alias("obs_min"), F.max("obs").alias("obs_max"))
+    speeds = floor_ranks(rows, "speed_kmh", {"speed_p10": 0.10, "speed_p90": 0.90}, 0.0, 100.0)
+    volumes = floor_ranks(rows, "obs", {"obs_p90": 0.90}, 0.0, 100_000.0)
+    kind = rows.schema["obs"].dataType
+    return totals.select(
+        "count", "truncated", "speed_min", "speed_max", speeds.select("speed_p10").scalar().alias("speed_p10"),
+        speeds.select("speed_p90").scalar().alias("speed_p90"), "obs_min", "obs_max",
+        volumes.select("obs_p90").scalar().cast(kind).alias("obs_p90"))
 
 
 def wire_vehicles(batch: DataFrame) -> DataFrame:

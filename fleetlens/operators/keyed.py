@@ -5,8 +5,6 @@ from pyspark.sql import functions as F
 
 from ..sources.scans import time_window
 
-BROADCAST_LIMIT_BYTES = 10 * 1024 * 1024
-
 
 def first_per_key(df: DataFrame, keys, *order) -> DataFrame:
     """The first row of every key by an ordering.
@@ -37,9 +35,9 @@ def latest_in_window(positions: DataFrame, since: int, until: int) -> DataFrame:
     return first_per_key(time_window(positions, since, until), "vehicle_id", *order)
 
 
-def live_trip_keys(positions: DataFrame, since: int, until: int) -> DataFrame:
-    """Newest vehicle of each (route, trip) seen in ``[since, until)``."""
-    seen = time_window(positions, since, until - 1).filter(
+def live_trip_keys(positions: DataFrame, since: int, until: int | None) -> DataFrame:
+    """Newest vehicle of each (route, trip) seen in ``[since, until)``; open at the end if ``until`` is None."""
+    seen = time_window(positions, since, None if until is None else until - 1).filter(
         F.col("trip_id").isNotNull() & F.col("route_id").isNotNull())
     newest = first_per_key(seen.select("route_id", "trip_id", "vehicle_id", "ts"),
                            ["route_id", "trip_id"], F.desc("ts"), F.asc("vehicle_id"))
@@ -55,25 +53,14 @@ def key_list_lookup(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
     return df.join(ids.select(key).filter(F.col(key).isNotNull()).distinct(), key, "left_semi")
 
 
-def plan_bytes(df: DataFrame) -> int:
-    """Size of a frame as the optimizer bounds it."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-
-
-def lookup_join(big: DataFrame, small: DataFrame, on, how: str = "left", spread: int = 16) -> DataFrame:
+def lookup_join(big: DataFrame, small: DataFrame, on, how: str = "left") -> DataFrame:
     """Join a large, possibly skewed frame to a lookup frame.
 
-    If the lookup's size is known to fit it is broadcast and the large side does not move. If
-    not, every lookup row is repeated ``spread`` times and the rows of a hot key are dealt over
-    that many tasks.
+    Adaptive execution measures the lookup and broadcasts it if it is small. Beyond that both sides
+    are shuffled, and it deals the rows of a hot key over several tasks (``session.configure`` turns
+    that on); the join types used here all allow their left side to be split.
     """
-    on = [on] if isinstance(on, str) else list(on)
-    if plan_bytes(small) <= BROADCAST_LIMIT_BYTES:
-        return big.join(F.broadcast(small), on, how)
-    dealt = big.withColumn("_salt", F.pmod(F.xxhash64(*big.columns), F.lit(spread)))
-    repeated = small.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("bigint"),
-                                                              F.lit(spread - 1).cast("bigint"))))
-    return dealt.join(repeated, on + ["_salt"], how).drop("_salt")
+    return big.join(small, [on] if isinstance(on, str) else list(on), how)
 
 
 def distinct_rows(df: DataFrame, *columns: str) -> DataFrame:

@@ -79,7 +79,7 @@ def fleet_overview(latest: DataFrame, polls: DataFrame, now: int, window_s: int
         success.scalar().alias("poll_success_rate"), latency.scalar().alias("avg_poll_latency_ms"))
 
 
-def active_routes(latest: DataFrame, routes: DataFrame, limit: int = 12) -> DataFrame:
+def active_routes(latest: DataFrame, routes: DataFrame, *, limit: int) -> DataFrame:
     busiest = (latest.filter(F.col("route_id").isNotNull()).groupBy("route_id")
                .agg(F.count("*").alias("vehicles"), kmh(F.avg("speed")).alias("avg_speed_kmh"))
                .orderBy(F.desc("vehicles"), "route_id").limit(limit))

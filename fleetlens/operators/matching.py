@@ -69,10 +69,11 @@ def trip_nearest_match(live: DataFrame, scheduled: DataFrame, now: int, seen: Da
         F.lit(now).cast("bigint").alias("matched_at"))
 
 
-def match_window(positions: DataFrame, scheduled: DataFrame, since: int, until: int, now: int) -> DataFrame:
-    """Match the live trips seen in ``[since, until)`` of the log."""
+def match_window(positions: DataFrame, scheduled: DataFrame, since: int, until: int | None, now: int) -> DataFrame:
+    """Match the live trips seen in ``[since, until)`` of the log; without an end if ``until`` is None."""
     live = live_trip_keys(positions, since, until)
-    return trip_nearest_match(live, scheduled, now, seen=time_window(positions, since, until - 1))
+    last = None if until is None else until - 1
+    return trip_nearest_match(live, scheduled, now, seen=time_window(positions, since, last))
 
 
 def trip_match_summary(matches: DataFrame, since: int) -> DataFrame:

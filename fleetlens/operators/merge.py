@@ -109,7 +109,7 @@ def upsert_and_prune(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
 
 def fk_restrict_check(deleted: DataFrame, history: DataFrame, key: str) -> DataFrame:
     """Keys that must not be dropped because history still points at them."""
-    return deleted.select(key).distinct().join(history.select(key), key, "left_semi")
+    return deleted.select(key).distinct().join(history.select(key).distinct(), key, "left_semi")
 
 
 def assert_droppable(deleted: DataFrame, history: DataFrame, key: str) -> None:

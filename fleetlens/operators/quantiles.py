@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 SLICES = 4096
 
 
-def linear_percentiles(df: DataFrame, column: str, probabilities: dict, low: float, high: float) -> DataFrame:
-    """One row; linear interpolation between the two neighbouring ranks.
+def _values_at(df: DataFrame, column: str, ranks: dict, low: float, high: float) -> DataFrame:
+    """One row: ``total``, and the value at each named 0-based rank, given as a function of the total.
 
     ``low`` and ``high`` bound most values; any others fall into the end slices, which costs
     evenness but never exactness.
@@ -27,9 +27,7 @@ def linear_percentiles(df: DataFrame, column: str, probabilities: dict, low: flo
         "total", F.sum("size").over(Window.orderBy("slice").rowsBetween(
             Window.unboundedPreceding, Window.unboundedFollowing)))
 
-    position = {name: (F.col("total") - 1) * F.lit(float(p)) for name, p in probabilities.items()}
-    ranks = {(name, side): rounding(k) for name, k in position.items()
-             for side, rounding in (("lo", F.floor), ("hi", F.ceil))}
+    ranks = {name: rank(F.col("total")) for name, rank in ranks.items()}
     def holds(rank, size):
         return (rank >= F.col("before")) & (rank < F.col("before") + F.col(size))
     wanted = F.lit(False)
@@ -39,14 +37,26 @@ def linear_percentiles(df: DataFrame, column: str, probabilities: dict, low: flo
     upto = Window.partitionBy("slice").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
     placed = sliced.join(holding, "slice").withColumn(
         "before", F.col("before") + F.coalesce(F.sum("n").over(upto), F.lit(0)))
-    ends = placed.agg(F.max("total").alias("total"), *[
-        F.max(F.when(holds(rank, "n"), F.col("v"))).alias("_".join(key)) for key, rank in ranks.items()])
-    return ends.select(*[
-        (F.col(f"{name}_lo") + (F.col(f"{name}_hi") - F.col(f"{name}_lo")) * (k - F.floor(k))).alias(name)
-        for name, k in position.items()])
+    return placed.agg(F.max("total").alias("total"), *[
+        F.max(F.when(holds(rank, "n"), F.col("v"))).alias(name) for name, rank in ranks.items()])
 
 
-def floor_rank(values, p: float):
-    """Value at 0-based rank ``min(n - 1, int(n * p))`` of an ascending array of bounded length."""
-    n = F.size(values)
-    return F.get(values, F.least(n - 1, F.floor(n * F.lit(float(p))).cast("int")))
+def linear_percentiles(df: DataFrame, column: str, probabilities: dict, low: float, high: float) -> DataFrame:
+    """One row; linear interpolation between the two neighbouring ranks."""
+    def position(p):
+        return lambda total: (total - 1) * F.lit(float(p))
+    def side(p, rounding):
+        return lambda total: rounding(position(p)(total))
+    ranks = {f"{name}_{end}": side(p, rounding) for name, p in probabilities.items()
+             for end, rounding in (("lo", F.floor), ("hi", F.ceil))}
+    ends = _values_at(df, column, ranks, low, high)
+    def between(name, k):
+        return F.col(f"{name}_lo") + (F.col(f"{name}_hi") - F.col(f"{name}_lo")) * (k - F.floor(k))
+    return ends.select(*[between(name, position(p)(F.col("total"))).alias(name) for name, p in probabilities.items()])
+
+
+def floor_ranks(df: DataFrame, column: str, probabilities: dict, low: float, high: float) -> DataFrame:
+    """One row: the value at 0-based rank ``min(n - 1, int(n * p))`` of the ascending values."""
+    def rank(p):
+        return lambda total: F.least(total - 1, F.floor(total * F.lit(float(p))))
+    return _values_at(df, column, {name: rank(p) for name, p in probabilities.items()}, low, high).drop("total")

@@ -64,8 +64,8 @@ def rollup_progress(positions: DataFrame, since: int) -> DataFrame:
 
 
 def grid_cells(grid: DataFrame, since: int, factor: int = 1, bbox=None,
-               min_observations: int = MIN_OBS_DEFAULT, limit: int = 20_000) -> DataFrame:
-    """Coarser cells by integer division: sums of counts, peak of hourly vehicles, top by volume."""
+               min_observations: int = MIN_OBS_DEFAULT, limit: int | None = None) -> DataFrame:
+    """Coarser cells by integer division: sums of counts, peak of hourly vehicles; a limit keeps the busiest."""
     hours = grid.filter(F.col("hour_bucket") >= since)
     if bbox is not None:
         rows, columns = geo.grid_bounds(bbox)
@@ -77,8 +77,8 @@ def grid_cells(grid: DataFrame, since: int, factor: int = 1, bbox=None,
         F.sum("moving").alias("moving"), F.sum("stopped").alias("stopped"),
         F.sum("speed_sum").alias("speed_sum"), F.sum("speed_n").alias("speed_n"),
         F.min("speed_min").alias("speed_min"), F.max("speed_max").alias("speed_max"))
-    return (cells.filter(F.col("observations") >= min_observations)
-            .orderBy(F.desc("observations"), "gy", "gx").limit(limit))
+    cells = cells.filter(F.col("observations") >= min_observations)
+    return cells if limit is None else cells.orderBy(F.desc("observations"), "gy", "gx").limit(limit)
 
 
 def with_speed_and_dwell(cells: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..constants import (BUNCH_M, CONGESTED_KMH, EARTH_RADIUS_M, HOTSPOT_LABEL_RADIUS_DEG,
-                         MAX_DWELL_FOR_CONGESTION_PCT, OFF_ROUTE_M, OFF_ROUTE_MAX_ROUTES)
+                         MAX_DWELL_FOR_CONGESTION_PCT, OFF_ROUTE_M)
 from ..functions import geo
 from ..functions.measures import count_if, safe_pct
 from .keyed import first_per_key, lookup_join
@@ -150,7 +150,7 @@ def bunched_per_route(bunched: DataFrame) -> DataFrame:
 
 
 # ---- off route ------------------------------------------------------------
-def busiest_k_routes(vehicles: DataFrame, k: int = OFF_ROUTE_MAX_ROUTES) -> DataFrame:
+def busiest_k_routes(vehicles: DataFrame, k: int) -> DataFrame:
     return (vehicles.filter(F.col("route_id").isNotNull()).groupBy("route_id")
             .agg(F.count("*").alias("vehicles")).orderBy(F.desc("vehicles"), "route_id").limit(k))
 
@@ -176,25 +176,53 @@ def shape_segments(points: DataFrame, chunk: int = 64) -> DataFrame:
     return inner.unionByName(joints).groupBy("route_id", "part").agg(F.collect_list(segment).alias("segments"))
 
 
+def _part_boxes(parts: DataFrame) -> DataFrame:
+    """Latitude and longitude range of the segments of each part of a route."""
+    ends = lambda axis: F.concat(F.col(f"segments.{axis}_a"), F.col(f"segments.{axis}_b"))
+    return parts.select("route_id", "part", *[
+        pick(ends(axis)).alias(f"{axis}{i}") for axis in ("lat", "lon") for i, pick in enumerate((F.array_min, F.array_max))])
+
+
 def off_route_distance(vehicles: DataFrame, trips: DataFrame, shapes: DataFrame,
-                       k: int = OFF_ROUTE_MAX_ROUTES) -> DataFrame:
-    """Metres from each positioned vehicle of the k busiest routes to its route's line."""
+                       k: int | None = None) -> DataFrame:
+    """Metres from each positioned vehicle to its route's line, for all routes or the k busiest.
+
+    Every part of a line comes with its box. A part whose box is farther away than some box's far
+    corner can't be nearest, so a vehicle is compared with the segments of a few parts only.
+    """
     placed = vehicles.filter(F.col("route_id").isNotNull() & F.col("lat").isNotNull() & F.col("lon").isNotNull())
-    chosen = busiest_k_routes(placed, k).select("route_id")
-    line = route_shape(trips, shapes).join(chosen, "route_id", "left_semi")
-    parts = shape_segments(line).select("route_id", "segments")
-    sampled = lookup_join(placed.select("vehicle_id", "route_id", "lat", "lon"), parts, "route_id", "inner")
+    line = route_shape(trips, shapes)
+    if k is not None:
+        line = line.join(busiest_k_routes(placed, k).select("route_id"), "route_id", "left_semi")
+    parts = shape_segments(line)
+    boxes = _part_boxes(parts)
+    asked = placed.select("vehicle_id", "route_id", "lat", "lon")
+    # A degree of longitude as the distance sees it: seen from the vehicle, at its own latitude.
+    shrink = F.cos(F.radians("lat"))
+    gap = (_axis_gap(F.col("lat"), F.col("lat"), F.col("lat0"), F.col("lat1")),
+           _axis_gap(F.col("lon"), F.col("lon"), F.col("lon0"), F.col("lon1")) * shrink)
+    reach = (_axis_reach(F.col("lat"), F.col("lat"), F.col("lat0"), F.col("lat1")),
+             _axis_reach(F.col("lon"), F.col("lon"), F.col("lon0"), F.col("lon1")) * shrink)
+    best, worst = (_square(a) + _square(b) for a, b in (gap, reach))
+    seen = lookup_join(asked, boxes, "route_id", "inner").select(
+        "vehicle_id", "route_id", "lat", "lon", "part", best.alias("best"), worst.alias("worst"))
+    bound = seen.groupBy("vehicle_id", "route_id", "lat", "lon").agg(
+        F.min("worst").alias("bound"), F.collect_list(F.struct("part", "best")).alias("parts"))  # one entry per part
+    near = bound.withColumn("p", F.explode("parts")).filter(
+        F.col("p.best") <= F.col("bound") * (1 + 1e-6) + 1e-15).select("vehicle_id", "route_id", "lat", "lon", "p.part")
     # Unpacked row by row: the distance then runs in generated code and is folded to one value per
     # vehicle before anything moves.
-    pairs = sampled.select("vehicle_id", "route_id", "lat", "lon", F.inline("segments"))
+    pairs = lookup_join(near, parts.select("route_id", "part", "segments"), ["route_id", "part"], "inner").select(
+        "vehicle_id", "route_id", "lat", "lon", F.inline("segments"))
     metres = geo.point_segment_distance_m("lat", "lon", "lat_a", "lon_a", "lat_b", "lon_b")
     return pairs.groupBy("vehicle_id", "route_id").agg(F.min(metres).alias("distance_m"))
 
 
-def off_route_summary(vehicles: DataFrame, distances: DataFrame, k: int = OFF_ROUTE_MAX_ROUTES) -> DataFrame:
+def off_route_summary(vehicles: DataFrame, distances: DataFrame, k: int | None = None) -> DataFrame:
     """Sampled vehicles, those within 50 m, the mean; routes without a line count as sampled routes."""
     placed = vehicles.filter(F.col("route_id").isNotNull() & F.col("lat").isNotNull() & F.col("lon").isNotNull())
-    routes = busiest_k_routes(placed, k).agg(F.count("*").alias("n"))
+    chosen = placed.select("route_id").distinct() if k is None else busiest_k_routes(placed, k)
+    routes = chosen.agg(F.count("*").alias("n"))
     within = count_if(F.col("distance_m") <= OFF_ROUTE_M)
     return distances.agg(F.count("*").alias("sampled"), within.alias("within_50m"),
                          F.round(F.avg("distance_m"), 1).alias("avg_distance_m")).select(

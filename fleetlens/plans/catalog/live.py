@@ -64,7 +64,7 @@ def fleet_overview(t):
        f"FROM (SELECT route_id, count(*) AS vehicles, {kmh('avg(speed)')} AS avg_speed_kmh FROM latest_fast_v "
        "WHERE route_id IS NOT NULL GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 12) LEFT JOIN routes_v USING (route_id)")
 def active_routes(t):
-    return live.active_routes(t.latest_fast, t.routes)
+    return live.active_routes(t.latest_fast, t.routes, limit=12)
 
 
 @query("live_vehicle_counts", f"SELECT route_id, count(*) AS vehicles FROM latest_fast_v WHERE {NOW_FAST} - ts <= 900 "

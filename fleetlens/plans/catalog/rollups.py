@@ -49,7 +49,7 @@ def rollup_refold(t):
        "CAST(sum(observations) AS BIGINT) AS observations, max(vehicles) AS peak_vehicles, "
        "CAST(sum(moving) AS BIGINT) AS moving, CAST(sum(stopped) AS BIGINT) AS stopped, sum(speed_sum) AS speed_sum, "
        "CAST(sum(speed_n) AS BIGINT) AS speed_n, min(speed_min) AS speed_min, max(speed_max) AS speed_max "
-       "FROM grid_v GROUP BY 1, 2) WHERE observations >= 8 ORDER BY observations DESC, gy, gx LIMIT 20000")
+       "FROM grid_v GROUP BY 1, 2) WHERE observations >= 8")
 def grid_cells(t):
     return rounded(rollup.grid_cells(rollup.grid_hour_rollup(t.positions), 0, factor=2), "speed_sum")
 
@@ -60,7 +60,7 @@ def grid_cells(t):
        "CAST(sum(speed_n) AS BIGINT) AS speed_n, min(speed_min) AS speed_min, max(speed_max) AS speed_max FROM grid_v "
        f"WHERE cell_y BETWEEN CAST(trunc(28.55e0/{LAT_STEP}) AS INT) - 1 AND CAST(trunc(28.65e0/{LAT_STEP}) AS INT) + 1 "
        f"AND cell_x BETWEEN CAST(trunc(77.15e0/{LON_STEP}) AS INT) - 1 AND CAST(trunc(77.25e0/{LON_STEP}) AS INT) + 1 "
-       "GROUP BY 1, 2) WHERE observations >= 8 ORDER BY observations DESC, gy, gx LIMIT 20000")
+       "GROUP BY 1, 2) WHERE observations >= 8")
 def grid_bounds(t):
     return rounded(rollup.grid_cells(rollup.grid_hour_rollup(t.positions), 0, bbox=BOX), "speed_sum")
 
@@ -228,9 +228,9 @@ _FLOOR_RANK = ("(SELECT max({c}) FILTER (WHERE rn = least(n, CAST(floor(n*{p}e0)
                "row_number() OVER (ORDER BY {c}) AS rn, count(*) OVER () AS n FROM cells WHERE {c} IS NOT NULL))")
 
 
-@query("nearest_rank_percentile", f", cells AS ({_EXPORT}) SELECT count(*) AS count, count(*) >= 20000 AS truncated, "
+@query("nearest_rank_percentile", f", cells AS ({_EXPORT}) SELECT count(*) AS count, false AS truncated, "
        "min(speed_kmh) AS speed_min, max(speed_kmh) AS speed_max, min(obs) AS obs_min, max(obs) AS obs_max, "
        f"{_FLOOR_RANK.format(c='speed_kmh', p='0.1')} AS speed_p10, {_FLOOR_RANK.format(c='speed_kmh', p='0.9')} AS speed_p90, "
        f"{_FLOOR_RANK.format(c='obs', p='0.9')} AS obs_p90 FROM cells")
 def nearest_rank_percentile(t):
-    return export.grid_scales(_export(t), 20_000)
+    return export.grid_scales(_export(t))

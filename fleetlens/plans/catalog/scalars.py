@@ -17,7 +17,7 @@ def cell_index(t):
 
 @query("cell_center", f"SELECT gy, gx, round((gy + 0.5e0)*{LAT_STEP}, 8) AS lat, round((gx + 0.5e0)*{LON_STEP}, 8) AS lon FROM cells_v")
 def cell_center(t):
-    cells = rollup.grid_cells(rollup.grid_hour_rollup(t.positions), 0, min_observations=0, limit=2**31 - 1)
+    cells = rollup.grid_cells(rollup.grid_hour_rollup(t.positions), 0, min_observations=0)
     return rounded(cells.select("gy", "gx", geo.cell_center("gy", GRID_LAT_DEG).alias("lat"),
                                 geo.cell_center("gx", GRID_LON_DEG).alias("lon")), "lat", "lon", digits=8)
 

@@ -37,16 +37,16 @@ def like_ci(t):
 
 
 @query("stop_search", "SELECT stop_id, stop_code, stop_name, stop_lat, stop_lon FROM stops_v WHERE (stop_name ILIKE '%r#00000%' OR stop_code ILIKE '%r#00000%') "
-       "AND stop_lat BETWEEN 28.55e0 AND 28.65e0 AND stop_lon BETWEEN 77.15e0 AND 77.25e0 ORDER BY stop_id LIMIT 500")
+       "AND stop_lat BETWEEN 28.55e0 AND 28.65e0 AND stop_lon BETWEEN 77.15e0 AND 77.25e0")
 def stop_search(t):
-    return schedule.stop_search(t.stops, "R#00000", (77.15, 28.55, 77.25, 28.65))
+    return schedule.stop_search(t.stops, "R#00000", (77.15, 28.55, 77.25, 28.65), limit=None)
 
 
 @query("stop_schedule", "SELECT st.trip_id, t.route_id, arrival_time, departure_time, departure_s, route_short_name, route_desc "
        "FROM stop_times_v st JOIN trips_v t USING (trip_id) LEFT JOIN routes_v r ON r.route_id = t.route_id "
-       "WHERE st.stop_id = 'S7' AND departure_s BETWEEN 28800 AND 90000 ORDER BY departure_s, trip_id LIMIT 50")
+       "WHERE st.stop_id = 'S7' AND departure_s BETWEEN 28800 AND 90000")
 def stop_schedule(t):
-    return schedule.stop_schedule(t.stop_times, t.trips, t.routes, "S7", 28_800, 90_000).select(
+    return schedule.stop_schedule(t.stop_times, t.trips, t.routes, "S7", 28_800, 90_000, limit=None).select(
         "trip_id", "route_id", "arrival_time", "departure_time", "departure_s", "route_short_name", "route_desc")
 
 
@@ -71,9 +71,9 @@ def route_shape(t):
 
 
 @query("dark_routes", "SELECT route_id, route_short_name, route_desc, (SELECT count(*) FROM trips_v t WHERE t.route_id = r.route_id) AS trip_count "
-       "FROM routes_v r WHERE route_id NOT IN (SELECT route_id FROM latest_fast_v WHERE route_id IS NOT NULL) ORDER BY 4 DESC, 1 LIMIT 25")
+       "FROM routes_v r WHERE route_id NOT IN (SELECT route_id FROM latest_fast_v WHERE route_id IS NOT NULL) ")
 def dark_routes(t):
-    return schedule.dark_routes(t.routes, t.trips, t.latest_fast)
+    return schedule.dark_routes(t.routes, t.trips, t.latest_fast, limit=None)
 
 
 @query("routes_nearby", f", near AS (SELECT probe_id, stop_id, stop_name, {tangent('stop_lat', 'stop_lon', 'plat', 'plon')} AS d FROM stops_v, {_PROBES} "
@@ -84,7 +84,7 @@ def dark_routes(t):
        "(SELECT route_id, route_short_name AS short_name, route_long_name AS long_name, agency_id FROM routes_v) USING (route_id) WHERE rn <= 10")
 def routes_nearby(t):
     probes = t.spark.createDataFrame(list(PROBES), "probe_id int, lat double, lon double")
-    found = schedule.routes_nearby(probes, t.stops, t.stop_times, t.trips, t.routes, 1500.0, 10)
+    found = schedule.routes_nearby(probes, t.stops, t.stop_times, t.trips, t.routes, 1500.0, limit=10)
     return found.withColumn("first_stop", F.get("stops", F.lit(0))).withColumn("stops", F.size("stops").cast("bigint"))
 
 
@@ -118,20 +118,20 @@ def feed_counts(t):
 
 
 @query("planar_distance_m", f"SELECT arrival, s.stop_id, round({planar('lat', 'lon', 'stop_lat', 'stop_lon')}, 4) AS metres FROM positions_v "
-       "JOIN stops_v s ON s.stop_id = 'S' || arrival % 100")
+       "JOIN stops_v s ON s.stop_id = 'S' || arrival % (SELECT count(*) FROM stops_v)")
 def planar_distance_m(t):
     pairs = keyed.lookup_join(
-        t.positions.select("arrival", "lat", "lon", F.concat(F.lit("S"), F.col("arrival") % 100).alias("stop_id")),
+        t.positions.select("arrival", "lat", "lon", F.concat(F.lit("S"), F.col("arrival") % t.stops.agg(F.count("*")).scalar()).alias("stop_id")),
         t.stops.select("stop_id", "stop_lat", "stop_lon"), "stop_id", "inner")
     metres = geo.planar_distance_m("lat", "lon", "stop_lat", "stop_lon")
     return rounded(pairs.select("arrival", "stop_id", metres.alias("metres")), "metres")
 
 
 @query("radius_distance_m", f"SELECT arrival, s.stop_id, round({tangent('lat', 'lon', 'stop_lat', 'stop_lon')}, 4) AS metres FROM positions_v "
-       "JOIN stops_v s ON s.stop_id = 'S' || arrival % 100")
+       "JOIN stops_v s ON s.stop_id = 'S' || arrival % (SELECT count(*) FROM stops_v)")
 def radius_distance_m(t):
     pairs = keyed.lookup_join(
-        t.positions.select("arrival", "lat", "lon", F.concat(F.lit("S"), F.col("arrival") % 100).alias("stop_id")),
+        t.positions.select("arrival", "lat", "lon", F.concat(F.lit("S"), F.col("arrival") % t.stops.agg(F.count("*")).scalar()).alias("stop_id")),
         t.stops.select("stop_id", "stop_lat", "stop_lon"), "stop_id", "inner")
     metres = geo.radius_distance_m("lat", "lon", "stop_lat", "stop_lon")
     return rounded(pairs.select("arrival", "stop_id", metres.alias("metres")), "metres")

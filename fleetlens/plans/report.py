@@ -62,7 +62,7 @@ def layers(t: ReportTables, now: int, minutes: float | None = None) -> dict[str,
     return {
         "fleet_coverage": quality.fleet_coverage(t.latest, now, t.expected_fleet),
         "route_coverage": quality.route_coverage(t.positions, t.routes, now),
-        "dark_routes": schedule.dark_routes(t.routes, t.trips, t.latest, 50),
+        "dark_routes": schedule.dark_routes(t.routes, t.trips, t.latest, limit=None),
         "spatial_coverage": quality.spatial_coverage(
             rollup.distinct_grid_cells(t.grid_hours, now - w.coverage), t.stops),
         "temporal_coverage": rollup.temporal_coverage(by_hour, _count(t.routes, "routes")),

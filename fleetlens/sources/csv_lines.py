@@ -25,22 +25,38 @@ TABLES = {
         "start_date": _DATE, "end_date": _DATE}),
 }
 
-# One CSV field after the start of the line or a comma: quoted with doubled quotes, or plain.
-_FIELD = r'(?:^|,)("(?:[^"]|"")*"|[^,]*)'
-# A record of the agency file starts with "<digits>,<name>,http(s)://", not after a digit or comma.
-_AGENCY_START = r"(?<![\d,])(?=\d+,[^,]*,https?://)"
+_CUT = "\u0001"  # between fields while a line is taken apart
+# An agency record begins with a number, a name and a web address.
+_AGENCY_RECORD = r"(^|[^0-9,])([0-9]+,[^,]*,https?://)"
+# A comma and a field after it; for lines with a quote inside a plain field.
+_FIELD = r',("[^"]*+(?:""[^"]*+)*+"|[^,]*+)'
 
 
 def csv_fields(line):
-    """Fields of one CSV line as an array, quotes removed."""
-    unquote = lambda f: F.when(f.startswith('"'), F.replace(
+    """Fields of one CSV line as an array, quotes removed.
+
+    Cut at the quotes, every other piece is quoted text. Commas count in the pieces between, and an
+    empty piece between two quoted ones is a doubled quote. No pattern walks over a field, so its
+    length doesn't matter.
+    """
+    pieces = F.split(line, '"')
+    inner = lambda i: (i > 0) & (i < F.size(pieces) - 1)
+    def piece(text, i):
+        outside = F.when((text == "") & inner(i), F.lit('"')).otherwise(F.replace(text, F.lit(","), F.lit(_CUT)))
+        return F.when(i % 2 == 1, text).otherwise(outside)
+    quoted = F.split(F.array_join(F.transform(pieces, piece), ""), _CUT)
+    # A quote opens a field only at its start; elsewhere it is a plain character.
+    stray = F.exists(F.transform(pieces, lambda text, i: (i % 2 == 0) & (i < F.size(pieces) - 1) & (text != "")
+                                 & ~text.endswith(",")), lambda found: found)
+    unquote = lambda f: F.when(f.startswith('"') & f.endswith('"') & (F.length(f) > 1), F.replace(
         F.substring(f, F.lit(2), F.length(f) - 2), F.lit('""'), F.lit('"'))).otherwise(f)
-    return F.transform(F.regexp_extract_all(line, F.lit(_FIELD), F.lit(1)), unquote)
+    plain = F.transform(F.regexp_extract_all(F.concat(F.lit(","), line), F.lit(_FIELD), F.lit(1)), unquote)
+    return F.when(stray, plain).otherwise(quoted)
 
 
 def regex_split_records(text):
     """One long line of agency records -> one string per record."""
-    return F.filter(F.split(text, _AGENCY_START), lambda p: p != "")
+    return F.filter(F.split(F.regexp_replace(text, _AGENCY_RECORD, "$1" + _CUT + "$2"), _CUT), lambda p: p != "")
 
 
 def _lines(pulls: DataFrame, table: str) -> DataFrame:

@@ -10,8 +10,11 @@ from pyspark.sql import functions as F
 from ..constants import DAY_S
 
 
+_LAST_DAY = 2_932_896  # 9999-12-31
+
+
 def _day(ts: int):
-    return F.date_add(F.lit("1970-01-01").cast("date"), ts // DAY_S)
+    return F.date_add(F.lit("1970-01-01").cast("date"), max(0, min(ts // DAY_S, _LAST_DAY)))
 
 
 def time_window(log: DataFrame, since: int, until: int | None = None, column: str = "ts") -> DataFrame:

@@ -136,6 +136,6 @@ def match_batch(root: str, trips: DataFrame, now: int):
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         stored = tables.read_version(spark, root, schemas.TRIP_MATCH, batch_id - 1)
-        matched = matching.match_window(batch, trips, 0, 2**62, now)
+        matched = matching.match_window(batch, trips, 0, None, now)
         tables.write_version(merge.trip_match_upsert(stored, matched), root, batch_id)
     return write

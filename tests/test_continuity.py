@@ -12,21 +12,21 @@ COLUMNS = ["hour_bucket", *continuity.COUNTERS]
 def test_report_on_known_log(data):
     hours = continuity.gap_hour_counters(data.positions, 0, NOW)
     report = one(continuity.continuity_report(data.positions, hours, NOW - 50_000, NOW))
-    assert (report["vehicles"], report["observations"]) == (4, 8)
-    assert (report["gaps_total"], report["gaps_over_threshold"], report["b_600_plus"]) == (4, 4, 4)
-    assert report["avg_span_s"] == (10_740 + 7_110) / 4 and report["avg_observations_per_vehicle"] == 2
+    assert (report["vehicles"], report["observations"]) == (4, 9)
+    assert (report["gaps_total"], report["gaps_over_threshold"], report["b_600_plus"]) == (5, 4, 4)
+    assert report["avg_span_s"] == (17_980 + 14_200) / 4 and abs(report["avg_observations_per_vehicle"] - 2.25) < 0.06
 
 
 def test_threshold_is_applied_when_folding(data):
     hours = continuity.gap_hour_counters(data.positions, 0, NOW, threshold=999_999)
-    assert one(hours.agg(F.sum("gaps_total").alias("n"), F.sum("gaps_over_threshold").alias("o"))) == {"n": 4, "o": 0}
+    assert one(hours.agg(F.sum("gaps_total").alias("n"), F.sum("gaps_over_threshold").alias("o"))) == {"n": 5, "o": 0}
 
 
-@pytest.mark.parametrize("threshold, complete", [(90, 0), (999_999, 2)])
+@pytest.mark.parametrize("threshold, complete", [(90, 1), (999_999, 3)])
 def test_trip_completeness(data, threshold, complete):
     state = continuity.trip_gap_state(data.positions, 0, NOW, threshold)
     done = one(continuity.trip_completeness(state, 0, NOW))
-    assert (done["trips"], done["complete_trips"]) == (2, complete)
+    assert (done["trips"], done["complete_trips"]) == (3, complete)
 
 
 def make_log(spark, seed=3):

@@ -25,18 +25,18 @@ def store(spark, data, tmp_path):
 def test_fold_job_is_repeatable(data, store):
     for _ in range(2):
         result = fold.run_once(store, data.trips, NOW)
-        assert (result["watermark"], result["routes"]) == (NOW - 60, 7)
+        assert (result["watermark"], result["routes"]) == (NOW - 20, 7)
         assert values(store.grid_hours, *GRID) == values(rollup.grid_hour_rollup(data.positions), *GRID)
-        gaps = continuity.gap_hour_counters(data.positions, NOW - 60 - 12 * 3600, NOW)
+        gaps = continuity.gap_hour_counters(data.positions, 0, NOW)
         assert values(store.gap_hours, *COLUMNS) == values(gaps, *COLUMNS)
-    assert store.watermarks() == {"rollup": NOW - 60, "continuity": NOW - 60, "trip_match": NOW - 60}
+    assert store.watermarks() == {"rollup": NOW - 20, "continuity": NOW - 20, "trip_match": NOW - 20}
 
 
 def test_full_rebuild_drops_emptied_hours(spark, data, store):
     fold.run_once(store, data.trips, NOW)
     tables.prune_log(spark, store.path("log"), fold.LOG_SCHEMA, NOW - 7200)
-    assert store.log.count() == 6
-    fold.fold_rollups(store, NOW - 60, full=True)
+    assert store.log.count() == 5
+    fold.fold_rollups(store, NOW - 20, full=True)
     assert values(store.grid_hours, *GRID) == values(rollup.grid_hour_rollup(store.log), *GRID)
 
 
@@ -60,7 +60,7 @@ def test_interrupted_continuity_step_starts_over(spark, tmp_path):
 
 def test_log_batch_written_twice_stays_once(spark, data, store):
     tables.append_log(data.positions, store.path("log"), 0)
-    assert store.log.count() == 8
+    assert store.log.count() == 9
     assert tables.prune_log(spark, store.path("log"), fold.LOG_SCHEMA, NOW + 86_400 * 2) and store.log.count() == 0
 
 
@@ -74,12 +74,12 @@ def test_ingest_batches(spark, data, tmp_path):
     store = ingest.IngestTables(spark, str(tmp_path / "out"))
     write = ingest.ingest_batch(store, data.routes)
     batch = lambda now, *bodies: spark.createDataFrame([(b, now) for b in bodies], "body string, ingested_at bigint")
-    first = batch(NOW, feed(("A", NOW, "R1", False), ("B", NOW, "nowhere", False), ("A", NOW, "R2", False)))
-    second = batch(NOW + 30, feed(("A", NOW, "R1", False), ("A", NOW + 30, "R1", True)))
+    first = batch(NOW, feed(("A", NOW, "L10", False), ("B", NOW, "nowhere", False), ("A", NOW, "L20", False)))
+    second = batch(NOW + 30, feed(("A", NOW, "L10", False), ("A", NOW + 30, "L10", True)))
     write(first, 0)
     write(second, 1)
     write(second, 1)                                         # replay of the last batch
-    assert values(store.log, "vehicle_id", "ts", "route_id") == [("A", NOW, "R1"), ("A", NOW + 30, "R1")]
+    assert values(store.log, "vehicle_id", "ts", "route_id") == [("A", NOW, "L10"), ("A", NOW + 30, "L10")]
     assert values(store.dead, "vehicle_id", "reason") == [("B", "unknown_route_id")]
     assert values(store.polls, "polled_at", "entity_count", "new_rows") == [(NOW, 3, 1), (NOW + 30, 2, 1)]
     changes = dict(values(store.field_sets, "changed_at", "fields"))

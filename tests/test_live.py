@@ -19,30 +19,30 @@ def test_fleet_states_overlap(data):
 
 
 def test_latest_filter_is_closed(data):
-    assert len(live.latest_filter(data.latest, NOW, max_age_s=60).collect()) == 1
-    assert len(live.latest_filter(data.latest, NOW, route_id="R1").collect()) == 2
+    assert len(live.latest_filter(data.latest, NOW, max_age_s=70).collect()) == 2
+    assert len(live.latest_filter(data.latest, NOW, route_id="L10").collect()) == 2
 
 
 def test_fleet_filter(data):
     fleet = live.route_decorate(data.latest, data.routes)
     pick = lambda **f: [v for (v,) in values(live.fleet_filter(fleet, NOW, **f), "vehicle_id")]
-    assert pick(motion="stopped") == ["V2", "V3"]
-    assert pick(freshness="stale") == ["V3"]
-    assert pick(agency_id="A2") == ["V2"]
+    assert pick(motion="stopped") == ["F1", "X2"]
+    assert pick(freshness="stale") == ["F1"]
+    assert pick(agency_id="M2") == ["F1"]
     assert pick(slow_only=True) == []
 
 
 def test_overview(data):
     view = one(live.fleet_overview(data.latest, data.polls, NOW))
-    assert view["poll_success_rate"] == 0.667 and view["avg_poll_latency_ms"] == 400
+    assert view["poll_success_rate"] == 0.8 and view["avg_poll_latency_ms"] == 300
 
 
 def test_route_stats_and_rankings(spark, data):
-    bunched = spark.createDataFrame([("R1", 2)], "route_id string, bunched bigint")
+    bunched = spark.createDataFrame([("L10", 2)], "route_id string, bunched bigint")
     stats = live.route_live_stats(data.latest, data.routes, bunched, NOW)
-    assert values(stats, "route_id", "vehicles", "moving", "bunched") == [("R1", 2, 2, 2), ("R2", 1, 0, 0)]
-    assert [r["route_id"] for r in live.busiest_routes(stats).collect()] == ["R1", "R2"]
-    assert values(live.most_bunched_routes(stats), "route_id") == [("R1",)]
+    assert values(stats, "route_id", "vehicles", "moving", "bunched") == [("L10", 2, 2, 2), ("L20", 1, 0, 0)]
+    assert [r["route_id"] for r in live.busiest_routes(stats).collect()] == ["L10", "L20"]
+    assert values(live.most_bunched_routes(stats), "route_id") == [("L10",)]
     assert live.slowest_routes(stats).isEmpty()
 
 

@@ -11,17 +11,17 @@ LIVE = "route_id string, trip_id string, vehicle_id string"
 
 
 @pytest.mark.parametrize("planned, live, expected", [
-    (["R1_06_10"], ("R1", "R1_06_10_9999"), ("R1_06_10", "strict", 0.0)),
-    (["R1_06_10"], ("R1", "R1_06_20_1"), ("R1_06_10", "relaxed", 10.0)),
-    (["R1_06_10"], ("R1", "R1_06_30_1"), (None, "none", 20.0)),
-    (["R1_06_00", "R1_06_10", "R1_07_00"], ("R1", "R1_06_08_1"), ("R1_06_10", "relaxed", 2.0)),
-    (["R1_06_10"], ("R9", "R9_UNSCHEDULED"), (None, "none", None)),
-    (["R1_06_10"], ("R1", "not-shaped-like-a-trip-id"), (None, "none", None)),
-    (["garbage", "R1_06_10"], ("R1", "R1_06_10_1"), ("R1_06_10", "strict", 0.0)),
-    (["R1_06_00", "R1_06_20"], ("R1", "R1_06_10_1"), ("R1_06_00", "relaxed", 10.0)),
+    (["K_13_37"], ("K", "K_13_37_0"), ("K_13_37", "strict", 0.0)),
+    (["K_13_37", "K_13_41"], ("K", "K_13_40_x"), ("K_13_41", "relaxed", 1.0)),
+    (["K_13_30", "K_13_44"], ("K", "K_13_37_x"), ("K_13_30", "relaxed", 7.0)),   # equally far: the earlier one
+    (["K_05_00"], ("K", "K_05_15_x"), ("K_05_00", "relaxed", 15.0)),              # the tolerance is closed
+    (["K_05_00"], ("K", "K_05_16_x"), (None, "none", 16.0)),
+    (["K_47_59", "K_48_00"], ("K", "K_47_58_x"), ("K_47_59", "relaxed", 1.0)),    # no 48th hour
+    (["K_05_00"], ("other", "K_05_00_x"), (None, "none", None)),
+    (["K_05_00", "K5"], ("K", "K_5h_00_x"), (None, "none", None)),
 ])
 def test_match(spark, planned, live, expected):
-    scheduled = spark.createDataFrame([("R1", t) for t in planned], SCHEDULED)
+    scheduled = spark.createDataFrame([("K", t) for t in planned], SCHEDULED)
     row = one(matching.trip_nearest_match(spark.createDataFrame([(*live, "V")], LIVE), scheduled, NOW))
     assert (row["matched_trip_id"], row["match_type"], row["delta_minutes"]) == expected
 
@@ -58,8 +58,8 @@ def test_dispatch_minutes(spark):
 
 def test_live_keys_are_half_open(data):
     keys = keyed.live_trip_keys(data.positions, NOW - 7200, NOW - 60)
-    assert values(keys, "route_id", "trip_id", "vehicle_id") == [("R1", "T1", "V1"), ("R2", "T3", "V2")]
-    assert values(keyed.live_trip_keys(data.positions, NOW - 60, NOW), "trip_id") == [("T1",)]
+    assert values(keys, "route_id", "trip_id", "vehicle_id") == [("L10", "A1", "TRAM-7"), ("L20", "B1", "X2")]
+    assert values(keyed.live_trip_keys(data.positions, NOW - 20, NOW), "trip_id") == [("A2",)]
 
 
 def test_summary(spark):

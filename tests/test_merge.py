@@ -8,25 +8,25 @@ from fleetlens import schemas
 from fleetlens.operators import merge
 
 
-def report(data, vehicle, ts, arrival=100, route="R1"):
+def report(data, vehicle, ts, arrival=100, route="L10"):
     row = data.positions.limit(1)
     return row.select([F.lit(v).cast(t).alias(c) if (v := {"vehicle_id": vehicle, "ts": ts, "route_id": route, "arrival": arrival}.get(c)) is not None
                        else F.col(c) for c, t in row.dtypes])
 
 
 def test_dedupe_append_counts_only_new_rows(data):
-    batch = report(data, "V1", NOW).unionByName(report(data, "V9", NOW)).unionByName(report(data, "V1", NOW - 60))
+    batch = report(data, "TRAM-7", NOW).unionByName(report(data, "NEW", NOW)).unionByName(report(data, "TRAM-7", NOW - 20))
     assert merge.dedupe_append(data.positions, batch).count() == 2
-    assert merge.dedupe_append(data.positions, report(data, "V1", NOW - 60)).isEmpty()
+    assert merge.dedupe_append(data.positions, report(data, "TRAM-7", NOW - 20)).isEmpty()
 
 
 def test_latest_never_rolls_back(data):
-    newer = merge.latest_wins_merge(data.latest, report(data, "V1", NOW + 500))
-    older = merge.latest_wins_merge(data.latest, report(data, "V1", NOW - 9999))
-    equal = merge.latest_wins_merge(data.latest, report(data, "V1", NOW - 60, arrival=0, route="R2"))
-    ts = lambda df: dict(values(df, "vehicle_id", "ts"))["V1"]
-    assert ts(newer) == NOW + 500 and ts(older) == NOW - 60
-    assert dict(values(equal, "vehicle_id", "route_id"))["V1"] == "R2"
+    newer = merge.latest_wins_merge(data.latest, report(data, "TRAM-7", NOW + 500))
+    older = merge.latest_wins_merge(data.latest, report(data, "TRAM-7", NOW - 9999))
+    equal = merge.latest_wins_merge(data.latest, report(data, "TRAM-7", NOW - 20, arrival=0, route="L20"))
+    ts = lambda df: dict(values(df, "vehicle_id", "ts"))["TRAM-7"]
+    assert ts(newer) == NOW + 500 and ts(older) == NOW - 20
+    assert dict(values(equal, "vehicle_id", "route_id"))["TRAM-7"] == "L20"
     assert newer.count() == 4
 
 
@@ -40,9 +40,9 @@ def test_quarantine_keeps_good_rows(data):
 
 
 def test_retention_and_purge(data):
-    assert data.positions.count() - merge.retention_prune(data.positions, NOW - 7200).count() == 2
+    assert data.positions.count() - merge.retention_prune(data.positions, NOW - 7200).count() == 4
     assert one(merge.purge_count(data.latest)) == {"removed": 1}
-    assert "SIM-1" not in dict(values(merge.prefix_purge(data.latest), "vehicle_id", "ts"))
+    assert "SIM-9" not in dict(values(merge.prefix_purge(data.latest), "vehicle_id", "ts"))
 
 
 def test_static_reload_last_row_wins(spark):
@@ -51,19 +51,19 @@ def test_static_reload_last_row_wins(spark):
 
 
 def test_keyed_refresh_report_and_foreign_keys(spark, data):
-    new = data.routes.filter("route_id <> 'R4'").withColumn("route_desc", F.when(F.col("route_id") == "R1", "x").otherwise(F.col("route_desc")))
-    new = new.unionByName(data.routes.limit(1).withColumn("route_id", F.lit("R5")))
+    new = data.routes.filter("route_id <> 'N90'").withColumn("route_desc", F.when(F.col("route_id") == "L10", "x").otherwise(F.col("route_desc")))
+    new = new.unionByName(data.routes.limit(1).withColumn("route_id", F.lit("P1")))
     changes = merge.upsert_and_prune(data.routes, new, "route_id")
-    assert dict(values(changes, "route_id", "change")) == {"R1": "updated", "R2": "unchanged", "R3": "unchanged", "R4": "deleted", "R5": "inserted"}
+    assert dict(values(changes, "route_id", "change")) == {"L10": "updated", "L20": "unchanged", "F5": "unchanged", "N90": "deleted", "P1": "inserted"}
     merge.assert_droppable(changes.filter("change = 'deleted'"), data.positions, "route_id")
-    with pytest.raises(ValueError, match="R1"):
+    with pytest.raises(ValueError, match="F5, L10, L20"):
         merge.assert_droppable(data.routes, data.positions, "route_id")
 
 
 def test_matched_trip_is_cleared_but_kept(spark, data):
-    matches = spark.createDataFrame([("L1", "V", "R1", "T1", "strict", 0.0, NOW), ("L2", "V", "R1", "gone", "strict", 0.0, NOW)], schemas.TRIP_MATCH)
+    matches = spark.createDataFrame([("L1", "V", "L10", "A1", "strict", 0.0, NOW), ("L2", "V", "R1", "gone", "strict", 0.0, NOW)], schemas.TRIP_MATCH)
     assert values(merge.fk_set_null(matches, data.trips).fillna("-"), "live_trip_id", "matched_trip_id", "match_type") == [
-        ("L1", "T1", "strict"), ("L2", "-", "strict")]
+        ("L1", "A1", "strict"), ("L2", "-", "strict")]
 
 
 def test_replace_rules(spark):

@@ -1,4 +1,4 @@
-from conftest import NOW, one, values
+from conftest import HUB, NOW, one, values
 from pyspark.sql import functions as F
 
 from fleetlens.constants import DAY_S
@@ -8,30 +8,30 @@ from fleetlens.plans import report
 
 def test_referential_integrity_counts_occurrences(data):
     assert one(quality.referential_integrity(data.positions, data.routes, data.trips, 0)) == {
-        "total": 8, "invalid_route_id": 0, "invalid_trip_id": 0}
-    odd = data.positions.withColumn("route_id", F.when(F.col("vehicle_id") == "V1", "X").otherwise(F.col("route_id")))
-    assert one(quality.referential_integrity(odd, data.routes, data.trips, 0))["invalid_route_id"] == 4
+        "total": 9, "invalid_route_id": 0, "invalid_trip_id": 0}
+    odd = data.positions.withColumn("route_id", F.when(F.col("vehicle_id") == "TRAM-7", "X").otherwise(F.col("route_id")))
+    assert one(quality.referential_integrity(odd, data.routes, data.trips, 0))["invalid_route_id"] == 5
 
 
 def test_field_population(data):
     got = {r["field"]: r["populated"] for r in quality.field_population(data.positions, 0).collect()}
-    assert got == {"route_id": 8, "lat": 7, "speed": 7, "bearing": 7, "trip_id": 6, "stop_id": 0, "occupancy_status": 0,
+    assert got == {"route_id": 9, "lat": 8, "speed": 8, "bearing": 8, "trip_id": 7, "stop_id": 0, "occupancy_status": 0,
                    "congestion_level": 0, "current_status": 0}
 
 
 def test_freshness(data):
-    assert values(quality.freshness_thresholds(data.latest, NOW), "threshold_s", "vehicles") == [(30, 0), (60, 1), (120, 3), (300, 3)]
+    assert values(quality.freshness_thresholds(data.latest, NOW), "threshold_s", "vehicles") == [(30, 1), (60, 1), (120, 2), (300, 3)]
     assert dict(values(quality.staleness_buckets(data.latest, NOW), "bucket", "vehicles")) == {
-        "b_0_60": 1, "b_60_180": 2, "b_180_300": 0, "b_300_600": 0, "b_600_plus": 1}
+        "b_0_60": 1, "b_60_180": 1, "b_180_300": 1, "b_300_600": 0, "b_600_plus": 1}
 
 
 def test_poll_figures(data):
-    assert one(quality.poll_success(data.polls)) == {"polls": 3, "ok": 2, "pct": 66.7}
+    assert one(quality.poll_success(data.polls)) == {"polls": 5, "ok": 4, "pct": 80.0}
     assert values(quality.error_breakdown(data.polls), "kind", "polls") == [("5xx", 1)]
     assert one(quality.feed_age_cadence(data.polls)) == {
-        "feed_age_at_source_s": 5.0, "native_publish_cadence_s": 30.0, "ingest_ms": 400}
+        "feed_age_at_source_s": 7.0, "native_publish_cadence_s": 60.0, "ingest_ms": 300}
     volume = one(quality.volume_stability(data.polls))
-    assert (volume["mean_entities"], volume["stdev_entities"], volume["unstable"]) == (5005.0, 5.0, False)
+    assert (volume["mean_entities"], volume["stdev_entities"], volume["unstable"]) == (810.0, 4.0, False)
     nothing = data.polls.filter("ok = 9")
     assert one(quality.volume_stability(nothing)) == {"mean_entities": None, "stdev_entities": 0.0, "min_entities": None,
                                                       "max_entities": None, "unstable": False}
@@ -45,7 +45,7 @@ def test_error_kinds_in_order(spark):
 
 
 def test_coordinates_skip_half_empty_rows(spark, data):
-    rows = spark.createDataFrame([(0.0, 0.0), (28.62, None), (28.62, 77.216), (50.0, 77.216)], "lat double, lon double")
+    rows = spark.createDataFrame([(0.0, 0.0), (HUB[0], None), HUB, (HUB[0] + 20, HUB[1])], "lat double, lon double")
     assert one(quality.coordinate_validity(rows, data.stops)) == {"total": 4, "out_of_bounds": 2, "zero_coord": 1}
 
 
@@ -88,5 +88,5 @@ def test_report_and_metrics(data):
 
 def test_default_windows_differ_by_layer(data):
     parts = report.layers(tables_of(data), NOW)
-    assert one(parts["poll_success"])["polls"] == 3
-    assert one(parts["trip_completeness"])["trips"] == 2
+    assert one(parts["poll_success"])["polls"] == 5
+    assert one(parts["trip_completeness"])["trips"] == 3

@@ -7,7 +7,7 @@ from fleetlens.operators import export, rollup
 def test_grid_hour_rollup_counts_and_sums(data):
     grid = rollup.grid_hour_rollup(data.positions)
     total = one(grid.agg(*[F.sum(c).alias(c) for c in ("observations", "moving", "stopped", "speed_sum")]))
-    assert total == {"observations": 7, "moving": 6, "stopped": 1, "speed_sum": 41.0}
+    assert total == {"observations": 8, "moving": 7, "stopped": 1, "speed_sum": 44.0}
     assert all(h % HOUR == 0 for (h,) in values(grid, "hour_bucket"))
 
 
@@ -19,7 +19,7 @@ def test_cells_are_floored(data):
 def test_route_hour_keeps_rows_without_position(data):
     total = one(rollup.route_hour_rollup(data.positions).agg(
         *[F.sum(c).alias(c) for c in ("observations", "moving", "stopped")]))
-    assert total == {"observations": 8, "moving": 6, "stopped": 1}
+    assert total == {"observations": 9, "moving": 7, "stopped": 1}
 
 
 def test_refold_replaces_whole_hours(data):
@@ -43,25 +43,25 @@ def test_refold_start():
 
 def test_speed_histogram_bins(data, spark):
     counts = {r["bin"]: r["n"] for r in rollup.speed_histogram(data.positions, 0).collect()}
-    assert counts == {0: 1, 1: 1, 2: 1, 3: 2, 4: 1, 5: 1, 6: 0, 7: 0, 8: 0, 9: 0, 10: 0, 11: 0}
+    assert counts == {0: 1, 1: 2, 2: 1, 3: 1, 4: 2, 5: 1, 6: 0, 7: 0, 8: 0, 9: 0, 10: 0, 11: 0}
     fast = data.positions.withColumn("speed", F.lit(500.0)).limit(1)
     top = [r for r in rollup.speed_histogram(fast, 0).collect() if r["n"]]
     assert [(r["bin"], r["label"]) for r in top] == [(11, "79+")]
 
 
 def test_corridor(data):
-    cells = {(r["gy"], r["gx"]): r for r in rollup.route_corridor(data.positions, 0, "R1").collect()}
+    cells = {(r["gy"], r["gx"]): r for r in rollup.route_corridor(data.positions, 0, "L10").collect()}
     probe, hub = cells.pop(CELL), next(iter(cells.values()))
     assert probe["observations"] == 2
-    assert (hub["observations"], hub["speed_n"], hub["speed_sum"]) == (3, 3, 22.0)
-    assert one(rollup.corridor_summary(rollup.route_corridor(data.positions, 0, "R1")))["cells"] == 2
+    assert (hub["observations"], hub["speed_n"], hub["speed_sum"]) == (4, 4, 28.0)
+    assert one(rollup.corridor_summary(rollup.route_corridor(data.positions, 0, "L10")))["cells"] == 2
 
 
 def test_coarser_cells_keep_counts(data):
     grid = rollup.grid_hour_rollup(data.positions)
     for factor in (1, 2, 4):
         cells = rollup.grid_cells(grid, 0, factor=factor, min_observations=1)
-        assert one(cells.agg(F.sum("observations").alias("n")))["n"] == 7
+        assert one(cells.agg(F.sum("observations").alias("n")))["n"] == 8
 
 
 def test_export_scales(spark):

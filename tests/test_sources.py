@@ -112,9 +112,9 @@ def test_csv_lines(spark):
 
 
 def test_scans(data):
-    assert scans.time_window(data.positions, NOW - 7200, NOW - 3600).filter("vehicle_id = 'V1'").count() == 2
-    assert [r["polled_at"] for r in scans.rows_since(data.polls, NOW - 270, "polled_at").collect()] == [NOW - 270, NOW - 240]
-    assert [r["polled_at"] for r in scans.most_recent(data.polls, 1, "polled_at").collect()] == [NOW - 240]
+    assert scans.time_window(data.positions, NOW - 5400, NOW - 45).filter("vehicle_id = 'TRAM-7'").count() == 2
+    assert [r["polled_at"] for r in scans.rows_since(data.polls, NOW - 340, "polled_at").collect()] == [NOW - 340, NOW - 280, NOW - 220]
+    assert [r["polled_at"] for r in scans.most_recent(data.polls, 1, "polled_at").collect()] == [NOW - 220]
 
 
 def test_window_prunes_days(spark, data, tmp_path):

@@ -44,13 +44,13 @@ def test_pair_two_cells_apart_in_longitude_is_found(spark):
 
 
 def test_bunching_skips_missing_positions(spark, data):
-    assert values(spatial.bunched_vehicles(data.latest), "route_id", "vehicle_id") == [("R1", "SIM-1"), ("R1", "V1")]
+    assert values(spatial.bunched_vehicles(data.latest), "route_id", "vehicle_id") == [("L10", "SIM-9"), ("L10", "TRAM-7")]
 
 
 def test_nearest_stop(spark, data):
     points = spark.createDataFrame([(1, *HUB), (2, 0.0, 0.0), (3, None, None)], "point_id int, lat double, lon double")
     found = {r["point_id"]: r["stop_id"] for r in spatial.nearest_stop(points, data.stops).collect()}
-    assert found == {1: "S1", 2: None, 3: None}
+    assert found == {1: "Q1", 2: None, 3: None}
 
 
 @pytest.mark.parametrize("seed", [1, 2])
@@ -74,8 +74,8 @@ def test_nearest_stop_equals_brute_force(spark, seed):
 
 def test_off_route_distance(spark, data):
     got = {r["vehicle_id"]: r["distance_m"] for r in spatial.off_route_distance(data.latest, data.trips, data.shapes).collect()}
-    assert set(got) == {"V1", "V2", "SIM-1"} and max(got.values()) < 1e-6
-    away = data.latest.withColumn("lat", F.col("lat") + 0.01).filter("vehicle_id = 'V2'")
+    assert set(got) == {"TRAM-7", "X2", "SIM-9"} and max(got.values()) < 1e-6
+    away = data.latest.withColumn("lat", F.col("lat") + 0.01).filter("vehicle_id = 'X2'")
     assert abs(spatial.off_route_distance(away, data.trips, data.shapes).first()["distance_m"] - 1113.2) < 0.01
 
 
@@ -90,5 +90,5 @@ def test_hotspot_labels(data):
     cells = rollup.grid_cells(rollup.grid_hour_rollup(data.positions), 0, min_observations=1)
     rows = spatial.hotspots(cells, data.stops, limit=1).collect()
     busiest = next(r for r in rows if r["ranking"] == "busiest")
-    assert busiest["observations"] == 5 and busiest["stop_id"] == "S1"
+    assert busiest["observations"] == 6 and busiest["stop_id"] == "Q1"
     assert {r["rank"] for r in rows} == {1}
