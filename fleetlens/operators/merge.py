@@ -146,11 +146,13 @@ def all_zones_or_nothing(current: DataFrame, pulled: DataFrame, zones: list[int]
                          keys=("trip_id", "stop_sequence"), position: str = "position") -> DataFrame:
     """Replace the timetable only when every zone returned rows; across zones the last wins.
 
-    ``pulled`` holds the concatenated zones with ``zone_id`` and the position of each row.
+    ``pulled`` holds the concatenated zones with ``zone_id`` and the position of each row; the last
+    zone is the last one of ``zones``, whatever its number.
     """
     seen = pulled.filter(F.col("zone_id").isin(*zones)).agg(
         (F.count_distinct("zone_id") == len(zones)).alias("complete"))
-    fresh = first_per_key(pulled, list(keys), F.desc("zone_id"), F.desc(position)).drop(position)
+    rank = F.array_position(F.array(*map(F.lit, zones)), F.col("zone_id"))
+    fresh = first_per_key(pulled, list(keys), F.desc(rank), F.desc(position)).drop(position)
     return current.filter(~seen.scalar()).unionByName(fresh.filter(seen.scalar()))
 
 
@@ -260,6 +262,25 @@ def audit_row(batch: DataFrame, new_rows: DataFrame, now: int, source: str = "fe
         F.when(~ok, F.lit("feed returned no entities")).alias("error"))
 
 
+def message_audit(messages: DataFrame, rows: DataFrame, fresh: DataFrame, key: str, source: str = "feed") -> DataFrame:
+    """One poll-log row per message, those without a usable entity included.
+
+    ``messages`` has the key, ``polled_at`` and ``feed_timestamp``, and may bring http_status,
+    latency_ms and error; ``rows`` are its entities and ``fresh`` those of them that were new.
+    """
+    given = lambda name, kind, otherwise: (F.col(name) if name in messages.columns else F.lit(otherwise)).cast(kind)
+    counted = lambda df, name: df.groupBy(key).agg(F.count("*").alias(name))
+    both = messages.join(counted(rows, "_n"), key, "left").join(counted(fresh, "_new"), key, "left")
+    n, failure = F.coalesce("_n", F.lit(0)), given("error", "string", None)
+    ok = (n > 0) & failure.isNull()
+    return both.select(
+        "polled_at", ok.cast("int").alias("ok"), F.lit(source).alias("source"),
+        given("http_status", "int", 200).alias("http_status"), n.cast("int").alias("entity_count"),
+        F.coalesce("_new", F.lit(0)).cast("int").alias("new_rows"), "feed_timestamp",
+        given("latency_ms", "bigint", None).alias("latency_ms"),
+        F.when(~ok, F.coalesce(failure, F.lit("feed returned no entities"))).alias("error"), key)
+
+
 def watermark_state(state: DataFrame, changes: DataFrame) -> DataFrame:
     """Named watermarks after a fold: a changed key replaces the stored one."""
     kept = state.join(changes.select("key"), "key", "left_anti")

@@ -57,12 +57,6 @@ def rollup_refold(stored: DataFrame, fold, positions: DataFrame, since: int) ->
     return kept.unionByName(fold(positions, since))
 
 
-def rollup_progress(positions: DataFrame, since: int) -> DataFrame:
-    """Rows at or after ``since`` and the newest timestamp: the audit line of one fold."""
-    return positions.agg(F.max("ts").alias("watermark"),
-                         count_if(F.col("ts") >= since).alias("rows_scanned"))
-
-
 def grid_cells(grid: DataFrame, since: int, factor: int = 1, bbox=None,
                min_observations: int = MIN_OBS_DEFAULT, limit: int | None = None) -> DataFrame:
     """Coarser cells by integer division: sums of counts, peak of hourly vehicles; a limit keeps the busiest."""

@@ -21,8 +21,8 @@ def static_csv_scan(t):
     return scanned.withColumn("stop_lat", F.round("stop_lat", 6)).withColumn("stop_lon", F.round("stop_lon", 6))
 
 
-def position_messages(t):
-    """One message per event: an entity with a vehicle and one without."""
+def position_entity():
+    """The entity of one event; some lack an id, some carry a label, some have no time of their own."""
     eid = F.col("arrival")
     vehicle = F.struct(
         F.struct(F.coalesce("trip_id", F.lit("")).alias("trip_id"), F.coalesce("route_id", F.lit("")).alias("route_id")).alias("trip"),
@@ -30,8 +30,14 @@ def position_messages(t):
         F.when(eid % 9 == 0, F.lit(0)).otherwise(F.col("ts")).alias("timestamp"), F.lit("").alias("stop_id"), "current_status",
         F.struct(F.when(eid % 6 == 0, "").otherwise(F.col("vehicle_id")).alias("id"),
                  F.when(eid % 12 == 6, F.concat(F.lit(" L"), "vehicle_id")).alias("label")).alias("vehicle"))
-    entity = lambda name, body: F.struct(name.alias("id"), body.alias("vehicle"))
-    entities = F.array(entity(F.concat(F.lit("E"), eid), vehicle), entity(F.lit("alert"), F.lit(None).cast(vehicle_type(t))))
+    return F.struct(F.concat(F.lit("E"), eid).alias("id"), vehicle.alias("vehicle"))
+
+
+def position_messages(t):
+    """One message per event: an entity with a vehicle and one without."""
+    eid = F.col("arrival")
+    nothing = F.struct(F.lit("alert").alias("id"), F.lit(None).cast(vehicle_type(t)).alias("vehicle"))
+    entities = F.array(position_entity(), nothing)
     body = F.to_json(F.struct(F.struct((F.col("ts") + 3).alias("timestamp")).alias("header"), entities.alias("entity")))
     return t.positions_fast.select(eid.alias("message_id"), body.alias("body"))
 

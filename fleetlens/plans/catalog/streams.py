@@ -2,7 +2,6 @@
 
 from pyspark.sql import functions as F
 
-from ... import schemas
 from ...operators import continuity
 from ...operators.keyed import first_per_key
 from ...session import shared_dir
@@ -10,23 +9,24 @@ from ...sources.feeds import position_feed_flatten
 from ...streaming import ingest, runner, stateful
 from .. import fold, tables
 from ..driver_tables import BASE_TS, NOW, NOW_FAST
-from .feeds import _FLAT, position_messages
+from .feeds import _FLAT, position_entity, position_messages, vehicle_type
 from .registry import query, rounded
 
-_EVENTS = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
 _SLICE_S = 2700
 
 
-def _event_stream(t, fast: bool = True):
-    """The events table itself as a file stream, seen through the position view."""
-    events = runner.file_stream(t.spark, t.sf_dir, _EVENTS, glob="events.parquet")
-    raw = events.select(
-        "event_id", "user_id", "event_type", "value",
-        F.unix_seconds(F.col("ts").cast("timestamp")).alias("epoch"),
-        F.regexp_extract("props", r'"k": *([0-9]+)', 1).cast("int").alias("k"))
-    view = type(t)(t.spark, t.sf_dir)
-    view.__dict__["raw_events"] = raw
-    return view.positions_fast if fast else view.positions
+def _out_of_order(t, frame, span_s: int = 86_400 * 30):
+    """A frame as a stream of four files, oldest first, where every tenth row comes one file later."""
+    first = BASE_TS if span_s < 86_400 else NOW - span_s
+    length = (3 * _SLICE_S + _SLICE_S) // 4 if span_s < 86_400 else span_s // 4
+    part = F.least(F.greatest(F.call_function("div", F.col("ts") - first, F.lit(length)), F.lit(0)) + F.when(
+        F.pmod(F.xxhash64("vehicle_id", "ts"), F.lit(10)) == 0, 1).otherwise(0), F.lit(3))
+    root = shared_dir(t.spark, "late")
+    placed = frame.withColumn("part", part).persist()
+    for i in range(4):
+        placed.filter(F.col("part") == i).drop("part").coalesce(1).write.mode("append").parquet(root)
+    placed.unpersist()
+    return runner.file_stream(t.spark, root, frame.schema, files_per_trigger=1)
 
 
 def _staged(t, frame, column: str = "ts", name: str = "staged"):
@@ -64,33 +64,79 @@ def file_stream_source(t):
     return t.spark.read.parquet(out).select(*columns)
 
 
+# Landed files of one slice of time each; every twentieth report comes one file late. A file holds two
+# messages that land in the same second, each with five entities per report, four of them without a
+# vehicle; the first file also holds an empty message and one that is no JSON.
+_SLICE = f"least(least((ts - {BASE_TS}) // {_SLICE_S}, 3) + CASE WHEN arrival % 20 = 0 THEN 1 ELSE 0 END, 3)"
+_LANDED = (f", sliced AS (SELECT *, {_SLICE} AS slice, arrival % 2 AS half FROM positions_fast_v), "
+           "landed AS (SELECT *, max(ts) OVER (PARTITION BY slice, half) + 3 AS header, "
+           "5 * (row_number() OVER (PARTITION BY slice, half ORDER BY arrival) - 1) AS entity_no FROM sliced), "
+           "observed AS (SELECT CASE WHEN arrival % 12 = 0 THEN 'E' || arrival WHEN arrival % 12 = 6 THEN 'L' || vehicle_id ELSE vehicle_id END AS vehicle_id, "
+           "CASE WHEN arrival % 9 = 0 THEN header ELSE ts END AS ts, route_id, bearing, current_status, lat, lon, CASE WHEN lat IS NOT NULL THEN speed END AS speed, trip_id, slice, half, header, "
+           "CAST(slice * 274877906944 + half * 1048576 + entity_no AS BIGINT) AS arrival FROM landed), "
+           "accepted AS (SELECT * FROM observed WHERE route_id IS NULL OR route_id IN (SELECT route_id FROM routes_v)), "
+           "logged AS (SELECT * FROM accepted QUALIFY row_number() OVER (PARTITION BY vehicle_id, ts ORDER BY arrival) = 1)")
+
+
+def landed_messages(t):
+    """(slice, message_id, body, ingested_at), one row per message."""
+    slice_of = F.least(F.call_function("div", F.col("ts") - BASE_TS, F.lit(_SLICE_S)), F.lit(3))
+    rows = t.positions_fast.withColumn("slice", F.least(
+        slice_of + F.when(F.col("arrival") % 20 == 0, 1).otherwise(0), F.lit(3)).cast("int")).withColumn("half", F.col("arrival") % 2)
+    nothing = F.struct(F.lit("alert").alias("id"), F.lit(None).cast(vehicle_type(t)).alias("vehicle"))
+    entities = F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("arrival", position_entity().alias("e")))),
+                                     lambda r: F.array(r["e"], *[nothing] * 4)))
+    header = F.struct((F.max("ts") + 3).alias("timestamp"))
+    full = rows.groupBy("slice", "half").agg(F.to_json(F.struct(header.alias("header"), entities.alias("entity"))).alias("body"))
+    landed = full.select("slice", F.col("half").alias("message_id"), "body")
+    odd = t.spark.createDataFrame([(0, 8, '{"header":{},"entity":[]}'), (0, 9, "no json")], "slice int, message_id bigint, body string")
+    return landed.unionByName(odd).withColumn("ingested_at", F.lit(BASE_TS).cast("bigint") + (F.col("slice") + 1) * _SLICE_S)
+
+
 def _ingested(t):
     store = ingest.IngestTables(t.spark, shared_dir(t.spark, "ingest"))
-    messages = position_messages(t).join(
-        t.positions_fast.select(F.col("arrival").alias("message_id"), "ts"), "message_id").withColumn("ingested_at", F.col("ts") + 5)
-    _run(t, _staged_stream(t, messages, "messages").drop("ts"), ingest.ingest_batch(store, t.routes))
+    root = shared_dir(t.spark, "messages")
+    messages = landed_messages(t).persist()
+    for i in range(4):
+        messages.filter(F.col("slice") == i).drop("slice").coalesce(1).write.mode("append").parquet(root)
+    messages.unpersist()
+    stream = runner.file_stream(t.spark, root, messages.drop("slice").schema, files_per_trigger=1)
+    _run(t, stream, ingest.ingest_batch(store, t.routes, late_after_s=600, compact_every=2))
     return store
 
 
-_INGESTED = ("(SELECT arrival, CASE WHEN arrival % 12 = 0 THEN 'E' || arrival WHEN arrival % 12 = 6 THEN 'L' || vehicle_id ELSE vehicle_id END AS vehicle_id, "
-             f"CASE WHEN arrival % 9 = 0 THEN ts + 3 ELSE ts END AS ts, least((ts - {BASE_TS}) // {_SLICE_S}, 3) AS slice, route_id FROM positions_fast_v)")
+@query("stream_ingest", _LANDED + " SELECT vehicle_id, ts, route_id, arrival FROM logged")
+def stream_ingest(t):
+    return _ingested(t).log.select("vehicle_id", "ts", "route_id", "arrival")
 
 
-@query("stream_ingest", f"SELECT vehicle_id, ts, route_id, arrival FROM (SELECT *, row_number() OVER (PARTITION BY vehicle_id, ts ORDER BY slice, arrival) AS rn FROM {_INGESTED} "
-       "WHERE route_id IS NULL OR route_id IN (SELECT route_id FROM routes_v)) WHERE rn = 1")
-def stream_ingest(t):
-    return _ingested(t).log.select("vehicle_id", "ts", "route_id", F.call_function("div", F.col("arrival"), F.lit(1000)).alias("arrival"))
+@query("stream_ingest_latest", _LANDED + " SELECT vehicle_id, ts, route_id, lat, speed, arrival FROM accepted "
+       "QUALIFY row_number() OVER (PARTITION BY vehicle_id ORDER BY ts DESC, arrival DESC) = 1")
+def stream_ingest_latest(t):
+    return _ingested(t).latest.select("vehicle_id", "ts", "route_id", "lat", "speed", "arrival")
 
 
-@query("stream_ingest_audit", f"SELECT slice AS batch, count(*) AS entities FROM {_INGESTED} GROUP BY 1")
+@query("stream_ingest_audit", _LANDED + f" SELECT CAST(slice AS BIGINT) AS batch, CAST(half AS BIGINT) AS message_no, CAST({BASE_TS} + (slice + 1) * {_SLICE_S} AS BIGINT) AS polled_at, "
+       "true AS ok, count(*) AS entities, (SELECT count(*) FROM logged l WHERE l.slice = o.slice AND l.half = o.half) AS fresh_rows, max(header) AS feed_timestamp, "
+       f"CAST(NULL AS VARCHAR) AS error FROM observed o GROUP BY slice, half UNION ALL SELECT 0, n, {BASE_TS + _SLICE_S}, false, 0, 0, NULL, 'feed returned no entities' FROM (VALUES (2), (3)) v(n)")
 def stream_ingest_audit(t):
-    return _ingested(t).polls.select("batch", F.col("entity_count").cast("bigint").alias("entities"))
+    return _ingested(t).polls.select(
+        "batch", (F.col("message_key") % (1 << ingest.MESSAGE_BITS)).alias("message_no"), "polled_at", (F.col("ok") == 1).alias("ok"),
+        F.col("entity_count").cast("bigint").alias("entities"), F.col("new_rows").cast("bigint").alias("fresh_rows"), "feed_timestamp", "error")
 
 
-@query("stream_schema_watch", f", prints AS (SELECT slice, concat_ws(',', CASE WHEN count(bearing) > 0 THEN 'bearing' END, CASE WHEN count(current_status) > 0 THEN 'current_status' END, "
-       "CASE WHEN count(lat) > 0 THEN 'lat' END, CASE WHEN count(lon) > 0 THEN 'lon' END, CASE WHEN count(route_id) > 0 THEN 'route_id' END, CASE WHEN count(speed) > 0 THEN 'speed' END, "
-       f"CASE WHEN count(trip_id) > 0 THEN 'trip_id' END, 'ts', 'vehicle_id') AS fields FROM (SELECT *, least((ts - {BASE_TS}) // {_SLICE_S}, 3) AS slice FROM positions_fast_v) GROUP BY 1) "
-       "SELECT slice AS batch, fields FROM (SELECT *, lag(fields, 1, '') OVER (ORDER BY slice) AS before FROM prints) WHERE fields <> before")
+@query("stream_late_count", _LANDED + ", seen AS (SELECT slice, max(ts) AS newest FROM observed GROUP BY 1), bound AS (SELECT slice, "
+       "max(newest) OVER (ORDER BY slice ROWS UNBOUNDED PRECEDING) AS newest, max(newest) OVER (ORDER BY slice ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM seen) "
+       "SELECT CAST(o.slice AS BIGINT) AS batch, max(b.newest) AS newest, count(*) FILTER (WHERE before IS NULL OR ts >= before - 600) AS kept, "
+       "count(*) FILTER (WHERE ts < before - 600) AS late FROM observed o JOIN bound b USING (slice) GROUP BY o.slice")
+def stream_late_count(t):
+    return _ingested(t).late.select("batch", "newest", "kept", "late")
+
+
+@query("stream_schema_watch", _LANDED + ", prints AS (SELECT slice, concat_ws(',', CASE WHEN count(bearing) FILTER (WHERE lat IS NOT NULL) > 0 THEN 'bearing' END, CASE WHEN count(current_status) > 0 THEN 'current_status' END, "
+       "CASE WHEN count(lat) > 0 THEN 'lat' END, CASE WHEN count(lon) FILTER (WHERE lat IS NOT NULL) > 0 THEN 'lon' END, CASE WHEN count(route_id) > 0 THEN 'route_id' END, "
+       "CASE WHEN count(speed) FILTER (WHERE lat IS NOT NULL) > 0 THEN 'speed' END, CASE WHEN count(trip_id) > 0 THEN 'trip_id' END, 'ts', 'vehicle_id') AS fields FROM observed GROUP BY 1) "
+       "SELECT CAST(slice AS BIGINT) AS batch, fields FROM (SELECT *, lag(fields, 1, '') OVER (ORDER BY slice) AS before FROM prints) WHERE fields <> before")
 def stream_schema_watch(t):
     return _ingested(t).field_sets.select("batch", "fields")
 
@@ -113,8 +159,9 @@ _CELL = ["cell_y", "cell_x", "hour_bucket"]
 @query("stream_tumbling_rollup", "SELECT cell_y, cell_x, hour_bucket, observations, vehicles, moving, stopped, round(speed_sum, 4) AS speed_sum FROM grid_v")
 def stream_tumbling_rollup(t):
     measures, vehicles = shared_dir(t.spark, "cells"), shared_dir(t.spark, "vehicles")
-    _run(t, stateful.cell_measures(_event_stream(t, fast=False)), runner.update_sink(measures), "update")
-    _run(t, stateful.cell_vehicles(_event_stream(t, fast=False)), runner.update_sink(vehicles), "update")
+    source = _out_of_order(t, t.positions.select("vehicle_id", "ts", "lat", "lon", "speed"))
+    _run(t, stateful.cell_measures(source, "12 days"), runner.update_sink(measures), "update")
+    _run(t, stateful.cell_vehicles(source, "12 days"), runner.update_sink(vehicles), "update")
     key = "cell_y int, cell_x int, hour_bucket bigint"
     left = runner.newest_updates(t.spark, measures, f"{key}, observations bigint, moving bigint, stopped bigint, speed_sum double", _CELL)
     right = runner.newest_updates(t.spark, vehicles, f"{key}, vehicles bigint", _CELL)
@@ -123,10 +170,11 @@ def stream_tumbling_rollup(t):
 
 @query("stream_sessions", ", marked AS (SELECT *, sum(CASE WHEN ts - prev <= 90 THEN 0 ELSE 1 END) OVER (PARTITION BY vehicle_id ORDER BY ts, arrival) AS session FROM "
        "(SELECT *, lag(ts) OVER (PARTITION BY vehicle_id ORDER BY ts, arrival) AS prev FROM positions_fast_v)) SELECT vehicle_id, min(ts) AS first_ts, max(ts) AS last_ts, count(*) AS reports "
-       "FROM marked GROUP BY vehicle_id, session HAVING max(ts) + 90 <= (SELECT max(ts) - 60 FROM positions_fast_v)")
+       "FROM marked GROUP BY vehicle_id, session HAVING max(ts) + 90 <= (SELECT max(ts) - 5400 FROM positions_fast_v)")
 def stream_sessions(t):
     out = shared_dir(t.spark, "sessions")
-    _run(t, stateful.sessions(_event_stream(t)), runner.update_sink(out))
+    source = _out_of_order(t, t.positions_fast.select("vehicle_id", "ts"), 5400)
+    _run(t, stateful.sessions(source, lateness="90 minutes"), runner.update_sink(out))
     return t.spark.read.parquet(out).select("vehicle_id", "first_ts", "last_ts", "reports")
 
 
@@ -150,7 +198,7 @@ def stream_trip_gap_state(t):
     return newest.select("vehicle_id", "trip_id", F.col("ts").alias("last_ts"), "has_gap")
 
 
-# A backlog of four files taken one at a time, each followed by bounded fold steps.
+# A backlog of four files of 45 minutes taken one at a time, each followed by steps of 20 minutes.
 @query("stream_chunked_catchup", "SELECT * FROM gap_hours_v")
 def stream_chunked_catchup(t):
     store = fold.FoldTables(t.spark, shared_dir(t.spark, "backlog"))
@@ -160,24 +208,17 @@ def stream_chunked_catchup(t):
         tables.append_log(batch, store.path("log"), batch_id)
         newest = batch.agg(F.max("ts")).first()[0]
         if newest is not None:
-            fold.catch_up(store, newest, chunk_s=3600 * 12)
+            fold.catch_up(store, newest, chunk_s=1200)
 
     _run(t, _staged_stream(t, log), write)
     return store.gap_hours.select("hour_bucket", *continuity.COUNTERS)
 
 
-@query("stream_late_count", "SELECT max(ts) AS newest, count(*) FILTER (WHERE ts >= (SELECT max(ts) FROM positions_fast_v) - 3600) AS kept, "
-       "count(*) FILTER (WHERE ts < (SELECT max(ts) FROM positions_fast_v) - 3600) AS late FROM positions_fast_v")
-def stream_late_count(t):
-    out = shared_dir(t.spark, "late")
-    _run(t, _event_stream(t).select("vehicle_id", "ts"), ingest.late_count_batch(out, 3600))
-    return t.spark.read.parquet(out).select("newest", "kept", "late")
-
-
 @query("stream_trip_match", "SELECT live_trip_id, route_id, matched_trip_id, match_type, delta_minutes FROM matches_v "
        "QUALIFY row_number() OVER (PARTITION BY live_trip_id ORDER BY route_id, vehicle_id) = 1")
 def stream_trip_match(t):
     out = shared_dir(t.spark, "matches")
-    _run(t, _event_stream(t, fast=False), stateful.match_batch(out, t.trips, NOW))
-    return tables.read_version(t.spark, out, schemas.TRIP_MATCH).select(
+    source = _out_of_order(t, t.positions)
+    _run(t, source, stateful.match_batch(out, t.trips, NOW))
+    return fold.newest_matches(tables.read_table(t.spark, out, fold.MATCH_UPDATES)).select(
         "live_trip_id", "route_id", "matched_trip_id", "match_type", "delta_minutes")

@@ -11,16 +11,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schemas
-from ..constants import (CONTINUITY_CHUNK_S, GAP_THRESHOLD_S, MATCH_CHUNK_S, MATCH_REWIND_S, RETENTION_S)
-from ..operators import continuity, matching, merge, rollup
+from ..constants import (CONTINUITY_CHUNK_S, GAP_THRESHOLD_S, MATCH_CHUNK_S, MATCH_REWIND_S)
+from ..operators import continuity, keyed, matching, merge, rollup
+from ..sources.scans import time_window
 from . import tables
 
 LOG_SCHEMA = schemas.T.StructType(
     schemas.POSITIONS.fields + schemas.struct_of("arrival:l day:D batch:l").fields)
 WATERMARKS = schemas.struct_of("key:s value:l")
+MATCH_UPDATES = schemas.T.StructType(schemas.TRIP_MATCH.fields + schemas.struct_of("batch:l").fields)
 COUNTERS = schemas.T.StructType(schemas.CONTINUITY_HOUR.fields + schemas.struct_of("step:l").fields)
 
 
+def newest_matches(updates: DataFrame) -> DataFrame:
+    """Of every live trip the match that the latest pass wrote."""
+    return keyed.first_per_key(updates, "live_trip_id", F.desc("batch"), F.desc("matched_at"), "route_id", "vehicle_id")
+
+
 @dataclass(frozen=True)
 class FoldTables:
     spark: SparkSession
@@ -43,8 +50,38 @@ class FoldTables:
 
     @property
     def gap_hours(self) -> DataFrame:
+        """Counters of all steps: those folded into the base, and the steps after it."""
+        base = tables.latest_version(self.spark, self.path("continuity_base"))
         steps = tables.read_table(self.spark, self.path("continuity"), COUNTERS)
-        return steps.groupBy("hour_bucket").agg(*[F.sum(c).alias(c) for c in continuity.COUNTERS])
+        steps = (steps if base is None else steps.filter(F.col("step") > base)).drop("step")
+        both = steps.unionByName(self.state("continuity_base", schemas.CONTINUITY_HOUR))
+        return both.groupBy("hour_bucket").agg(*[F.sum(c).alias(c) for c in continuity.COUNTERS])
+
+    def merge_steps(self, keep: int = 2) -> None:
+        """Fold all but the newest steps into the base. The base names the last step in it, so a step
+        whose folder outlives a failure is not counted twice."""
+        steps = sorted(int(v) for v in tables.partition_values(self.spark, self.path("continuity"), "step"))[:-keep]
+        base = tables.latest_version(self.spark, self.path("continuity_base"))
+        fresh = [s for s in steps if base is None or s > base]
+        if fresh:
+            stored = tables.read_table(self.spark, self.path("continuity"), COUNTERS)
+            rows = stored.filter(F.col("step").isin(fresh)).drop("step").unionByName(
+                self.state("continuity_base", schemas.CONTINUITY_HOUR))
+            sums = rows.groupBy("hour_bucket").agg(*[F.sum(c).alias(c) for c in continuity.COUNTERS])
+            tables.write_version(sums, self.path("continuity_base"), fresh[-1])
+        for step in steps:
+            tables.drop_partition(self.spark, self.path("continuity"), "step", step)
+
+    def _edge(self, day: str, pick) -> int | None:
+        rows = self.log.filter(F.col("day") == F.lit(day).cast("date"))
+        return rows.agg(pick("ts")).first()[0]
+
+    def extent(self) -> tuple[int, int] | None:
+        """Oldest and newest report, read from the first and the last day's folder alone."""
+        days = tables.partition_values(self.spark, self.path("log"), "day")
+        if not days:
+            return None
+        return self._edge(days[0], F.min), self._edge(days[-1], F.max)
 
     def state(self, name: str, schema) -> DataFrame:
         return tables.read_version(self.spark, self.path(name), schema)
@@ -55,7 +92,8 @@ class FoldTables:
 
     @property
     def matches(self) -> DataFrame:
-        return self.state("trip_match", schemas.TRIP_MATCH)
+        """The newest match of every live trip."""
+        return newest_matches(tables.read_table(self.spark, self.path("trip_match"), MATCH_UPDATES)).drop("batch")
 
     def watermarks(self) -> dict:
         """A handful of named numbers."""
@@ -78,10 +116,17 @@ def fold_rollups(t: FoldTables, newest: int, full: bool = False) -> int:
     return since
 
 
+def _start(t: FoldTables, newest: int) -> int:
+    """Where a first fold begins: just before the oldest stored report."""
+    extent = t.extent()
+    return newest if extent is None or extent[0] is None else max(0, extent[0] - 1)
+
+
 def fold_continuity(t: FoldTables, newest: int, chunk_s: int = CONTINUITY_CHUNK_S,
                     threshold: int = GAP_THRESHOLD_S) -> bool:
     """One bounded step of the gap counters. Returns whether a backlog is left."""
-    since = t.watermarks().get("continuity", max(0, newest - RETENTION_S))
+    since = t.watermarks().get("continuity")
+    since = _start(t, newest) if since is None else since
     if since >= newest:
         return False
     until = min(since + chunk_s, newest)
@@ -90,41 +135,46 @@ def fold_continuity(t: FoldTables, newest: int, chunk_s: int = CONTINUITY_CHUNK_
     counters = continuity.gap_hour_counters(t.log, since, until, threshold, vehicles)
     tables.replace_partitions(counters.withColumn("step", F.lit(until).cast("bigint")), t.path("continuity"), "step")
     # State versions carry the watermark they belong to, so a step always starts from its own.
-    # Steps are at least a second long; older versions stay until the next step has been written.
-    tables.write_version(continuity.vehicle_gap_state(t.log, since, until, vehicles),
-                         t.path("vehicle_gap_state"), until, keep=2 * max(chunk_s, until - since))
-    tables.write_version(continuity.trip_gap_state(t.log, since, until, threshold, trips),
-                         t.path("trip_gap_state"), until, keep=2 * max(chunk_s, until - since))
+    # The version it started from stays beside the new one, until the next step has been written.
+    tables.write_version(continuity.vehicle_gap_state(t.log, since, until, vehicles), t.path("vehicle_gap_state"), until)
+    tables.write_version(continuity.trip_gap_state(t.log, since, until, threshold, trips), t.path("trip_gap_state"), until)
     t.advance(continuity=until)
+    t.merge_steps()
     return until < newest
 
 
-def match_new_trips(t: FoldTables, trips: DataFrame, newest: int, now: int) -> bool:
-    """Match the live trips seen since the watermark, with a short rewind, at most a day at once."""
+def match_new_trips(t: FoldTables, trips: DataFrame, newest: int, now: int, compact_at: int = 64) -> bool:
+    """Match the live trips seen since the watermark, with a short rewind, at most a day at once.
+
+    A pass writes its own matches only; what is read takes the newest of each trip.
+    """
     mark = t.watermarks().get("trip_match")
-    since = max(0, mark - MATCH_REWIND_S) if mark is not None else max(0, newest - RETENTION_S)
+    since = max(0, mark - MATCH_REWIND_S) if mark is not None else _start(t, newest)
     if since >= newest:
         return False
     until = min(since + MATCH_CHUNK_S, newest)
     found = matching.match_window(t.log, trips, since, until, now)
-    version = tables.latest_version(t.spark, t.path("trip_match"))
-    tables.write_version(merge.trip_match_upsert(t.matches, found), t.path("trip_match"),
-                         0 if version is None else version + 1)
+    found.write.mode("overwrite").parquet(f"{t.path('trip_match')}/batch={until}")
+    if len(tables.partition_values(t.spark, t.path("trip_match"), "batch")) > compact_at:
+        tables.compact_updates(t.spark, t.path("trip_match"), MATCH_UPDATES, newest_matches)
     t.advance(trip_match=until)
     return until < newest
 
 
 def run_once(t: FoldTables, trips: DataFrame, now: int, full: bool = False) -> dict:
     """One pass of all three folds; audit figures in the result."""
-    newest = t.log.agg(F.max("ts")).first()[0]
-    if newest is None:
+    for name in ("log", "trip_match"):
+        tables.recover(t.spark, t.path(name))
+    extent = t.extent()
+    if extent is None or extent[1] is None:
         return {"rows_scanned": 0}
+    newest = extent[1]
     since = fold_rollups(t, newest, full)
     backlog = fold_continuity(t, newest)
     unmatched = match_new_trips(t, trips, newest, now)
-    scanned = rollup.rollup_progress(t.log, since).first()
+    scanned = time_window(t.log, since).count()
     counts = rollup.rollup_counts(t.grid_hours, t.route_hours).first()
-    return {"rows_scanned": scanned["rows_scanned"], "watermark": newest, "since": since,
+    return {"rows_scanned": scanned, "watermark": newest, "since": since,
             "cells": counts["cells"], "routes": counts["routes"],
             "continuity_backlog": backlog, "match_backlog": unmatched}
 

@@ -13,6 +13,8 @@ from ..functions import clock
 from ..operators.merge import retention_prune
 
 
+FOLDED = -1  # batch number of rows that were folded together
+
 # ---- folders --------------------------------------------------------------
 def _fs(spark: SparkSession, path: str):
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
@@ -39,6 +41,38 @@ def drop_partition(spark: SparkSession, root: str, column: str, value) -> None:
     fs.delete(location, True)
 
 
+def swap_partition(spark: SparkSession, staged: str, target: str) -> None:
+    """Put a written folder in the place of another one.
+
+    The old content is set aside under a name that readers skip and goes last; ``recover`` puts it
+    back if the swap was cut off before the new content was in place.
+    """
+    fs, new = _fs(spark, staged)
+    _, old = _fs(spark, target)
+    parent, name = target.rsplit("/", 1)
+    _, aside = _fs(spark, f"{parent}/.old.{name}")
+    if fs.exists(old):
+        fs.delete(aside, True)
+        fs.rename(old, aside)
+    fs.rename(new, old)
+    fs.delete(aside, True)
+
+
+def recover(spark: SparkSession, root: str) -> None:
+    """Undo a swap that was cut off: what was set aside comes back unless its successor is there."""
+    fs, location = _fs(spark, root)
+    if not fs.exists(location):
+        return
+    for status in fs.listStatus(location):
+        name = status.getPath().getName()
+        if name.startswith(".old."):
+            _, target = _fs(spark, f"{root}/{name.removeprefix('.old.')}")
+            if not fs.exists(target):
+                fs.rename(status.getPath(), target)
+            else:
+                fs.delete(status.getPath(), True)
+
+
 def read_table(spark: SparkSession, root: str, schema) -> DataFrame:
     """The table, or an empty frame before its first write. The schema is explicit either way."""
     if not exists(spark, root):
@@ -71,23 +105,56 @@ def time_partition_layout(rows: DataFrame, column: str = "ts", hourly: bool = Fa
 
 def prune_log(spark: SparkSession, root: str, schema, cutoff: int) -> list[str]:
     """Drop whole days before the cutoff and rewrite the day it falls into. Returns dropped days."""
+    recover(spark, root)
     boundary = str(spark.range(1).select(clock.local_date(F.lit(cutoff), "UTC")).first()[0])
     dropped = [day for day in partition_values(spark, root, "day") if day < boundary]
     for day in dropped:
         drop_partition(spark, root, "day", day)
     if cutoff % DAY_S and exists(spark, f"{root}/day={boundary}"):
-        edge = read_table(spark, root, schema).filter(F.col("day") == F.lit(boundary).cast("date"))
-        kept = retention_prune(edge, cutoff)
-        staging = f"{root}_pruned_{cutoff}"
-        kept.write.mode("overwrite").partitionBy("day", "batch").parquet(staging)
-        # Staged first: a plan must not overwrite the files it reads.
-        drop_partition(spark, root, "day", boundary)
-        replace_partitions(read_table(spark, staging, schema), root, "day", "batch")
-        fs, location = _fs(spark, staging)
-        fs.delete(location, True)
+        _rewrite_day(spark, root, schema, boundary, lambda rows: retention_prune(rows, cutoff))
     return dropped
 
 
+def _rewrite_day(spark: SparkSession, root: str, schema, day: str, change, batch: int | None = None) -> None:
+    """Write a day's changed content aside, then swap it in; one batch folder if ``batch`` is given."""
+    rows = change(read_table(spark, root, schema).filter(F.col("day") == F.lit(day).cast("date"))).drop("day")
+    if batch is not None:
+        rows = rows.withColumn("batch", F.lit(batch).cast("bigint"))
+    aside = f"{root}/.new.day={day}"
+    rows.hint("rebalance", "batch").write.mode("overwrite").partitionBy("batch").parquet(aside)
+    swap_partition(spark, aside, f"{root}/day={day}")
+
+
+def compact_log(spark: SparkSession, root: str, schema) -> list[str]:
+    """Fold every closed day (all but the newest) that holds several batches into one. Returns the days.
+
+    The folder gets a number that no batch has, so a batch that is written again replaces nothing in it;
+    it finds its rows in the log and appends none of them.
+    """
+    recover(spark, root)
+    done = []
+    for day in partition_values(spark, root, "day")[:-1]:
+        batches = [int(v) for v in partition_values(spark, f"{root}/day={day}", "batch")]
+        if len(batches) > 1:
+            _rewrite_day(spark, root, schema, day, lambda rows: rows, FOLDED)
+            done.append(day)
+    return done
+
+
+def compact_updates(spark: SparkSession, root: str, schema, newest) -> None:
+    """Fold all but the latest batch of updates into one with ``newest``, so that reads stay short."""
+    recover(spark, root)
+    done = sorted(int(v) for v in partition_values(spark, root, "batch"))[:-1]
+    if len(done) < 2:
+        return
+    updates = read_table(spark, root, schema).filter(F.col("batch") <= done[-1])
+    aside = f"{root}/.new.batch={done[-1]}"
+    newest(updates).drop("batch").write.mode("overwrite").parquet(aside)
+    swap_partition(spark, aside, f"{root}/batch={done[-1]}")
+    for batch in done[:-1]:
+        drop_partition(spark, root, "batch", batch)
+
+
 # ---- rollups --------------------------------------------------------------
 def replace_hours(folded: DataFrame, root: str, since: int) -> None:
     """Replace every hour from ``since`` on, and remove those that hold nothing any more."""
@@ -114,9 +181,12 @@ def read_version(spark: SparkSession, root: str, schema, version: int | None = N
 
 
 def write_version(df: DataFrame, root: str, version: int, keep: int = 2) -> None:
-    """Write the whole new content beside the old one; readers move on when it is complete."""
+    """Write the whole new content beside the old one; readers move on when it is complete.
+
+    The newest ``keep`` versions up to this one stay, whatever their numbers.
+    """
     spark = df.sparkSession
     df.write.mode("overwrite").parquet(f"{root}/version={version}")
-    for old in partition_values(spark, root, "version"):
-        if int(old) <= version - keep:
-            drop_partition(spark, root, "version", old)
+    older = sorted(int(v) for v in partition_values(spark, root, "version") if int(v) < version)
+    for old in older[:len(older) - keep + 1]:
+        drop_partition(spark, root, "version", old)

@@ -57,12 +57,3 @@ def shared_dir(spark: SparkSession, purpose: str) -> str:
         base = tempfile.mkdtemp(prefix="spark-fleetlens-")
         spark.conf.set("spark.checkpoint.dir", base)
     return os.path.join(base, f"{purpose}-{uuid.uuid4().hex}")
-
-
-def checkpoint(df):
-    """Cut the lineage through the shared folder; survives the loss of executors."""
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(shared_dir(spark, "lineage"))
-    return df.checkpoint()

@@ -1,6 +1,6 @@
 """Feed messages (JSON text) to rows. Works the same on a batch and on a stream of messages."""
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import schemas
@@ -23,18 +23,20 @@ def _entities(array: str):
     return F.posexplode_outer(array).alias("entity_no", "e")
 
 
-def position_feed_flatten(messages: DataFrame, now: int, body: str = "body") -> DataFrame:
+def position_feed_flatten(messages: DataFrame, now: int | Column, body: str = "body") -> DataFrame:
     """One row per entity that carries a vehicle.
 
     The id is the first non-empty of vehicle id, label and entity id; a missing timestamp falls
-    back to the header's, then to ``now``. Other columns of the message frame are kept.
+    back to the header's, then to ``now`` (a number, or a column of the messages). Other columns of
+    the message frame are kept.
     """
+    now = now if isinstance(now, Column) else F.lit(now)
     kept = [c for c in messages.columns if c != body]
     parsed = messages.withColumn("m", F.from_json(body, schemas.POSITION_MESSAGE))
     entities = parsed.select(*kept, F.col("m.header.timestamp").alias("_header"),
                              _entities("m.entity")).filter(F.col("e.vehicle").isNotNull())
     vehicle_id = F.trim(F.coalesce(_text("e.vehicle.vehicle.id"), _text("e.vehicle.vehicle.label"), _text("e.id")))
-    ts = F.coalesce(F.nullif("e.vehicle.timestamp", F.lit(0)), F.nullif("_header", F.lit(0)), F.lit(now))
+    ts = F.coalesce(F.nullif("e.vehicle.timestamp", F.lit(0)), F.nullif("_header", F.lit(0)), now)
     position = lambda name: F.col(f"e.vehicle.position.{name}")
     return entities.select(
         *kept, "entity_no", vehicle_id.alias("vehicle_id"), ts.alias("ts"),
@@ -47,6 +49,11 @@ def position_feed_flatten(messages: DataFrame, now: int, body: str = "body") ->
     ).filter(F.col("vehicle_id") != "")
 
 
+def feed_time(body: str = "body") -> Column:
+    """The header's own timestamp of a position message; NULL if there is none or it is 0."""
+    return F.nullif(F.from_json(body, "header struct<timestamp:bigint>")["header"]["timestamp"], F.lit(0))
+
+
 def json_envelope_split(messages: DataFrame, body: str = "body") -> DataFrame:
     """Adds ok, data (JSON text) and error for the two response shapes of the delay feed."""
     keys = F.json_object_keys(F.col(body))

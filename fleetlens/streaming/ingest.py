@@ -2,18 +2,21 @@
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import schemas
+from ..constants import HOUR_S
 from ..operators import merge, quality
 from ..plans import tables
 from ..plans.fold import LOG_SCHEMA
-from ..sources.feeds import position_feed_flatten
+from ..sources.feeds import feed_time, position_feed_flatten
 from ..sources.scans import time_window
 
 DEAD_SCHEMA = schemas.T.StructType(schemas.DEADLETTERS.fields + schemas.struct_of("arrival:l batch:l").fields)
-POLL_SCHEMA = schemas.T.StructType(schemas.POLLS.fields + schemas.struct_of("batch:l").fields)
+POLL_SCHEMA = schemas.T.StructType(schemas.POLLS.fields + schemas.struct_of("message_key:l batch:l").fields)
+LATEST_SCHEMA = schemas.T.StructType(schemas.POSITIONS.fields + schemas.struct_of("arrival:l batch:l").fields)
+LATE_SCHEMA = "newest bigint, kept bigint, late bigint, batch bigint"
 FIELD_SETS = "changed_at bigint, fields string, batch bigint"
 WATCHED = [c for c in schemas.POSITION_COLUMNS if c != "ingested_at"]
 
@@ -38,19 +41,60 @@ class IngestTables:
     def polls(self) -> DataFrame:
         return tables.read_table(self.spark, self.path("polls"), POLL_SCHEMA)
 
+    @property
+    def latest(self) -> DataFrame:
+        """The newest row of every vehicle; of equal times the later arrival."""
+        return merge.latest_projection(tables.read_table(self.spark, self.path("latest"), LATEST_SCHEMA)).drop("batch")
+
+    @property
+    def late(self) -> DataFrame:
+        return tables.read_table(self.spark, self.path("late"), LATE_SCHEMA)
+
+    def compact(self) -> None:
+        """Fold the latest rows of past batches into one partition, and the closed days of the log."""
+        tables.compact_updates(self.spark, self.path("latest"), LATEST_SCHEMA, merge.latest_projection)
+        tables.compact_log(self.spark, self.path("log"), LOG_SCHEMA)
+
     @property
     def field_sets(self) -> DataFrame:
         return tables.read_table(self.spark, self.path("field_sets"), FIELD_SETS)
 
 
-def observation_rows(messages: DataFrame, now: int) -> DataFrame:
-    """Messages (body, ingested_at) to log rows; arrival orders rows inside and across messages."""
-    flat = position_feed_flatten(messages, now)
-    arrival = F.col("ingested_at") * 1_000_000 + F.col("entity_no") if "message_id" not in messages.columns \
-        else F.col("message_id") * 1000 + F.col("entity_no")
+# An arrival number holds the micro-batch, the message in it and the entity in the message, so no two
+# entities share one and their order is that of arrival.
+MESSAGE_BITS, ENTITY_BITS = 18, 20
+_BATCH_SHIFT = MESSAGE_BITS + ENTITY_BITS
+
+
+def number_messages(messages: DataFrame, batch_id: int) -> DataFrame:
+    """Adds ``message_key``: the batch and the message's place in it, by the time it came and its id.
+
+    Only the keys of one micro-batch's messages are ordered, never their bodies. A message that came
+    twice keeps one number. Messages without an id are told apart by a hash of their text.
+    """
+    mark = F.col("message_id") if "message_id" in messages.columns else F.xxhash64("body")
+    marked = messages.withColumn("_mark", mark)
+    keys = marked.select(F.col("ingested_at").alias("_at"), F.col("_mark").alias("_same")).distinct()
+    place = F.row_number().over(Window.orderBy("_at", "_same")).cast("bigint") - 1
+    fits = F.when(place < 1 << MESSAGE_BITS, place).otherwise(F.raise_error(F.lit("too many messages in one batch")))
+    numbered = keys.withColumn("message_key", F.lit(batch_id * (1 << MESSAGE_BITS)) + fits)
+    same = F.col("_at").eqNullSafe(F.col("ingested_at")) & F.col("_same").eqNullSafe(F.col("_mark"))
+    return marked.join(numbered, same).select(*messages.columns, "message_key")
+
+
+def observation_rows(numbered: DataFrame) -> DataFrame:
+    """Numbered messages (body, ingested_at, message_key) to log rows with their arrival."""
+    flat = position_feed_flatten(numbered, F.col("ingested_at"))
+    entity = F.when(F.col("entity_no") < 1 << ENTITY_BITS, F.col("entity_no")).otherwise(
+        F.raise_error(F.lit("too many entities in one message")))
+    arrival = F.col("message_key") * (1 << ENTITY_BITS) + entity
     return flat.select(*schemas.POSITION_COLUMNS[:-1], "ingested_at", arrival.cast("bigint").alias("arrival"))
 
 
+def message_of(arrival: str = "arrival"):
+    return F.shiftright(arrival, ENTITY_BITS).alias("message_key")
+
+
 def watch_fields(batch: DataFrame, store: IngestTables, now: int, batch_id: int) -> None:
     """Record the set of populated fields whenever it differs from the set before."""
     before = store.field_sets.filter(F.col("batch") < batch_id).agg(F.max_by("fields", "batch").alias("f")).first()["f"]
@@ -60,18 +104,28 @@ def watch_fields(batch: DataFrame, store: IngestTables, now: int, batch_id: int)
         row.coalesce(1).write.mode("overwrite").parquet(f"{store.path('field_sets')}/batch={batch_id}")
 
 
-def ingest_batch(store: IngestTables, routes: DataFrame):
-    """Writer for one micro-batch of messages: quarantine, dedupe-append, audit, field watch.
+def late_counts(rows: DataFrame, before: int | None, window_s: int) -> DataFrame:
+    """(newest, kept, late): rows older than the window behind the newest of all earlier batches are late."""
+    late = F.lit(False) if before is None else F.col("ts") < before - window_s
+    newest = F.max("ts") if before is None else F.greatest(F.max("ts"), F.lit(before))
+    return rows.agg(newest.alias("newest"), F.count(F.when(~late, 1)).alias("kept"), F.count(F.when(late, 1)).alias("late"))
+
 
-    Every write replaces what the same batch may have written before a failure.
+def ingest_batch(store: IngestTables, routes: DataFrame, late_after_s: int = HOUR_S, compact_every: int = 64):
+    """Writer for one micro-batch of messages: quarantine, dedupe-append, latest rows, one poll row per
+    message, late rows, field watch.
+
+    Every write replaces what the same batch may have written before a failure. Late rows are counted
+    and kept: the log orders by report time, not by arrival.
     """
     def write(messages: DataFrame, batch_id: int) -> None:
-        clock = messages.agg(F.max("ingested_at").alias("now"), F.count("*").alias("n")).first()
-        if not clock["n"]:
-            return
-        now = clock["now"]
-        rows = observation_rows(messages, now).persist()
+        numbered = number_messages(messages, batch_id).persist()
+        rows = None
         try:
+            now = numbered.agg(F.max("ingested_at")).first()[0]
+            if now is None:
+                return
+            rows = observation_rows(numbered).persist()
             kept, dead = merge.quarantine_split(rows, routes, now)
             span = kept.agg(F.min("ts").alias("low"), F.max("ts").alias("high")).first()
             if span["low"] is not None:
@@ -79,23 +133,22 @@ def ingest_batch(store: IngestTables, routes: DataFrame):
                 # the window, row groups by the ts statistics.
                 near = time_window(store.log.filter(F.col("batch") != batch_id), span["low"], span["high"])
                 tables.append_log(merge.dedupe_append(near, kept), store.path("log"), batch_id)
+                place = f"{store.path('latest')}/batch={batch_id}"
+                merge.latest_projection(kept).write.mode("overwrite").parquet(place)
             dead.write.mode("overwrite").parquet(f"{store.path('dead')}/batch={batch_id}")
-            fresh = store.log.filter(F.col("batch") == batch_id)
-            audit = merge.audit_row(rows.withColumn("feed_timestamp", F.col("ts")), fresh, now)
-            audit.coalesce(1).write.mode("overwrite").parquet(f"{store.path('polls')}/batch={batch_id}")
+            fresh = time_window(store.log, span["low"] or 0, span["high"]).filter(F.col("batch") == batch_id)
+            stamped = numbered.withColumn("feed_timestamp", feed_time()).withColumnRenamed("ingested_at", "polled_at")
+            audit = merge.message_audit(stamped.drop("body").dropDuplicates(["message_key"]), rows.select(message_of()),
+                                        fresh.select(message_of()), "message_key")
+            audit.write.mode("overwrite").parquet(f"{store.path('polls')}/batch={batch_id}")
+            before = store.late.filter(F.col("batch") < batch_id).agg(F.max("newest")).first()[0]
+            late_counts(rows, before, late_after_s).filter("newest IS NOT NULL").write.mode("overwrite").parquet(
+                f"{store.path('late')}/batch={batch_id}")
             watch_fields(rows, store, now, batch_id)
         finally:
-            rows.unpersist()
-    return write
-
-
-def late_count_batch(root: str, window_s: int, time_column: str = "ts"):
-    """Writer that counts rows older than the window behind the batch's newest, and keeps the rest out
-    of the count: (newest, kept, late) per batch."""
-    def write(batch: DataFrame, batch_id: int) -> None:
-        newest = batch.agg(F.max(time_column).alias("newest"))
-        late = F.col(time_column) < newest.scalar() - window_s
-        counts = batch.agg(F.max(time_column).alias("newest"), F.count(F.when(~late, 1)).alias("kept"),
-                           F.count(F.when(late, 1)).alias("late"))
-        counts.filter(F.col("newest").isNotNull()).write.mode("overwrite").parquet(f"{root}/batch={batch_id}")
+            numbered.unpersist()
+            if rows is not None:
+                rows.unpersist()
+        if batch_id % compact_every == compact_every - 1:
+            store.compact()
     return write

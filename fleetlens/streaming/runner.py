@@ -60,13 +60,5 @@ def newest_updates(spark: SparkSession, root: str, schema: str, keys) -> DataFra
 
 
 def compact_updates(spark: SparkSession, root: str, schema: str, keys) -> None:
-    """Fold all but the latest batch of updates into one, so that reads stay short."""
-    done = sorted(int(v) for v in tables.partition_values(spark, root, "batch"))[:-1]
-    if len(done) < 2:
-        return
-    updates = tables.read_table(spark, root, f"{schema}, batch bigint").filter(F.col("batch") <= done[-1])
-    staging = f"{root}_compacting"
-    first_per_key(updates, keys, F.desc("batch")).drop("batch").write.mode("overwrite").parquet(staging)
-    spark.read.schema(schema).parquet(staging).write.mode("overwrite").parquet(f"{root}/batch={done[-1]}")
-    for batch in done[:-1]:
-        tables.drop_partition(spark, root, "batch", batch)
+    """Fold all but the latest batch of updates into one; of each key the latest batch's row stays."""
+    tables.compact_updates(spark, root, f"{schema}, batch bigint", lambda rows: first_per_key(rows, keys, F.desc("batch")))

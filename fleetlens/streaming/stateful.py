@@ -7,13 +7,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-from .. import schemas
-from ..constants import GAP_THRESHOLD_S
+from ..constants import DAY_S, DELAY_FEED_RETENTION_S, GAP_THRESHOLD_S
 from ..functions import clock, geo
 from ..functions.measures import count_if, is_plausible_moving, is_stopped
-from ..operators import matching, merge
+from ..operators import matching
 from ..operators.continuity import gap_flags
-from ..plans import tables
 
 
 # ---- latest row per vehicle ----------------------------------------------
@@ -62,13 +60,15 @@ def sessions(positions: DataFrame, gap_s: int = GAP_THRESHOLD_S, lateness: str =
 
 
 # ---- gaps -----------------------------------------------------------------
+TRIP_STATE_TTL_S = DELAY_FEED_RETENTION_S
 GAP_SCHEMA = "kind string, vehicle_id string, trip_id string, ts bigint, prev_ts bigint, has_gap boolean"
 
 
 class GapProcessor(StatefulProcessor):
     """Carries the last ts of a vehicle, and last ts and gap flag of each of its trips.
 
-    A report not newer than the vehicle's last one is a copy or too late, and never counts.
+    A report not newer than the vehicle's last one is a copy or too late, and never counts. Once per
+    day of a vehicle's reports, trips without a report for the time of retention are forgotten.
     """
 
     def __init__(self, threshold_s: int = GAP_THRESHOLD_S):
@@ -94,9 +94,16 @@ class GapProcessor(StatefulProcessor):
         self.last.update((times[-1],))
         yield self._frame("gap", key[0], [(None, t, p, None) for t, p in gaps])
         named = reports[reports["trip_id"].notna()]
+        if last is not None and times[-1] // DAY_S > last // DAY_S:
+            self._forget(times[-1] - TRIP_STATE_TTL_S)
         ended = [self._trip(trip, part["ts"].astype("int64")) for trip, part in named.groupby("trip_id")]
         yield self._frame("trip", key[0], [(trip, ts, None, has_gap) for trip, ts, has_gap in ended])
 
+    def _forget(self, before: int) -> None:
+        for key, (ts, _) in list(self.trips.iterator()):
+            if ts < before:
+                self.trips.removeKey(key)
+
     def _trip(self, trip: str, times: pd.Series) -> tuple:
         known = self.trips.getValue((trip,)) if self.trips.containsKey((trip,)) else None
         longest = times.diff().max()
@@ -132,10 +139,9 @@ def gap_counters(events: DataFrame, threshold_s: int = GAP_THRESHOLD_S) -> DataF
 
 # ---- trip matching --------------------------------------------------------
 def match_batch(root: str, trips: DataFrame, now: int):
-    """Writer that matches the live trips of a batch and upserts them into a versioned table."""
+    """Writer that matches the live trips of a batch; each batch writes its own matches only, and
+    ``fold.newest_matches`` reads the newest of each trip."""
     def write(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        stored = tables.read_version(spark, root, schemas.TRIP_MATCH, batch_id - 1)
         matched = matching.match_window(batch, trips, 0, None, now)
-        tables.write_version(merge.trip_match_upsert(stored, matched), root, batch_id)
+        matched.write.mode("overwrite").parquet(f"{root}/batch={batch_id}")
     return write

@@ -48,11 +48,11 @@ def test_interrupted_continuity_step_starts_over(spark, tmp_path):
     store = fold.FoldTables(spark, str(tmp_path))
     tables.append_log(full, store.path("log"), 0)
     newest = full.agg(F.max("ts")).first()[0]
-    assert fold.fold_continuity(store, newest, chunk_s=5 * 3600)
+    assert fold.fold_continuity(store, newest, chunk_s=3 * 3600)
     marks = store.watermarks()
-    assert fold.fold_continuity(store, newest, chunk_s=5 * 3600)
+    assert fold.fold_continuity(store, newest, chunk_s=3 * 3600)
     store.advance(**marks)                                   # as if the last watermark had been lost
-    fold.catch_up(store, newest, chunk_s=5 * 3600)
+    fold.catch_up(store, newest, chunk_s=3 * 3600)
     assert values(store.gap_hours, *COLUMNS) == values(continuity.gap_hour_counters(full, newest - 12 * 3600, newest), *COLUMNS)
     whole = continuity.trip_gap_state(full, newest - 12 * 3600, newest)
     assert values(store.trip_state, "vehicle_id", "trip_id", "last_ts", "has_gap") == values(whole, "vehicle_id", "trip_id", "last_ts", "has_gap")
@@ -81,7 +81,9 @@ def test_ingest_batches(spark, data, tmp_path):
     write(second, 1)                                         # replay of the last batch
     assert values(store.log, "vehicle_id", "ts", "route_id") == [("A", NOW, "L10"), ("A", NOW + 30, "L10")]
     assert values(store.dead, "vehicle_id", "reason") == [("B", "unknown_route_id")]
-    assert values(store.polls, "polled_at", "entity_count", "new_rows") == [(NOW, 3, 1), (NOW + 30, 2, 1)]
+    assert values(store.polls, "polled_at", "entity_count", "new_rows", "feed_timestamp") == [(NOW, 3, 1, NOW), (NOW + 30, 2, 1, NOW)]
+    assert values(store.latest, "vehicle_id", "ts") == [("A", NOW + 30)]
+    assert values(store.late, "batch", "kept", "late") == [(0, 3, 0), (1, 2, 0)]
     changes = dict(values(store.field_sets, "changed_at", "fields"))
     assert "speed" not in changes[NOW] and "speed" in changes[NOW + 30]
 
