@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from ...session import shared_dir
 from ...sources import csv_lines, feeds, static_csv
+from .. import static_load as static_load_job
 from ..driver_tables import NOW_FAST
 from .registry import query
 
@@ -107,14 +108,15 @@ def vehicle_json_audit(t):
     return feeds.vehicle_json_flatten(vehicle_messages(t), NOW_FAST, retention_s=7200)[1]
 
 
-def trip_messages(t):
+def trip_messages(t, delays=None):
     """One message per order: its trip (given twice) with at most one update per line number."""
+    delays = t.delays if delays is None else delays
     update = F.struct(
         F.col("stop_sequence").cast("string").alias("stop_sequence"), F.struct(F.col("arrival_delay_s").cast("string").alias("delay")).alias("arrival"),
         F.struct(F.col("departure_delay_s").cast("string").alias("delay")).alias("departure"), "stop_id",
         F.col("stop_status").alias("schedule_relationship"))
     status = F.when(F.col("order_status") == "F", "CANCELED").otherwise("SCHEDULED")
-    grouped = t.delays.groupBy("order_key", "trip_id", "service_date", status.alias("status")).agg(
+    grouped = delays.groupBy("order_key", "trip_id", "service_date", status.alias("status")).agg(
         F.collect_list(update).alias("updates"))
     def entity(updates):
         trip = F.struct("trip_id", F.date_format("service_date", "ddMMyyyy").alias("start_date"),
@@ -176,3 +178,15 @@ def csv_lines_agency(t):
         "pull_id", F.array(F.lit("agency_id,agency_name,agency_url"), F.col("line")).alias("lines"))
     rows, _ = csv_lines.csv_lines_scan(pulls, "agency")
     return rows.select("pull_id", "agency_id", "agency_name", "agency_url")
+
+
+@query("static_load", "SELECT stop_id, CASE WHEN CAST(substr(stop_id, 2) AS BIGINT) % 10 = 0 THEN stop_name || ' again' ELSE stop_name END AS stop_name, round(stop_lat, 6) AS stop_lat, "
+       f"CAST({NOW_FAST} AS BIGINT) AS loaded_at FROM stops_v")
+def static_load(t):
+    """One file where every tenth stop is given twice; the later row stays."""
+    folder, root = shared_dir(t.spark, "static"), shared_dir(t.spark, "schedule")
+    again = t.stops.filter(F.substring("stop_id", 2, 20).cast("bigint") % 10 == 0).withColumn("stop_name", F.concat("stop_name", F.lit(" again")))
+    t.stops.unionByName(again).coalesce(1).write.csv(f"{folder}/stops.txt", header=True)
+    static_load_job.load(t.spark, folder, root, NOW_FAST)
+    loaded = static_load_job.read(t.spark, root, "stops")
+    return loaded.select("stop_id", "stop_name", F.round("stop_lat", 6).alias("stop_lat"), F.lit(static_load_job.loaded_at(t.spark, root)).cast("bigint").alias("loaded_at"))

@@ -6,10 +6,10 @@ from ...operators import continuity
 from ...operators.keyed import first_per_key
 from ...session import shared_dir
 from ...sources.feeds import position_feed_flatten
-from ...streaming import ingest, runner, stateful
+from ...streaming import ingest, runner, second_feed, stateful
 from .. import fold, tables
 from ..driver_tables import BASE_TS, NOW, NOW_FAST
-from .feeds import _FLAT, position_entity, position_messages, vehicle_type
+from .feeds import _FLAT, position_entity, position_messages, trip_messages, vehicle_messages, vehicle_type
 from .registry import query, rounded
 
 _SLICE_S = 2700
@@ -222,3 +222,63 @@ def stream_trip_match(t):
     _run(t, source, stateful.match_batch(out, t.trips, NOW))
     return fold.newest_matches(tables.read_table(t.spark, out, fold.MATCH_UPDATES)).select(
         "live_trip_id", "route_id", "matched_trip_id", "match_type", "delta_minutes")
+
+
+# ---- the second feed ------------------------------------------------------
+def _landed_stream(t, frames):
+    """One file per frame, oldest first."""
+    root = shared_dir(t.spark, "second")
+    for frame in frames:
+        frame.coalesce(1).write.mode("append").parquet(root)
+    return runner.file_stream(t.spark, root, frames[0].schema, files_per_trigger=1)
+
+
+def _enveloped(messages, data="data"):
+    return messages.withColumn("body", F.concat(F.lit('{"IsSuccess":true,"Data":'), F.col(data), F.lit("}"))).drop(data)
+
+
+def _second_feed_vehicles(t):
+    store = second_feed.SecondFeedTables(t.spark, shared_dir(t.spark, "second_feed"))
+    messages = _enveloped(vehicle_messages(t)).withColumn("ingested_at", F.lit(NOW_FAST).cast("bigint"))
+    broken = t.spark.createDataFrame([(-1, '{"IsSuccess":false,"Message":"down"}', NOW_FAST)], "message_id bigint, body string, ingested_at bigint")
+    parts = [messages.filter(F.pmod(F.xxhash64("message_id"), F.lit(4)) == i) for i in range(4)]
+    parts[0] = parts[0].unionByName(broken)
+    parts.append(parts[1])                                  # a file that comes twice
+    _run(t, _landed_stream(t, parts), second_feed.vehicle_batch(store, retention_s=7200, compact_every=2))
+    return store
+
+
+_SECOND = ("(SELECT vehicle_id, CASE WHEN arrival % 3 = 2 THEN ts + 1 ELSE ts END AS ts, arrival, trip_id FROM positions_fast_v WHERE lat IS NOT NULL AND lon IS NOT NULL)")
+
+
+@query("stream_vehicle_ingest", f"SELECT DISTINCT vehicle_id, ts FROM {_SECOND} WHERE ts >= {NOW_FAST - 7200}")
+def stream_vehicle_ingest(t):
+    return _second_feed_vehicles(t).log.select("vehicle_id", "ts")
+
+
+@query("stream_vehicle_latest", f"SELECT v.vehicle_id, max(ts) AS ts, CAST({NOW_FAST} AS BIGINT) AS last_seen FROM {_SECOND} v WHERE ts >= {NOW_FAST - 7200} GROUP BY 1")
+def stream_vehicle_latest(t):
+    store = _second_feed_vehicles(t)
+    return store.latest.join(store.vehicles.drop("label"), "vehicle_id").select("vehicle_id", "ts", F.unix_seconds("last_seen").alias("last_seen"))
+
+
+@query("stream_vehicle_polls", f"SELECT message_id, ok, count(*) AS polls, min(entities) AS entities, CAST(sum(new_rows + duplicates) AS BIGINT) AS usable FROM (SELECT arrival AS message_id, true AS ok, 2 AS entities, "
+       f"CASE WHEN lat IS NOT NULL AND lon IS NOT NULL AND CASE WHEN arrival % 3 = 2 THEN ts + 1 ELSE ts END >= {NOW_FAST - 7200} THEN 1 ELSE 0 END AS new_rows, 0 AS duplicates FROM positions_fast_v "
+       "UNION ALL SELECT -1, false, NULL, 0, 0) GROUP BY 1, 2")
+def stream_vehicle_polls(t):
+    polls = _second_feed_vehicles(t).polls.filter(F.col("batch") < 4)
+    return polls.groupBy("message_id", "ok").agg(F.count("*").alias("polls"), F.min("entities").cast("int").alias("entities"),
+                                                 F.sum(F.col("new_rows") + F.col("duplicates")).alias("usable"))
+
+
+@query("stream_delay_round", "SELECT DATE '1992-01-01' + CAST(order_key % 5 AS INT) + 3650 AS service_date, trip_id, stop_sequence, arrival_delay_s + CASE WHEN order_key % 3 = 0 THEN 60 ELSE 0 END AS arrival_delay_s, "
+       "CAST(CASE WHEN order_key % 3 = 0 AND arrival_delay_s IS NOT NULL THEN 1 ELSE 0 END AS SMALLINT) AS changes FROM delays_v")
+def stream_delay_round(t):
+    """Two rounds of five service days; in the second one, every third order's arrivals are a minute later."""
+    store = second_feed.SecondFeedTables(t.spark, shared_dir(t.spark, "second_feed"))
+    first = t.delays.withColumn("service_date", F.date_add(F.lit("1992-01-01").cast("date"), (F.col("order_key") % 5).cast("int")))
+    later = first.withColumn("arrival_delay_s", F.col("arrival_delay_s") + F.when(F.col("order_key") % 3 == 0, 60).otherwise(0))
+    rounds = [_enveloped(trip_messages(t, delays)).withColumn("ingested_at", F.lit(NOW_FAST + i * 900).cast("bigint"))
+              for i, delays in enumerate((first, later))]
+    _run(t, _landed_stream(t, rounds), second_feed.delay_round(store))
+    return store.stop_delay.select("service_date", "trip_id", "stop_sequence", "arrival_delay_s", "changes")

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from ... import schemas
 from ...constants import DAY_S
 from ...operators import continuity, export, keyed, matching, merge, rollup, spatial
 from ...session import shared_dir
@@ -189,6 +190,9 @@ def composite_score(t):
 
 @query("metrics_long", report_sql.METRICS)
 def metrics_long(t):
-    rows = report.metrics_long(report.layers(_report_tables(t), NOW_FAST, minutes=60))
+    stored = _report_tables(t)
+    hours = stored.positions.withColumn("batch_ts", F.col("ts") - F.col("ts") % 3600)
+    schema = report.schema_layer(hours, [c for c in schemas.POSITION_COLUMNS if c != "ingested_at"])
+    rows = report.metrics_long(report.layers(stored, NOW_FAST, minutes=60), schema)
     labels = F.array_join(F.transform(F.map_entries("labels"), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ",")
     return rows.select("metric", labels.alias("labels"), "value")

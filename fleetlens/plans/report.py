@@ -144,6 +144,13 @@ def gap_durations(report: DataFrame) -> DataFrame:
     return report.select(F.explode(pairs).alias("p")).select("p.*")
 
 
+def schema_layer(batches: DataFrame, fields, batch: str = "batch_ts") -> DataFrame:
+    """Number of fields with a value in the newest batch's field set, and since when that set holds."""
+    changes = quality.schema_changes(batches, fields, batch)
+    names = F.split(F.max_by("fields", "changed_at"), ",")
+    return changes.agg(F.size(names).alias("field_count"), F.max("changed_at").alias("changed_at"))
+
+
 def _gauges(df: DataFrame, specs) -> DataFrame:
     """Rows of a layer -> (metric, labels, value), one pass over the layer."""
     types = dict(df.dtypes)

@@ -3,6 +3,7 @@
 from .driver_sql import LAT_STEP, LON_STEP, VIEWS, pct
 from .driver_tables import NOW_FAST
 from ..constants import DAY_S, POPULATION_FIELDS
+from ..schemas import POSITION_COLUMNS
 
 SINCE = NOW_FAST - 3600
 PREFIX = "gtfs_quality_"
@@ -60,6 +61,9 @@ def _metric(name, value, source, labels="''"):
 
 _STALE = ("(VALUES ('b_0_60', -1000000, 60), ('b_60_180', 60, 180), ('b_180_300', 180, 300), ('b_300_600', 300, 600), "
           "('b_600_plus', 600, 1000000000)) AS x(bucket, lo, hi)")
+_FIELD_SETS = ("(SELECT hour, fields, lag(fields, 1, '') OVER (ORDER BY hour) AS before FROM (SELECT ts - ts % 3600 AS hour, concat_ws(',', "
+               + ", ".join(f"CASE WHEN count({c}) > 0 THEN '{c}' END" for c in sorted(POSITION_COLUMNS) if c != "ingested_at")
+               + ") AS fields FROM log_fast_v GROUP BY 1)) WHERE fields <> before")
 _METRICS = [
     _metric("composite_score", "composite_score", "report"),
     _metric("fleet_coverage_pct", pct("active", "200"), "fleet"), _metric("fleet_active_vehicles", "active", "fleet"),
@@ -103,6 +107,8 @@ _METRICS = [
             "WHEN http_status >= 500 THEN '5xx' WHEN http_status >= 400 THEN '4xx' WHEN coalesce(entity_count, 0) = 0 THEN 'empty_body' "
             "ELSE 'other' END AS kind FROM p WHERE ok <> 1) GROUP BY kind", "'kind=' || kind"),
     _metric("feed_volume_mean", "mean", "vol"), _metric("feed_volume_stdev", "sd", "vol"), _metric("feed_volume_min", "low", "vol"),
+    _metric("schema_fields_count", "len(string_split(max_by(fields, hour), ','))", _FIELD_SETS),
+    _metric("schema_last_changed_timestamp", "max(hour)", _FIELD_SETS),
     _metric("feed_volume_max", "high", "vol"), _metric("feed_volume_unstable", "CAST(unstable AS INT)", "vol"),
 ]
 METRICS = _HEAD + "SELECT metric, labels, value FROM (" + "\nUNION ALL ".join(_METRICS) + ") WHERE value IS NOT NULL"

@@ -39,14 +39,18 @@ def csv_fields(line):
     empty piece between two quoted ones is a doubled quote. No pattern walks over a field, so its
     length doesn't matter.
     """
-    pieces = F.split(line, '"')
-    inner = lambda i: (i > 0) & (i < F.size(pieces) - 1)
+    # Bound once: the lambdas below ask for the number of pieces at every piece.
+    return F.get(F.transform(F.array(F.split(line, '"')), lambda pieces: _fields(line, pieces)), F.lit(0))
+
+
+def _fields(line, pieces):
+    last = F.size(pieces) - 1
     def piece(text, i):
-        outside = F.when((text == "") & inner(i), F.lit('"')).otherwise(F.replace(text, F.lit(","), F.lit(_CUT)))
+        outside = F.when((text == "") & (i > 0) & (i < last), F.lit('"')).otherwise(F.replace(text, F.lit(","), F.lit(_CUT)))
         return F.when(i % 2 == 1, text).otherwise(outside)
     quoted = F.split(F.array_join(F.transform(pieces, piece), ""), _CUT)
     # A quote opens a field only at its start; elsewhere it is a plain character.
-    stray = F.exists(F.transform(pieces, lambda text, i: (i % 2 == 0) & (i < F.size(pieces) - 1) & (text != "")
+    stray = F.exists(F.transform(pieces, lambda text, i: (i % 2 == 0) & (i < last) & (text != "")
                                  & ~text.endswith(",")), lambda found: found)
     unquote = lambda f: F.when(f.startswith('"') & f.endswith('"') & (F.length(f) > 1), F.replace(
         F.substring(f, F.lit(2), F.length(f) - 2), F.lit('""'), F.lit('"'))).otherwise(f)

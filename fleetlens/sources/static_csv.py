@@ -33,21 +33,28 @@ def _typed(name: str, kind: T.DataType, present) -> F.col:
     return text.alias(name)
 
 
-def read_csv(spark: SparkSession, path: str, schema: T.StructType, multi_line: bool = False) -> DataFrame:
+def read_csv(spark: SparkSession, path: str, schema: T.StructType, multi_line: bool = False,
+             position: bool = False) -> DataFrame:
     """Columns by header name; missing columns are NULL, extra ones are ignored.
 
     ``multi_line`` is for files with line breaks inside quotes; such a file cannot be split.
+    ``position`` adds a column that orders rows as they stand in the file: the file, the split's first
+    byte, and the row's number, which grows inside a split.
     """
     raw = spark.read.csv(path, header=True, quote='"', escape='"', multiLine=multi_line)
-    return raw.select(*[_typed(f.name, f.dataType, raw.columns) for f in schema])
+    place = F.struct("_metadata.file_name", "_metadata.file_block_start", F.monotonically_increasing_id().alias("row"))
+    return raw.select(*[_typed(f.name, f.dataType, raw.columns) for f in schema], *[place.alias("position")] * position)
 
 
-def static_csv_scan(spark: SparkSession, folder: str, table: str, multi_line: bool = False) -> DataFrame:
+def static_csv_scan(spark: SparkSession, folder: str, table: str, multi_line: bool = False,
+                    position: bool = False) -> DataFrame:
     """One schedule table from its folder; a missing file gives an empty table."""
     name, schema = FILES[table]
     try:
-        return read_csv(spark, f"{folder}/{name}", schema, multi_line)
+        return read_csv(spark, f"{folder}/{name}", schema, multi_line, position)
     except AnalysisException as error:
         if "PATH_NOT_FOUND" not in str(error):
             raise
-        return spark.createDataFrame([], schema)
+        empty = spark.createDataFrame([], schema)
+        place = "struct<file_name:string,file_block_start:bigint,row:bigint>"
+        return empty.withColumn("position", F.lit(None).cast(place)) if position else empty

@@ -128,3 +128,50 @@ def test_versioned_table_keeps_two(spark, tmp_path):
         tables.write_version(spark.createDataFrame([(version,)], "v int"), root, version)
     assert tables.partition_values(spark, root, "version") == ["2", "3"]
     assert values(tables.read_version(spark, root, "v int"), "v") == [(3,)]
+
+
+def test_a_cut_off_swap_is_undone(spark, tmp_path):
+    root = str(tmp_path / "t")
+    rows = lambda v: spark.createDataFrame([(v,)], "v int")
+    rows(1).write.parquet(f"{root}/day=1")
+    rows(2).write.parquet(f"{root}/.new.day=1")
+    assert values(tables.read_table(spark, root, "v int, day int"), "v") == [(1,)]
+    (tmp_path / "t" / "day=1").rename(tmp_path / "t" / ".old.day=1")       # stopped between the renames
+    tables.recover(spark, root)
+    assert values(tables.read_table(spark, root, "v int, day int"), "v") == [(1,)]
+    tables.swap_partition(spark, f"{root}/.new.day=1", f"{root}/day=1")
+    assert values(tables.read_table(spark, root, "v int, day int"), "v") == [(2,)]
+
+
+def test_compacted_days_survive_a_repeated_batch(spark, data, tmp_path):
+    root = str(tmp_path / "log")
+    shifted = data.positions.withColumn("ts", F.col("ts") - 86_400)
+    parts = [shifted.filter("arrival % 2 = 0"), shifted.filter("arrival % 2 = 1").unionByName(data.positions)]
+    for i, part in enumerate(parts):
+        tables.append_log(part, root, i)
+    before = values(tables.read_table(spark, root, fold.LOG_SCHEMA), "vehicle_id", "ts")
+    assert len(tables.compact_log(spark, root, fold.LOG_SCHEMA)) == 1
+    stored = tables.read_table(spark, root, fold.LOG_SCHEMA)
+    assert values(stored, "vehicle_id", "ts") == before
+    tables.append_log(merge.dedupe_append(stored.filter("batch <> 1"), parts[1]), root, 1)      # batch 1 once more
+    assert values(tables.read_table(spark, root, fold.LOG_SCHEMA), "vehicle_id", "ts") == before
+
+
+def test_steps_are_merged_without_counting_twice(spark, data, store):
+    newest = NOW - 20
+    while fold.fold_continuity(store, newest, chunk_s=3600):
+        pass
+    assert len(tables.partition_values(spark, store.path("continuity"), "step")) == 2
+    assert values(store.gap_hours, *COLUMNS) == values(continuity.gap_hour_counters(data.positions, 0, NOW), *COLUMNS)
+
+
+def test_arrival_numbers_never_collide(spark, data, tmp_path):
+    """Two messages of one second with more entities than a thousand, then a repeated batch."""
+    many = lambda base: feed(*[(f"{base}-{i}", NOW, "L10", False) for i in range(1500)])
+    batch = spark.createDataFrame([(many("a"), NOW), (many("b"), NOW), ("{}", NOW), ("no json", NOW)], "body string, ingested_at bigint")
+    store = ingest.IngestTables(spark, str(tmp_path / "out"))
+    write = ingest.ingest_batch(store, data.routes)
+    for _ in range(2):
+        write(batch, 0)
+    assert store.log.select("arrival").distinct().count() == 3000 == store.latest.count()
+    assert values(store.polls.fillna(0), "ok", "entity_count", "new_rows", "feed_timestamp") == [(0, 0, 0, 0)] * 2 + [(1, 1500, 1500, NOW)] * 2

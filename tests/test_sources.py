@@ -19,6 +19,9 @@ def test_scalars(spark):
         date(2026, 10, 19), date(2026, 10, 19), None, None, None, None, None]
     assert column(spark, ["12", " 7 ", "3.0", "x", "", None], parse.to_int) == [12, 7, None, None, None, None]
     assert column(spark, ["12.9", "N/A", "", " 5 ", "x"], parse.clean_int) == [12, None, None, 5, None]
+    odd = ["500D", "12f", "1e3", "-.5", "+7.", "0x1p3", "1_0", "NaN", "Infinity", " \t3 "]
+    assert column(spark, odd, parse.clean_float) == [None, None, 1000.0, -0.5, 7.0, None, None, None, None, 3.0]
+    assert column(spark, ["12f", "9L", "40"], parse.to_int) == [None, None, 40]
     assert column(spark, ["1", "0", "N/A", None], parse.clean_flag) == [True, False, None, None]
     assert column(spark, ["0", "-5", "100"], lambda c: parse.clean_epoch(c, 40)) == [None, None, 60]
 
@@ -101,6 +104,13 @@ def test_csv_lines(spark):
     rows, audit = csv_lines.csv_lines_scan(pulls(spark, "stop_id,stop_name,stop_lat,stop_lon,zone", 'S1,"A, ""b""",1.5,2,z', "S2,short", " ", "S1,again,1,2,z", ",nokey,1,2,z"), "stops")
     assert values(rows, "stop_id", "stop_name", "stop_lat") == [("S1", 'A, "b"', 1.5)]
     assert one(audit) == {"pull_id": 1, "row_count": 1, "bad_rows": 3, "resplit": False, "unknown_columns": "zone"}
+    long, stray = "x" * 100_000, 'six "o clock" stop'
+    rows, audit = csv_lines.csv_lines_scan(pulls(
+        spark, "zone,stop_id,stop_name,stop_lat,stop_lon", ",S1,,1.0,2.0", f'z,S2,"{long}, ""q""",1.5,', f"z,S3,{stray},3,4", 'z,S4,"",5,6',
+        'z,S5,"' + '""' * 20_000 + '",5,6'), "stops")
+    named = {r["stop_id"]: r["stop_name"] for r in rows.collect()}
+    assert named == {"S1": None, "S2": long + ', "q"', "S3": stray, "S4": None, "S5": '"' * 20_000}
+    assert one(audit)["bad_rows"] == 0
     rows, audit = csv_lines.csv_lines_scan(pulls(spark, "agency_id,agency_name,agency_url", "1,One,https://a.b/c2,Two,http://x.y/z31,Three,https://q"), "agency")
     assert values(rows, "agency_id", "agency_url") == [("1", "https://a.b/c"), ("2", "http://x.y/z"), ("31", "https://q")]
     assert one(audit)["resplit"]
