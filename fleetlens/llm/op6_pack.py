@@ -6,6 +6,7 @@ window inside one document is complete at once; pieces at a document's ends are
 window with the neighbours and meet by its number.
 """
 
+import os
 from collections.abc import Iterator
 from functools import cache
 
@@ -21,32 +22,49 @@ from .common import batches, staged
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 SEPARATOR = 1
 LENGTH = 2048
-_CACHED_CHARS, _CACHED_WORDS = 48, 300_000
+_CACHED_CHARS, _CACHED_WORDS = 48, 600_000
 
 
 class WordIds(dict):
-    """Ids of blank-separated words as little-endian unsigned 32-bit bytes, kept for short words.
+    """Ids of blank-separated words as little-endian unsigned 32-bit bytes; the first short words are kept.
 
     For vocabularies that drop white space and never let a token reach across it, as VOCABULARY's does: the ids of
-    a text are those of its words, one after the other.
+    a text are those of its words, one after the other. Words that aren't kept are encoded together, with a special
+    token between them, whose id shows where each one ends.
     """
 
     def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # the tasks are parallel already
         from tokenizers import Tokenizer
         super().__init__()
         self._tokenizer = Tokenizer.from_file(path)
-
-    def __missing__(self, word: str) -> bytes:
-        ids = np.array(self._tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
-        if len(word) <= _CACHED_CHARS:
-            if len(self) >= _CACHED_WORDS:
-                self.clear()
-            self[word] = ids
-        return ids
+        special = {str(t): i for i, t in self._tokenizer.get_added_tokens_decoder().items() if t.special and not t.normalized}
+        self._special = list(special)
+        self._cut = next(iter(special.items()), None)
+
+    def _alone(self, word: str) -> bytes:
+        return np.array(self._tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _encoded(self, words: list[str]) -> dict[str, bytes]:
+        found = {w: self._alone(w) for w in words if not self._cut or any(t in w for t in self._special)}
+        rest = [w for w in words if w not in found]
+        if rest:
+            ids = self._tokenizer.encode_batch_fast([self._cut[0].join(rest)], add_special_tokens=False)[0].ids
+            ids = np.array(ids, "<u4")
+            data, cuts = ids.tobytes(), (4 * np.flatnonzero(ids == self._cut[1])).tolist()
+            found.update(zip(rest, (data[a:b] for a, b in zip([0] + [c + 4 for c in cuts], cuts + [len(data)]))))
+        return found
 
     def of(self, text: str) -> bytes:
         words = text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
-        return b"".join(map(self.__getitem__, words))
+        try:
+            return b"".join(map(self.__getitem__, words))
+        except KeyError:
+            fresh = self._encoded([w for w in dict.fromkeys(words) if w not in self])
+        for word, ids in fresh.items():
+            if len(self) < _CACHED_WORDS and len(word) <= _CACHED_CHARS:
+                self[word] = ids
+        return b"".join([fresh[w] if w in fresh else self[w] for w in words])
 
 
 @cache
