@@ -9,6 +9,7 @@ both, and that word's vector is one of the shared cells. Each such word ties its
 them, so a group of n near copies costs n links, not n squared.
 """
 
+from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
@@ -18,47 +19,74 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from .common import staged, word_blocks
+from .common import mixed, staged, word_blocks
 from .components import components
 
 SEED = 42
 SHINGLE = 3
+SAMPLES, SAMPLE = 16, 5
+SLACK = 4  # bits beyond the similarity's share that a candidate may differ in before its shingles are compared
 _BLOCK = 1 << 16
+_SALT = 0x9E3779B97F4A7C15
 
 
-def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
-    """64-bit SimHash of a text's word shingles, repeats included; 0 for a text without words."""
-    if not text:
-        return 0
-    counts, total, tail = np.zeros(64, np.int64), 0, []
-    for block in word_blocks(text.encode("utf-8", "replace").lower()):  # bytes: lowers A-Z alone
+def _hash_blocks(text: str | None, shingle: int) -> Iterator[np.ndarray]:
+    """The hashes of a text's word shingles, a block at a time; fewer words make one shingle, none make none."""
+    tail, some = [], False
+    for block in word_blocks((text or "").encode("utf-8", "replace").lower()):  # bytes: lowers A-Z alone
         words = tail + block
         for at in range(0, len(words) - shingle + 1, _BLOCK):
             part = words[at:at + _BLOCK + shingle - 1]
-            hashes = [xxhash.xxh64_intdigest(b" ".join(s), SEED) for s in zip(*(part[i:] for i in range(shingle)))]
-            counts += _bits(hashes)
-            total += len(hashes)
+            shingles = zip(*(part[i:] for i in range(shingle)))
+            yield np.array([xxhash.xxh64_intdigest(b" ".join(s), SEED) for s in shingles], "<u8")
+            some = True
         tail = words[max(0, len(words) - shingle + 1):] if len(words) >= shingle else words
-    if not total:
-        if not tail:
-            return 0
-        counts, total = _bits([xxhash.xxh64_intdigest(b" ".join(tail), SEED)]), 1
-    return int(np.packbits(2 * counts > total, bitorder="little").view("<u8")[0])
+    if tail and not some:
+        yield np.array([xxhash.xxh64_intdigest(b" ".join(tail), SEED)], "<u8")
 
 
-def _bits(hashes: list[int]) -> np.ndarray:
-    raw = np.array(hashes, "<u8").view(np.uint8).reshape(-1, 8)
-    return np.unpackbits(raw, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+def _bits(hashes: np.ndarray) -> np.ndarray:
+    return np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
 
 
-def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """``doc_id``, ``fp`` (the fingerprint as a signed long) for every row. A null text counts as empty."""
+def fingerprint(text: str | None, shingle: int = SHINGLE, samples: int = 0) -> int | tuple[int, list[int]]:
+    """64-bit SimHash of a text's word shingles, repeats included; 0 for a text without words. With ``samples`` also
+    the SimHash of as many samples of SAMPLE shingles each: those with the smallest hashes under one scramble each,
+    so that texts with many shingles in common often draw the same ones."""
+    counts, total = np.zeros(64, np.int64), 0
+    least = [np.empty(0, np.uint64)] * samples
+    for hashes in _hash_blocks(text, shingle):
+        counts += _bits(hashes)
+        total += len(hashes)
+        distinct = np.unique(hashes)
+        for i in range(samples):
+            drawn = np.union1d(least[i], mixed(distinct ^ np.uint64(_SALT * (i + 1) % (1 << 64))))
+            least[i] = drawn[:SAMPLE]
+    value = _packed(counts, total)
+    return (value, [_packed(_bits(mixed(drawn)), len(drawn)) for drawn in least if len(drawn)]) if samples else value
+
+
+def _packed(counts: np.ndarray, total: int) -> int:
+    return int(np.packbits(2 * counts > total, bitorder="little").view("<u8")[0]) if total else 0
+
+
+def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE,
+                 samples: int = 0) -> DataFrame:
+    """``doc_id``, ``fp`` (the fingerprint as a signed long) for every row, and ``samples`` (an array of their
+    fingerprints) if any are asked for. A null text counts as empty."""
+    signed = lambda values: np.array(values, np.uint64).view(np.int64)
+
     @pandas_udf("long")
     def simhash(texts: pd.Series) -> pd.Series:
-        values = np.array([fingerprint(t, shingle) for t in texts], np.uint64)
-        return pd.Series(values.view(np.int64))
+        return pd.Series(signed([fingerprint(t, shingle) for t in texts]))
+
+    @pandas_udf("struct<fp:long,samples:array<long>>")
+    def sampled(texts: pd.Series) -> pd.DataFrame:
+        found = [fingerprint(t, shingle, samples) for t in texts]
+        return pd.DataFrame({"fp": signed([f for f, _ in found]), "samples": [signed(s) for _, s in found]})
 
-    return docs.select(F.col(doc_id).alias("doc_id"), simhash(F.col(text)).alias("fp"))
+    rows = docs.select(F.col(doc_id).alias("doc_id"), (sampled if samples else simhash)(F.col(text)).alias("fp"))
+    return rows.select("doc_id", "fp.fp", "fp.samples") if samples else rows
 
 
 def _segment_counts(fp) -> F.Column:
@@ -95,33 +123,77 @@ def links(distinct: DataFrame) -> DataFrame:
     return words.join(least, "word").where("fp <> b").select(F.col("fp").alias("a"), "b").distinct()
 
 
-def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE) -> DataFrame:
+def sample_links(prints: DataFrame, max_bits: int) -> DataFrame:
+    """Edges (a, b) between fingerprints at most ``max_bits`` apart whose texts drew a sample in common.
+
+    Every sample ties its fingerprints to its smallest and its largest one, so there are no pairs. Equal
+    fingerprints are one before that; what a hot sample has left is split by adaptive execution.
+    """
+    drawn = prints.select("fp", F.explode("samples").alias("sample")).distinct()
+    ends = drawn.groupBy("sample").agg(F.min("fp").alias("low"), F.max("fp").alias("high")).where("low <> high")
+    tied = drawn.join(ends, "sample").select(F.col("fp").alias("a"), F.explode(F.array("low", "high")).alias("b"))
+    return tied.where((F.col("a") != F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= max_bits)).distinct()
+
+
+def similar(edges: DataFrame, docs: DataFrame, prints: DataFrame, doc_id: str, text: str, shingle: int,
+            least: float) -> DataFrame:
+    """The edges whose texts have a Jaccard similarity of ``least`` or more, by their exact sets of shingle hashes.
+
+    One document stands for each fingerprint; only the texts that an edge names are taken apart.
+    """
+    @pandas_udf("struct<own:long,shingles:array<long>>")
+    def taken_apart(texts: pd.Series) -> pd.DataFrame:
+        own = np.array([fingerprint(t, shingle) for t in texts], np.uint64).view(np.int64)
+        sets = [np.unique(np.concatenate([*_hash_blocks(t, shingle), np.empty(0, "<u8")])).view(np.int64) for t in texts]
+        return pd.DataFrame({"own": own, "shingles": sets})
+
+    ends = edges.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
+    named = staged(ends.join(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "fp"), "ends")
+    texts = docs.select(F.col(doc_id).alias("first"), F.col(text).alias("text")).join(named, "first")
+    sets = texts.withColumn("s", taken_apart("text")).where("s.own = fp").select("fp", "s.shingles").dropDuplicates(["fp"])
+    sets = staged(sets, "sets")
+    both = edges.join(sets.withColumnsRenamed({"fp": "a", "shingles": "one"}), "a").join(
+        sets.withColumnsRenamed({"fp": "b", "shingles": "other"}), "b")
+    return both.where(F.size(F.array_intersect("one", "other")) >= least * F.size(F.array_union("one", "other")) - 1e-9).select("a", "b")
+
+
+def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE,
+            similarity: float | None = None) -> DataFrame:
     """``doc_id``, ``fingerprint`` (16 hex digits), ``component_id`` (the smallest doc_id reachable) for every row.
 
+    Fingerprints link at two or fewer differing bits. With ``similarity``, a Jaccard similarity of shingles, texts
+    that are at least so similar link as well. They differ in some ten bits, farther apart than the grid can be
+    searched for, so their candidates come from equal SimHashes of samples of their shingles.
+
     Exact copies meet in one distinct fingerprint before anything is compared. Texts without words (null, empty,
     blanks) have fingerprint 0 and are linked like any other. Rows repeat as in the input; a null doc_id keeps its
     row and never becomes a component_id unless its whole component has none. No rows give no rows.
     """
-    prints = staged(fingerprints(docs, doc_id, text, shingle), "simhash")
+    prints = staged(fingerprints(docs, doc_id, text, shingle, SAMPLES if similarity else 0), "simhash")
+    edges = links(prints.select("fp").distinct())
+    if similarity:
+        near = staged(sample_links(prints, int((1 - similarity) * 64) + SLACK), "candidates")
+        edges = edges.unionByName(similar(near, docs, prints, doc_id, text, shingle, similarity)).distinct()
     first = prints.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    linked = components(links(prints.select("fp").distinct())).withColumnRenamed("node", "fp")
+    linked = components(edges).withColumnRenamed("node", "fp")
     grown = first.join(linked, "fp").select("fp", "root", "first")
     roots = grown.groupBy("root").agg(F.min("first").alias("component_id"))
     reached = grown.join(roots, "root").select("fp", "component_id")
     known = staged(first.join(reached, "fp", "left").select(
         "fp", F.coalesce("component_id", "first").alias("component_id")), "classes")  # so the last join can split a hot fp
-    return prints.join(known, "fp").select(
+    return prints.select("doc_id", "fp").join(known, "fp").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE) -> DataFrame:
+def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE,
+             similarity: float | None = None) -> DataFrame:
     """The rows of ``docs`` that stay: of each component the row with the smallest doc_id, all columns unchanged.
 
     Rows that repeat a doc_id are one document: the one with the smallest text stays. Rows without a doc_id are
     kept as they are, since no row can be named in their place. Only the ids that go are joined with the texts.
     """
     key = F.col(doc_id) == F.col("__id")
-    found = staged(classes(docs, doc_id, text, shingle).groupBy(F.col("doc_id").alias("__id")).agg(
+    found = staged(classes(docs, doc_id, text, shingle, similarity).groupBy(F.col("doc_id").alias("__id")).agg(
         F.count("*").alias("__rows"), F.min("component_id").alias("__kept")).where(
         "__id IS NOT NULL AND (__rows > 1 OR __id <> __kept)"), "dropped")
     repeated = docs.join(found.where("__id = __kept").select("__id"), key, "left_semi")

@@ -128,6 +128,24 @@ def test_simhash_classes_on_odd_rows(spark, odd, none):
     assert [i for n, i in ids if not n] == [1, 3, 6, 7, 8, 9] and ids[-1] == (True, None)
 
 
+def test_near_copies_link_by_similarity(spark):
+    """Copies with a few changed words link at 0.8 or more, whatever their bits; less similar texts never do."""
+    pick, rows, want = random.Random(15), [], {}
+    jaccard = lambda a, b: len(a & b) / len(a | b)
+    shingles = lambda w: {tuple(w[i:i + 5]) for i in range(len(w) - 4)}
+    for base in range(12):
+        words = prose(5000 + base, 400).split()
+        for edits in (0, 2, 4, 40):
+            copy = list(words)
+            for at in pick.sample(range(400), edits):
+                copy[at] = f"changed{pick.random()}"
+            i = len(rows)
+            rows.append((i, " ".join(copy), "x", "s"))
+            want[i] = base * 4 if jaccard(shingles(words), shingles(copy)) >= 0.8 else i
+    found = {r.doc_id: r.component_id for r in op1_simhash.classes(documents(spark, rows), shingle=5, similarity=0.8).collect()}
+    assert found == want and len(set(want.values())) == 24
+
+
 def test_language_learns_and_labels_spans(spark):
     a, b = "zaq xev wox quv".split(), "mil nol pam lem".split()
     pick = random.Random(9)
