@@ -131,3 +131,50 @@ def scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     judged = judge(docs, labels)
     return judged.select("doc_id", *[F.round("__" + c, 6).alias(c) for c in ("evidence", "host_rate", "prior", "p_good")],
                          (F.col("__p_good") >= THRESHOLD).alias("keep"))
+
+
+ORACLE_SQL = r"""
+WITH t AS (
+  SELECT doc_id, coalesce(source, '') AS host, coalesce(lang, '') AS path, coalesce(text, '') AS body,
+    [w FOR w IN regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+') IF w <> ''] AS words FROM documents
+), f AS (
+  SELECT doc_id, host, path, [least(15, floor(s))::INT FOR s IN [
+    len(regexp_extract_all(body, '\p{Lu}')) / greatest(length(body), 1) * 32,
+    len(regexp_extract_all(body, '[^\p{L}\p{N}\s]')) / greatest(length(body), 1) * 64,
+    len(list_distinct(words)) / greatest(len(words), 1) * 16,
+    length(regexp_replace(body, '[\x20\x09-\x0D]', '', 'g')) / greatest(len(words), 1) * 2,
+    len(regexp_extract_all(body, '[0-9]')) / greatest(length(body), 1) * 32]] AS bins FROM t
+), truth AS (
+  SELECT doc_id, avg(quality) >= 0.5 AS good FROM labels WHERE quality IS NOT NULL AND doc_id IS NOT NULL GROUP BY doc_id
+), known AS (SELECT f.*, good FROM f LEFT JOIN truth USING (doc_id)),
+total AS (SELECT count(*) FILTER (WHERE good) AS yes, count(*) FILTER (WHERE NOT good) AS no FROM known),
+counted AS (
+  SELECT feature, bin, count(*) FILTER (WHERE good) AS yes, count(*) FILTER (WHERE NOT good) AS no
+  FROM (SELECT good, unnest(range(1, 6)) AS feature, unnest(bins) AS bin FROM known WHERE good IS NOT NULL) GROUP BY ALL
+), ratio AS (
+  SELECT x.feature, y.bin, CASE WHEN t.yes > 0 AND t.no > 0 THEN ln((coalesce(c.yes, 0) + 1e0) / (t.yes + 16e0))
+    - ln((coalesce(c.no, 0) + 1e0) / (t.no + 16e0)) ELSE 0e0 END AS r
+  FROM range(1, 6) x(feature), range(16) y(bin), total t LEFT JOIN counted c ON c.feature = x.feature AND c.bin = y.bin
+), pieces AS (SELECT doc_id, host, path, good, unnest(range(1, 6)) AS feature, unnest(bins) AS bin FROM known),
+scored AS (
+  SELECT doc_id, host, path, good, sum(r) AS evidence FROM pieces JOIN ratio USING (feature, bin) GROUP BY doc_id, host, path, good
+), base AS (SELECT least(greatest(coalesce(avg(good::INT), 0.5e0), 1e-6), 1 - 1e-6) AS b FROM truth),
+paths AS (
+  SELECT host, path, count(*) AS n, sum(coalesce(good::INT::DOUBLE, 1 / (1 + exp(-evidence) * ((1 - b) / b)))) AS good
+  FROM scored, base GROUP BY host, path
+), m AS (SELECT least(greatest(coalesce(sum(good) / sum(n), 0.5e0), 1e-6), 1 - 1e-6) AS m FROM paths),
+hosts AS (SELECT host, sum(n) AS n, sum(good) AS good FROM paths GROUP BY host),
+pull AS (
+  SELECT least(greatest(m * (1 - m) / greatest(sum(n * (good / n - m) * (good / n - m)) / sum(n)
+    - count(*) * m * (1 - m) / sum(n), 1e-9) - 1, 1e0), 1000e0) AS s FROM hosts, m GROUP BY m
+), rates AS (SELECT host, (good + s * m) / (n + s) AS host_rate FROM hosts, pull, m),
+both_rates AS (SELECT paths.*, host_rate FROM paths JOIN rates USING (host)),
+inside AS (
+  SELECT least(greatest(sum(n * host_rate * (1 - host_rate)) / sum(n) / greatest(
+    sum(n * (good / n - host_rate) * (good / n - host_rate)) / sum(n) - sum(host_rate * (1 - host_rate)) / sum(n), 1e-9) - 1,
+    1e0), 1000e0) AS s FROM both_rates
+), sites AS (SELECT host, path, host_rate, (good + s * host_rate) / (n + s) AS prior FROM both_rates, inside),
+judged AS (SELECT doc_id, evidence, host_rate, prior, 1 / (1 + exp(-evidence) * (1 - prior) / prior) AS p FROM scored JOIN sites USING (host, path))
+SELECT doc_id, round(evidence, 6) AS evidence, round(host_rate, 6) AS host_rate, round(prior, 6) AS prior,
+  round(p, 6) AS p_good, p >= 0.5 AS keep FROM judged
+"""

@@ -186,3 +186,17 @@ def round_trip(pages: DataFrame) -> DataFrame:
     """Writes all pages and reads the records back."""
     return read(write(pages), payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type",
                                                     "refers_to", "verified")
+
+
+ORACLE_SQL = r"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS hex FROM pages),
+bits AS (SELECT *, array_to_string([['0000', '0001', '0010', '0011', '0100', '0101', '0110', '0111', '1000', '1001', '1010',
+  '1011', '1100', '1101', '1110', '1111'][instr('0123456789abcdef', c)] FOR c IN string_split(hex, '')], '') AS b FROM p),
+named AS (SELECT *, array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + 16 * substr(b, 5 * i + 1, 1)::INT
+  + 8 * substr(b, 5 * i + 2, 1)::INT + 4 * substr(b, 5 * i + 3, 1)::INT + 2 * substr(b, 5 * i + 4, 1)::INT
+  + substr(b, 5 * i + 5, 1)::INT, 1) FOR i IN range(32)], '') AS digest, max(page_id) OVER (PARTITION BY hex) AS original FROM bits)
+SELECT page_id, strlen(html)::BIGINT AS payload_bytes, digest AS payload_digest,
+  CASE WHEN page_id = original THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> original THEN original END AS refers_to, true AS verified
+FROM named
+"""

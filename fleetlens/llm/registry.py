@@ -29,6 +29,7 @@ QUERIES["op6_packing"] = _documents(op6_pack.piece_digests)
 QUERIES["op9_secret_scans"] = _documents(op9_secrets.span_digests)
 QUERIES["op10_quality_classifier"] = lambda spark, sf_dir: op10_quality.scores(
     _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+ORACLES["op10_quality_classifier"] = op10_quality.ORACLE_SQL
 QUERIES["op2_language_id"] = _documents(op2_language.predictions)
 QUERIES["op4_document_fingerprints"] = _documents(op4_syncmers.compare_next)
 QUERIES["op5_url_filters"] = lambda spark, sf_dir: op5_url_filters.verdicts(_table(spark, sf_dir, "pages"))
@@ -36,3 +37,4 @@ ORACLES["op5_url_filters"] = op5_url_filters.ORACLE_SQL
 QUERIES["op7_substring_dedup"] = _documents(op7_substrings.removals)
 ORACLES["op7_substring_dedup"] = op7_substrings.ORACLE_SQL
 QUERIES["op8_warc"] = lambda spark, sf_dir: op8_warc.round_trip(_table(spark, sf_dir, "pages"))
+ORACLES["op8_warc"] = op8_warc.ORACLE_SQL
