@@ -46,8 +46,12 @@ class WordIds(dict):
         return np.array(self._tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
 
     def _encoded(self, words: list[str]) -> dict[str, bytes]:
-        found = {w: self._alone(w) for w in words if not self._cut or any(t in w for t in self._special)}
-        rest = [w for w in words if w not in found]
+        text = " ".join(words)
+        if not self._cut or any(t in text for t in self._special):
+            found = {w: self._alone(w) for w in words if not self._cut or any(t in w for t in self._special)}
+            rest = [w for w in words if w not in found]
+        else:
+            found, rest = {}, words
         if rest:
             ids = self._tokenizer.encode_batch_fast([self._cut[0].join(rest)], add_special_tokens=False)[0].ids
             ids = np.array(ids, "<u4")
@@ -57,14 +61,13 @@ class WordIds(dict):
 
     def of(self, text: str) -> bytes:
         words = text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
-        try:
-            return b"".join(map(self.__getitem__, words))
-        except KeyError:
-            fresh = self._encoded([w for w in dict.fromkeys(words) if w not in self])
-        for word, ids in fresh.items():
-            if len(self) < _CACHED_WORDS and len(word) <= _CACHED_CHARS:
-                self[word] = ids
-        return b"".join([fresh[w] if w in fresh else self[w] for w in words])
+        missing = list(dict.fromkeys([w for w in words if w not in self]))
+        if missing:
+            self.update(self._encoded(missing))
+        ids = b"".join(map(self.__getitem__, words))
+        for word in missing if len(self) > _CACHED_WORDS else [w for w in missing if len(w) > _CACHED_CHARS]:
+            del self[word]
+        return ids
 
 
 @cache
