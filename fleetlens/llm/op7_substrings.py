@@ -11,7 +11,7 @@ of an anchor or a window that repeats among its own documents it marks the repea
 passage of a third of all documents so costs one row per task, and no group grows with it.
 """
 
-import hashlib
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,7 +27,7 @@ WINDOW = 13
 PERIOD, COVER = 7, (0, 1, 3)
 ANCHOR = WINDOW - PERIOD + 1
 CHUNK_WORDS = 1_500_000  # words that a task holds at a time
-BUCKET_CHARS = 2_000_000  # of text for each range of hashes; sets the size of a group, not the result
+BUCKET_CHARS = 16_000_000  # of text for each range of hashes; sets the size of a group, not the result
 _NO_ID = (1 << 63) - 1  # documents without an id come last
 _PACKED = "bucket int, local boolean, docs binary, places binary, hashes binary"
 _PACKED_KIND = pa.schema([("bucket", pa.int32()), ("local", pa.bool_()), ("docs", pa.binary()), ("places", pa.binary()),
@@ -36,10 +36,27 @@ _MARKED = "doc long, places binary, hashes binary"
 _MARKED_KIND = pa.schema([("doc", pa.int64()), ("places", pa.binary()), ("hashes", pa.binary())])
 
 
-def word_hashes(text: str | None, known: dict[bytes, int]) -> np.ndarray:
+def deflated(docs: DataFrame, kinds: dict[str, pa.DataType]) -> DataFrame:
+    """The frame with its last column, the text, deflated for the shuffles ahead; a null text is empty."""
+    kind = pa.schema([*kinds.items(), ("text", pa.binary())])
+
+    def packed(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            texts = [zlib.compress((t.as_py() or "").encode("utf-8", "replace"), 1) for t in part.column(len(kinds))]
+            yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(texts, pa.binary())], schema=kind)
+
+    return docs.mapInArrow(packed, ", ".join(f"{name} long" for name in kinds) + ", text binary")
+
+
+def _data(text: str | bytes | None) -> bytes:
+    """The UTF-8 of a text, deflated or not."""
+    return zlib.decompress(text) if isinstance(text, bytes) else (text or "").encode("utf-8", "replace")
+
+
+def word_hashes(data: bytes, known: dict[bytes, int]) -> np.ndarray:
     """One hash per word; ``known`` keeps those of frequent words."""
     out = []
-    for words in word_blocks((text or "").encode("utf-8", "replace")):
+    for words in word_blocks(data):
         try:
             out.append(np.fromiter(map(known.__getitem__, words), np.uint64, len(words)))
         except KeyError:
@@ -62,6 +79,16 @@ def _least(docs: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return np.repeat(np.minimum.reduceat(docs, starts), sizes)
 
 
+def _planes(values: np.ndarray) -> bytes:
+    """All first bytes, then all second ones and so on: small numbers so lie beside each other and compress well."""
+    return values.view(np.uint8).reshape(len(values), values.itemsize).T.tobytes()
+
+
+def _from_planes(data: bytes, kind: str) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.frombuffer(data, np.uint8).reshape(size, -1).T.copy().view(kind).ravel()
+
+
 def _pack(docs: np.ndarray, places: np.ndarray, hashes: np.ndarray, bits: int, local: np.ndarray) -> Iterator[tuple]:
     """Rows by range of hashes. What is settled goes by document instead, so that it spreads."""
     spread = np.where(local, docs.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15), hashes)
@@ -71,7 +98,7 @@ def _pack(docs: np.ndarray, places: np.ndarray, hashes: np.ndarray, bits: int, l
     starts = _runs(bucket)
     for a, b in zip(starts, np.append(starts[1:], len(bucket))):
         rows = order[a:b]
-        yield (int(bucket[a]) >> 1, bool(bucket[a] & 1), docs[rows].tobytes(), places[rows].astype("<i4").tobytes(),
+        yield (int(bucket[a]) >> 1, bool(bucket[a] & 1), _planes(docs[rows]), _planes(places[rows].astype("<i4")),
                hashes[rows].tobytes()), 20 * len(rows)
 
 
@@ -80,7 +107,7 @@ def _chunks(parts: Iterator[pa.RecordBatch], known: dict[bytes, int]) -> Iterato
     held, size = [], 0
     for part in parts:
         for values in zip(part.column(0).to_pylist(), *(part.column(c) for c in range(1, part.num_columns))):
-            words = word_hashes(values[1].as_py(), known)
+            words = word_hashes(_data(values[1].as_py()), known)
             held.append((values[0], words, *(v.as_py() for v in values[2:])))
             size += len(words)
             if size >= CHUNK_WORDS:
@@ -96,11 +123,11 @@ def _by_doc(docs: np.ndarray, places: np.ndarray, hashes: np.ndarray) -> Iterato
     starts = _runs(docs)
     for a, b in zip(starts, np.append(starts[1:], len(docs))):
         rows = order[a:b]
-        yield (int(docs[a]), places[rows].astype("<i4").tobytes(), hashes[rows].astype("<u4").tobytes()), 8 * (b - a)
+        yield (int(docs[a]), _planes(places[rows].astype("<i4")), hashes[rows].astype("<u2").tobytes()), 6 * (b - a)
 
 
 def _read(table: pa.Table, column: str, kind: str) -> np.ndarray:
-    return np.frombuffer(b"".join(table.column(column).to_pylist()), kind)
+    return np.concatenate([_from_planes(data, kind) for data in table.column(column).to_pylist()])
 
 
 def _anchors(bits: int):
@@ -150,7 +177,8 @@ def _later_windows(table: pa.Table) -> pa.Table:
 
 
 def _settle(table: pa.Table, judge) -> pa.Table:
-    docs, places, hashes = (_read(table, c, k) for c, k in (("docs", "<i8"), ("places", "<i4"), ("hashes", "<u8")))
+    docs, places = _read(table, "docs", "<i8"), _read(table, "places", "<i4")
+    hashes = np.frombuffer(b"".join(table.column("hashes").to_pylist()), "<u8")
     sizes = np.array([len(b) // 8 for b in table.column("docs").to_pylist()])
     local = np.repeat(np.array(table.column("local").to_pylist(), bool), sizes)
     keep, rest = local.copy(), np.flatnonzero(~local)
@@ -172,7 +200,7 @@ def _windows(bits: int):
                     last = len(words) - WINDOW
                     if last < 0:
                         continue
-                    near = np.frombuffer(b"".join(marks), "<i4").astype(np.int64)
+                    near = np.concatenate([_from_planes(m, "<i4") for m in marks]).astype(np.int64)
                     wanted = np.zeros(last + PERIOD + 1, bool)
                     for shift in range(PERIOD):
                         at = near - shift
@@ -197,15 +225,17 @@ def _windows(bits: int):
     return found
 
 
-def kept_words(text: str | None, starts: np.ndarray, checks: np.ndarray, known: dict[bytes, int]) -> tuple[int, int, bytes]:
+def kept_words(data: bytes, starts: np.ndarray, checks: np.ndarray, known: dict[bytes, int]) -> tuple[int, int, bytes]:
     """Number of words, number removed, and the kept words joined by one space, for windows marked at ``starts``.
 
-    ``checks`` are the windows' hashes: rows that repeat a doc_id with another text don't take over its marks.
+    ``checks`` are 16 bits of the windows' hashes: rows that repeat a doc_id with another text don't take over its
+    marks.
     """
-    words = word_hashes(text, known)
+    listed = data.split()
     if not len(starts):
-        return len(words), 0, b" ".join((text or "").encode("utf-8", "replace").split())
-    own = rolling(words, WINDOW).astype("<u4")
+        return len(listed), 0, b" ".join(listed)
+    words = word_hashes(data, known)
+    own = rolling(words, WINDOW).astype("<u2")
     fits = starts < len(own)
     starts, checks = starts[fits], checks[fits]
     starts = starts[own[starts] == checks]
@@ -213,17 +243,16 @@ def kept_words(text: str | None, starts: np.ndarray, checks: np.ndarray, known:
     np.add.at(edges, starts, 1)
     np.add.at(edges, np.minimum(starts + WINDOW, len(words)), -1)
     gone = np.cumsum(edges[:-1]) > 0
-    listed = (text or "").encode("utf-8", "replace").split()
     return len(words), int(gone.sum()), b" ".join([w for w, g in zip(listed, gone.tolist()) if not g])
 
 
 def marked_windows(docs: DataFrame) -> DataFrame:
     """``doc``, ``places``, ``hashes``: packed starts of the windows that go. ``docs`` has ``doc`` (no nulls), ``text``."""
     chars = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    bits = max(8, (chars // BUCKET_CHARS).bit_length())
+    bits = max(6, (chars // BUCKET_CHARS).bit_length())
     shared = docs.mapInArrow(_anchors(bits), _PACKED).groupBy("bucket").applyInArrow(_shared_anchors, _MARKED)
     marks = shared.groupBy("doc").agg(F.collect_list("places").alias("marks"))  # bounded by the document's length
-    near = docs.join(marks, "doc").select("doc", "text", "marks")
+    near = deflated(docs, {"doc": pa.int64()}).join(marks, "doc").select("doc", "text", "marks")
     return near.mapInArrow(_windows(bits), _PACKED).groupBy("bucket").applyInArrow(_later_windows, _MARKED)
 
 
@@ -247,13 +276,14 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
             for part in parts:
                 for i, body, marks in zip(part.column(0).to_pylist(), part.column(1), part.column(2)):
                     marks = marks.as_py() or []
-                    starts = np.frombuffer(b"".join(m["places"] for m in marks), "<i4").astype(np.int64)
-                    checks = np.frombuffer(b"".join(m["hashes"] for m in marks), "<u4")
-                    n, gone, kept = kept_words(body.as_py(), starts, checks, known)
+                    starts = np.concatenate([np.empty(0, "<i4"), *(_from_planes(m["places"], "<i4") for m in marks)]).astype(np.int64)
+                    checks = np.frombuffer(b"".join(m["hashes"] for m in marks), "<u2")
+                    n, gone, kept = kept_words(_data(body.as_py()), starts, checks, known)
                     yield (i, n, gone, kept.decode()), len(kept)
         return batches(kind, found())
 
-    return rows.join(marked, "doc", "left").select("doc_id", "text", "marks").mapInArrow(
+    packed = deflated(rows, {"doc_id": pa.int64(), "doc": pa.int64()})
+    return packed.join(marked, "doc", "left").select("doc_id", "text", "marks").mapInArrow(
         cut, "doc_id long, n_words long, n_removed long, kept string")
 
 
