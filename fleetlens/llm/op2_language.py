@@ -157,8 +157,13 @@ def learn(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model | None:
     """
     usable = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & F.col("doc_id").isNotNull()
                         & ~held_out(F.col("doc_id"))).select("doc_id", "lang", "text")
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    picked = usable.select("doc_id", "lang").withColumn("rank", rank).where(F.col("rank") <= per_language)
+    # Counted first: of a language with many documents only hashes in a share that holds some four times as many as
+    # wanted are ranked, so a ranking stays small however large its language is.
+    ids = usable.select("doc_id", "lang", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)).alias("draw"))
+    share = F.lit(4.0 * per_language) / F.count("*") * (1 << 40)
+    drawn = ids.join(ids.groupBy("lang").agg(share.alias("share")), "lang").where("draw <= share")
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("draw", "doc_id"))
+    picked = drawn.select("doc_id", "lang", "draw").withColumn("rank", rank).where(F.col("rank") <= per_language)
     picked = staged(picked.select("doc_id", "lang").distinct(), "sample")
     sample = usable.join(picked, ["doc_id", "lang"], "left_semi").select("lang", "text")
     kind = pa.schema([("lang", pa.string()), ("what", pa.string()), ("at", pa.int64()), ("n", pa.int64())])
