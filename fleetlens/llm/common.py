@@ -66,6 +66,7 @@ def batches(schema: pa.Schema, rows: Iterator[tuple], limit: int = 16 << 20) ->
             held, size = [], 0
     if held:
         yield _batch(schema, held)
+    pa.default_memory_pool().release_unused()  # the worker lives on; what its batches held goes back
 
 
 def _batch(schema: pa.Schema, rows: list) -> pa.RecordBatch:

@@ -14,12 +14,13 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from .common import mixed, staged, word_blocks
+from .common import batches, mixed, staged, word_blocks
 from .components import components
 
 SEED = 42
@@ -27,7 +28,6 @@ SHINGLE = 3
 SAMPLES, SAMPLE = 16, 5
 SLACK = 4  # bits beyond the similarity's share that a candidate may differ in before its shingles are compared
 _BLOCK = 1 << 16
-_SALT = 0x9E3779B97F4A7C15
 
 
 def _hash_blocks(text: str | None, shingle: int) -> Iterator[np.ndarray]:
@@ -53,21 +53,26 @@ def fingerprint(text: str | None, shingle: int = SHINGLE, samples: int = 0) -> i
     """64-bit SimHash of a text's word shingles, repeats included; 0 for a text without words. With ``samples`` also
     the SimHash of as many samples of SAMPLE shingles each: those with the smallest hashes under one scramble each,
     so that texts with many shingles in common often draw the same ones."""
-    counts, total = np.zeros(64, np.int64), 0
-    least = [np.empty(0, np.uint64)] * samples
+    counts, total, seen = np.zeros(64, np.int64), 0, []
     for hashes in _hash_blocks(text, shingle):
         counts += _bits(hashes)
         total += len(hashes)
-        distinct = np.unique(hashes)
-        for i in range(samples):
-            drawn = np.union1d(least[i], mixed(distinct ^ np.uint64(_SALT * (i + 1) % (1 << 64))))
-            least[i] = drawn[:SAMPLE]
-    value = _packed(counts, total)
-    return (value, [_packed(_bits(mixed(drawn)), len(drawn)) for drawn in least if len(drawn)]) if samples else value
+        seen.append(np.unique(hashes) if samples else hashes[:0])
+    value = int(np.packbits(2 * counts > total, bitorder="little").view("<u8")[0]) if total else 0
+    return (value, _sampled(np.unique(np.concatenate(seen)) if seen else np.empty(0, "<u8"), samples)) if samples else value
 
 
-def _packed(counts: np.ndarray, total: int) -> int:
-    return int(np.packbits(2 * counts > total, bitorder="little").view("<u8")[0]) if total else 0
+def _sampled(distinct: np.ndarray, samples: int) -> list[int]:
+    """The SimHash of each sample; none of a text without shingles."""
+    if not len(distinct):
+        return []
+    salts = mixed(np.arange(1, samples + 1, dtype=np.uint64))
+    drawn = mixed(distinct[None, :] ^ salts[:, None])
+    if len(distinct) > SAMPLE:
+        drawn = np.partition(drawn, SAMPLE - 1, axis=1)[:, :SAMPLE]
+    raw = np.ascontiguousarray(mixed(drawn)).view(np.uint8).reshape(samples, -1, 8)
+    bits = np.unpackbits(raw, axis=2, bitorder="little").sum(axis=1, dtype=np.int64)
+    return np.packbits(2 * bits > drawn.shape[1], axis=1, bitorder="little").view("<u8")[:, 0].tolist()
 
 
 def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE,
@@ -141,16 +146,23 @@ def similar(edges: DataFrame, docs: DataFrame, prints: DataFrame, doc_id: str, t
 
     One document stands for each fingerprint; only the texts that an edge names are taken apart.
     """
-    @pandas_udf("struct<own:long,shingles:array<long>>")
-    def taken_apart(texts: pd.Series) -> pd.DataFrame:
-        own = np.array([fingerprint(t, shingle) for t in texts], np.uint64).view(np.int64)
-        sets = [np.unique(np.concatenate([*_hash_blocks(t, shingle), np.empty(0, "<u8")])).view(np.int64) for t in texts]
-        return pd.DataFrame({"own": own, "shingles": sets})
+    kind = pa.schema([("fp", pa.int64()), ("shingles", pa.list_(pa.int64()))])
+
+    def taken_apart(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows():
+            for part in parts:
+                for fp, body in zip(part.column(0).to_pylist(), part.column(1)):
+                    body = body.as_py()
+                    own = np.array([fingerprint(body, shingle)], np.uint64).view(np.int64)[0]
+                    if own == fp:  # a row that repeats the doc_id may have another text
+                        found = np.unique(np.concatenate([*_hash_blocks(body, shingle), np.empty(0, "<u8")]))
+                        yield (fp, found.view(np.int64)), 8 * len(found)
+        return batches(kind, rows(), 4 << 20)
 
     ends = edges.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
     named = staged(ends.join(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "fp"), "ends")
     texts = docs.select(F.col(doc_id).alias("first"), F.col(text).alias("text")).join(named, "first")
-    sets = texts.withColumn("s", taken_apart("text")).where("s.own = fp").select("fp", "s.shingles").dropDuplicates(["fp"])
+    sets = texts.select("fp", "text").mapInArrow(taken_apart, "fp long, shingles array<long>").dropDuplicates(["fp"])
     sets = staged(sets, "sets")
     both = edges.join(sets.withColumnsRenamed({"fp": "a", "shingles": "one"}), "a").join(
         sets.withColumnsRenamed({"fp": "b", "shingles": "other"}), "b")

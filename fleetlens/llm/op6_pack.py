@@ -22,7 +22,7 @@ from .common import batches, staged
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 SEPARATOR = 1
 LENGTH = 2048
-_CACHED_CHARS, _CACHED_WORDS = 48, 600_000
+_CACHED_CHARS, _CACHED_WORDS = 32, 400_000
 
 
 class WordIds(dict):
