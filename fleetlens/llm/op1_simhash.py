@@ -9,6 +9,7 @@ both, and that word's vector is one of the shared cells. Each such word ties its
 them, so a group of n near copies costs n links, not n squared.
 """
 
+import math
 from collections.abc import Iterator
 from functools import reduce
 
@@ -16,17 +17,18 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from .common import batches, mixed, staged, word_blocks
+from .common import batches, staged, word_blocks
 from .components import components
 
 SEED = 42
 SHINGLE = 3
-SAMPLES, SAMPLE = 16, 5
-SLACK = 4  # bits beyond the similarity's share that a candidate may differ in before its shingles are compared
+WORDS = 16  # longs of a set's bit map
+SAMPLED, COMMON = 20_000, 10  # a shingle that so many of so many sampled documents have comes last in the prefix order
+BLOCK = 2000  # sets of a shingle that are compared with the others in one group
 _BLOCK = 1 << 16
 
 
@@ -49,49 +51,90 @@ def _bits(hashes: np.ndarray) -> np.ndarray:
     return np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
 
 
-def fingerprint(text: str | None, shingle: int = SHINGLE, samples: int = 0) -> int | tuple[int, list[int]]:
-    """64-bit SimHash of a text's word shingles, repeats included; 0 for a text without words. With ``samples`` also
-    the SimHash of as many samples of SAMPLE shingles each: those with the smallest hashes under one scramble each,
-    so that texts with many shingles in common often draw the same ones."""
-    counts, total, seen = np.zeros(64, np.int64), 0, []
+def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
+    """64-bit SimHash of a text's word shingles, repeats included; 0 for a text without words."""
+    return _printed(text, shingle)[0]
+
+
+def _printed(text: str | None, shingle: int, distinct: bool = False) -> tuple[int, np.ndarray]:
+    """The fingerprint, and the sorted distinct shingle hashes if asked for."""
+    counts, total, seen = np.zeros(64, np.int64), 0, [np.empty(0, "<u8")]
     for hashes in _hash_blocks(text, shingle):
         counts += _bits(hashes)
         total += len(hashes)
-        seen.append(np.unique(hashes) if samples else hashes[:0])
+        if distinct:
+            seen.append(np.unique(hashes))
     value = int(np.packbits(2 * counts > total, bitorder="little").view("<u8")[0]) if total else 0
-    return (value, _sampled(np.unique(np.concatenate(seen)) if seen else np.empty(0, "<u8"), samples)) if samples else value
+    return value, np.unique(np.concatenate(seen))
 
 
-def _sampled(distinct: np.ndarray, samples: int) -> list[int]:
-    """The SimHash of each sample; none of a text without shingles."""
-    if not len(distinct):
-        return []
-    salts = mixed(np.arange(1, samples + 1, dtype=np.uint64))
-    drawn = mixed(distinct[None, :] ^ salts[:, None])
-    if len(distinct) > SAMPLE:
-        drawn = np.partition(drawn, SAMPLE - 1, axis=1)[:, :SAMPLE]
-    raw = np.ascontiguousarray(mixed(drawn)).view(np.uint8).reshape(samples, -1, 8)
-    bits = np.unpackbits(raw, axis=2, bitorder="little").sum(axis=1, dtype=np.int64)
-    return np.packbits(2 * bits > drawn.shape[1], axis=1, bitorder="little").view("<u8")[:, 0].tolist()
+def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE) -> DataFrame:
+    """``doc_id`` and ``fp`` (the fingerprint as a signed long) for every row. A null text counts as empty."""
+    @pandas_udf("long")
+    def simhash(texts: pd.Series) -> pd.Series:
+        return pd.Series(np.array([fingerprint(t, shingle) for t in texts], np.uint64).view(np.int64))
 
+    return docs.select(F.col(doc_id).alias("doc_id"), simhash(F.col(text)).alias("fp"))
 
-def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE,
-                 samples: int = 0) -> DataFrame:
-    """``doc_id``, ``fp`` (the fingerprint as a signed long) for every row, and ``samples`` (an array of their
-    fingerprints) if any are asked for. A null text counts as empty."""
-    signed = lambda values: np.array(values, np.uint64).view(np.int64)
 
-    @pandas_udf("long")
-    def simhash(texts: pd.Series) -> pd.Series:
-        return pd.Series(signed([fingerprint(t, shingle) for t in texts]))
+def _set_id(distinct: np.ndarray) -> int:
+    """Names a set of shingles; texts with equal sets share it."""
+    return int(np.array([xxhash.xxh64_intdigest(distinct.tobytes(), SEED)], np.uint64).view(np.int64)[0])
+
+
+def _sketch(distinct: np.ndarray) -> list[int]:
+    """The places of a set's hashes in a map of 64 * WORDS bits. A bit that one map alone has stands for at least one
+    shingle that its set alone has, so two maps bound the overlap of their sets from above."""
+    bits = np.zeros(64 * WORDS, np.uint8)
+    bits[(distinct % np.uint64(64 * WORDS)).astype(np.int64)] = 1
+    return np.packbits(bits, bitorder="little").view("<i8").tolist()
+
+
+def common_shingles(docs: DataFrame, text: str, shingle: int) -> np.ndarray:
+    """Hashes of shingles that many documents share, from about SAMPLED documents. They only set the order of the
+    prefix search, which is complete under any order, so a sample may decide."""
+    kind = pa.schema([("hashes", pa.list_(pa.int64()))])
+
+    def taken(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows():
+            for part in parts:
+                for body in part.column(0):
+                    found = _printed(body.as_py(), shingle, True)[1]
+                    yield (found.view(np.int64),), 8 * len(found)
+        return batches(kind, rows(), 4 << 20)
+
+    every = max(1, docs.count() // SAMPLED)
+    some = docs.where(F.pmod(F.xxhash64(text), F.lit(every)) == 0).select(text)  # exact copies go or stay together
+    counts = some.mapInArrow(taken, "hashes array<long>").select(F.explode("hashes").alias("h")).groupBy("h").count()
+    return np.sort(np.array([r["h"] for r in counts.where(F.col("count") >= COMMON).select("h").collect()], np.int64).view(np.uint64))
+
+
+def sets_of(docs: DataFrame, doc_id: str, text: str, shingle: int, least: float) -> DataFrame:
+    """``doc_id``, ``fp``, ``sid`` (names the set of shingles), ``n`` (its size), ``map`` and ``prefix`` per row.
 
-    @pandas_udf("struct<fp:long,samples:array<long>>")
-    def sampled(texts: pd.Series) -> pd.DataFrame:
-        found = [fingerprint(t, shingle, samples) for t in texts]
-        return pd.DataFrame({"fp": signed([f for f, _ in found]), "samples": [signed(s) for _, s in found]})
+    A set that reaches a similarity of ``least`` with another one has ceil(least n) shingles in common with it, so
+    under one order of all shingles their n - ceil(least n) + 1 first ones have one in common. Shingles that many
+    documents share come last in the order.
+    """
+    common = common_shingles(docs, text, shingle)
+    kind = pa.schema([("doc_id", docs.select(doc_id).limit(0).toArrow().schema.field(0).type), ("fp", pa.int64()), ("sid", pa.int64()),
+                      ("n", pa.int32()), ("map", pa.list_(pa.int64())), ("prefix", pa.list_(pa.int64()))])
+
+    def printed(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows():
+            for part in parts:
+                for i, body in zip(part.column(0).to_pylist(), part.column(1)):
+                    fp, found = _printed(body.as_py(), shingle, True)
+                    late = np.isin(found, common)
+                    length = len(found) - math.ceil(round(least * len(found), 9)) + 1 if len(found) else 0
+                    prefix = np.concatenate([found[~late], found[late]])[:length]
+                    signed = int(np.array([fp], np.uint64).view(np.int64)[0])
+                    yield (i, signed, _set_id(found), len(found), _sketch(found), prefix.view(np.int64)), 200 + 8 * length
+        return batches(kind, rows(), 4 << 20)
 
-    rows = docs.select(F.col(doc_id).alias("doc_id"), (sampled if samples else simhash)(F.col(text)).alias("fp"))
-    return rows.select("doc_id", "fp.fp", "fp.samples") if samples else rows
+    ids = dict(docs.dtypes)[doc_id]
+    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(
+        printed, f"doc_id {ids}, fp long, sid long, n int, map array<long>, prefix array<long>")
 
 
 def _segment_counts(fp) -> F.Column:
@@ -128,45 +171,96 @@ def links(distinct: DataFrame) -> DataFrame:
     return words.join(least, "word").where("fp <> b").select(F.col("fp").alias("a"), "b").distinct()
 
 
-def sample_links(prints: DataFrame, max_bits: int) -> DataFrame:
-    """Edges (a, b) between fingerprints at most ``max_bits`` apart whose texts drew a sample in common.
+def _possible(least: float) -> Column:
+    """Whether the sizes and maps of two sets, named x and y, allow for a similarity of ``least``."""
+    alone = lambda p, q: reduce(lambda a, b: a + b, [
+        F.bit_count(F.col(f"{p}m{i}").bitwiseAND(F.bitwise_not(F.col(f"{q}m{i}")))) for i in range(WORDS)])
+    x, y = F.col("xn"), F.col("yn")
+    shared = F.least(x - alone("x", "y"), y - alone("y", "x"))
+    return (F.least(x, y) >= least * F.greatest(x, y) - 1e-9) & (shared * (1 + least) >= least * (x + y) - 1e-6)
 
-    Every sample ties its fingerprints to its smallest and its largest one, so there are no pairs. Equal
-    fingerprints are one before that; what a hot sample has left is split by adaptive execution.
-    """
-    drawn = prints.select("fp", F.explode("samples").alias("sample")).distinct()
-    ends = drawn.groupBy("sample").agg(F.min("fp").alias("low"), F.max("fp").alias("high")).where("low <> high")
-    tied = drawn.join(ends, "sample").select(F.col("fp").alias("a"), F.explode(F.array("low", "high")).alias("b"))
-    return tied.where((F.col("a") != F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= max_bits)).distinct()
+
+def _side(rows: DataFrame, p: str, *more: str) -> DataFrame:
+    return rows.select(*more, F.col("sid").alias(f"{p}s"), F.col("n").alias(f"{p}n"), *[
+        F.col(f"m{i}").alias(f"{p}m{i}") for i in range(WORDS)])
+
+
+def star_pairs(entries: DataFrame, known: DataFrame, least: float) -> DataFrame:
+    """Pairs (x, y) of sets that share a prefix shingle with the smallest and the largest set there: a first pass,
+    which connects most near copies with few comparisons."""
+    ends = entries.groupBy("token").agg(F.min("sid").alias("low"), F.max("sid").alias("high"))
+    tied = entries.join(ends, "token").select(F.col("sid").alias("x"), F.explode(F.array("low", "high")).alias("y"))
+    tied = tied.where("x <> y").select(F.least("x", "y").alias("xs"), F.greatest("x", "y").alias("ys")).distinct()
+    return tied.join(_side(known, "x"), "xs").join(_side(known, "y"), "ys").where(_possible(least)).select(
+        F.col("xs").alias("x"), F.col("ys").alias("y"))
 
 
-def similar(edges: DataFrame, docs: DataFrame, prints: DataFrame, doc_id: str, text: str, shingle: int,
-            least: float) -> DataFrame:
-    """The edges whose texts have a Jaccard similarity of ``least`` or more, by their exact sets of shingle hashes.
+def block_pairs(entries: DataFrame, least: float) -> DataFrame:
+    """All other pairs (x, y) that share a prefix shingle, may be similar and aren't connected yet.
 
-    One document stands for each fingerprint; only the texts that an edge names are taken apart.
+    ``entries`` has ``token``, ``sid``, ``root`` (of what is connected), ``n`` and the map. The sets of a shingle are
+    dealt into blocks of about BLOCK; every block is compared with all sets of the shingle, and only pairs that
+    their sizes and maps allow leave the join.
     """
-    kind = pa.schema([("fp", pa.int64()), ("shingles", pa.list_(pa.int64()))])
+    open_ = entries.groupBy("token").agg(F.count("*").alias("members"), F.min("root").alias("r0"), F.max("root").alias("r1")).where(
+        "r0 <> r1").select("token", F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks"))
+    left = entries.join(open_, "token").withColumn("block", F.pmod(F.hash("sid"), F.col("blocks")))
+    right = entries.join(open_, "token").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    x = _side(left, "x", "token", "block", F.col("root").alias("xr"))
+    y = _side(right, "y", F.col("token").alias("token_y"), F.col("block").alias("block_y"), F.col("root").alias("yr"))
+    met = (F.col("token") == F.col("token_y")) & (F.col("block") == F.col("block_y")) & (F.col("xs") < F.col("ys"))
+    return x.join(y, met & (F.col("xr") != F.col("yr")) & _possible(least)).select(
+        F.col("xs").alias("x"), F.col("ys").alias("y")).distinct()
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """The pairs whose exact sets of shingle hashes have a Jaccard similarity of ``least``, as edges (a, b) of fingerprints."""
+    both = pairs.join(sets.select(F.col("sid").alias("x"), F.col("fp").alias("a"), F.col("shingles").alias("one")), "x").join(
+        sets.select(F.col("sid").alias("y"), F.col("fp").alias("b"), F.col("shingles").alias("other")), "y")
+    common, n = F.size(F.array_intersect("one", "other")), F.size("one") + F.size("other")
+    return both.where(common >= least * (n - common) - 1e-9).select("a", "b")
+
+
+def _shingle_sets(docs: DataFrame, named: DataFrame, doc_id: str, text: str, shingle: int) -> DataFrame:
+    """``sid``, ``fp``, ``shingles`` of the sets that ``named`` (sid, fp, first: a document that has it) lists."""
+    kind = pa.schema([("sid", pa.int64()), ("fp", pa.int64()), ("shingles", pa.list_(pa.int64()))])
 
     def taken_apart(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows():
             for part in parts:
-                for fp, body in zip(part.column(0).to_pylist(), part.column(1)):
-                    body = body.as_py()
-                    own = np.array([fingerprint(body, shingle)], np.uint64).view(np.int64)[0]
-                    if own == fp:  # a row that repeats the doc_id may have another text
-                        found = np.unique(np.concatenate([*_hash_blocks(body, shingle), np.empty(0, "<u8")]))
-                        yield (fp, found.view(np.int64)), 8 * len(found)
+                for sid, fp, body in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(2)):
+                    found = _printed(body.as_py(), shingle, True)[1]
+                    if _set_id(found) == sid:  # a row that repeats the doc_id may have another text
+                        yield (sid, fp, found.view(np.int64)), 8 * len(found)
         return batches(kind, rows(), 4 << 20)
 
-    ends = edges.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
-    named = staged(ends.join(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "fp"), "ends")
-    texts = docs.select(F.col(doc_id).alias("first"), F.col(text).alias("text")).join(named, "first")
-    sets = texts.select("fp", "text").mapInArrow(taken_apart, "fp long, shingles array<long>").dropDuplicates(["fp"])
-    sets = staged(sets, "sets")
-    both = edges.join(sets.withColumnsRenamed({"fp": "a", "shingles": "one"}), "a").join(
-        sets.withColumnsRenamed({"fp": "b", "shingles": "other"}), "b")
-    return both.where(F.size(F.array_intersect("one", "other")) >= least * F.size(F.array_union("one", "other")) - 1e-9).select("a", "b")
+    texts = docs.select(F.col(doc_id).alias("__id"), F.col(text).alias("text")).join(
+        named, F.col("__id").eqNullSafe(F.col("first"))).select("sid", "fp", "text")
+    return texts.mapInArrow(taken_apart, "sid long, fp long, shingles array<long>").dropDuplicates(["sid"])
+
+
+def similar_links(prints: DataFrame, docs: DataFrame, near: DataFrame, doc_id: str, text: str, shingle: int,
+                  least: float) -> DataFrame:
+    """Edges of fingerprints that, with ``near``, have the components of all pairs of texts with a similarity of ``least``.
+
+    An exact prefix-filter join of the distinct sets of shingles. What a first pass has connected isn't compared
+    again, so a large group of near copies costs few comparisons; all other candidates are verified.
+    """
+    rows = prints.where("n > 0")
+    known = staged(rows.groupBy("sid").agg(F.min("fp").alias("fp"), F.min("doc_id").alias("first"), F.first("n").alias("n"), F.first(
+        "map").alias("map")).select("sid", "fp", "first", "n", *[F.col("map")[i].alias(f"m{i}") for i in range(WORDS)]), "sets")
+    same = rows.select("sid", F.col("fp").alias("a")).join(known.select("sid", F.col("fp").alias("b")), "sid").where("a <> b")
+    drawn = rows.select("sid", "prefix").dropDuplicates(["sid"]).select("sid", F.explode("prefix").alias("token"))
+    shared = drawn.groupBy("token").agg(F.count("*").alias("members")).where("members > 1").select("token")
+    entries = staged(drawn.join(shared, "token"), "entries")
+    named = known.join(entries.select("sid").distinct(), "sid").select("sid", "fp", "first")
+    sets = staged(_shingle_sets(docs, named, doc_id, text, shingle), "shingles")
+    edges = near.unionByName(same.select("a", "b").distinct())
+    edges = staged(edges.unionByName(_verified(star_pairs(entries, known, least), sets, least)).distinct(), "links")
+    roots = components(edges).withColumnRenamed("node", "fp")
+    rooted = known.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    rest = block_pairs(entries.join(rooted, "sid"), least)
+    return edges.unionByName(_verified(staged(rest, "candidates"), sets, least))
 
 
 def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE,
@@ -175,17 +269,17 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle
 
     Fingerprints link at two or fewer differing bits. With ``similarity``, a Jaccard similarity of shingles, texts
     that are at least so similar link as well. They differ in some ten bits, farther apart than the grid can be
-    searched for, so their candidates come from equal SimHashes of samples of their shingles.
+    searched for, so an exact prefix-filter join of their sets of shingles finds them, all of them.
 
     Exact copies meet in one distinct fingerprint before anything is compared. Texts without words (null, empty,
     blanks) have fingerprint 0 and are linked like any other. Rows repeat as in the input; a null doc_id keeps its
     row and never becomes a component_id unless its whole component has none. No rows give no rows.
     """
-    prints = staged(fingerprints(docs, doc_id, text, shingle, SAMPLES if similarity else 0), "simhash")
+    prints = staged(sets_of(docs, doc_id, text, shingle, similarity) if similarity else fingerprints(
+        docs, doc_id, text, shingle), "simhash")
     edges = links(prints.select("fp").distinct())
     if similarity:
-        near = staged(sample_links(prints, int((1 - similarity) * 64) + SLACK), "candidates")
-        edges = edges.unionByName(similar(near, docs, prints, doc_id, text, shingle, similarity)).distinct()
+        edges = similar_links(prints, docs, edges, doc_id, text, shingle, similarity)
     first = prints.groupBy("fp").agg(F.min("doc_id").alias("first"))
     linked = components(edges).withColumnRenamed("node", "fp")
     grown = first.join(linked, "fp").select("fp", "root", "first")

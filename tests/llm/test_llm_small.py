@@ -146,6 +146,36 @@ def test_near_copies_link_by_similarity(spark):
     assert found == want and len(set(want.values())) == 24
 
 
+def test_every_copy_of_a_base_links_by_similarity(spark):
+    """1,000 copies at 0.80 to 0.85 of one base that are less similar to each other, against all pairs."""
+    pick, words = random.Random(16), prose(6000, 400).split()
+    texts = [words]
+    for _ in range(1000):
+        copy = list(words)
+        for at in pick.sample(range(400), pick.choice((7, 8, 9))):
+            copy[at] = f"changed{pick.random()}"
+        texts.append(copy)
+    pick.shuffle(texts)
+    cut = [{tuple(w[i:i + 5]) for i in range(len(w) - 4)} for w in texts]
+    prints = [op1_simhash.fingerprint(" ".join(w), 5) for w in texts]
+    roots = list(range(len(texts)))
+
+    def root(i):
+        while roots[i] != i:
+            i = roots[i]
+        return i
+    for i, one in enumerate(cut):
+        for j in range(i):
+            common = len(one & cut[j])
+            if common >= 0.8 * (len(one) + len(cut[j]) - common) or (prints[i] ^ prints[j]).bit_count() <= 2:
+                a, b = sorted((root(i), root(j)))
+                roots[b] = a
+    rows = documents(spark, [(i, " ".join(w), "x", "s") for i, w in enumerate(texts)])
+    found = {r.doc_id: r.component_id for r in op1_simhash.classes(rows, shingle=5, similarity=0.8).collect()}
+    assert found == {i: root(i) for i in range(len(texts))}
+    assert 500 < max(list(found.values()).count(r) for r in set(found.values())) < 1001
+
+
 def test_language_learns_and_labels_spans(spark):
     a, b = "zaq xev wox quv".split(), "mil nol pam lem".split()
     pick = random.Random(9)
