@@ -1,8 +1,8 @@
 """Secret scans: rules for known kinds of secrets, and a token-efficiency test for random strings.
 
 Random strings cost many tokens: a vocabulary trained on prose cuts them into short pieces. A run of key characters
-whose characters per token stay below a limit is a secret, unless it is a digest of a known length, a UUID, a number,
-a date or an identifier made of words.
+whose characters per token stay below a limit is a secret, unless it is a digest of a known length, a UUID, a number or
+a date. Of what is shaped like an identifier only the letters count, so one made of words is none.
 """
 
 import base64
@@ -22,7 +22,7 @@ from .common import batches
 KINDS = ("assign", "access", "hex", "random")
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.tiktoken")
 CHARS_PER_TOKEN = 2.2
-LONGEST = 512  # a longer run is data (an embedded file), not a key
+BLOCK = 512  # a longer run is scored in blocks of so many characters, and is random if one of them is
 
 # The kinds of the result and the patterns they are found by.
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""",
@@ -30,13 +30,16 @@ _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{12,}")
 _HEX = re.compile(r"[0-9a-f]{32,}")
 
-_RUN = re.compile(r"(?<![A-Za-z0-9+/_.@-])[A-Za-z0-9+/_-]{16,}={0,2}(?![A-Za-z0-9+/_@=-])")
+_RUN = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}={0,2}")
 _DIGEST = re.compile(r"(?:[0-9a-f]+|[0-9A-F]+)")
 _DIGEST_LENGTHS = {32, 40, 48, 56, 64, 96, 128}
-_IDENTIFIER = re.compile(
+_NUMBER = re.compile(
     r"[0-9]+(?:[-_/][0-9]+)*"  # numbers, dates, phone and card numbers
-    r"|[0-9A-Fa-f]{8}(?:-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}"  # UUID
-    r"|[A-Za-z]*[0-9]{0,4}(?:[-_/]+(?:[A-Za-z]+[0-9]{0,4}|[0-9]{1,4}))*[-_/]*")  # words, with numbers at their ends
+    r"|[0-9A-Fa-f]{8}(?:-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}")  # UUID
+_IDENTIFIER = re.compile(  # words, with numbers at their ends
+    r"[A-Za-z]*[0-9]{0,4}(?:[-_/]+(?:[A-Za-z]+[0-9]{0,4}|[0-9]{1,4}))*[-_/]*")
+_LETTERS = re.compile(r"[A-Za-z]+")
+LEAST_LETTERS = 8  # of an identifier: rules and numbered marks are none
 
 
 @cache
@@ -49,11 +52,19 @@ def _encoding(path: str) -> tiktoken.Encoding:
 def is_random(run: str, vocabulary: str = VOCABULARY, ratio: float = CHARS_PER_TOKEN) -> bool:
     """Whether a run of key characters reads as random under the vocabulary."""
     body = run.rstrip("=")
-    if len(run) > LONGEST or not re.search(r"[0-9]", body) or not re.search(r"[A-Za-z]", body):
+    if not _LETTERS.search(body) or _NUMBER.fullmatch(body) or _DIGEST.fullmatch(body) and len(body) in _DIGEST_LENGTHS:
         return False
-    if _DIGEST.fullmatch(body) and len(body) in _DIGEST_LENGTHS or _IDENTIFIER.fullmatch(body):
-        return False
-    return len(run) <= ratio * len(_encoding(vocabulary).encode_ordinary(run))
+    tokens = lambda part: len(_encoding(vocabulary).encode_ordinary(part))
+    for at in range(0, max(1, len(run) - BLOCK // 2), BLOCK):  # a short rest belongs to the block before it
+        end = at + BLOCK if len(run) - at > BLOCK + BLOCK // 2 else len(run)
+        block = run[at:end]
+        if _IDENTIFIER.fullmatch(block.rstrip("=")):
+            words = _LETTERS.findall(block)
+            if (n := sum(map(len, words))) >= LEAST_LETTERS and n <= ratio * sum(map(tokens, words)):
+                return True
+        elif len(block) <= ratio * tokens(block):
+            return True
+    return False
 
 
 def spans(text: str | None, vocabulary: str = VOCABULARY, ratio: float = CHARS_PER_TOKEN) -> list[tuple[int, int, int]]:

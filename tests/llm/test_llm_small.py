@@ -451,6 +451,23 @@ def test_token_efficiency_finds_random_strings_only():
     assert op9_secrets.redacted("a token=abcdefgh1 b x7Kq9ZpL2vRt8WmN4bYc c") == "a [SECRET] b [SECRET] c"
 
 
+def test_random_strings_of_every_shape_are_found():
+    """After dots and at signs, longer than a key, and without digits; random letters, not words."""
+    pick, b62 = random.Random(17), "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    draw = lambda n, of=b62: "".join(pick.choice(of) for _ in range(n))
+    for _ in range(20):
+        one, two = draw(22), draw(43)
+        for text in (f"a SG.{one}.{two} b", f"a key.{one} b", f"https://u:{one}@host b", f"u@{two} b", f"a.{one}==={two} b"):
+            left = op9_secrets.redacted(text)
+            assert one not in left and two not in left, text
+        assert op9_secrets.is_random(draw(24, b62[:52])) and op9_secrets.is_random(draw(20, b62[:52]) + "2024")
+    for n in (513, 767, 769, 1600, 100_000):
+        assert op9_secrets.redacted(f"a {draw(n)} b") == "a [SECRET] b"
+    assert op9_secrets.is_random("ordinarywords" * 60 + draw(600))
+    for text in ("ordinarywords" * 100, "-" * 40, "_" * 20 + "a", "internationalization", "src/components/button/index"):
+        assert not op9_secrets.is_random(text), text
+
+
 def test_redact_keeps_clean_rows(spark, odd, none):
     assert op9_secrets.redact(odd).exceptAll(odd).count() == 0
     assert op9_secrets.redact(none).count() == 0
