@@ -6,21 +6,34 @@ share of good documents, shrunk toward the global share, and every path of a hos
 strongly is estimated from how far hosts, and paths in hosts, differ (method of moments). The path posterior is the
 prior of the document's own decision. Site counts are grouped sums, so a host with a third of all rows is summed
 inside the tasks first, and only the table of sites is joined back.
+
+Toxic texts look like others on the surface, so the stage that drops documents also asks their words: each hashed word
+has the log ratio of its share of toxic and of clean labelled documents (all of them count), less its standard error,
+and a document is as toxic as its most toxic word. ``scores`` and its SQL have the quality part alone.
 """
 
+import re
+from collections.abc import Iterator
 from functools import reduce
 from math import log
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import batches, staged
 
 BINS = 16
 FEATURES = ("upper", "marks", "distinct", "length", "digits")
 SMOOTHING = 1.0
 STRENGTH = (1.0, 1000.0)  # least and most pseudo-documents of a prior
 THRESHOLD = 0.5
+BUCKETS = 1 << 20  # of hashed words
+ERRORS = 1.64  # standard errors by which a word's log ratio is lowered
+_WORD = re.compile(r"[^\W_]+")
 
 
 def _bins(text: Column) -> list[Column]:
@@ -121,9 +134,58 @@ def judge(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     return joined.withColumn("__p_good", 1 / (1 + odds)).drop("__h", "__p", "__host", "__path")
 
 
+def _buckets(text: str | None) -> np.ndarray:
+    """The distinct buckets of a text's words, runs of letters and digits in lower case."""
+    return np.unique(np.array([xxhash.xxh64_intdigest(w) % BUCKETS for w in set(_WORD.findall((text or "").lower()))], np.int64))
+
+
+def toxic_words(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text") -> np.ndarray:
+    """The log odds of being toxic that each bucket gives a document. Several labels of a document are averaged (a
+    tie is toxic); without labels of both kinds no document is toxic."""
+    truth = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("__id")).agg(
+        (F.avg("toxic") >= 0.5).alias("toxic"))
+    kind = pa.schema([(c, pa.int64()) for c in ("bucket", "yes", "no")])
+
+    def counted(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros((2, BUCKETS + 1), np.int64)  # the last one counts documents
+        for part in parts:
+            for toxic, body in zip(part.column(0).to_pylist(), part.column(1)):
+                counts[0 if toxic else 1, np.append(_buckets(body.as_py()), BUCKETS)] += 1
+        used = np.flatnonzero(counts.any(axis=0))
+        yield from batches(kind, (((int(i), int(counts[0, i]), int(counts[1, i])), 24) for i in used))
+
+    known = docs.select(F.col(doc_id).alias("__id"), F.col(text).alias("text")).join(truth, "__id").select("toxic", "text")
+    summed = known.mapInArrow(counted, "bucket long, yes long, no long").groupBy("bucket").agg(
+        F.sum("yes").alias("yes"), F.sum("no").alias("no"))
+    rows = np.array([tuple(r) for r in summed.where(f"yes > 0 OR bucket = {BUCKETS}").collect()], np.int64).reshape(-1, 3)
+    total = rows[rows[:, 0] == BUCKETS]
+    odds = np.full(BUCKETS, -np.inf)
+    if not len(total) or not total[0, 1:].all():
+        return odds
+    toxic, clean = (int(n) for n in total[0, 1:])
+    odds[:] = log(toxic / clean)
+    bucket, yes, no = rows[rows[:, 0] < BUCKETS].T
+    ratio = np.log((yes + 0.5) / (toxic + 1)) - np.log((no + 0.5) / (clean + 1))
+    odds[bucket] += np.maximum(ratio - ERRORS * np.sqrt(1 / (yes + 0.5) + 1 / (no + 0.5)), 0)
+    return odds
+
+
+def is_toxic(text: Column, odds: np.ndarray) -> Column:
+    """Whether a text's most toxic word makes it more likely toxic than not."""
+    found = np.sort(np.flatnonzero(odds > 0))
+
+    @F.pandas_udf("boolean")
+    def judged(texts: pd.Series) -> pd.Series:
+        return pd.Series([bool(np.isin(_buckets(t), found).any()) for t in texts], dtype=bool)
+
+    return judged(text)
+
+
 def keep_good(docs: DataFrame, labels: DataFrame, **columns: str) -> DataFrame:
-    """The rows of ``docs`` whose probability of being good reaches THRESHOLD, columns unchanged."""
-    return judge(docs, labels, **columns).where(F.col("__p_good") >= THRESHOLD).select(*docs.columns)
+    """The rows of ``docs`` whose probability of being good reaches THRESHOLD and that aren't toxic, columns unchanged."""
+    words = toxic_words(docs, labels, **{k: v for k, v in columns.items() if k in ("doc_id", "text")})
+    kept = judge(docs, labels, **columns).where(F.col("__p_good") >= THRESHOLD).select(*docs.columns)
+    return kept.where(~is_toxic(F.col(columns.get("text", "text")), words)) if (words > 0).any() else kept
 
 
 def scores(docs: DataFrame, labels: DataFrame) -> DataFrame:

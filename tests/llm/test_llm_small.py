@@ -490,6 +490,17 @@ def test_quality_learns_and_shrinks(spark):
     assert abs(rows[302].prior - 0.5) < 0.25
 
 
+def test_toxic_documents_of_good_quality_go(spark):
+    """Texts of one shape, some with an insult; half are labelled, all good."""
+    rows = [(i, prose(9000 + i, 60) + (" You IDIOT!" if i % 10 == 0 else " You there!"), "en", "s0") for i in range(400)]
+    rows += [(400, None, "en", "s0"), (None, "idiot", "en", "s0")]
+    truth = labels(spark, [(i, 1, int(i % 10 == 0)) for i in range(200)] + [(3, 1, None), (None, 1, 1)])
+    docs = documents(spark, rows)
+    kept = {r.doc_id for r in op10_quality.keep_good(docs, truth).collect()}
+    assert kept == {i for i in range(401) if i % 10 or i == 400}
+    assert op10_quality.keep_good(docs, truth.withColumn("toxic", F.lit(0))).count() == docs.count()
+
+
 def test_quality_on_odd_rows(spark, odd, none):
     empty = labels(spark, [])
     rows = op10_quality.scores(odd, empty).collect()
