@@ -59,15 +59,29 @@ def _hashes(words: list[str], size: int) -> np.ndarray:
     return np.unique(rolling(values, min(size, max(1, len(words)))))
 
 
-def _doc_hashes(docs: DataFrame, size: int) -> DataFrame:
-    """``doc_id``, ``hash`` for each distinct shingle of each row; ``docs`` has doc_id and text."""
+def _short_widths(items: DataFrame, size: int) -> list[int]:
+    """The numbers of words below ``size`` that items have."""
+    kind = pa.schema([("width", pa.int32())])
+
+    def counted(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = {len(words_of(text)) for part in parts for text in part.column(0).to_pylist()}
+        yield from batches(kind, (((n,), 4) for n in found if 0 < n < size))
+
+    rows = items.select("text").mapInArrow(counted, "width int").distinct().collect()
+    return sorted(r["width"] for r in rows)
+
+
+def _doc_hashes(docs: DataFrame, size: int, widths: list[int]) -> DataFrame:
+    """``doc_id``, ``hash`` for each distinct shingle of ``size`` words, and of each of ``widths``, of each row;
+    ``docs`` has doc_id and text."""
     kind = pa.schema([("doc_id", pa.int64()), ("hashes", pa.list_(pa.int64()))])
 
     def hashed(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows():
             for part in parts:
                 for i, text in zip(part.column(0).to_pylist(), part.column(1)):
-                    h = _hashes(words_of(text.as_py()), size)
+                    words = words_of(text.as_py())
+                    h = np.unique(np.concatenate([_hashes(words, w) for w in (size, *widths)]))
                     yield (i, h.view(np.int64)), 8 * len(h)
         return batches(kind, rows())
 
@@ -101,18 +115,19 @@ def _containment(text: str | None, item: str | None, size: int) -> float:
     return len(wanted.intersection(shingles_of(words_of(text), width))) / len(wanted)
 
 
-def leaks(docs: DataFrame, items: DataFrame, size: int = SHINGLE, least: float = CONTAINMENT) -> DataFrame:
+def leaks(docs: DataFrame, items: DataFrame, size: int = SHINGLE, least: float = CONTAINMENT,
+          short: bool = False) -> DataFrame:
     """``doc_id``, ``item_id``, ``containment`` for each document that holds ``least`` or more of an item's shingles.
 
     Words are runs of letters and digits in lower case, so case, punctuation and line breaks don't hide an item.
     An item of fewer than ``size`` words is one shingle of all of them and matches only a text that is just as
-    short; items without words and null texts match nothing. Repeated rows give one result per doc_id and item_id
+    short, unless ``short`` asks for it inside longer texts too; items without words and null texts match nothing. Repeated rows give one result per doc_id and item_id
     with the largest containment. Rows with a null doc_id are judged together as one document, null item_ids as
     one item. Empty tables give no rows.
     """
     docs = docs.select(F.col("doc_id").cast("long"), "text")
     sketches = staged(_sketches(items.select(F.col("item_id").cast("long"), "text"), size, least), "sketches")
-    hits = _doc_hashes(docs, size).join(sketches.select("item_id", "hash"), "hash")
+    hits = _doc_hashes(docs, size, _short_widths(items, size) if short else []).join(sketches.select("item_id", "hash"), "hash")
     pairs = staged(hits.groupBy("doc_id", "item_id").agg(F.lit(1).alias("one")).drop("one"), "candidates")
     named = pairs.join(sketches.select("item_id", "item").distinct(),
                        pairs["item_id"].eqNullSafe(sketches["item_id"])).select(
@@ -134,7 +149,8 @@ def leaks(docs: DataFrame, items: DataFrame, size: int = SHINGLE, least: float =
     return exact.groupBy("doc_id", "item_id").agg(F.round(F.max("containment"), 6).alias("containment"))
 
 
-def remove_leaks(docs: DataFrame, items: DataFrame, size: int = SHINGLE, least: float = CONTAINMENT) -> DataFrame:
+def remove_leaks(docs: DataFrame, items: DataFrame, size: int = SHINGLE, least: float = CONTAINMENT,
+                 short: bool = False) -> DataFrame:
     """The rows of ``docs`` that hold no item, columns unchanged. Rows with a null doc_id stay or go together."""
-    found = staged(leaks(docs, items, size, least).select(F.col("doc_id").alias("__leak")).distinct(), "leaks")
+    found = staged(leaks(docs, items, size, least, short).select(F.col("doc_id").alias("__leak")).distinct(), "leaks")
     return docs.join(found, docs["doc_id"].eqNullSafe(found["__leak"]), "left_anti")

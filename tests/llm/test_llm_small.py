@@ -418,6 +418,19 @@ def test_warc_reader_refuses_broken_archives():
     assert op8_warc.parsed(spoiled)["verified"] is False
 
 
+def test_short_items_inside_long_documents(spark):
+    items = [(1, "Blue whale"), (2, "one two three four"), (3, prose(310, 20)), (4, "single"), (5, None)]
+    base = prose(311, 50)
+    docs = [(1, f"{base} BLUE, whale {base}"), (2, f"{base} one two three. four"), (3, f"{base} one two four three"), (4, "single"),
+            (5, base), (6, f"whale blue {base}"), (7, None), (8, f"{items[2][1]} single")]
+    table = documents(spark, [(d, t, "x", "s") for d, t in docs])
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    found = {(r.doc_id, r.item_id) for r in op3_decontaminate.leaks(table, bench, short=True).collect()}
+    assert found == {(1, 1), (2, 2), (4, 4), (8, 3), (8, 4)}
+    kept = op3_decontaminate.remove_leaks(table, bench, short=True)
+    assert {r.doc_id for r in kept.collect()} == {3, 5, 6, 7}
+
+
 def brute_base(text):
     """The contract's rules, word by word: match, then drop what fails."""
     found = []
