@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..session import configure
 from . import (op1_simhash, op2_language, op3_decontaminate, op4_syncmers, op5_url_filters, op6_pack, op7_substrings,
-               op8_warc, op9_secrets, op10_quality)
+               op8_warc, op9_secrets, op10_quality, op11_chat, op12_runs, op13_spelling)
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -38,3 +38,7 @@ QUERIES["op7_substring_dedup"] = _documents(op7_substrings.removals)
 ORACLES["op7_substring_dedup"] = op7_substrings.ORACLE_SQL
 QUERIES["op8_warc"] = lambda spark, sf_dir: op8_warc.round_trip(_table(spark, sf_dir, "pages"))
 ORACLES["op8_warc"] = op8_warc.ORACLE_SQL
+QUERIES["op11_chat_formatting"] = lambda spark, sf_dir: op11_chat.formatted(_table(spark, sf_dir, "conversations"))
+ORACLES["op11_chat_formatting"] = op11_chat.ORACLE_SQL
+QUERIES["op12_periodic_runs"] = _documents(op12_runs.run_digests)
+QUERIES["op13_spelling_variants"] = _documents(op13_spelling.forms)
