@@ -60,3 +60,6 @@ POPULATION_FIELDS = (
     "stop_id", "occupancy_status", "congestion_level", "current_status",
     "bearing", "speed", "trip_id", "route_id", "lat",
 )
+
+# A restarted job takes up the stored rows of so many seconds, and holds a vehicle's newest row as long.
+LATEST_RESTORE_S = 900

@@ -1,13 +1,16 @@
 """Streaming jobs run to the end of their input; the result must equal the batch answer."""
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ...operators import continuity
+from ...constants import LATEST_RESTORE_S
+from ...operators import continuity, merge
 from ...operators.keyed import first_per_key
 from ...session import shared_dir
 from ...sources.feeds import position_feed_flatten
 from ...streaming import ingest, runner, second_feed, stateful
 from .. import fold, tables
+from ..driver_sql import LAT_STEP, LON_STEP, MOVING
 from ..driver_tables import BASE_TS, NOW, NOW_FAST
 from .feeds import _FLAT, position_entity, position_messages, trip_messages, vehicle_messages, vehicle_type
 from .registry import query, rounded
@@ -15,35 +18,25 @@ from .registry import query, rounded
 _SLICE_S = 2700
 
 
-def _out_of_order(t, frame, span_s: int = 86_400 * 30):
-    """A frame as a stream of four files, oldest first, where every tenth row comes one file later."""
-    first = BASE_TS if span_s < 86_400 else NOW - span_s
-    length = (3 * _SLICE_S + _SLICE_S) // 4 if span_s < 86_400 else span_s // 4
-    part = F.least(F.greatest(F.call_function("div", F.col("ts") - first, F.lit(length)), F.lit(0)) + F.when(
-        F.pmod(F.xxhash64("vehicle_id", "ts"), F.lit(10)) == 0, 1).otherwise(0), F.lit(3))
-    root = shared_dir(t.spark, "late")
-    placed = frame.withColumn("part", part).persist()
-    for i in range(4):
-        placed.filter(F.col("part") == i).drop("part").coalesce(1).write.mode("append").parquet(root)
-    placed.unpersist()
-    return runner.file_stream(t.spark, root, frame.schema, files_per_trigger=1)
+def _delivered(t, frame, slice_of, name: str = "staged"):
+    """A frame landed as folders of successive slices, each written by many tasks; (folders, schema)."""
+    landed = frame.withColumn("slice", slice_of.cast("int"))
+    return runner.land(landed, shared_dir(t.spark, name), "slice"), frame.schema
 
 
-def _staged(t, frame, column: str = "ts", name: str = "staged"):
-    """A frame written as four files of successive 45-minute slices, oldest first."""
-    root = shared_dir(t.spark, name)
-    for i in range(4):
-        low = BASE_TS + i * _SLICE_S
-        high = low + _SLICE_S if i < 3 else 2**40
-        part = frame.filter((F.col(column) >= low) & (F.col(column) < high))
-        part.coalesce(1).write.mode("append").parquet(root)
-    return root
+def _slice(column: str = "ts", length: int = _SLICE_S, first: int = BASE_TS):
+    """Which of four slices of time a row belongs to."""
+    return F.least(F.greatest(F.call_function("div", F.col(column) - first, F.lit(length)), F.lit(0)), F.lit(3))
 
 
-def _staged_stream(t, frame, name: str = "staged"):
-    # Whole-table slices stand in for landed files; the stage step is not part of the operator.
-    root = _staged(t, frame, name=name)
-    return runner.file_stream(t.spark, root, frame.schema, files_per_trigger=1)
+def _later(slice_of, when):
+    """The slice after, for some rows."""
+    return F.least(slice_of + F.when(when, 1).otherwise(0), F.lit(3))
+
+
+def _drain(t, landed, job, write, mode="append", drops_to=None):
+    folders, schema = landed
+    return runner.drain_folders(t.spark, folders, schema, job, write, shared_dir(t.spark, "progress"), mode, drops_to), schema
 
 
 def _run(t, stream, write, mode="append"):
@@ -64,44 +57,48 @@ def file_stream_source(t):
     return t.spark.read.parquet(out).select(*columns)
 
 
-# Landed files of one slice of time each; every twentieth report comes one file late. A file holds two
-# messages that land in the same second, each with five entities per report, four of them without a
-# vehicle; the first file also holds an empty message and one that is no JSON.
+# Landed folders of one slice of time each; every twentieth report comes one folder late. A message holds at most REPORTS
+# successive reports, so the number of messages grows with the table. Each report is five entities, four of them without a
+# vehicle; the first folder also holds an empty message and one that is no JSON, and from the third on some vehicles send a
+# field that nobody listed.
+REPORTS = 2000
 _SLICE = f"least(least((ts - {BASE_TS}) // {_SLICE_S}, 3) + CASE WHEN arrival % 20 = 0 THEN 1 ELSE 0 END, 3)"
-_LANDED = (f", sliced AS (SELECT *, {_SLICE} AS slice, arrival % 2 AS half FROM positions_fast_v), "
-           "landed AS (SELECT *, max(ts) OVER (PARTITION BY slice, half) + 3 AS header, "
-           "5 * (row_number() OVER (PARTITION BY slice, half ORDER BY arrival) - 1) AS entity_no FROM sliced), "
+_LANDED = (f", sliced AS (SELECT *, {_SLICE} AS slice, arrival // {REPORTS} AS bucket FROM positions_fast_v), "
+           "landed AS (SELECT *, max(ts) OVER (PARTITION BY slice, bucket) + 3 AS header, dense_rank() OVER (PARTITION BY slice ORDER BY bucket) - 1 AS message_no, "
+           "5 * (row_number() OVER (PARTITION BY slice, bucket ORDER BY arrival) - 1) AS entity_no FROM sliced), "
            "observed AS (SELECT CASE WHEN arrival % 12 = 0 THEN 'E' || arrival WHEN arrival % 12 = 6 THEN 'L' || vehicle_id ELSE vehicle_id END AS vehicle_id, "
-           "CASE WHEN arrival % 9 = 0 THEN header ELSE ts END AS ts, route_id, bearing, current_status, lat, lon, CASE WHEN lat IS NOT NULL THEN speed END AS speed, trip_id, slice, half, header, "
-           "CAST(slice * 274877906944 + half * 1048576 + entity_no AS BIGINT) AS arrival FROM landed), "
+           "CASE WHEN arrival % 9 = 0 THEN header ELSE ts END AS ts, route_id, bearing, current_status, lat, lon, CASE WHEN lat IS NOT NULL THEN speed END AS speed, trip_id, slice, message_no, header, "
+           "CAST(slice * 274877906944 + message_no * 1048576 + entity_no AS BIGINT) AS arrival FROM landed), "
            "accepted AS (SELECT * FROM observed WHERE route_id IS NULL OR route_id IN (SELECT route_id FROM routes_v)), "
            "logged AS (SELECT * FROM accepted QUALIFY row_number() OVER (PARTITION BY vehicle_id, ts ORDER BY arrival) = 1)")
 
 
 def landed_messages(t):
-    """(slice, message_id, body, ingested_at), one row per message."""
-    slice_of = F.least(F.call_function("div", F.col("ts") - BASE_TS, F.lit(_SLICE_S)), F.lit(3))
-    rows = t.positions_fast.withColumn("slice", F.least(
-        slice_of + F.when(F.col("arrival") % 20 == 0, 1).otherwise(0), F.lit(3)).cast("int")).withColumn("half", F.col("arrival") % 2)
+    """(slice, message_id, body, ingested_at), one row per message of at most REPORTS reports."""
+    rows = t.positions_fast.withColumns({
+        "slice": _later(_slice(), F.col("arrival") % 20 == 0).cast("int"), "bucket": F.call_function("div", F.col("arrival"), F.lit(REPORTS))})
     nothing = F.struct(F.lit("alert").alias("id"), F.lit(None).cast(vehicle_type(t)).alias("vehicle"))
-    entities = F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("arrival", position_entity().alias("e")))),
+    told = F.when((F.col("slice") >= 2) & (F.col("arrival") % 50 == 0), F.col("arrival"))
+    entity = position_entity().withField("vehicle.position.odometer", told)
+    nothing = nothing.withField("vehicle.position.odometer", F.lit(None).cast("bigint"))
+    entities = F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("arrival", entity.alias("e")))),
                                      lambda r: F.array(r["e"], *[nothing] * 4)))
     header = F.struct((F.max("ts") + 3).alias("timestamp"))
-    full = rows.groupBy("slice", "half").agg(F.to_json(F.struct(header.alias("header"), entities.alias("entity"))).alias("body"))
-    landed = full.select("slice", F.col("half").alias("message_id"), "body")
-    odd = t.spark.createDataFrame([(0, 8, '{"header":{},"entity":[]}'), (0, 9, "no json")], "slice int, message_id bigint, body string")
+    full = rows.groupBy("slice", "bucket").agg(F.to_json(F.struct(header.alias("header"), entities.alias("entity"))).alias("body"))
+    landed = full.select("slice", F.col("bucket").alias("message_id"), "body")
+    odd = t.spark.createDataFrame([(0, 1 << 60, '{"header":{},"entity":[]}'), (0, (1 << 60) + 1, "no json")],
+                                  "slice int, message_id bigint, body string")
     return landed.unionByName(odd).withColumn("ingested_at", F.lit(BASE_TS).cast("bigint") + (F.col("slice") + 1) * _SLICE_S)
 
 
-def _ingested(t):
+def _landed_folders(t):
+    messages = landed_messages(t)
+    return runner.land(messages, shared_dir(t.spark, "messages"), "slice"), messages.drop("slice").schema
+
+
+def _ingested(t, landed=None):
     store = ingest.IngestTables(t.spark, shared_dir(t.spark, "ingest"))
-    root = shared_dir(t.spark, "messages")
-    messages = landed_messages(t).persist()
-    for i in range(4):
-        messages.filter(F.col("slice") == i).drop("slice").coalesce(1).write.mode("append").parquet(root)
-    messages.unpersist()
-    stream = runner.file_stream(t.spark, root, messages.drop("slice").schema, files_per_trigger=1)
-    _run(t, stream, ingest.ingest_batch(store, t.routes, late_after_s=600, compact_every=2))
+    _drain(t, landed or _landed_folders(t), lambda s: s, ingest.ingest_batch(store, t.routes, late_after_s=600, compact_every=2))
     return store
 
 
@@ -116,56 +113,119 @@ def stream_ingest_latest(t):
     return _ingested(t).latest.select("vehicle_id", "ts", "route_id", "lat", "speed", "arrival")
 
 
-@query("stream_ingest_audit", _LANDED + f" SELECT CAST(slice AS BIGINT) AS batch, CAST(half AS BIGINT) AS message_no, CAST({BASE_TS} + (slice + 1) * {_SLICE_S} AS BIGINT) AS polled_at, "
-       "true AS ok, count(*) AS entities, (SELECT count(*) FROM logged l WHERE l.slice = o.slice AND l.half = o.half) AS fresh_rows, max(header) AS feed_timestamp, "
-       f"CAST(NULL AS VARCHAR) AS error FROM observed o GROUP BY slice, half UNION ALL SELECT 0, n, {BASE_TS + _SLICE_S}, false, 0, 0, NULL, 'feed returned no entities' FROM (VALUES (2), (3)) v(n)")
+@query("stream_ingest_audit", _LANDED + f" SELECT CAST(slice AS BIGINT) AS batch, CAST(message_no AS BIGINT) AS message_no, CAST({BASE_TS} + (slice + 1) * {_SLICE_S} AS BIGINT) AS polled_at, "
+       "true AS ok, count(*) AS entities, (SELECT count(*) FROM logged l WHERE l.slice = o.slice AND l.message_no = o.message_no) AS fresh_rows, max(header) AS feed_timestamp, "
+       f"CAST(NULL AS VARCHAR) AS error FROM observed o GROUP BY slice, message_no UNION ALL SELECT 0, m + n, {BASE_TS + _SLICE_S}, false, 0, 0, NULL, 'feed returned no entities' "
+       "FROM (SELECT count(DISTINCT message_no) AS m FROM observed WHERE slice = 0), (VALUES (0), (1)) v(n)")
 def stream_ingest_audit(t):
     return _ingested(t).polls.select(
         "batch", (F.col("message_key") % (1 << ingest.MESSAGE_BITS)).alias("message_no"), "polled_at", (F.col("ok") == 1).alias("ok"),
         F.col("entity_count").cast("bigint").alias("entities"), F.col("new_rows").cast("bigint").alias("fresh_rows"), "feed_timestamp", "error")
 
 
+def _by_slice(drops):
+    """What the watermark dropped in the batches that had input, which are the slices, in order."""
+    return drops.filter("rows > 0").select((F.row_number().over(Window.orderBy("batch")) - 1).cast("bigint").alias("batch"), "dropped")
+
+
+# The branch counts rows more than 600 s behind; Spark drops rows 601 s behind or more, which is the same in whole seconds.
 @query("stream_late_count", _LANDED + ", seen AS (SELECT slice, max(ts) AS newest FROM observed GROUP BY 1), bound AS (SELECT slice, "
        "max(newest) OVER (ORDER BY slice ROWS UNBOUNDED PRECEDING) AS newest, max(newest) OVER (ORDER BY slice ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM seen) "
        "SELECT CAST(o.slice AS BIGINT) AS batch, max(b.newest) AS newest, count(*) FILTER (WHERE before IS NULL OR ts >= before - 600) AS kept, "
-       "count(*) FILTER (WHERE ts < before - 600) AS late FROM observed o JOIN bound b USING (slice) GROUP BY o.slice")
+       "count(*) FILTER (WHERE ts < before - 600) AS late, count(*) FILTER (WHERE ts < before - 600) AS dropped FROM observed o JOIN bound b USING (slice) GROUP BY o.slice")
 def stream_late_count(t):
-    return _ingested(t).late.select("batch", "newest", "kept", "late")
+    landed, drops, out = _landed_folders(t), shared_dir(t.spark, "drops"), shared_dir(t.spark, "unique")
+    runner.use_rocksdb(t.spark)
+    landed = _drain(t, landed, lambda s: stateful.unique_rows(position_feed_flatten(s, F.col("ingested_at")), lateness="601 seconds").select("vehicle_id", "ts"),
+                    runner.update_sink(out), drops_to=("late rows", drops))
+    counted = _ingested(t, landed).late.select("batch", "newest", "kept", "late")
+    return counted.join(_by_slice(runner.watermark_drops(t.spark, drops)), "batch")
+
+
+def _told(path: str, there: str) -> str:
+    return f"CASE WHEN bool_or({there}) THEN '{path}' END"
 
 
-@query("stream_schema_watch", _LANDED + ", prints AS (SELECT slice, concat_ws(',', CASE WHEN count(bearing) FILTER (WHERE lat IS NOT NULL) > 0 THEN 'bearing' END, CASE WHEN count(current_status) > 0 THEN 'current_status' END, "
-       "CASE WHEN count(lat) > 0 THEN 'lat' END, CASE WHEN count(lon) FILTER (WHERE lat IS NOT NULL) > 0 THEN 'lon' END, CASE WHEN count(route_id) > 0 THEN 'route_id' END, "
-       "CASE WHEN count(speed) FILTER (WHERE lat IS NOT NULL) > 0 THEN 'speed' END, CASE WHEN count(trip_id) > 0 THEN 'trip_id' END, 'ts', 'vehicle_id') AS fields FROM observed GROUP BY 1) "
-       "SELECT CAST(slice AS BIGINT) AS batch, fields FROM (SELECT *, lag(fields, 1, '') OVER (ORDER BY slice) AS before FROM prints) WHERE fields <> before")
+_FIELDS = ", ".join([
+    "'entity.id'", _told("entity.vehicle.current_status", "current_status IS NOT NULL"),
+    _told("entity.vehicle.position.bearing", "lat IS NOT NULL AND bearing IS NOT NULL"), _told("entity.vehicle.position.latitude", "lat IS NOT NULL"),
+    _told("entity.vehicle.position.longitude", "lat IS NOT NULL AND lon IS NOT NULL"),
+    _told("entity.vehicle.position.odometer", "lat IS NOT NULL AND slice >= 2 AND arrival % 50 = 0"),
+    _told("entity.vehicle.position.speed", "lat IS NOT NULL AND speed IS NOT NULL"), "'entity.vehicle.stop_id'", "'entity.vehicle.timestamp'",
+    "'entity.vehicle.trip.route_id'", "'entity.vehicle.trip.trip_id'", "'entity.vehicle.vehicle.id'",
+    _told("entity.vehicle.vehicle.label", "arrival % 12 = 6"), "'header.timestamp'"])
+
+
+@query("stream_schema_watch", _LANDED + f", prints AS (SELECT slice, concat_ws(',', {_FIELDS}) AS fields FROM sliced GROUP BY 1) "
+       f"SELECT CAST(slice AS BIGINT) AS batch, CAST({BASE_TS} + (slice + 1) * {_SLICE_S} AS BIGINT) AS changed_at, fields "
+       "FROM (SELECT *, lag(fields, 1, '') OVER (ORDER BY slice) AS before FROM prints) WHERE fields <> before")
 def stream_schema_watch(t):
-    return _ingested(t).field_sets.select("batch", "fields")
+    return _ingested(t).field_sets.select("batch", "changed_at", "fields")
+
+
+# Copies come within the same folder and one folder later.
+@query("stream_dedupe_append", "SELECT DISTINCT vehicle_id, ts FROM positions_fast_v")
+def stream_dedupe_append(t):
+    out, rows, arrival = shared_dir(t.spark, "unique"), t.positions_fast.select("vehicle_id", "ts", "arrival"), F.col("arrival")
+    copies = F.explode(F.array_compact(F.array(F.lit(0), F.when(arrival % 7 == 0, 0), F.when(arrival % 6 == 0, 1)))).alias("again")
+    landed = _delivered(t, rows.select("*", copies), F.least(_slice() + F.col("again"), F.lit(3)))
+    runner.use_rocksdb(t.spark)
+    _drain(t, landed, lambda s: stateful.unique_rows(s, lateness="2 hours").select("vehicle_id", "ts"), runner.update_sink(out))
+    return t.spark.read.parquet(out).select("vehicle_id", "ts")
 
 
 _LATEST = ["vehicle_id", "ts", "route_id", "trip_id", "lat", "lon", "speed", "arrival"]
 _LATEST_SCHEMA = "vehicle_id string, ts bigint, route_id string, trip_id string, lat double, lon double, speed double, arrival bigint"
 
 
+# Two folders, a stop without a checkpoint, then a new job that starts from the stored rows of the last quarter of an hour.
 @query("stream_latest", f"SELECT {', '.join(_LATEST)} FROM latest_fast_v")
 def stream_latest(t):
-    out = shared_dir(t.spark, "latest")
-    stream = _staged_stream(t, t.positions_fast.select(*_LATEST))
-    _run(t, stateful.latest_rows(stream, _LATEST), runner.update_sink(out), "update")
-    return runner.newest_updates(t.spark, out, _LATEST_SCHEMA, "vehicle_id")
+    out, schema = shared_dir(t.spark, "latest"), f"{_LATEST_SCHEMA}, expired boolean"
+    folders, kind = _delivered(t, t.positions_fast.select(*_LATEST), _slice())
+    stored = lambda: runner.newest_updates(t.spark, out, schema, "vehicle_id")
+    fold_updates = lambda: runner.compact_updates(t.spark, out, schema, "vehicle_id")
+    runner.use_rocksdb(t.spark)
+    _drain(t, (folders[:2], kind), lambda s: stateful.live_rows(s, _LATEST_SCHEMA), runner.update_sink(out, 0, fold_updates, 2), "update")
+    newest = stored().agg(F.max("ts")).first()[0]
+    restored = stored().filter(~F.col("expired") & (F.col("ts") >= newest - LATEST_RESTORE_S))
+    _drain(t, (folders[2:], kind), lambda s: stateful.live_rows(s, _LATEST_SCHEMA, restored),
+           runner.update_sink(out, 1 + max(map(int, tables.partition_values(t.spark, out, "batch"))), fold_updates, 3), "update")
+    return stored().select(*_LATEST)
+
+
+# Thirty days in four folders; every tenth row comes one folder late and every seventh twice. What is an hour behind goes.
+_WEEK_S = 86_400 * 30 // 4
+_WEEKS = (", rolled AS (SELECT * FROM positions_v WHERE lat IS NOT NULL AND lon IS NOT NULL QUALIFY row_number() OVER (PARTITION BY vehicle_id, ts ORDER BY arrival) = 1), "
+          f"sent AS (SELECT *, least(least(greatest((ts - {NOW - 86_400 * 30}) // {_WEEK_S}, 0), 3) + CASE WHEN arrival % 10 = 0 THEN 1 ELSE 0 END, 3) AS slice FROM rolled), "
+          "twice AS (SELECT * FROM sent UNION ALL SELECT * REPLACE (least(slice + 1, 3) AS slice) FROM sent WHERE arrival % 7 = 0), "
+          "bound AS (SELECT slice, max(max(ts)) OVER (ORDER BY slice ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - 3600 AS mark FROM twice GROUP BY slice), "
+          "judged AS (SELECT *, coalesce(ts <= mark, false) AS late FROM twice JOIN bound USING (slice))")
+
+
+def _weeks(t):
+    located = t.positions.filter(F.col("lat").isNotNull() & F.col("lon").isNotNull())
+    rows = merge.unique_observations(located).select("vehicle_id", "ts", "lat", "lon", "speed", "arrival")
+    sent = _later(_slice(length=_WEEK_S, first=NOW - 86_400 * 30), F.col("arrival") % 10 == 0)
+    copies = F.explode(F.array_compact(F.array(F.lit(0), F.when(F.col("arrival") % 7 == 0, 1)))).alias("again")
+    landed = _delivered(t, rows.select("*", copies), F.least(sent + F.col("again"), F.lit(3)), "late")
+    cells, drops = shared_dir(t.spark, "cells"), shared_dir(t.spark, "drops")
+    runner.use_rocksdb(t.spark)
+    _drain(t, landed, stateful.hourly_cells, runner.update_sink(cells), drops_to=("hourly cells", drops))
+    return t.spark.read.parquet(cells), runner.watermark_drops(t.spark, drops)
 
 
-_CELL = ["cell_y", "cell_x", "hour_bucket"]
+@query("stream_tumbling_rollup", _WEEKS + ", kept AS (SELECT * FROM judged WHERE NOT late QUALIFY row_number() OVER (PARTITION BY vehicle_id, ts ORDER BY slice) = 1) "
+       f"SELECT CAST(floor(lat/{LAT_STEP}) AS INT) AS cell_y, CAST(floor(lon/{LON_STEP}) AS INT) AS cell_x, ts - ts % 3600 AS hour_bucket, "
+       f"count(*) AS observations, count(DISTINCT vehicle_id) AS vehicles, count(*) FILTER (WHERE {MOVING}) AS moving, count(*) FILTER (WHERE speed <= 0.5e0) AS stopped, "
+       f"round(coalesce(sum(speed) FILTER (WHERE {MOVING}), 0e0), 4) AS speed_sum FROM kept WHERE ts - ts % 3600 + 3600 <= (SELECT max(ts) FROM twice) - 3600 GROUP BY 1, 2, 3")
+def stream_tumbling_rollup(t):
+    return rounded(_weeks(t)[0].drop("batch"), "speed_sum")
 
 
-@query("stream_tumbling_rollup", "SELECT cell_y, cell_x, hour_bucket, observations, vehicles, moving, stopped, round(speed_sum, 4) AS speed_sum FROM grid_v")
-def stream_tumbling_rollup(t):
-    measures, vehicles = shared_dir(t.spark, "cells"), shared_dir(t.spark, "vehicles")
-    source = _out_of_order(t, t.positions.select("vehicle_id", "ts", "lat", "lon", "speed"))
-    _run(t, stateful.cell_measures(source, "12 days"), runner.update_sink(measures), "update")
-    _run(t, stateful.cell_vehicles(source, "12 days"), runner.update_sink(vehicles), "update")
-    key = "cell_y int, cell_x int, hour_bucket bigint"
-    left = runner.newest_updates(t.spark, measures, f"{key}, observations bigint, moving bigint, stopped bigint, speed_sum double", _CELL)
-    right = runner.newest_updates(t.spark, vehicles, f"{key}, vehicles bigint", _CELL)
-    return rounded(left.join(right, _CELL), "speed_sum")
+@query("stream_tumbling_late", _WEEKS + " SELECT CAST(slice AS BIGINT) AS batch, count(*) FILTER (WHERE late) AS dropped FROM judged GROUP BY 1")
+def stream_tumbling_late(t):
+    return _by_slice(_weeks(t)[1])
 
 
 @query("stream_sessions", ", marked AS (SELECT *, sum(CASE WHEN ts - prev <= 90 THEN 0 ELSE 1 END) OVER (PARTITION BY vehicle_id ORDER BY ts, arrival) AS session FROM "
@@ -173,16 +233,16 @@ def stream_tumbling_rollup(t):
        "FROM marked GROUP BY vehicle_id, session HAVING max(ts) + 90 <= (SELECT max(ts) - 5400 FROM positions_fast_v)")
 def stream_sessions(t):
     out = shared_dir(t.spark, "sessions")
-    source = _out_of_order(t, t.positions_fast.select("vehicle_id", "ts"), 5400)
-    _run(t, stateful.sessions(source, lateness="90 minutes"), runner.update_sink(out))
+    rows = t.positions_fast.select("vehicle_id", "ts", "arrival")
+    landed = _delivered(t, rows, _later(_slice(), F.col("arrival") % 10 == 0), "late")
+    _drain(t, landed, lambda s: stateful.sessions(s, lateness="90 minutes"), runner.update_sink(out))
     return t.spark.read.parquet(out).select("vehicle_id", "first_ts", "last_ts", "reports")
 
 
 def _gap_rows(t):
     out = shared_dir(t.spark, "gaps")
     runner.use_rocksdb(t.spark)
-    stream = _staged_stream(t, t.positions_fast.select("vehicle_id", "trip_id", "ts", "arrival"))
-    _run(t, stateful.gap_events(stream), runner.update_sink(out))
+    _drain(t, _delivered(t, t.positions_fast.select("vehicle_id", "trip_id", "ts", "arrival"), _slice()), stateful.gap_events, runner.update_sink(out))
     return tables.read_table(t.spark, out, f"{stateful.GAP_SCHEMA}, batch bigint")
 
 
@@ -210,7 +270,7 @@ def stream_chunked_catchup(t):
         if newest is not None:
             fold.catch_up(store, newest, chunk_s=1200)
 
-    _run(t, _staged_stream(t, log), write)
+    _drain(t, _delivered(t, log, _slice()), lambda s: s, write)
     return store.gap_hours.select("hour_bucket", *continuity.COUNTERS)
 
 
@@ -218,8 +278,8 @@ def stream_chunked_catchup(t):
        "QUALIFY row_number() OVER (PARTITION BY live_trip_id ORDER BY route_id, vehicle_id) = 1")
 def stream_trip_match(t):
     out = shared_dir(t.spark, "matches")
-    source = _out_of_order(t, t.positions)
-    _run(t, source, stateful.match_batch(out, t.trips, NOW))
+    late = _later(_slice(length=_WEEK_S, first=NOW - 86_400 * 30), F.col("arrival") % 10 == 0)
+    _drain(t, _delivered(t, t.positions, late, "late"), lambda s: s, stateful.match_batch(out, t.trips, NOW))
     return fold.newest_matches(tables.read_table(t.spark, out, fold.MATCH_UPDATES)).select(
         "live_trip_id", "route_id", "matched_trip_id", "match_type", "delta_minutes")
 

@@ -58,6 +58,16 @@ def swap_partition(spark: SparkSession, staged: str, target: str) -> None:
     fs.delete(aside, True)
 
 
+def move(spark: SparkSession, source: str, target: str) -> str:
+    """Rename a folder to a place that must be free, and return it."""
+    fs, old = _fs(spark, source)
+    _, new = _fs(spark, target)
+    fs.mkdirs(new.getParent())
+    if not fs.rename(old, new):
+        raise FileExistsError(f"{source} can't be moved to {target}")
+    return target
+
+
 def recover(spark: SparkSession, root: str) -> None:
     """Undo a swap that was cut off: what was set aside comes back unless its successor is there."""
     fs, location = _fs(spark, root)

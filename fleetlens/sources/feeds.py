@@ -1,7 +1,11 @@
 """Feed messages (JSON text) to rows. Works the same on a batch and on a stream of messages."""
 
+import re
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .. import schemas
 from ..constants import DELAY_FEED_CLOCK_OFFSET_S, DELAY_FEED_RETENTION_S, IMPLAUSIBLE_DELAY_S
@@ -54,6 +58,30 @@ def feed_time(body: str = "body") -> Column:
     return F.nullif(F.from_json(body, "header struct<timestamp:bigint>")["header"]["timestamp"], F.lit(0))
 
 
+def _leaves(kind: T.DataType, path: str = "") -> Iterator[str]:
+    if isinstance(kind, T.StructType):
+        for field in kind:
+            yield from _leaves(field.dataType, f"{path}.{field.name}" if path else field.name)
+    elif isinstance(kind, T.ArrayType):
+        yield from _leaves(kind.elementType, path)
+    elif path and not isinstance(kind, T.NullType):
+        yield path
+
+
+def message_fields(messages: DataFrame, body: str = "body") -> list[str]:
+    """Dotted names of all fields that carry a value in some message, listed nowhere beforehand, in order.
+
+    The messages are parsed to VARIANT and their types are merged inside the tasks; what comes back is one type. Fields
+    that are always null, and texts that are no JSON, add nothing. Elements of an array share their names.
+    """
+    merged = messages.agg(F.schema_of_variant_agg(F.try_parse_json(body))).first()[0]
+    if merged is None:
+        return []
+    # The text of a VARIANT's type is DDL but for the word OBJECT; quoted names are left as they are.
+    ddl = re.sub(r"`(?:[^`]|``)*`|OBJECT<", lambda m: m[0] if m[0][0] == "`" else "STRUCT<", merged)
+    return sorted(set(_leaves(T.DataType.fromDDL(ddl))))
+
+
 def json_envelope_split(messages: DataFrame, body: str = "body") -> DataFrame:
     """Adds ok, data (JSON text) and error for the two response shapes of the delay feed."""
     keys = F.json_object_keys(F.col(body))

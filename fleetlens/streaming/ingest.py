@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 from .. import schemas
 from ..constants import HOUR_S
-from ..operators import merge, quality
+from ..operators import merge
 from ..plans import tables
 from ..plans.fold import LOG_SCHEMA
-from ..sources.feeds import feed_time, position_feed_flatten
+from ..sources.feeds import feed_time, message_fields, position_feed_flatten
 from ..sources.scans import time_window
 
 DEAD_SCHEMA = schemas.T.StructType(schemas.DEADLETTERS.fields + schemas.struct_of("arrival:l batch:l").fields)
@@ -18,7 +18,6 @@ POLL_SCHEMA = schemas.T.StructType(schemas.POLLS.fields + schemas.struct_of("mes
 LATEST_SCHEMA = schemas.T.StructType(schemas.POSITIONS.fields + schemas.struct_of("arrival:l batch:l").fields)
 LATE_SCHEMA = "newest bigint, kept bigint, late bigint, batch bigint"
 FIELD_SETS = "changed_at bigint, fields string, batch bigint"
-WATCHED = [c for c in schemas.POSITION_COLUMNS if c != "ingested_at"]
 
 
 @dataclass(frozen=True)
@@ -95,10 +94,11 @@ def message_of(arrival: str = "arrival"):
     return F.shiftright(arrival, ENTITY_BITS).alias("message_key")
 
 
-def watch_fields(batch: DataFrame, store: IngestTables, now: int, batch_id: int) -> None:
-    """Record the set of populated fields whenever it differs from the set before."""
+def watch_fields(messages: DataFrame, store: IngestTables, now: int, batch_id: int) -> None:
+    """Record the fields that carry a value in the batch's messages, whatever they are called, whenever they differ from
+    those before."""
     before = store.field_sets.filter(F.col("batch") < batch_id).agg(F.max_by("fields", "batch").alias("f")).first()["f"]
-    present = quality.schema_fingerprint(batch, WATCHED).first()["fields"]  # one row of names
+    present = ",".join(message_fields(messages))
     if present and present != before:
         row = store.spark.createDataFrame([(now, present)], "changed_at bigint, fields string")
         row.coalesce(1).write.mode("overwrite").parquet(f"{store.path('field_sets')}/batch={batch_id}")
@@ -144,7 +144,7 @@ def ingest_batch(store: IngestTables, routes: DataFrame, late_after_s: int = HOU
             before = store.late.filter(F.col("batch") < batch_id).agg(F.max("newest")).first()[0]
             late_counts(rows, before, late_after_s).filter("newest IS NOT NULL").write.mode("overwrite").parquet(
                 f"{store.path('late')}/batch={batch_id}")
-            watch_fields(rows, store, now, batch_id)
+            watch_fields(numbered, store, now, batch_id)
         finally:
             numbered.unpersist()
             if rows is not None:

@@ -1,7 +1,11 @@
 """Sources, triggers and the keyed update sink shared by the streaming jobs."""
 
+from collections.abc import Callable, Iterable
+from threading import Event
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.listener import StreamingQueryListener
 
 from ..operators.keyed import first_per_key
 from ..plans import tables
@@ -35,21 +39,102 @@ def use_rocksdb(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
 
 
-def start(stream: DataFrame, write_batch, checkpoint: str, mode: str = "append", every: str | None = None):
+DROPS_SCHEMA = "batch bigint, rows bigint, dropped bigint"
+
+
+class WatermarkDrops(StreamingQueryListener):
+    """Keeps, per micro-batch of the named query, the rows it read and those Spark dropped behind the watermark.
+
+    ``store`` writes what has come since the last call; a batch that ran twice counts as it ran last.
+    """
+
+    def __init__(self, name: str):
+        self.name, self._rows, self._ended = name, [], {}
+
+    def onQueryStarted(self, event) -> None:
+        self._ended.setdefault(str(event.runId), Event())
+
+    def onQueryProgress(self, event) -> None:
+        p = event.progress
+        if p.name == self.name:
+            self._rows.append((p.batchId, p.numInputRows, sum(s.numRowsDroppedByWatermark for s in p.stateOperators)))
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        self._ended.setdefault(str(event.runId), Event()).set()
+
+    def wait(self, query, seconds: float = 60) -> None:
+        """Until the events of an ended query have come; they are sent behind its back."""
+        if not self._ended.setdefault(str(query.runId), Event()).wait(seconds):
+            raise TimeoutError(f"no end of query {query.runId} was reported")
+
+    def store(self, spark: SparkSession, root: str) -> None:
+        rows, self._rows = self._rows, []
+        for batch, read, dropped in rows:
+            spark.createDataFrame([(read, dropped)], "rows bigint, dropped bigint").coalesce(1).write.mode("overwrite").parquet(
+                f"{root}/batch={batch}")
+
+
+def watermark_drops(spark: SparkSession, root: str) -> DataFrame:
+    return tables.read_table(spark, root, DROPS_SCHEMA)
+
+
+def start(stream: DataFrame, write_batch, checkpoint: str, mode: str = "append", every: str | None = None,
+          name: str | None = None):
     """Run ``write_batch(frame, batch_id)`` per micro-batch: on a schedule, or once over what is there."""
     writer = stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).foreachBatch(write_batch)
+    writer = writer.queryName(name) if name else writer
     return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
 
 
-def drain(stream: DataFrame, write_batch, checkpoint: str, mode: str = "append") -> None:
-    """Process all available input and stop."""
-    start(stream, write_batch, checkpoint, mode).awaitTermination()
-
-
-def update_sink(root: str):
-    """Batch writer for keyed updates: each micro-batch replaces its own partition."""
+def drain(stream: DataFrame, write_batch, checkpoint: str, mode: str = "append", drops: WatermarkDrops | None = None) -> None:
+    """Process all available input and stop. ``drops`` must be among the session's listeners."""
+    query = start(stream, write_batch, checkpoint, mode, name=drops.name if drops else None)
+    query.awaitTermination()
+    if drops:
+        drops.wait(query)
+
+
+def drain_folders(spark: SparkSession, folders: Iterable[str], schema, job: Callable[[DataFrame], DataFrame], write_batch,
+                  checkpoint: str, mode: str = "append", drops_to: tuple[str, str] | None = None) -> list[str]:
+    """One trigger per folder: each is moved to where the stream looks, and all its files, however many, are one micro-batch.
+
+    The job stops between folders and goes on from its checkpoint. ``drops_to`` (name, root) stores what the watermark
+    dropped. Returns where the folders are now.
+    """
+    drops = WatermarkDrops(drops_to[0]) if drops_to else None
+    if drops:
+        spark.streams.addListener(drops)
+    moved, landing = [], f"{checkpoint}-landing"
+    try:
+        for folder in folders:
+            moved.append(tables.move(spark, folder, f"{landing}/{len(moved)}"))
+            drain(job(file_stream(spark, f"{landing}/*", schema)), write_batch, checkpoint, mode, drops)
+    finally:
+        if drops:
+            spark.streams.removeListener(drops)
+            drops.store(spark, drops_to[1])
+    return moved
+
+
+def land(frame: DataFrame, root: str, column: str) -> list[str]:
+    """Writes ``frame`` as one folder per value of ``column``, each by many tasks; the folders in order."""
+    frame.write.partitionBy(column).parquet(root)
+    return [f"{root}/{column}={v}" for v in sorted(tables.partition_values(frame.sparkSession, root, column), key=int)]
+
+
+def update_sink(root: str, first: int = 0, fold: Callable[[], None] | None = None, every: int = 64):
+    """Batch writer for keyed updates: each micro-batch replaces its own partition.
+
+    A job that starts anew over a stored table numbers its batches from ``first``. ``fold`` is called after every
+    ``every`` batches, to fold past updates together.
+    """
     def write(frame: DataFrame, batch_id: int) -> None:
-        frame.write.mode("overwrite").parquet(f"{root}/batch={batch_id}")
+        frame.write.mode("overwrite").parquet(f"{root}/batch={first + batch_id}")
+        if fold and batch_id % every == every - 1:
+            fold()
     return write
 
 

@@ -3,11 +3,11 @@
 from typing import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-from ..constants import DAY_S, DELAY_FEED_RETENTION_S, GAP_THRESHOLD_S
+from ..constants import DAY_S, DELAY_FEED_RETENTION_S, GAP_THRESHOLD_S, LATEST_RESTORE_S
 from ..functions import clock, geo
 from ..functions.measures import count_if, is_plausible_moving, is_stopped
 from ..operators import matching
@@ -21,33 +21,91 @@ def latest_rows(positions: DataFrame, columns) -> DataFrame:
     return positions.groupBy("vehicle_id").agg(newest).select("row.*")
 
 
-# ---- hourly cells ---------------------------------------------------------
-def _hourly(positions: DataFrame, lateness: str) -> DataFrame:
-    """Hour and cell per located row. The watermark sits on the start of the hour, so an hour stays
-    open for its own length plus the lateness."""
-    return positions.filter(F.col("lat").isNotNull() & F.col("lon").isNotNull()).select(
-        "vehicle_id", "speed", geo.cell_y().alias("cell_y"), geo.cell_x().alias("cell_x"),
-        F.timestamp_seconds(clock.hour_bucket()).alias("hour")).withWatermark("hour", lateness)
+class LatestProcessor(StatefulProcessor):
+    """Holds the newest row of a vehicle until ``keep_s`` after it, in event time, and tells when it lets go."""
+
+    def __init__(self, columns, schema: str, keep_s: int):
+        self.columns, self.schema, self.keep_s = list(columns), schema, keep_s
+        self.order = [self.columns.index(c) for c in ("ts", "arrival")]
+        self.told = Row(*self.columns, "expired")
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.newest = handle.getValueState("newest", self.schema)
+
+    def _rank(self, row) -> tuple:
+        return tuple(row[i] for i in self.order)
+
+    def _take(self, row) -> bool:
+        """Keeps a row that is newer, or came later at the same time."""
+        held = self.newest.get() if self.newest.exists() else None
+        if held is not None and self._rank(row) <= self._rank(held):
+            return False
+        due = lambda r: (r[self.order[0]] + self.keep_s) * 1000
+        if held is not None:
+            self.handle.deleteTimer(due(held))
+        self.handle.registerTimer(due(row))
+        self.newest.update(tuple(row))
+        return True
+
+    def handleInitialState(self, key, initialState, timerValues) -> None:
+        self._take([initialState[c] for c in self.columns])
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        best = max(([r[c] for c in self.columns] for r in rows), key=self._rank)
+        if self._take(best):
+            yield self.told(*best, False)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        held = self.newest.get() if self.newest.exists() else None
+        if held is not None and (held[self.order[0]] + self.keep_s) * 1000 <= expiredTimerInfo.getExpiryTimeInMs():
+            self.newest.clear()
+            yield self.told(*held, True)
+
+    def close(self) -> None:
+        pass
+
 
+def live_rows(positions: DataFrame, schema: str, restored: DataFrame | None = None, keep_s: int = LATEST_RESTORE_S,
+              lateness: str = "1 hour") -> DataFrame:
+    """Newest rows of the vehicles as they change, in the columns of ``schema`` (with vehicle_id, ts, arrival) and
+    ``expired``: true in the row that says a vehicle has been silent for ``keep_s`` and its state is gone.
 
-def cell_measures(positions: DataFrame, lateness: str = "2 hours") -> DataFrame:
-    """Counts and speeds per (hour, cell), updated as rows arrive."""
+    ``restored`` are stored rows, one per vehicle, that a job without a checkpoint starts from. Rows behind the
+    watermark are left out. State holds the vehicles of the last lateness and keep_s, not all ever seen. Needs RocksDB.
+    """
+    columns = [c.strip().split()[0] for c in schema.split(",")]
+    timed = positions.select(*columns, F.timestamp_seconds("ts").alias("at")).withWatermark("at", lateness)
+    initial = restored.select(*columns).groupBy("vehicle_id") if restored is not None else None
+    return timed.groupBy("vehicle_id").transformWithState(
+        LatestProcessor(columns, schema, keep_s), outputStructType=f"{schema}, expired boolean", outputMode="update",
+        timeMode="eventTime", initialState=initial)
+
+
+# ---- copies ---------------------------------------------------------------
+def unique_rows(positions: DataFrame, keys=("vehicle_id", "ts"), lateness: str = "1 hour") -> DataFrame:
+    """Streaming dedupe-append: the first of the rows with equal keys, without reading the log. A key is held until the
+    watermark passes it; rows behind the watermark are dropped, and counted by Spark (``runner.WatermarkDrops``)."""
+    timed = positions.withColumn("at", F.timestamp_seconds("ts")).withWatermark("at", lateness)
+    return timed.dropDuplicatesWithinWatermark(list(keys))
+
+
+# ---- hourly cells ---------------------------------------------------------
+def hourly_cells(positions: DataFrame, lateness: str = "1 hour") -> DataFrame:
+    """Closed hours of every cell, each once, from one read of the stream: copies go, then the rows of a vehicle in a
+    cell are summed, then the vehicles of the cell. An hour closes when the watermark passes its end."""
     moving = is_plausible_moving()
-    cells = _hourly(positions, lateness).groupBy("hour", "cell_y", "cell_x").agg(
+    located = positions.filter(F.col("lat").isNotNull() & F.col("lon").isNotNull())
+    vehicles = unique_rows(located, lateness=lateness).groupBy(
+        F.window("at", "1 hour").alias("w"), geo.cell_y().alias("cell_y"), geo.cell_x().alias("cell_x"), "vehicle_id").agg(
         F.count("*").alias("observations"), count_if(moving).alias("moving"), count_if(is_stopped()).alias("stopped"),
         F.coalesce(F.sum(F.when(moving, F.col("speed"))), F.lit(0.0)).alias("speed_sum"))
-    return cells.select("cell_y", "cell_x", F.unix_seconds("hour").alias("hour_bucket"), "observations", "moving",
+    cells = vehicles.groupBy("w", "cell_y", "cell_x").agg(
+        F.count("*").alias("vehicles"), *[F.sum(c).alias(c) for c in ("observations", "moving", "stopped", "speed_sum")])
+    return cells.select("cell_y", "cell_x", F.unix_seconds("w.start").alias("hour_bucket"), "observations", "vehicles", "moving",
                         "stopped", "speed_sum")
 
 
-def cell_vehicles(positions: DataFrame, lateness: str = "2 hours") -> DataFrame:
-    """Distinct vehicles per (hour, cell): first dedupe, then count; both states end with the hour."""
-    seen = _hourly(positions, lateness).select("hour", "cell_y", "cell_x", "vehicle_id").dropDuplicates(
-        ["hour", "cell_y", "cell_x", "vehicle_id"])
-    cells = seen.groupBy("hour", "cell_y", "cell_x").agg(F.count("*").alias("vehicles"))
-    return cells.select("cell_y", "cell_x", F.unix_seconds("hour").alias("hour_bucket"), "vehicles")
-
-
 # ---- sessions -------------------------------------------------------------
 def sessions(positions: DataFrame, gap_s: int = GAP_THRESHOLD_S, lateness: str = "1 minute") -> DataFrame:
     """Stretches of a vehicle without a gap over the threshold; emitted once they are final."""
