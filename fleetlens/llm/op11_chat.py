@@ -71,7 +71,8 @@ def fold(log: DataFrame) -> DataFrame:
 
     The same event delivered twice counts once. Events with equal ``seq`` are taken by kind, role and payload. Events
     without ``seq`` or of another kind are ignored, a null payload is empty, and a message that no event creates has a
-    null role. A null ``conv_id``, ``piece`` or ``message`` is a value like others and comes first. No events, no rows.
+    null role. A null ``conv_id``, ``piece`` or ``message`` is a value like others and comes first, but without ``conv_id`` or
+    ``piece`` a rewind reaches no further than its piece. No events, no rows.
     """
     said = F.when(F.col("kind").isin("create", "edit", "delta"), F.col("payload"))  # the others have no text
     event = F.struct("seq", "kind", "role", said.alias("payload"))
@@ -89,8 +90,9 @@ def fold(log: DataFrame) -> DataFrame:
     pieces = known.groupBy("conv_id", "piece").agg(F.max(F.when(F.col("kind") == "rewind", F.col("seq"))).alias("rewound"))
     earlier = Window.partitionBy("conv_id").orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)
     pieces = pieces.select(F.col("conv_id").alias("c"), F.col("piece").alias("p"), F.max("rewound").over(earlier).alias("above"))
+    # Plain equality, so that the messages stay where the shuffle of the log put them.
     cut = messages.withColumn("within", F.max("rewound").over(before)).join(
-        pieces, F.col("conv_id").eqNullSafe(F.col("c")) & F.col("piece").eqNullSafe(F.col("p")), "left")
+        pieces, (F.col("conv_id") == F.col("c")) & (F.col("piece") == F.col("p")), "left")
     gone = F.coalesce(F.col("created") < F.greatest("within", "above"), F.lit(False))
     return cut.where(~gone).select("conv_id", "piece", "message", "role", "text")
 

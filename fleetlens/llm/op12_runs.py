@@ -216,14 +216,20 @@ def planted(doc_id: Column, text: Column) -> Column:
 
     A null id plants nothing.
     """
-    words = F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != "")
     h = F.crc32(doc_id.cast("string").cast("binary"))
-    g, n = F.floor(h / 10), F.size(words).cast("long")
-    a = g % n
-    p = 1 + F.floor((n - a) / (3 + g % 8))
-    place = lambda i: F.when(i < a, i).otherwise(a + (i - a) % p)
-    moved = F.transform(F.sequence(F.lit(0).cast("long"), n - 1), lambda i: F.get(words, place(i).cast("int")))
-    return F.when((h % 10 == 0) & (n > 0), F.array_join(moved, " ")).otherwise(text)
+    g = F.floor(h / 10)
+
+    def moved(words: Column) -> Column:
+        n = F.size(words)
+        a = (g % n).cast("int")
+        p = (1 + F.floor((n - a) / (3 + g % 8))).cast("int")
+        again = F.flatten(F.array_repeat(F.slice(words, a + 1, p), F.ceil((n - a) / p).cast("int")))
+        return F.array_join(F.concat(F.slice(words, F.lit(1), a), F.slice(again, F.lit(1), n - a)), " ")
+
+    words = F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    # Bound to a variable, the words are split once a text and not once a word.
+    changed = F.transform(F.array(words), lambda w: F.when(F.size(w) > 0, moved(w)).otherwise(text))[0]
+    return F.when(h % 10 == 0, changed).otherwise(text)
 
 
 def run_digests(docs: DataFrame) -> DataFrame:
