@@ -26,8 +26,6 @@ TABLES = {
 }
 
 _CUT = "\u0001"  # between fields while a line is taken apart
-# An agency record begins with a number, a name and a web address.
-_AGENCY_RECORD = r"(^|[^0-9,])([0-9]+,[^,]*,https?://)"
 # A comma and a field after it; for lines with a quote inside a plain field.
 _FIELD = r',("[^"]*+(?:""[^"]*+)*+"|[^,]*+)'
 
@@ -59,8 +57,23 @@ def _fields(line, pieces):
 
 
 def regex_split_records(text):
-    """One long line of agency records -> one string per record."""
-    return F.filter(F.split(F.regexp_replace(text, _AGENCY_RECORD, "$1" + _CUT + "$2"), _CUT), lambda p: p != "")
+    """One long line of agency records -> one string per record.
+
+    A record is a number, a name, a web address and more. The line is cut at the addresses; what stands before one ends
+    with the name and number of its record, which are taken back from the end of the piece. A number behind a comma is a
+    field of the record before, and begins none.
+    """
+    pieces = F.split(text, ",(?=https?://)")
+
+    def marked(piece, i):
+        name = F.substring_index(piece, ",", -1)
+        head = F.substring(piece, F.lit(1), F.length(piece) - F.length(name) - 1)  # empty without a comma
+        before = F.rtrim(head, F.lit("0123456789"))
+        number = F.substring(head, F.length(before) + 1, F.length(head))
+        begins = (number != "") & ~before.endswith(",") & (i < F.size(pieces) - 1)
+        return F.when(begins, F.concat(before, F.lit(_CUT), number, F.lit(","), name)).otherwise(piece)
+
+    return F.filter(F.split(F.array_join(F.transform(pieces, marked), ","), _CUT), lambda p: p != "")
 
 
 def _lines(pulls: DataFrame, table: str) -> DataFrame:

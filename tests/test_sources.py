@@ -1,7 +1,9 @@
 import json
 from datetime import date
 
+import pytest
 from conftest import NOW, one, values
+from pyspark.sql import functions as F
 
 from fleetlens.functions import clock, parse
 from fleetlens.functions.measures import metric_class
@@ -133,3 +135,15 @@ def test_window_prunes_days(spark, data, tmp_path):
     log = tables.read_table(spark, str(tmp_path / "log"), fold.LOG_SCHEMA)
     plan = scans.time_window(log, NOW - 60, NOW)._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(day" in plan and "PushedFilters: [IsNotNull(ts), GreaterThanOrEqual(ts" in plan
+
+
+@pytest.mark.parametrize("text,records", [
+    ("", []), ("7,North,http://a/", ["7,North,http://a/"]),
+    ("1,A,http://a/x2,B,https://b/y", ["1,A,http://a/x", "2,B,https://b/y"]),
+    ("1,A,http://a/,zone,en12,B b,http://b/,zone,en", ["1,A,http://a/,zone,en", "12,B b,http://b/,zone,en"]),
+    ("1,A,http://a/,080,B,http://b/", ["1,A,http://a/,080,B,http://b/"]),          # a number behind a comma is a field
+    ("A,http://a/ 3,,http://c/", ["A,http://a/ ", "3,,http://c/"]), ("no address 4,x", ["no address 4,x"]),
+    (",http://a/5http://b/", [",http://a/5http://b/"])])
+def test_agency_records_are_cut_at_number_name_and_address(spark, text, records):
+    frame = spark.createDataFrame([(text,)], "t string")
+    assert frame.select(csv_lines.regex_split_records(F.col("t"))).first()[0] == records
