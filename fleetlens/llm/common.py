@@ -13,13 +13,32 @@ from ..session import shared_dir
 _BLANK = re.compile(rb"[\x20\x09-\x0D]")
 _MIX_1, _MIX_2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
-    """Writes ``df`` to the shared folder and reads it again: cuts the lineage and survives lost executors."""
-    path = shared_dir(df.sparkSession, f"llm-{name}")
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """Writes ``df`` to the shared folder and reads it again: cuts the lineage and survives lost executors.
+
+    The plan isn't run again, so its shuffle files go as soon as the table is written.
+    """
+    spark, path = df.sparkSession, shared_dir(df.sparkSession, f"llm-{name}")
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before) if before is not None else spark.conf.unset(_CLEANUP)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.staged_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Removes staged tables that no later plan reads, once what was made of them is staged itself."""
+    for table in tables:
+        spark = table.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(table.staged_at)
+        path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
 def word_blocks(data: bytes, size: int = 1 << 20) -> Iterator[list[bytes]]:

@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import discard, staged
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -36,7 +36,9 @@ def components(edges: DataFrame) -> DataFrame:
         if mark == before:
             break
         before = mark
-        state = staged(_small_star(_large_star(state)), "edges")
+        old, state = state, staged(_small_star(_large_star(state)), "edges")
+        if hasattr(old, "staged_at"):
+            discard(old)
     roots = state.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
     alone = loops.select(F.col("a").alias("node"), F.col("a").alias("root"))
     members = state.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(roots)

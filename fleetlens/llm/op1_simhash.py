@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from .common import batches, staged, word_blocks
+from .common import batches, discard, staged, word_blocks
 from .components import components
 
 SEED = 42
@@ -259,8 +259,11 @@ def similar_links(prints: DataFrame, docs: DataFrame, near: DataFrame, doc_id: s
     edges = staged(edges.unionByName(_verified(star_pairs(entries, known, least), sets, least)).distinct(), "links")
     roots = components(edges).withColumnRenamed("node", "fp")
     rooted = known.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    rest = block_pairs(entries.join(rooted, "sid"), least)
-    return edges.unionByName(_verified(staged(rest, "candidates"), sets, least))
+    rest = staged(block_pairs(entries.join(rooted, "sid"), least), "candidates")
+    discard(entries, known)
+    every = staged(edges.unionByName(_verified(rest, sets, least)), "links")
+    discard(sets, edges, rest)
+    return every
 
 
 def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE,
@@ -275,11 +278,14 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle
     blanks) have fingerprint 0 and are linked like any other. Rows repeat as in the input; a null doc_id keeps its
     row and never becomes a component_id unless its whole component has none. No rows give no rows.
     """
-    prints = staged(sets_of(docs, doc_id, text, shingle, similarity) if similarity else fingerprints(
-        docs, doc_id, text, shingle), "simhash")
-    edges = links(prints.select("fp").distinct())
     if similarity:
-        edges = similar_links(prints, docs, edges, doc_id, text, shingle, similarity)
+        full = staged(sets_of(docs, doc_id, text, shingle, similarity), "prefixes")
+        prints = staged(full.select("doc_id", "fp"), "simhash")
+        edges = similar_links(full, docs, links(prints.select("fp").distinct()), doc_id, text, shingle, similarity)
+        discard(full)
+    else:
+        prints = staged(fingerprints(docs, doc_id, text, shingle), "simhash")
+        edges = links(prints.select("fp").distinct())
     first = prints.groupBy("fp").agg(F.min("doc_id").alias("first"))
     linked = components(edges).withColumnRenamed("node", "fp")
     grown = first.join(linked, "fp").select("fp", "root", "first")
