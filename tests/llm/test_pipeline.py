@@ -74,7 +74,7 @@ def test_language_on_documents_that_were_held_out(spark):
 def test_query_equals_sql(spark, key):
     import duckdb
     con = duckdb.connect()
-    for table in ("documents", "pages", "benchmark", "labels"):
+    for table in ("documents", "pages", "benchmark", "labels", "conversations"):
         con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{SF_DIR}/{table}.parquet'")
     want = con.sql(ORACLES[key])
     got = QUERIES[key](spark, SF_DIR).select(*want.columns)
