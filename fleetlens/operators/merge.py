@@ -240,6 +240,19 @@ def seen_dimension_merge(stored: DataFrame, batch: DataFrame, now) -> DataFrame:
         F.when(F.col("_in_new"), now).otherwise(F.col("_last")).alias("last_seen"))
 
 
+def seen_rows(batch: DataFrame, now) -> DataFrame:
+    """What one batch says about the vehicles in it: the newest label, and ``now`` as first and last time seen."""
+    stored = batch.sparkSession.createDataFrame([], "vehicle_id string, label string, first_seen timestamp, last_seen timestamp")
+    return seen_dimension_merge(stored, batch, now)
+
+
+def seen_fold(updates: DataFrame) -> DataFrame:
+    """Vehicle dimension from the rows (``seen_rows``) of many batches: as if they had been merged one after the other."""
+    return updates.groupBy("vehicle_id").agg(
+        F.max_by("label", F.when(F.col("label").isNotNull(), F.col("batch"))).alias("label"),
+        F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"))
+
+
 # ---- matches, audit, watermarks -------------------------------------------
 def trip_match_upsert(stored: DataFrame, matches: DataFrame) -> DataFrame:
     """Keyed by the live trip id alone; the newer match replaces the older."""

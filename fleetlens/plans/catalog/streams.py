@@ -285,14 +285,6 @@ def stream_trip_match(t):
 
 
 # ---- the second feed ------------------------------------------------------
-def _landed_stream(t, frames):
-    """One file per frame, oldest first."""
-    root = shared_dir(t.spark, "second")
-    for frame in frames:
-        frame.coalesce(1).write.mode("append").parquet(root)
-    return runner.file_stream(t.spark, root, frames[0].schema, files_per_trigger=1)
-
-
 def _enveloped(messages, data="data"):
     return messages.withColumn("body", F.concat(F.lit('{"IsSuccess":true,"Data":'), F.col(data), F.lit("}"))).drop(data)
 
@@ -301,10 +293,10 @@ def _second_feed_vehicles(t):
     store = second_feed.SecondFeedTables(t.spark, shared_dir(t.spark, "second_feed"))
     messages = _enveloped(vehicle_messages(t)).withColumn("ingested_at", F.lit(NOW_FAST).cast("bigint"))
     broken = t.spark.createDataFrame([(-1, '{"IsSuccess":false,"Message":"down"}', NOW_FAST)], "message_id bigint, body string, ingested_at bigint")
-    parts = [messages.filter(F.pmod(F.xxhash64("message_id"), F.lit(4)) == i) for i in range(4)]
-    parts[0] = parts[0].unionByName(broken)
-    parts.append(parts[1])                                  # a file that comes twice
-    _run(t, _landed_stream(t, parts), second_feed.vehicle_batch(store, retention_s=7200, compact_every=2))
+    numbered = messages.unionByName(broken).withColumn("slice", F.explode(F.array_compact(F.array(
+        F.greatest(F.col("message_id") % 4, F.lit(0)), F.when(F.col("message_id") % 4 == 1, 4))).cast("array<int>")))   # one folder comes twice
+    landed = runner.land(numbered, shared_dir(t.spark, "second"), "slice"), messages.schema
+    _drain(t, landed, lambda s: s, second_feed.vehicle_batch(store, retention_s=7200, compact_every=2))
     return store
 
 
@@ -322,23 +314,56 @@ def stream_vehicle_latest(t):
     return store.latest.join(store.vehicles.drop("label"), "vehicle_id").select("vehicle_id", "ts", F.unix_seconds("last_seen").alias("last_seen"))
 
 
-@query("stream_vehicle_polls", f"SELECT message_id, ok, count(*) AS polls, min(entities) AS entities, CAST(sum(new_rows + duplicates) AS BIGINT) AS usable FROM (SELECT arrival AS message_id, true AS ok, 2 AS entities, "
-       f"CASE WHEN lat IS NOT NULL AND lon IS NOT NULL AND CASE WHEN arrival % 3 = 2 THEN ts + 1 ELSE ts END >= {NOW_FAST - 7200} THEN 1 ELSE 0 END AS new_rows, 0 AS duplicates FROM positions_fast_v "
-       "UNION ALL SELECT -1, false, NULL, 0, 0) GROUP BY 1, 2")
+# Of equal reports the one of the first folder, then of the smallest message, is new; all others are duplicates.
+@query("stream_vehicle_polls", f", fresh AS (SELECT *, ts >= {NOW_FAST - 7200} AS usable FROM {_SECOND}), sent AS (SELECT *, arrival % 4 AS batch FROM fresh UNION ALL SELECT *, 4 FROM fresh WHERE arrival % 4 = 1), "
+       "judged AS (SELECT *, row_number() OVER (PARTITION BY vehicle_id, ts ORDER BY batch, arrival) = 1 AS first FROM sent WHERE usable), "
+       "polled AS (SELECT arrival, arrival % 4 AS batch FROM positions_fast_v UNION ALL SELECT arrival, 4 FROM positions_fast_v WHERE arrival % 4 = 1) "
+       "SELECT p.arrival AS message_id, CAST(p.batch AS BIGINT) AS batch, true AS ok, CAST(2 AS BIGINT) AS entities, count(*) FILTER (WHERE j.first) AS new_rows, count(*) FILTER (WHERE NOT j.first) AS duplicates "
+       "FROM polled p LEFT JOIN judged j USING (arrival, batch) GROUP BY 1, 2 UNION ALL SELECT -1, 0, false, NULL, 0, 0")
 def stream_vehicle_polls(t):
-    polls = _second_feed_vehicles(t).polls.filter(F.col("batch") < 4)
-    return polls.groupBy("message_id", "ok").agg(F.count("*").alias("polls"), F.min("entities").cast("int").alias("entities"),
-                                                 F.sum(F.col("new_rows") + F.col("duplicates")).alias("usable"))
+    return _second_feed_vehicles(t).polls.select("message_id", "batch", "ok", "entities", "new_rows", "duplicates")
+
+
+_RETAINED = NOW_FAST - 5400
+
+
+@query("second_feed_retention", f", kept AS (SELECT DISTINCT vehicle_id, ts FROM {_SECOND} WHERE ts >= {_RETAINED}), gone AS (SELECT DISTINCT vehicle_id FROM {_SECOND} WHERE ts >= {NOW_FAST - 7200}) "
+       "SELECT 'log' AS part, vehicle_id, ts FROM kept UNION ALL SELECT 'latest', vehicle_id, max(ts) FROM kept GROUP BY 2 UNION ALL SELECT 'vehicle', vehicle_id, NULL FROM gone")
+def second_feed_retention(t):
+    """What is left an hour and a half of retention later; the vehicles themselves were all seen just now."""
+    store = _second_feed_vehicles(t)
+    second_feed.apply_retention(store, NOW_FAST, NOW_FAST - _RETAINED)
+    named = lambda rows, part, ts: rows.select(F.lit(part).alias("part"), "vehicle_id", ts.cast("bigint").alias("ts"))
+    return named(store.log, "log", F.col("ts")).unionByName(named(store.latest, "latest", F.col("ts"))).unionByName(
+        named(store.vehicles, "vehicle", F.lit(None)))
 
 
 @query("stream_delay_round", "SELECT DATE '1992-01-01' + CAST(order_key % 5 AS INT) + 3650 AS service_date, trip_id, stop_sequence, arrival_delay_s + CASE WHEN order_key % 3 = 0 THEN 60 ELSE 0 END AS arrival_delay_s, "
        "CAST(CASE WHEN order_key % 3 = 0 AND arrival_delay_s IS NOT NULL THEN 1 ELSE 0 END AS SMALLINT) AS changes FROM delays_v")
 def stream_delay_round(t):
+    return _delay_rounds(t).stop_delay.select("service_date", "trip_id", "stop_sequence", "arrival_delay_s", "changes")
+
+
+@query("second_feed_delay_retention", ", dated AS (SELECT DATE '1992-01-01' + CAST(order_key % 5 AS INT) + 3650 AS service_date, trip_id, stop_sequence FROM delays_v) "
+       "SELECT 'stop' AS part, service_date, trip_id, stop_sequence FROM dated WHERE service_date >= DATE '2001-12-31' "
+       "UNION ALL SELECT DISTINCT 'trip', service_date, trip_id, CAST(NULL AS BIGINT) FROM dated WHERE service_date >= DATE '2001-12-31'")
+def second_feed_delay_retention(t):
+    """Service days go whole, by the date of the feed's own zone: 20:00 UTC of the 30th is the 31st there."""
+    store = _delay_rounds(t)
+    second_feed.apply_retention(store, 1_009_742_400 + 3600, 3600)
+    stops = store.stop_delay.select(F.lit("stop").alias("part"), "service_date", "trip_id", "stop_sequence")
+    return stops.unionByName(store.trip_status.select(
+        F.lit("trip").alias("part"), "service_date", "trip_id", F.lit(None).cast("bigint").alias("stop_sequence")))
+
+
+def _delay_rounds(t):
     """Two rounds of five service days; in the second one, every third order's arrivals are a minute later."""
     store = second_feed.SecondFeedTables(t.spark, shared_dir(t.spark, "second_feed"))
     first = t.delays.withColumn("service_date", F.date_add(F.lit("1992-01-01").cast("date"), (F.col("order_key") % 5).cast("int")))
     later = first.withColumn("arrival_delay_s", F.col("arrival_delay_s") + F.when(F.col("order_key") % 3 == 0, 60).otherwise(0))
     rounds = [_enveloped(trip_messages(t, delays)).withColumn("ingested_at", F.lit(NOW_FAST + i * 900).cast("bigint"))
               for i, delays in enumerate((first, later))]
-    _run(t, _landed_stream(t, rounds), second_feed.delay_round(store))
-    return store.stop_delay.select("service_date", "trip_id", "stop_sequence", "arrival_delay_s", "changes")
+    both = rounds[0].withColumn("slice", F.lit(0)).unionByName(rounds[1].withColumn("slice", F.lit(1)))
+    landed = runner.land(both, shared_dir(t.spark, "rounds"), "slice"), rounds[0].schema
+    _drain(t, landed, lambda s: s, second_feed.delay_round(store))
+    return store

@@ -151,18 +151,30 @@ def compact_log(spark: SparkSession, root: str, schema) -> list[str]:
     return done
 
 
-def compact_updates(spark: SparkSession, root: str, schema, newest) -> None:
-    """Fold all but the latest batch of updates into one with ``newest``, so that reads stay short."""
+def compact_updates(spark: SparkSession, root: str, schema, newest) -> bool:
+    """Fold all but the latest batch of updates into one with ``newest``, so that reads stay short. False if there are
+    not two to fold."""
     recover(spark, root)
     done = sorted(int(v) for v in partition_values(spark, root, "batch"))[:-1]
     if len(done) < 2:
-        return
+        return False
     updates = read_table(spark, root, schema).filter(F.col("batch") <= done[-1])
     aside = f"{root}/.new.batch={done[-1]}"
     newest(updates).drop("batch").write.mode("overwrite").parquet(aside)
     swap_partition(spark, aside, f"{root}/batch={done[-1]}")
     for batch in done[:-1]:
         drop_partition(spark, root, "batch", batch)
+    return True
+
+
+def prune_updates(spark: SparkSession, root: str, schema, newest, keep) -> None:
+    """Fold past batches and leave out what ``keep`` drops, in one rewrite; the latest batch, which may be written
+    again, is rewritten by itself."""
+    folded = compact_updates(spark, root, schema, lambda rows: keep(newest(rows)))
+    for batch in sorted(int(v) for v in partition_values(spark, root, "batch"))[-1 if folded else -2:]:
+        aside = f"{root}/.new.batch={batch}"
+        keep(read_table(spark, root, schema).filter(F.col("batch") == batch)).drop("batch").write.mode("overwrite").parquet(aside)
+        swap_partition(spark, aside, f"{root}/batch={batch}")
 
 
 # ---- rollups --------------------------------------------------------------

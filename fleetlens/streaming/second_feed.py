@@ -18,7 +18,7 @@ _OBSERVED = ("vehicle_id string, label string, lat double, lon double, bearing d
              "start_date date, scheduled boolean, sch_no string, stop_id string, status int, ts bigint, arrival bigint")
 VEHICLE_LOG = f"{_OBSERVED}, day date, batch bigint"
 VEHICLE_LATEST = f"{_OBSERVED}, batch bigint"
-VEHICLES = "vehicle_id string, label string, first_seen timestamp, last_seen timestamp"
+VEHICLES = "vehicle_id string, label string, first_seen timestamp, last_seen timestamp, batch bigint"
 POLLS = ("message_id bigint, polled_at bigint, ok boolean, error string, entities bigint, stale bigint, new_rows bigint, "
          "duplicates bigint, batch bigint")
 ROUNDS = "message_id bigint, zone_id int, ok boolean, error string, trips bigint, stops bigint, batch bigint"
@@ -45,7 +45,7 @@ class SecondFeedTables:
 
     @property
     def vehicles(self) -> DataFrame:
-        return tables.read_version(self.spark, self.path("vehicles"), VEHICLES)
+        return merge.seen_fold(self._read("vehicles", VEHICLES))
 
     @property
     def polls(self) -> DataFrame:
@@ -83,10 +83,9 @@ def vehicle_batch(store: SecondFeedTables, offset_s: int = DELAY_FEED_CLOCK_OFFS
                 tables.append_log(merge.dedupe_append(near, rows), store.path("log"), batch_id)
                 fresh = time_window(store.log, span["low"], span["high"]).filter(F.col("batch") == batch_id).select("arrival")
                 merge.latest_projection(rows).write.mode("overwrite").parquet(f"{store.path('latest')}/batch={batch_id}")
-            known = tables.read_version(spark, store.path("vehicles"), VEHICLES, batch_id - 1)
-            at = F.timestamp_seconds(F.lit(now))
-            seen = merge.seen_dimension_merge(known, rows, at)
-            tables.write_version(seen, store.path("vehicles"), batch_id)
+            # Only the vehicles of this batch are written; readers fold the batches.
+            seen = merge.seen_rows(rows, F.timestamp_seconds(F.lit(now)))
+            seen.write.mode("overwrite").parquet(f"{store.path('vehicles')}/batch={batch_id}")
             count = lambda df, name: df.groupBy(F.col("arrival").alias("message_id")).agg(F.count("*").alias(name))
             told = polls.select("message_id", F.col("ingested_at").alias("polled_at"), "ok", "error").join(
                 audit, "message_id", "left").join(count(rows, "_rows"), "message_id", "left").join(
@@ -100,6 +99,7 @@ def vehicle_batch(store: SecondFeedTables, offset_s: int = DELAY_FEED_CLOCK_OFFS
             polls.unpersist()
         if batch_id % compact_every == compact_every - 1:
             tables.compact_updates(spark, store.path("latest"), VEHICLE_LATEST, merge.latest_projection)
+            tables.compact_updates(spark, store.path("vehicles"), VEHICLES, merge.seen_fold)
             tables.compact_log(spark, store.path("log"), VEHICLE_LOG)
     return write
 
@@ -157,16 +157,11 @@ def apply_retention(store: SecondFeedTables, now: int, retention_s: int = DELAY_
         for day in old:
             tables.drop_partition(spark, store.path(name), "service_date", day)
         dropped[name] = old
-    version = tables.latest_version(spark, store.path("vehicles"))
-    if version is not None:
-        kept = store.vehicles.filter(F.col("last_seen") >= F.timestamp_seconds(F.lit(cutoff)))
-        aside = f"{store.root}/.new.vehicles"
-        kept.write.mode("overwrite").parquet(aside)
-        tables.swap_partition(spark, aside, f"{store.path('vehicles')}/version={version}")
-    batches = tables.partition_values(spark, store.path("latest"), "batch")
-    for batch in batches:
-        aside = f"{store.root}/.new.latest"
-        rows = tables.read_table(spark, store.path("latest"), VEHICLE_LATEST).filter(F.col("batch") == int(batch))
-        merge.retention_prune(rows, cutoff).drop("batch").write.mode("overwrite").parquet(aside)
-        tables.swap_partition(spark, aside, f"{store.path('latest')}/batch={batch}")
+    alive = store.vehicles.filter(F.col("last_seen") >= F.timestamp_seconds(F.lit(cutoff))).select("vehicle_id").persist()
+    try:
+        alive.count()  # known before the first of its files is rewritten
+        tables.prune_updates(spark, store.path("vehicles"), VEHICLES, merge.seen_fold, lambda rows: rows.join(alive, "vehicle_id", "left_semi"))
+    finally:
+        alive.unpersist()
+    tables.prune_updates(spark, store.path("latest"), VEHICLE_LATEST, merge.latest_projection, lambda rows: merge.retention_prune(rows, cutoff))
     return dropped
