@@ -2,6 +2,7 @@
 
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -138,42 +139,63 @@ def vehicle_json_flatten(messages: DataFrame, now: int, offset_s: int = DELAY_FE
     return rows, audit
 
 
+def _last_of_equals(items: Column, *keys: str) -> Column:
+    """The elements of an array of structs in order, of those equal in the leading fields ``keys`` only the last.
+
+    One sort of the array; the sorted array is bound to a variable, so it isn't made again for every element.
+    """
+    def kept(ordered: Column) -> Column:
+        def ends(x: Column, i: Column) -> Column:
+            after = F.get(ordered, i + 1)
+            return reduce(lambda a, b: a | b, [after[k].isNull() | (after[k] != x[k]) for k in keys])
+        return F.filter(ordered, ends)
+
+    return F.transform(F.array(F.sort_array(items)), kept)[0]
+
+
 def trip_update_flatten(messages: DataFrame, data: str = "data"):
-    """(trips, stops) of delay messages (message_id, zone_id, data); the last duplicate wins.
+    """(trips, stops) of delay messages (message_id, zone_id, data); of duplicates in a message the last wins.
 
-    The figures of a trip come from the update list inside its own entity, without a shuffle.
+    A message is one row, so its duplicates are settled inside it: nothing is shuffled.
     """
-    parsed = messages.select("message_id", "zone_id", F.from_json(data, schemas.TRIP_MESSAGE).alias("m"))
-    entity = parsed.select("message_id", "zone_id", _entities("m.entity"))
-    text = lambda name: parse.clean_text(f"e.trip_update.trip.{name}")
     delay = lambda u, side: parse.clean_int(u[side]["delay"]).cast("int")
+
     def cleaned(u, i):
         return F.struct(
             i.alias("update_no"), parse.clean_int(u["stop_sequence"]).alias("stop_sequence"),
             parse.clean_text(u["stop_id"]).alias("stop_id"), delay(u, "arrival").alias("arrival_delay_s"),
             delay(u, "departure").alias("departure_delay_s"),
             parse.clean_text(u["schedule_relationship"]).alias("stop_status"))
+
     def marked(u):
         late = lambda name: F.coalesce(F.abs(u[name]) > IMPLAUSIBLE_DELAY_S, F.lit(False))
         return u.withField("implausible", late("arrival_delay_s") | late("departure_delay_s"))
-    updates = F.transform(F.filter(F.transform("e.trip_update.stop_time_update", cleaned),
-                                   lambda s: s["stop_sequence"].isNotNull()), marked)
-    rows = entity.select(
-        "message_id", "zone_id", "entity_no", parse.service_date("e.trip_update.trip.start_date").alias("service_date"),
-        text("trip_id").alias("trip_id"), text("route_id").alias("route_id"), text("start_time").alias("start_time"),
-        text("schedule_relationship").alias("status"), F.coalesce(updates, F.array()).alias("updates"),
-    ).filter(F.col("trip_id").isNotNull() & F.col("service_date").isNotNull())
-
-    how_many = lambda test: F.size(F.filter("updates", test))
-    plausible = F.filter("updates", lambda s: s["arrival_delay_s"].isNotNull() & ~s["implausible"])
-    trips = rows.select(
-        "message_id", "zone_id", "entity_no", "service_date", "trip_id", "route_id", "start_time", "status",
-        F.size("updates").alias("stops_total"), how_many(lambda s: s["stop_status"] == "SKIPPED").alias("stops_skipped"),
+
+    def entity(e, i):
+        trip = lambda name: parse.clean_text(e["trip_update"]["trip"][name]).alias(name)
+        updates = F.transform(F.filter(F.transform(e["trip_update"]["stop_time_update"], cleaned),
+                                       lambda s: s["stop_sequence"].isNotNull()), marked)
+        return F.struct(
+            parse.service_date(e["trip_update"]["trip"]["start_date"]).alias("service_date"), trip("trip_id"), i.alias("entity_no"),
+            trip("route_id"), trip("start_time"), trip("schedule_relationship"), F.coalesce(updates, F.array()).alias("updates"))
+
+    parsed = messages.select("message_id", "zone_id", F.from_json(data, schemas.TRIP_MESSAGE).alias("m"))
+    named = parsed.select("message_id", "zone_id", F.filter(
+        F.transform("m.entity", entity), lambda e: e["trip_id"].isNotNull() & e["service_date"].isNotNull()).alias("entities"))
+
+    last = named.select("message_id", "zone_id", F.explode(_last_of_equals(F.col("entities"), "service_date", "trip_id")).alias("t"))
+    updates = F.col("t.updates")
+    how_many = lambda test: F.size(F.filter(updates, test))
+    plausible = F.filter(updates, lambda s: s["arrival_delay_s"].isNotNull() & ~s["implausible"])
+    trips = last.select(
+        "message_id", "zone_id", "t.service_date", "t.trip_id", "t.route_id", "t.start_time", F.col("t.schedule_relationship").alias("status"),
+        F.size(updates).alias("stops_total"), how_many(lambda s: s["stop_status"] == "SKIPPED").alias("stops_skipped"),
         how_many(lambda s: s["arrival_delay_s"].isNotNull()).alias("stops_with_delay"),
         F.array_max(F.transform(plausible, lambda s: s["arrival_delay_s"])).alias("max_delay_s"))
-    trips = first_per_key(trips, ["message_id", "service_date", "trip_id"], F.desc("entity_no")).drop("entity_no")
-    stops = rows.select("message_id", "entity_no", "service_date", "trip_id", F.explode_outer("updates").alias("s")).filter(
-        F.col("s").isNotNull()).select("message_id", "entity_no", "service_date", "trip_id", "s.*")
-    stops = first_per_key(stops, ["message_id", "service_date", "trip_id", "stop_sequence"],
-                          F.desc("entity_no"), F.desc("update_no")).drop("entity_no", "update_no")
-    return trips, stops
+
+    at_stop = F.flatten(F.transform("entities", lambda e: F.transform(e["updates"], lambda u: F.struct(
+        e["service_date"].alias("service_date"), e["trip_id"].alias("trip_id"), u["stop_sequence"].alias("stop_sequence"),
+        e["entity_no"].alias("entity_no"), u.alias("u")))))
+    stops = named.select("message_id", F.explode(_last_of_equals(at_stop, "service_date", "trip_id", "stop_sequence")).alias("s"))
+    return trips, stops.select("message_id", "s.service_date", "s.trip_id", "s.stop_sequence", *[
+        f"s.u.{c}" for c in ("stop_id", "arrival_delay_s", "departure_delay_s", "stop_status", "implausible")])
