@@ -1,6 +1,8 @@
 """Hourly rollups on the 250 m grid and per route, and everything read from them."""
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..constants import (GRID_LAT_DEG, GRID_LON_DEG, HOUR_S, MIN_OBS_DEFAULT, ROLLUP_REWIND_S)
@@ -57,6 +59,61 @@ def rollup_refold(stored: DataFrame, fold, positions: DataFrame, since: int) ->
     return kept.unionByName(fold(positions, since))
 
 
+# ---- mergeable rollups ------------------------------------------------------
+GRID_HOUR_KEY = ("cell_y", "cell_x", "hour_bucket")
+_DEAL = 256
+
+
+def vehicle_numbers(known: DataFrame, positions: DataFrame) -> DataFrame:
+    """``vehicle_id``, ``number``: those ``known``, and a number without gaps for each vehicle not numbered yet.
+
+    New vehicles are numbered inside slices by hash, behind the totals of the slices before: one row per slice is ordered
+    in one place, never the vehicles.
+    """
+    fresh = positions.select("vehicle_id").filter(F.col("vehicle_id").isNotNull()).distinct().join(known, "vehicle_id", "left_anti")
+    dealt = fresh.withColumn("slice", F.pmod(F.hash("vehicle_id"), F.lit(_DEAL)))
+    start = F.coalesce(F.sum("n").over(Window.orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = dealt.groupBy("slice").agg(F.count("*").alias("n")).select("slice", start.alias("start"))  # _DEAL rows at most
+    base = known.agg(F.coalesce(F.max("number") + 1, F.lit(0)).alias("base")).scalar()
+    place = F.row_number().over(Window.partitionBy("slice").orderBy("vehicle_id")) - 1
+    numbered = dealt.withColumn("place", place).join(F.broadcast(offsets), "slice")
+    return known.select("vehicle_id", "number").unionByName(numbered.select(
+        "vehicle_id", (base + F.col("start") + F.col("place")).cast("bigint").alias("number")))
+
+
+def grid_hour_sets(positions: DataFrame, numbers: DataFrame) -> DataFrame:
+    """``block``, ``bits`` per cell and hour: the exact set of vehicles there, as bitmaps over their numbers.
+
+    One bitmap covers 32,768 numbers and is built inside the tasks before it moves.
+    """
+    located = positions.filter(F.col("lat").isNotNull() & F.col("lon").isNotNull()).select(
+        "vehicle_id", geo.cell_y().alias("cell_y"), geo.cell_x().alias("cell_x"), clock.hour_bucket().alias("hour_bucket"))
+    seen = located.distinct().join(numbers, "vehicle_id")
+    return seen.groupBy(*GRID_HOUR_KEY, F.bitmap_bucket_number("number").alias("block")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position("number")).alias("bits"))
+
+
+def merge_sets(*sets: DataFrame) -> DataFrame:
+    """One set per cell and hour of several, whichever rows they came from."""
+    return reduce(DataFrame.unionByName, sets).groupBy(*GRID_HOUR_KEY, "block").agg(F.bitmap_or_agg("bits").alias("bits"))
+
+
+def set_counts(sets: DataFrame, factor: int = 1) -> DataFrame:
+    """Exact distinct vehicles per hour and cell, ``factor`` cells wide, from stored sets alone."""
+    wide = lambda c: F.floor(F.col(c) / factor).cast("int").alias(c)
+    whole = sets.groupBy(wide("cell_y"), wide("cell_x"), "hour_bucket", "block").agg(F.bitmap_or_agg("bits").alias("bits"))
+    return whole.groupBy(*GRID_HOUR_KEY).agg(F.sum(F.bitmap_count("bits")).alias("vehicles"))
+
+
+def merge_grid_hours(stored: DataFrame, late: DataFrame, sets: DataFrame) -> DataFrame:
+    """Stored hourly cells and those of rows that came late, without the log: counts and sums are added, extremes
+    compared, and the vehicles counted in the merged ``sets``. Neither side may hold a row of the other."""
+    sums = ("observations", "moving", "stopped", "speed_sum", "speed_n")
+    both = stored.drop("vehicles").unionByName(late.drop("vehicles")).groupBy(*GRID_HOUR_KEY).agg(
+        *[F.sum(c).alias(c) for c in sums], F.min("speed_min").alias("speed_min"), F.max("speed_max").alias("speed_max"))
+    return both.join(set_counts(sets), list(GRID_HOUR_KEY)).select(*stored.columns)
+
+
 def grid_cells(grid: DataFrame, since: int, factor: int = 1, bbox=None,
                min_observations: int = MIN_OBS_DEFAULT, limit: int | None = None) -> DataFrame:
     """Coarser cells by integer division: sums of counts, peak of hourly vehicles; a limit keeps the busiest."""

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from ...operators import export, quality, rollup, spatial
+from ...session import shared_dir
 from ..driver_sql import LAT_STEP, LON_STEP, MOVING, kmh, pct
 from ..driver_tables import NOW
 from .registry import query, rounded
@@ -45,6 +46,31 @@ def rollup_refold(t):
     return folded.select("cell_y", "cell_x", "hour_bucket", "observations", "vehicles")
 
 
+def _merged_sets(t):
+    """Two halves of the log, folded and stored apart; the second brings vehicles and hours the first may not have."""
+    even, odd = (t.positions.filter(F.col("arrival") % 2 == i) for i in (0, 1))
+    root = shared_dir(t.spark, "sets")
+    known = t.spark.createDataFrame([], "vehicle_id string, number bigint")
+    sets = []
+    for i, half in enumerate((even, odd)):
+        rollup.vehicle_numbers(known, half).write.parquet(f"{root}/numbers={i}")
+        known = t.spark.read.parquet(f"{root}/numbers={i}")
+        rollup.grid_hour_sets(half, known).write.parquet(f"{root}/sets={i}")
+        sets.append(t.spark.read.parquet(f"{root}/sets={i}"))
+    return rollup.grid_hour_rollup(even), rollup.grid_hour_rollup(odd), rollup.merge_sets(*sets)
+
+
+@query("rollup_merge_late", f"SELECT {_GRID} FROM grid_v")
+def rollup_merge_late(t):
+    return rounded(rollup.merge_grid_hours(*_merged_sets(t)), "speed_sum")
+
+
+@query("rollup_coarse_vehicles", f"SELECT CAST(floor(floor(lat/{LAT_STEP}) / 4) AS INT) AS cell_y, CAST(floor(floor(lon/{LON_STEP}) / 4) AS INT) AS cell_x, ts - ts % 3600 AS hour_bucket, "
+       "count(DISTINCT vehicle_id) AS vehicles FROM positions_v WHERE lat IS NOT NULL AND lon IS NOT NULL GROUP BY 1, 2, 3")
+def rollup_coarse_vehicles(t):
+    return rollup.set_counts(_merged_sets(t)[2], factor=4)
+
+
 @query("grid_cells", f"SELECT {_CELL} FROM (SELECT cell_y // 2 AS gy, cell_x // 2 AS gx, "
        "CAST(sum(observations) AS BIGINT) AS observations, max(vehicles) AS peak_vehicles, "
        "CAST(sum(moving) AS BIGINT) AS moving, CAST(sum(stopped) AS BIGINT) AS stopped, sum(speed_sum) AS speed_sum, "

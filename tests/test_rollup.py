@@ -70,3 +70,23 @@ def test_export_scales(spark):
     assert scales["truncated"] and scales["speed_p90"] == 10.0 and scales["speed_p10"] == 2.0
     empty = one(export.grid_scales(rows.filter("obs > 99"), 10))
     assert empty["count"] == 0 and empty["speed_p90"] is None
+
+
+def test_vehicle_sets_merge_without_the_log(spark, data):
+    key, counts = ["cell_y", "cell_x", "hour_bucket"], ["observations", "vehicles", "moving", "stopped", "speed_n", "speed_min", "speed_max"]
+    old, late = (data.positions.filter(F.pmod("ts", F.lit(2)) == i) for i in (0, 1))
+    none = spark.createDataFrame([], "vehicle_id string, number bigint")
+    first = rollup.vehicle_numbers(none, old).cache()
+    numbers = rollup.vehicle_numbers(first, data.positions).cache()
+    assert sorted(r["number"] for r in numbers.collect()) == list(range(data.positions.select("vehicle_id").distinct().count()))
+    assert set(map(tuple, first.collect())) <= set(map(tuple, numbers.collect()))
+    sets = rollup.merge_sets(rollup.grid_hour_sets(old, numbers), rollup.grid_hour_sets(late, numbers))
+    merged = rollup.merge_grid_hours(rollup.grid_hour_rollup(old), rollup.grid_hour_rollup(late), sets)
+    assert values(merged, *key, *counts) == values(rollup.grid_hour_rollup(data.positions), *key, *counts)
+    everywhere = rollup.set_counts(sets, factor=1 << 20).groupBy("hour_bucket").agg(F.sum("vehicles").alias("n"))
+    located = data.positions.filter("lat IS NOT NULL AND lon IS NOT NULL")
+    assert values(everywhere, "hour_bucket", "n") == values(
+        located.groupBy((F.col("ts") - F.col("ts") % 3600).alias("hour_bucket")).agg(F.count_distinct("vehicle_id").alias("n")), "hour_bucket", "n")
+    far = spark.createDataFrame([(f"v{i}", 40_000 * i) for i in range(3)], "vehicle_id string, number bigint")   # several bitmaps
+    seen = spark.createDataFrame([(f"v{i % 3}", 7200 + i, 28.6, 77.2) for i in range(9)], "vehicle_id string, ts bigint, lat double, lon double")
+    assert [r["vehicles"] for r in rollup.set_counts(rollup.grid_hour_sets(seen, far)).collect()] == [3]
