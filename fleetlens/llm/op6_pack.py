@@ -9,10 +9,12 @@ window with the neighbours and meet by its number.
 import os
 from collections.abc import Iterator
 from functools import cache
+from itertools import islice
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -22,14 +24,15 @@ from .common import batches, staged
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 SEPARATOR = 1
 LENGTH = 2048
-_CACHED_CHARS, _CACHED_WORDS = 32, 400_000
+_CACHED_CHARS, _CACHED_WORDS = 32, 600_000
+_AT_ONCE = 16 << 20  # bytes of text that are encoded together
 
 
 class WordIds(dict):
     """Ids of blank-separated words as little-endian unsigned 32-bit bytes; the first short words are kept.
 
     For vocabularies that drop white space and never let a token reach across it, as VOCABULARY's does: the ids of
-    a text are those of its words, one after the other. Words that aren't kept are encoded together, with a special
+    a text are those of its words, one after the other. Unknown words of many texts are encoded together, with a special
     token between them, whose id shows where each one ends.
     """
 
@@ -59,15 +62,33 @@ class WordIds(dict):
             found.update(zip(rest, (data[a:b] for a, b in zip([0] + [c + 4 for c in cuts], cuts + [len(data)]))))
         return found
 
-    def of(self, text: str) -> bytes:
-        words = text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
-        missing = list(dict.fromkeys([w for w in words if w not in self]))
-        if missing:
-            self.update(self._encoded(missing))
-        ids = b"".join(map(self.__getitem__, words))
-        for word in missing if len(self) > _CACHED_WORDS else [w for w in missing if len(w) > _CACHED_CHARS]:
-            del self[word]
-        return ids
+    def of(self, texts: pa.Array) -> Iterator[bytes]:
+        """The ids of each text. Words are cut and numbered by Arrow; each distinct one is looked up once."""
+        lists = pc.ascii_split_whitespace(texts)
+        coded = lists.flatten().dictionary_encode()
+        distinct, word = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+        missing = [w for w in distinct if w not in self]
+        new = self._encoded(missing) if missing else {}
+        parts = [new[w] if w in new else self[w] for w in distinct]
+        kept = (w for w in missing if len(w) <= _CACHED_CHARS)
+        self.update((w, new[w]) for w in islice(kept, max(0, _CACHED_WORDS - len(self))))
+        known, size = np.frombuffer(b"".join(parts), "<u4"), np.array([len(p) // 4 for p in parts], np.int64)
+        n = size[word]
+        first = np.concatenate([np.zeros(1, np.int64), np.cumsum(n)])
+        ids = known[np.repeat((np.cumsum(size) - size)[word] - first[:-1], n) + np.arange(first[-1])]
+        ends = first[lists.offsets.to_numpy() - lists.offsets[0].as_py()].tolist()
+        for a, b in zip(ends, ends[1:]):
+            yield ids[a:b].tobytes()
+
+
+def _slices(texts: pa.Array, size: int = _AT_ONCE) -> Iterator[pa.Array]:
+    """Runs of texts of about ``size`` bytes."""
+    ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))
+    start = 0
+    while start < len(texts):
+        stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + size, "right")))
+        yield texts.slice(start, stop - start)
+        start = stop
 
 
 @cache
@@ -87,8 +108,9 @@ def tokenized(docs: DataFrame, doc_id: str, text: str, vocabulary: str, separato
         def rows():
             before = 0
             for part in parts:
-                for i, body in zip(part.column(0).to_pylist(), part.column(1)):
-                    ids = words.of(body.as_py() or "") + end
+                encoded = (ids for some in _slices(part.column(1).fill_null("")) for ids in words.of(some))
+                for i, ids in zip(part.column(0).to_pylist(), encoded):
+                    ids += end
                     yield (i, number, before, len(ids) // 4, ids), len(ids)
                     before += len(ids) // 4
         return batches(kind, rows())
