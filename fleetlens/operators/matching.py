@@ -15,21 +15,32 @@ from ..sources.scans import time_window
 from .keyed import live_trip_keys, lookup_join
 
 
-def _minutes(asked: DataFrame, scheduled: DataFrame) -> DataFrame:
+TIMETABLE = "route_id string, minute int, first_trip string, last_trip string"
+
+
+def timetable_minutes(scheduled: DataFrame) -> DataFrame:
+    """The timetable reduced to (route, minute) with the first and last trip of the minute; may be stored."""
+    planned = parse.with_dispatch_minute(scheduled.select("route_id", "trip_id"))
+    return planned.groupBy("route_id", "minute").agg(F.min("trip_id").alias("first_trip"), F.max("trip_id").alias("last_trip"))
+
+
+def _minutes(asked: DataFrame, scheduled: DataFrame | None, timetable: DataFrame | None) -> DataFrame:
     """(route, minute) of both sides with the first and last timetabled trip of the minute.
 
     Rows without a minute stay as one group per route; a filter here would be evaluated on the
     whole parsing expression once more for every row.
     """
-    planned = parse.with_dispatch_minute(scheduled.select("route_id", "trip_id")).select(
-        "route_id", "minute", F.col("trip_id").alias("planned"))
+    if timetable is None:
+        timetable = parse.with_dispatch_minute(scheduled.select("route_id", "trip_id")).select(
+            "route_id", "minute", F.col("trip_id").alias("first_trip"), F.col("trip_id").alias("last_trip"))
+    none = F.lit(None).cast("string")
     live = parse.with_dispatch_minute(asked.select("route_id", "trip_id")).select(
-        "route_id", "minute", F.lit(None).cast("string").alias("planned"))
-    return planned.unionByName(live).groupBy("route_id", "minute").agg(
-        F.min("planned").alias("first_trip"), F.max("planned").alias("last_trip"))
+        "route_id", "minute", none.alias("first_trip"), none.alias("last_trip"))
+    return timetable.unionByName(live).groupBy("route_id", "minute").agg(
+        F.min("first_trip").alias("first_trip"), F.max("last_trip").alias("last_trip"))
 
 
-def nearest_departures(asked: DataFrame, scheduled: DataFrame) -> DataFrame:
+def nearest_departures(asked: DataFrame, scheduled: DataFrame | None, timetable: DataFrame | None = None) -> DataFrame:
     """Per (route, minute): the nearest timetabled trip and its distance in minutes.
 
     The earlier neighbour wins a tie in distance. Of trips in one minute the last counts when the
@@ -40,7 +51,7 @@ def nearest_departures(asked: DataFrame, scheduled: DataFrame) -> DataFrame:
     descending = Window.partitionBy("route_id").orderBy(F.desc("minute")).rowsBetween(Window.unboundedPreceding, 0)
     planned = F.col("minute").isNotNull() & F.col("first_trip").isNotNull()
     neighbour = lambda trip: F.last(F.when(planned, F.struct("minute", F.col(trip).alias("trip"))), ignorenulls=True)
-    around = _minutes(asked, scheduled).withColumn("before", neighbour("last_trip").over(ascending)).withColumn(
+    around = _minutes(asked, scheduled, timetable).withColumn("before", neighbour("last_trip").over(ascending)).withColumn(
         "after", neighbour("first_trip").over(descending))
     back = F.col("minute") - F.col("before.minute")
     ahead = F.col("after.minute") - F.col("minute")
@@ -50,15 +61,15 @@ def nearest_departures(asked: DataFrame, scheduled: DataFrame) -> DataFrame:
         F.when(take_before, F.col("before.trip")).otherwise(F.col("after.trip")).alias("nearest_trip"))
 
 
-def trip_nearest_match(live: DataFrame, scheduled: DataFrame, now: int, seen: DataFrame | None = None,
-                       tolerance_min: int = MATCH_TOLERANCE_MIN) -> DataFrame:
+def trip_nearest_match(live: DataFrame, scheduled: DataFrame | None, now: int, seen: DataFrame | None = None,
+                       tolerance_min: int = MATCH_TOLERANCE_MIN, timetable: DataFrame | None = None) -> DataFrame:
     """``strict`` at distance 0, ``relaxed`` within the tolerance, else ``none`` (distance kept).
 
     ``seen`` may name the rows the live keys were taken from; their minutes are then read from
-    there instead of reducing them to keys a second time.
+    there instead of reducing them to keys a second time. ``timetable`` (``timetable_minutes``) may stand for ``scheduled``.
     """
     wanted = parse.with_dispatch_minute(live.select("route_id", "trip_id", "vehicle_id"))
-    nearest = nearest_departures(live if seen is None else seen, scheduled)
+    nearest = nearest_departures(live if seen is None else seen, scheduled, timetable)
     found = lookup_join(wanted, nearest, ["route_id", "minute"])
     delta = F.col("delta")
     kind = F.when(delta == 0, "strict").when(delta <= tolerance_min, "relaxed").otherwise("none")
@@ -69,11 +80,12 @@ def trip_nearest_match(live: DataFrame, scheduled: DataFrame, now: int, seen: Da
         F.lit(now).cast("bigint").alias("matched_at"))
 
 
-def match_window(positions: DataFrame, scheduled: DataFrame, since: int, until: int | None, now: int) -> DataFrame:
+def match_window(positions: DataFrame, scheduled: DataFrame | None, since: int, until: int | None, now: int,
+                 timetable: DataFrame | None = None) -> DataFrame:
     """Match the live trips seen in ``[since, until)`` of the log; without an end if ``until`` is None."""
     live = live_trip_keys(positions, since, until)
     last = None if until is None else until - 1
-    return trip_nearest_match(live, scheduled, now, seen=time_window(positions, since, last))
+    return trip_nearest_match(live, scheduled, now, seen=time_window(positions, since, last), timetable=timetable)
 
 
 def trip_match_summary(matches: DataFrame, since: int) -> DataFrame:

@@ -12,6 +12,8 @@ from ..functions import clock, geo
 from ..functions.measures import count_if, is_plausible_moving, is_stopped
 from ..operators import matching
 from ..operators.continuity import gap_flags
+from ..plans import tables
+from ..plans.fold import MATCH_UPDATES, newest_matches
 
 
 # ---- latest row per vehicle ----------------------------------------------
@@ -138,13 +140,9 @@ class GapProcessor(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         last = self.last.get()[0] if self.last.exists() else None
-        reports = None
-        for chunk in rows:
-            # Copies and late rows go chunk by chunk: what is held is one report per second.
-            if last is not None:
-                chunk = chunk[chunk["ts"] > last]
-            held = chunk if reports is None else pd.concat([reports, chunk])
-            reports = held.sort_values(["ts", "arrival"]).drop_duplicates("ts")
+        # Late rows and the copies inside a chunk go at once; what is left is put in order once.
+        chunks = [(chunk if last is None else chunk[chunk["ts"] > last]).sort_values("arrival").drop_duplicates("ts") for chunk in rows]
+        reports = pd.concat(chunks).sort_values(["ts", "arrival"]).drop_duplicates("ts") if chunks else None
         if reports is None or reports.empty:
             return
         times = reports["ts"].astype("int64").tolist()
@@ -196,10 +194,21 @@ def gap_counters(events: DataFrame, threshold_s: int = GAP_THRESHOLD_S) -> DataF
 
 
 # ---- trip matching --------------------------------------------------------
-def match_batch(root: str, trips: DataFrame, now: int):
+def match_batch(root: str, trips: DataFrame, now: int, compact_every: int = 64):
     """Writer that matches the live trips of a batch; each batch writes its own matches only, and
-    ``fold.newest_matches`` reads the newest of each trip."""
+    ``fold.newest_matches`` reads the newest of each trip. The timetable is reduced to its minutes once, beside the
+    matches, when the first batch comes; past matches are folded after every ``compact_every`` batches."""
+    timetable = f"{root}/.timetable"
+
     def write(batch: DataFrame, batch_id: int) -> None:
-        matched = matching.match_window(batch, trips, 0, None, now)
+        spark = batch.sparkSession
+        if not write.ready:
+            matching.timetable_minutes(trips).write.mode("overwrite").parquet(timetable)
+            write.ready = True
+        matched = matching.match_window(batch, None, 0, None, now, spark.read.schema(matching.TIMETABLE).parquet(timetable))
         matched.write.mode("overwrite").parquet(f"{root}/batch={batch_id}")
+        if batch_id % compact_every == compact_every - 1:
+            tables.compact_updates(spark, root, MATCH_UPDATES, newest_matches)
+
+    write.ready = False
     return write
