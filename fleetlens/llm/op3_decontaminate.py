@@ -30,10 +30,12 @@ WITH w AS (
   SELECT 'd' AS kind, doc_id AS id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') AS words FROM documents
   UNION ALL
   SELECT 'i', item_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') FROM benchmark
+), widths AS (
+  SELECT 5 AS width UNION SELECT DISTINCT len(words) FROM w WHERE kind = 'i' AND len(words) BETWEEN 1 AND 4
 ), s AS (
   SELECT DISTINCT kind, id, shingle FROM (
-    SELECT kind, id, unnest(CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 5 THEN [array_to_string(words, ' ')] ELSE
-      [array_to_string(words[k:k+4], ' ') FOR k IN range(1, len(words) - 3)] END) AS shingle FROM w)
+    SELECT kind, id, unnest([array_to_string(words[k:k+width-1], ' ') FOR k IN range(1, len(words) - width + 2)]) AS shingle
+    FROM w JOIN widths ON CASE WHEN kind = 'i' THEN width = least(len(words), 5) ELSE width <= len(words) END)
 ), n AS (SELECT id AS item_id, count(*) AS n FROM s WHERE kind = 'i' GROUP BY id)
 SELECT d.id AS doc_id, i.id AS item_id, round(count(*) / n, 6) AS containment
 FROM s d JOIN s i ON d.shingle = i.shingle AND d.kind = 'd' AND i.kind = 'i' JOIN n ON n.item_id = i.id
@@ -116,12 +118,13 @@ def _containment(text: str | None, item: str | None, size: int) -> float:
 
 
 def leaks(docs: DataFrame, items: DataFrame, size: int = SHINGLE, least: float = CONTAINMENT,
-          short: bool = False) -> DataFrame:
+          short: bool = True) -> DataFrame:
     """``doc_id``, ``item_id``, ``containment`` for each document that holds ``least`` or more of an item's shingles.
 
     Words are runs of letters and digits in lower case, so case, punctuation and line breaks don't hide an item.
-    An item of fewer than ``size`` words is one shingle of all of them and matches only a text that is just as
-    short, unless ``short`` asks for it inside longer texts too; items without words and null texts match nothing. Repeated rows give one result per doc_id and item_id
+    An item of fewer than ``size`` words is one shingle of all of them and is found inside texts of any length; with
+    ``short=False`` only in texts just as short. Items without words and null texts match nothing. Repeated rows give one
+    result per doc_id and item_id
     with the largest containment. Rows with a null doc_id are judged together as one document, null item_ids as
     one item. Empty tables give no rows.
     """
@@ -150,7 +153,7 @@ def leaks(docs: DataFrame, items: DataFrame, size: int = SHINGLE, least: float =
 
 
 def remove_leaks(docs: DataFrame, items: DataFrame, size: int = SHINGLE, least: float = CONTAINMENT,
-                 short: bool = False) -> DataFrame:
+                 short: bool = True) -> DataFrame:
     """The rows of ``docs`` that hold no item, columns unchanged. Rows with a null doc_id stay or go together."""
     found = staged(leaks(docs, items, size, least, short).select(F.col("doc_id").alias("__leak")).distinct(), "leaks")
     return docs.join(found, docs["doc_id"].eqNullSafe(found["__leak"]), "left_anti")

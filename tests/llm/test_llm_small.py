@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import Row
@@ -425,10 +426,14 @@ def test_short_items_inside_long_documents(spark):
             (5, base), (6, f"whale blue {base}"), (7, None), (8, f"{items[2][1]} single")]
     table = documents(spark, [(d, t, "x", "s") for d, t in docs])
     bench = spark.createDataFrame(items, "item_id long, text string")
-    found = {(r.doc_id, r.item_id) for r in op3_decontaminate.leaks(table, bench, short=True).collect()}
+    found = {(r.doc_id, r.item_id) for r in op3_decontaminate.leaks(table, bench).collect()}
     assert found == {(1, 1), (2, 2), (4, 4), (8, 3), (8, 4)}
-    kept = op3_decontaminate.remove_leaks(table, bench, short=True)
-    assert {r.doc_id for r in kept.collect()} == {3, 5, 6, 7}
+    con = duckdb.connect()
+    con.register("documents", table.toPandas())
+    con.register("benchmark", bench.toPandas())
+    assert {r[:2] for r in con.sql(op3_decontaminate.ORACLE_SQL).fetchall()} == found
+    assert {r.doc_id for r in op3_decontaminate.remove_leaks(table, bench).collect()} == {3, 5, 6, 7}
+    assert {(r.doc_id, r.item_id) for r in op3_decontaminate.leaks(table, bench, short=False).collect()} == {(4, 4), (8, 3)}
 
 
 def brute_base(text):
