@@ -161,7 +161,8 @@ def learn(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model | None:
     # wanted are ranked, so a ranking stays small however large its language is.
     ids = usable.select("doc_id", "lang", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)).alias("draw"))
     share = F.lit(4.0 * per_language) / F.count("*") * (1 << 40)
-    drawn = ids.join(ids.groupBy("lang").agg(share.alias("share")), "lang").where("draw <= share")
+    # One row per language, as in the model itself: broadcast, so that ids are cut in the scan and not dealt by language.
+    drawn = ids.join(F.broadcast(ids.groupBy("lang").agg(share.alias("share"))), "lang").where("draw <= share")
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("draw", "doc_id"))
     picked = drawn.select("doc_id", "lang", "draw").withColumn("rank", rank).where(F.col("rank") <= per_language)
     picked = staged(picked.select("doc_id", "lang").distinct(), "sample")
