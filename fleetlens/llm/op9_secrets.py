@@ -8,8 +8,10 @@ a date. Of what is shaped like an identifier only the letters count, so one made
 import base64
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import cache
+from itertools import accumulate
 
 import pyarrow as pa
 import public_tokenizers
@@ -83,8 +85,9 @@ def spans(text: str | None, vocabulary: str = VOCABULARY, ratio: float = CHARS_P
         found += [(m.start(), 1, m.end()) for m in _ACCESS.finditer(text)]
     found += [(m.start(), 2, m.end()) for m in _HEX.finditer(text)]
     base = sorted(found)
+    starts, reach = [s for s, _, _ in base], [0, *accumulate((e for _, _, e in base), max)]  # how far the first spans reach
     for m in _RUN.finditer(text):
-        if is_random(m[0], vocabulary, ratio) and not any(s < m.end() and m.start() < e for s, _, e in base):
+        if reach[bisect_left(starts, m.end())] <= m.start() and is_random(m[0], vocabulary, ratio):
             found.append((m.start(), 3, m.end()))
     return sorted(found)
 
