@@ -24,8 +24,8 @@ from .common import batches, staged
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 SEPARATOR = 1
 LENGTH = 2048
-_CACHED_CHARS, _CACHED_WORDS = 32, 600_000
-_AT_ONCE = 16 << 20  # bytes of text that are encoded together
+_CACHED_CHARS, _CACHED_WORDS = 32, 400_000
+_AT_ONCE = 4 << 20  # bytes of text that are encoded together
 
 
 class WordIds(dict):
