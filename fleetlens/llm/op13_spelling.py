@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from .common import batches, mixed, staged, word_blocks
 
-SAMPLE = 100_000  # words the trees are fitted on, the first by hash
+SAMPLE = 100_000  # words the trees are fitted on, about so many, by hash
 LETTERS = 1 << 18  # of the words of a leaf, and of those that visit a group
 LEAST_LENGTH, LEAST_COUNT, RATIO = 7, 2, 10
 EDITED = 31  # of so many pairs of document and run, one loses a letter
@@ -281,12 +281,15 @@ def _route(trees: dict[int, tuple], words: np.ndarray) -> Iterator[tuple[int, bo
 def _trees(words: DataFrame) -> dict[int, tuple]:
     """A tree for each class of lengths, fitted on SAMPLE words; how many leaves follows from all words."""
     size = F.length("word")
-    coarse = words.groupBy(size.alias("size")).agg(F.sum(size).alias("letters"))
-    total: dict[int, int] = {}
+    coarse = words.groupBy(size.alias("size")).agg(F.sum(size).alias("letters"), F.count("*").alias("n"))
+    total, n = {}, 0
     for row in coarse.collect():  # one row per length of words
         c = int(length_class(np.array([row["size"]]))[0])
         total[c] = total.get(c, 0) + row["letters"]
-    sample = np.array([r[0] for r in words.orderBy(F.xxhash64("word"), "word").limit(SAMPLE).select("word").collect()])
+        n += row["n"]
+    share = int(min(1.0, SAMPLE / max(1, n)) * (1 << 40))  # by hash, so that no task sends more than its share
+    drawn = words.where(F.pmod(F.xxhash64("word"), F.lit(1 << 40)) < share).select("word").collect()
+    sample = np.array([r[0] for r in drawn])
     kinds = length_class(np.char.str_len(sample)) if len(sample) else np.empty(0, np.int64)
     number = iter(range(1 << 62))
     return {c: _fit(_vectors(sample[kinds == c]).counts if (kinds == c).any() else np.zeros((0, _DIMS), np.uint16),
