@@ -9,9 +9,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..constants import (BUNCH_M, CONGESTED_KMH, EARTH_RADIUS_M, HOTSPOT_LABEL_RADIUS_DEG,
-                         MAX_DWELL_FOR_CONGESTION_PCT, OFF_ROUTE_M)
+                         MAX_DWELL_FOR_CONGESTION_PCT, METRES_PER_DEGREE, OFF_ROUTE_M)
 from ..functions import geo
 from ..functions.measures import count_if, safe_pct
+from ..session import shared_dir
 from .keyed import first_per_key, lookup_join
 from .rollup import cell_centers, with_speed_and_dwell
 from .schedule import route_shape
@@ -176,27 +177,65 @@ def shape_segments(points: DataFrame, chunk: int = 64) -> DataFrame:
     return inner.unionByName(joints).groupBy("route_id", "part").agg(F.collect_list(segment).alias("segments"))
 
 
-def _part_boxes(parts: DataFrame) -> DataFrame:
-    """Latitude and longitude range of the segments of each part of a route."""
-    ends = lambda axis: F.concat(F.col(f"segments.{axis}_a"), F.col(f"segments.{axis}_b"))
-    return parts.select("route_id", "part", *[
-        pick(ends(axis)).alias(f"{axis}{i}") for axis in ("lat", "lon") for i, pick in enumerate((F.array_min, F.array_max))])
+# Lines are indexed by cells. A segment is cut into pieces of a share of its route's mean length, which bounds their number by
+# that of the segments; the cells of each level are _FANOUT times as wide as those below.
+_PIECES = 8
+_FANOUT = 8
+_LEVELS = 3
+_BOX = ("lat0", "lat1", "lon0", "lon1")
+
+
+def _stored(df: DataFrame, purpose: str) -> DataFrame:
+    """Written once to the shared folder, because what follows reads it several times."""
+    path = shared_dir(df.sparkSession, purpose)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _line_pieces(segments: DataFrame) -> DataFrame:
+    """(route, cell, segment, box of the piece), a row per piece of every different segment; the cell is that of its middle."""
+    ends = ["lat_a", "lon_a", "lat_b", "lon_b"]
+    alike = segments.select("route_id", F.inline("segments")).dropna(subset=ends).distinct()
+    alike = _stored(alike, "line-segments")
+    span = F.hypot(F.col("lat_b") - F.col("lat_a"), F.col("lon_b") - F.col("lon_a"))
+    step = alike.groupBy("route_id").agg((F.avg(span) / _PIECES).alias("mean"))
+    stepped = lookup_join(alike, step, "route_id", "inner").withColumn("step", F.greatest("mean", F.lit(1e-6)))
+    number = F.greatest(F.ceil(span / F.col("step")), F.lit(1)).cast("int")
+    cut = stepped.withColumn("n", number).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    at = lambda axis, i: F.col(f"{axis}_a") + (F.col(f"{axis}_b") - F.col(f"{axis}_a")) * (i / F.col("n"))
+    cell = lambda axis: F.floor(at(axis, F.col("i") + 0.5) / F.col("step"))
+    # Boxes are a hair wider than the piece, against rounding.
+    low = lambda axis: F.least(at(axis, F.col("i")), at(axis, F.col("i") + 1)) - 1e-12
+    high = lambda axis: F.greatest(at(axis, F.col("i")), at(axis, F.col("i") + 1)) + 1e-12
+    return cut.select("route_id", cell("lat").alias("y0"), cell("lon").alias("x0"), *ends, low("lat").alias("lat0"),
+                      high("lat").alias("lat1"), low("lon").alias("lon0"), high("lon").alias("lon1"))
+
+
+def _cell_boxes(pieces: DataFrame) -> list[DataFrame]:
+    """The boxes of the cells that hold a piece, and those of the wider cells around them, finest first."""
+    union = [pick(c).alias(c) for c, pick in zip(_BOX, (F.min, F.max, F.min, F.max))]
+    levels = [_stored(pieces.groupBy("route_id", "y0", "x0").agg(*union), "line-cells")]
+    for i in range(1, _LEVELS):
+        up = lambda axis: F.floor(F.col(f"{axis}{i - 1}") / _FANOUT).alias(f"{axis}{i}")
+        levels[-1] = levels[-1].select("*", up("y"), up("x"))
+        levels.append(levels[-1].groupBy("route_id", f"y{i}", f"x{i}").agg(*union))
+    return levels
 
 
 def off_route_distance(vehicles: DataFrame, trips: DataFrame, shapes: DataFrame,
                        k: int | None = None) -> DataFrame:
     """Metres from each positioned vehicle to its route's line, for all routes or the k busiest.
 
-    Every part of a line comes with its box. A part whose box is farther away than some box's far
-    corner can't be nearest, so a vehicle is compared with the segments of a few parts only.
+    Every different spot of a route descends levels of cells with their boxes. A box farther away than some box's far
+    corner can't hold what is nearest. The segments of the nearest cell then give a distance, and only cells with a
+    nearer box are looked into after it.
     """
     placed = vehicles.filter(F.col("route_id").isNotNull() & F.col("lat").isNotNull() & F.col("lon").isNotNull())
     line = route_shape(trips, shapes)
     if k is not None:
         line = line.join(busiest_k_routes(placed, k).select("route_id"), "route_id", "left_semi")
-    parts = shape_segments(line)
-    boxes = _part_boxes(parts)
-    asked = placed.select("vehicle_id", "route_id", "lat", "lon")
+    pieces = _stored(_line_pieces(shape_segments(line)), "line-pieces")
+    spot = ["route_id", "lat", "lon"]
     # A degree of longitude as the distance sees it: seen from the vehicle, at its own latitude.
     shrink = F.cos(F.radians("lat"))
     gap = (_axis_gap(F.col("lat"), F.col("lat"), F.col("lat0"), F.col("lat1")),
@@ -204,18 +243,28 @@ def off_route_distance(vehicles: DataFrame, trips: DataFrame, shapes: DataFrame,
     reach = (_axis_reach(F.col("lat"), F.col("lat"), F.col("lat0"), F.col("lat1")),
              _axis_reach(F.col("lon"), F.col("lon"), F.col("lon0"), F.col("lon1")) * shrink)
     best, worst = (_square(a) + _square(b) for a, b in (gap, reach))
-    seen = lookup_join(asked, boxes, "route_id", "inner").select(
-        "vehicle_id", "route_id", "lat", "lon", "part", best.alias("best"), worst.alias("worst"))
-    bound = seen.groupBy("vehicle_id", "route_id", "lat", "lon").agg(
-        F.min("worst").alias("bound"), F.collect_list(F.struct("part", "best")).alias("parts"))  # one entry per part
-    near = bound.withColumn("p", F.explode("parts")).filter(
-        F.col("p.best") <= F.col("bound") * (1 + 1e-6) + 1e-15).select("vehicle_id", "route_id", "lat", "lon", "p.part")
-    # Unpacked row by row: the distance then runs in generated code and is folded to one value per
-    # vehicle before anything moves.
-    pairs = lookup_join(near, parts.select("route_id", "part", "segments"), ["route_id", "part"], "inner").select(
-        "vehicle_id", "route_id", "lat", "lon", F.inline("segments"))
+    wider = lambda bound: bound * (1 + 1e-6) + 1e-15
+    found, on = placed.select(*spot).distinct(), ["route_id"]
+    for i, boxes in reversed(list(enumerate(_cell_boxes(pieces)))):
+        seen = lookup_join(found, boxes, on, "inner").select(*spot, f"y{i}", f"x{i}", best.alias("best"), worst.alias("worst"))
+        bound = seen.groupBy(*spot).agg(F.min("worst").alias("bound"), F.collect_list(F.struct("best", f"y{i}", f"x{i}")).alias("cells"))
+        near = bound.select(*spot, F.filter("cells", lambda c: c["best"] <= wider(F.col("bound"))).alias("cells"))
+        on = ["route_id", f"y{i}", f"x{i}"]
+        if i:
+            found = near.select(*spot, F.inline("cells")).drop("best")
+    near = _stored(near, "near-cells")
+    # Joined row by row: the distance runs in generated code and is folded to one value per spot before anything moves.
+    segments = pieces.select(*on, "lat_a", "lon_a", "lat_b", "lon_b")
     metres = geo.point_segment_distance_m("lat", "lon", "lat_a", "lon_a", "lat_b", "lon_b")
-    return pairs.groupBy("vehicle_id", "route_id").agg(F.min(metres).alias("distance_m"))
+    first = near.select(*spot, "cells", F.array_min("cells").alias("c")).select(*spot, "cells", "c.y0", "c.x0")
+    reached = lookup_join(first.drop("cells"), segments, on, "inner").groupBy(*spot).agg(F.min(metres).alias("distance_m"))
+    others = first.join(reached, spot).select(*spot, "distance_m", F.col("y0").alias("_y"), F.col("x0").alias("_x"), F.inline("cells")).filter(
+        ((F.col("y0") != F.col("_y")) | (F.col("x0") != F.col("_x")))
+        & (F.col("best") <= wider(_square(F.col("distance_m") / METRES_PER_DEGREE))))
+    nearer = lookup_join(others.select(*on, "lat", "lon"), segments, on, "inner").groupBy(*spot).agg(F.min(metres).alias("distance_m"))
+    settled = reached.unionByName(nearer).groupBy(*spot).agg(F.min("distance_m").alias("distance_m"))
+    return lookup_join(placed.select("vehicle_id", *spot), settled, spot, "inner").groupBy("vehicle_id", "route_id").agg(
+        F.min("distance_m").alias("distance_m"))
 
 
 def off_route_summary(vehicles: DataFrame, distances: DataFrame, k: int | None = None) -> DataFrame:

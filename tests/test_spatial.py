@@ -92,3 +92,27 @@ def test_hotspot_labels(data):
     busiest = next(r for r in rows if r["ranking"] == "busiest")
     assert busiest["observations"] == 6 and busiest["stop_id"] == "Q1"
     assert {r["rank"] for r in rows} == {1}
+
+
+@pytest.mark.parametrize("seed, spread", [(1, 0.1), (2, 0.002)])
+def test_off_route_equals_brute_force_on_crossing_lines(spark, seed, spread):
+    rng = random.Random(seed)
+    lines = {"A": [(28.6 + rng.uniform(-0.1, 0.1), 77.2 + rng.uniform(-0.1, 0.1)) for _ in range(400)],     # long segments, all over
+             "B": [(28.6 + i * 1e-4 + rng.uniform(-1e-5, 1e-5), 77.2 + 0.02 * math.sin(i / 30)) for i in range(500)]}
+    fleet = [(f"V{i}", rng.choice("AB"), 28.6 + rng.uniform(-spread, spread), 77.2 + rng.uniform(-spread, spread)) for i in range(200)]
+    fleet += [("far", "A", 0.0, 0.0), ("far2", "B", 0.0, 0.0), ("twin", *fleet[0][1:]), ("none", "C", 28.6, 77.2)]
+
+    def metres(lat, lon, a, b):
+        scale = 111_320.0 * max(math.cos(math.radians(lat)), 1e-9)
+        (ax, ay), (bx, by) = (((o - lon) * scale, (n - lat) * 111_320.0) for n, o in (a, b))
+        dx, dy = bx - ax, by - ay
+        t = 0.0 if dx * dx + dy * dy <= 1e-9 else max(0.0, min(1.0, -(ax * dx + ay * dy) / (dx * dx + dy * dy)))
+        return math.hypot(ax + t * dx, ay + t * dy)
+
+    vehicles = spark.createDataFrame(fleet, "vehicle_id string, route_id string, lat double, lon double")
+    trips = spark.createDataFrame([(r, f"S{r}") for r in "AB"], "route_id string, shape_id string")
+    shapes = spark.createDataFrame([(f"S{r}", i, *p) for r, line in lines.items() for i, p in enumerate(line)],
+                                   "shape_id string, shape_pt_sequence int, shape_pt_lat double, shape_pt_lon double")
+    got = {r["vehicle_id"]: r["distance_m"] for r in spatial.off_route_distance(vehicles, trips, shapes).collect()}
+    want = {v: min(metres(lat, lon, a, b) for a, b in zip(lines[r], lines[r][1:])) for v, r, lat, lon in fleet if r in lines}
+    assert got == pytest.approx(want, rel=1e-9, abs=1e-6)
