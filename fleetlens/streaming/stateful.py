@@ -2,7 +2,6 @@
 
 from typing import Iterator
 
-import pandas as pd
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
@@ -128,52 +127,51 @@ class GapProcessor(StatefulProcessor):
     """Carries the last ts of a vehicle, and last ts and gap flag of each of its trips.
 
     A report not newer than the vehicle's last one is a copy or too late, and never counts. Once per
-    day of a vehicle's reports, trips without a report for the time of retention are forgotten.
+    day of a vehicle's reports, trips without a report for the time of retention are forgotten. All of
+    it is one value, as every call for state goes to the executor and back; a vehicle has at most one
+    report a second, so the time of retention bounds the value.
     """
 
     def __init__(self, threshold_s: int = GAP_THRESHOLD_S):
         self.threshold_s = threshold_s
+        self.told = Row("kind", "vehicle_id", "trip_id", "ts", "prev_ts", "has_gap")
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", "ts bigint")
-        self.trips = handle.getMapState("trips", "trip_id string", "ts bigint, has_gap boolean")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        last = self.last.get()[0] if self.last.exists() else None
-        # Late rows and the copies inside a chunk go at once; what is left is put in order once.
-        chunks = [(chunk if last is None else chunk[chunk["ts"] > last]).sort_values("arrival").drop_duplicates("ts") for chunk in rows]
-        reports = pd.concat(chunks).sort_values(["ts", "arrival"]).drop_duplicates("ts") if chunks else None
-        if reports is None or reports.empty:
+        self.held = handle.getValueState("held", "ts bigint, trips array<struct<trip_id: string, ts: bigint, has_gap: boolean>>")
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        held = self.held.get()
+        last, trips = (None, {}) if held is None else (held[0], {trip: (ts, has_gap) for trip, ts, has_gap in held[1]})
+        # Late rows and copies go as they come; of equal times the first to arrive stays.
+        first = {}
+        for row in rows:
+            ts, arrival = row["ts"], row["arrival"]
+            if last is None or ts > last:
+                rank = (arrival is None, arrival)
+                if ts not in first or rank < first[ts][0]:
+                    first[ts] = (rank, row["trip_id"])
+        if not first:
             return
-        times = reports["ts"].astype("int64").tolist()
-        gaps = [(t, p) for t, p in zip(times, [last, *times[:-1]]) if p is not None]
-        self.last.update((times[-1],))
-        yield self._frame("gap", key[0], [(None, t, p, None) for t, p in gaps])
-        named = reports[reports["trip_id"].notna()]
+        times = sorted(first)
+        by_trip = {}
+        for ts, before in zip(times, [last, *times[:-1]]):
+            if before is not None:
+                yield self.told("gap", key[0], None, ts, before, None)
+            trip = first[ts][1]
+            if trip is not None:
+                by_trip.setdefault(trip, []).append(ts)
         if last is not None and times[-1] // DAY_S > last // DAY_S:
-            self._forget(times[-1] - TRIP_STATE_TTL_S)
-        ended = [self._trip(trip, part["ts"].astype("int64")) for trip, part in named.groupby("trip_id")]
-        yield self._frame("trip", key[0], [(trip, ts, None, has_gap) for trip, ts, has_gap in ended])
-
-    def _forget(self, before: int) -> None:
-        for key, (ts, _) in list(self.trips.iterator()):
-            if ts < before:
-                self.trips.removeKey(key)
-
-    def _trip(self, trip: str, times: pd.Series) -> tuple:
-        known = self.trips.getValue((trip,)) if self.trips.containsKey((trip,)) else None
-        longest = times.diff().max()
-        has_gap = bool(longest > self.threshold_s) or bool(
-            known and (known[1] or times.iloc[0] - known[0] > self.threshold_s))
-        self.trips.updateValue((trip,), (int(times.iloc[-1]), has_gap))
-        return trip, int(times.iloc[-1]), has_gap
-
-    @staticmethod
-    def _frame(kind: str, vehicle: str, rows: list) -> pd.DataFrame:
-        frame = pd.DataFrame(rows, columns=["trip_id", "ts", "prev_ts", "has_gap"], dtype=object)
-        frame.insert(0, "vehicle_id", vehicle)
-        frame.insert(0, "kind", kind)
-        return frame
+            trips = {trip: known for trip, known in trips.items() if known[0] >= times[-1] - TRIP_STATE_TTL_S}
+        for trip, seen in by_trip.items():
+            trips[trip] = seen[-1], self._has_gap(trips.get(trip), seen)
+            yield self.told("trip", key[0], trip, seen[-1], None, trips[trip][1])
+        self.held.update((times[-1], [(trip, *known) for trip, known in trips.items()]))
+
+    def _has_gap(self, known: tuple | None, times: list) -> bool:
+        steps = list(zip(times, times[1:]))
+        if known is not None:
+            steps.append((known[0], times[0]))
+        return bool(known is not None and known[1]) or any(b - a > self.threshold_s for a, b in steps)
 
     def close(self) -> None:
         pass
@@ -182,7 +180,7 @@ class GapProcessor(StatefulProcessor):
 def gap_events(positions: DataFrame, threshold_s: int = GAP_THRESHOLD_S) -> DataFrame:
     """Gap rows and trip-state rows from keyed state; needs the RocksDB store (``use_rocksdb``)."""
     reports = positions.select("vehicle_id", "trip_id", "ts", "arrival")
-    return reports.groupBy("vehicle_id").transformWithStateInPandas(
+    return reports.groupBy("vehicle_id").transformWithState(
         GapProcessor(threshold_s), outputStructType=GAP_SCHEMA, outputMode="append", timeMode="none")
 
 

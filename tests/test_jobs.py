@@ -105,6 +105,36 @@ def test_stateful_gaps_do_not_depend_on_batches(spark, tmp_path, cuts):
     assert values(stateful.gap_counters(events), *COLUMNS) == values(continuity.gap_hour_counters(log, 0, 2 * NOW), *COLUMNS)
 
 
+class CountedState:
+    """A value state that counts its calls, and the only state there is."""
+
+    def __init__(self):
+        self.value, self.calls = None, 0
+
+    def getValueState(self, name, schema):
+        return self
+
+    def get(self):
+        self.calls += 1
+        return self.value
+
+    def update(self, value):
+        self.calls, self.value = self.calls + 1, value
+
+
+def test_gap_state_takes_two_calls_however_many_trips():
+    state, processor = CountedState(), stateful.GapProcessor(90)
+    processor.init(state)
+    row = lambda trip, ts, arrival: {"trip_id": trip, "ts": ts, "arrival": arrival}
+    told = lambda *rows: [tuple(r) for r in processor.handleInputRows(("V",), iter([row(*r) for r in rows]), None)]
+    assert told(*[(f"T{i}", 10 * i, i) for i in range(50)])[-1] == ("trip", "V", "T49", 490, None, False) and state.calls == 2
+    got = told(("T49", 700, 2), ("other", 700, 3), (None, 600, 1), ("late", 490, 0))
+    assert got == [("gap", "V", None, 600, 490, None), ("gap", "V", None, 700, 600, None), ("trip", "V", "T49", 700, None, True)]
+    assert state.calls == 4 and len(state.value[1]) == 50
+    told(("T1", 10 * 86_400, 1))                      # days later only the trips of the retention are kept
+    assert [t[0] for t in state.value[1]] == ["T1"] and told(("T1", 5, 9)) == []
+
+
 def test_latest_stream_survives_a_restart(spark, data, tmp_path):
     columns = ["vehicle_id", "ts", "route_id", "arrival"]
     schema = "vehicle_id string, ts bigint, route_id string, arrival bigint"
