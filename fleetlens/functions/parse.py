@@ -25,11 +25,15 @@ def to_float(text) -> Column:
     return _number(text, "double")
 
 
+def bound(value: Column, use) -> Column:
+    """``use(value)`` with the value made once. Inside a lambda Spark shares no common expressions, so a value used n
+    times is made n times, and such uses multiply when they are nested."""
+    return F.transform(F.array(value), use)[0]
+
+
 def clean_text(text) -> Column:
     value = F.trim(col(text))
-    for blank in PLACEHOLDERS:
-        value = F.nullif(value, F.lit(blank))
-    return value
+    return F.when(~value.isin(*PLACEHOLDERS), value)
 
 
 def clean_float(text) -> Column:
@@ -65,9 +69,10 @@ def compact_date(text) -> Column:
 
 def service_date(text) -> Column:
     """DDMMYYYY if that reads as a year in 2000-2100, else YYYYMMDD under the same rule."""
-    value = clean_text(text)
-    readings = (_strict_date(value, (5, 4), (3, 2), (1, 2)), _strict_date(value, (1, 4), (5, 2), (7, 2)))
-    return F.coalesce(*(F.when(F.year(d).between(2000, 2100), d) for d in readings))
+    def plausible(value, *places):
+        return bound(_strict_date(value, *places), lambda d: F.when(F.year(d).between(2000, 2100), d))
+    return bound(clean_text(text), lambda value: F.coalesce(
+        plausible(value, (5, 4), (3, 2), (1, 2)), plausible(value, (1, 4), (5, 2), (7, 2))))
 
 
 def with_dispatch_minute(df: DataFrame, trip_id: str = "trip_id", name: str = "minute") -> DataFrame:

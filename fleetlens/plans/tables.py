@@ -36,11 +36,15 @@ def partition_values(spark: SparkSession, root: str, column: str) -> list[str]:
     return sorted(n.split("=", 1)[1] for n in names if n.startswith(f"{column}="))
 
 
-def drop_partition(spark: SparkSession, root: str, column: str, value) -> None:
-    fs, location = _fs(spark, f"{root}/{column}={value}")
+def drop_folder(spark: SparkSession, path: str) -> None:
+    fs, location = _fs(spark, path)
     fs.delete(location, True)
 
 
+def drop_partition(spark: SparkSession, root: str, column: str, value) -> None:
+    drop_folder(spark, f"{root}/{column}={value}")
+
+
 def swap_partition(spark: SparkSession, staged: str, target: str) -> None:
     """Put a written folder in the place of another one.
 

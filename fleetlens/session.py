@@ -3,6 +3,7 @@
 import os
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
 
@@ -45,6 +46,22 @@ def local_session(cores: str = "8", **conf: str) -> SparkSession:
     return configure(spark)
 
 
+_ROWS_A_TASK = 500_000
+
+
+@contextmanager
+def room_for(spark: SparkSession, rows: int):
+    """Inside the block a shuffle of so many rows has at least one partition for every half a million of them, so that what a
+    task sorts doesn't grow with the input. Never fewer than the cluster's own number; adaptive execution may join small ones."""
+    name = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(max(int(before), -(-rows // _ROWS_A_TASK))))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def shared_dir(spark: SparkSession, purpose: str) -> str:
     """A fresh path under ``spark.checkpoint.dir``, the folder every executor can reach.
 

@@ -85,8 +85,9 @@ def message_fields(messages: DataFrame, body: str = "body") -> list[str]:
 
 def json_envelope_split(messages: DataFrame, body: str = "body") -> DataFrame:
     """Adds ok, data (JSON text) and error for the two response shapes of the delay feed."""
-    keys = F.json_object_keys(F.col(body))
-    env = F.from_json(body, ENVELOPE)
+    # Parsed in a step of its own: taken from the text by each use, every field would be a parse of the message.
+    read = messages.withColumn("_env", F.from_json(body, ENVELOPE)).withColumn("_keys", F.json_object_keys(F.col(body)))
+    keys, env = F.col("_keys"), F.col("_env")
     filled = lambda name: F.nullif(env[name], F.lit(""))
     has = lambda name: F.array_contains(keys, name)
     ok = F.coalesce(has("IsSuccess") & env["IsSuccess"], F.lit(False))
@@ -94,8 +95,8 @@ def json_envelope_split(messages: DataFrame, body: str = "body") -> DataFrame:
              .when(has("IsSuccess"), F.coalesce(filled("Exception"), filled("Message"), F.lit("IsSuccess=false")))
              .when((env["status"] == "Error") | has("errorMessage"), F.coalesce(filled("errorMessage"), F.lit("error")))
              .otherwise("unrecognised response shape"))
-    return messages.withColumn("ok", ok).withColumn("data", F.when(F.col("ok"), env["Data"])).withColumn(
-        "error", F.when(~F.col("ok"), error))
+    return read.withColumn("ok", ok).withColumn("data", F.when(F.col("ok"), env["Data"])).withColumn(
+        "error", F.when(~F.col("ok"), error)).drop("_env", "_keys")
 
 
 def _vehicle_entities(messages: DataFrame, offset_s: int, data: str) -> DataFrame:
@@ -153,11 +154,12 @@ def _last_of_equals(items: Column, *keys: str) -> Column:
     return F.transform(F.array(F.sort_array(items)), kept)[0]
 
 
-def trip_update_flatten(messages: DataFrame, data: str = "data"):
-    """(trips, stops) of delay messages (message_id, zone_id, data); of duplicates in a message the last wins.
+def trip_update_settled(messages: DataFrame, data: str = "data") -> DataFrame:
+    """Delay messages with their ``trips`` and ``stops`` as arrays instead of the text; of duplicates in a message the last wins.
 
-    A message is one row, so its duplicates are settled inside it: nothing is shuffled.
+    A message is one row, so its duplicates are settled inside it: nothing is shuffled. Other columns are kept.
     """
+    kept = [c for c in messages.columns if c != data]
     delay = lambda u, side: parse.clean_int(u[side]["delay"]).cast("int")
 
     def cleaned(u, i):
@@ -179,23 +181,39 @@ def trip_update_flatten(messages: DataFrame, data: str = "data"):
             parse.service_date(e["trip_update"]["trip"]["start_date"]).alias("service_date"), trip("trip_id"), i.alias("entity_no"),
             trip("route_id"), trip("start_time"), trip("schedule_relationship"), F.coalesce(updates, F.array()).alias("updates"))
 
-    parsed = messages.select("message_id", "zone_id", F.from_json(data, schemas.TRIP_MESSAGE).alias("m"))
-    named = parsed.select("message_id", "zone_id", F.filter(
-        F.transform("m.entity", entity), lambda e: e["trip_id"].isNotNull() & e["service_date"].isNotNull()).alias("entities"))
-
-    last = named.select("message_id", "zone_id", F.explode(_last_of_equals(F.col("entities"), "service_date", "trip_id")).alias("t"))
-    updates = F.col("t.updates")
-    how_many = lambda test: F.size(F.filter(updates, test))
-    plausible = F.filter(updates, lambda s: s["arrival_delay_s"].isNotNull() & ~s["implausible"])
-    trips = last.select(
-        "message_id", "zone_id", "t.service_date", "t.trip_id", "t.route_id", "t.start_time", F.col("t.schedule_relationship").alias("status"),
-        F.size(updates).alias("stops_total"), how_many(lambda s: s["stop_status"] == "SKIPPED").alias("stops_skipped"),
-        how_many(lambda s: s["arrival_delay_s"].isNotNull()).alias("stops_with_delay"),
-        F.array_max(F.transform(plausible, lambda s: s["arrival_delay_s"])).alias("max_delay_s"))
+    def summary(t):
+        updates = t["updates"]
+        how_many = lambda test: F.size(F.filter(updates, test))
+        plausible = F.filter(updates, lambda s: s["arrival_delay_s"].isNotNull() & ~s["implausible"])
+        return F.struct(
+            *[t[c].alias(c) for c in ("service_date", "trip_id", "route_id", "start_time")], t["schedule_relationship"].alias("status"),
+            F.size(updates).alias("stops_total"), how_many(lambda s: s["stop_status"] == "SKIPPED").alias("stops_skipped"),
+            how_many(lambda s: s["arrival_delay_s"].isNotNull()).alias("stops_with_delay"),
+            F.array_max(F.transform(plausible, lambda s: s["arrival_delay_s"])).alias("max_delay_s"))
 
+    parsed = messages.select(*kept, F.from_json(data, schemas.TRIP_MESSAGE).alias("m"))
+    named = parsed.select(*kept, F.filter(
+        F.transform("m.entity", entity), lambda e: e["trip_id"].isNotNull() & e["service_date"].isNotNull()).alias("entities"))
     at_stop = F.flatten(F.transform("entities", lambda e: F.transform(e["updates"], lambda u: F.struct(
         e["service_date"].alias("service_date"), e["trip_id"].alias("trip_id"), u["stop_sequence"].alias("stop_sequence"),
         e["entity_no"].alias("entity_no"), u.alias("u")))))
-    stops = named.select("message_id", F.explode(_last_of_equals(at_stop, "service_date", "trip_id", "stop_sequence")).alias("s"))
-    return trips, stops.select("message_id", "s.service_date", "s.trip_id", "s.stop_sequence", *[
-        f"s.u.{c}" for c in ("stop_id", "arrival_delay_s", "departure_delay_s", "stop_status", "implausible")])
+    trips = F.transform(_last_of_equals(F.col("entities"), "service_date", "trip_id"), summary)
+    stops = F.transform(_last_of_equals(at_stop, *_STOP_KEY), lambda s: F.struct(
+        *[s[c].alias(c) for c in _STOP_KEY], *[s["u"][c].alias(c) for c in _STOP_VALUES]))
+    return named.select(*kept, F.coalesce(trips, F.array()).alias("trips"), F.coalesce(stops, F.array()).alias("stops"))
+
+
+_STOP_KEY = ("service_date", "trip_id", "stop_sequence")
+_STOP_VALUES = ("stop_id", "arrival_delay_s", "departure_delay_s", "stop_status", "implausible")
+
+
+def settled_rows(settled: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(trips, stops) of settled messages, one row each. The outer form, for the reason given at ``_entities``."""
+    trips = settled.select("message_id", "zone_id", F.explode_outer("trips").alias("t")).filter(F.col("t").isNotNull())
+    stops = settled.select("message_id", F.explode_outer("stops").alias("s")).filter(F.col("s").isNotNull())
+    return trips.select("message_id", "zone_id", "t.*"), stops.select("message_id", "s.*")
+
+
+def trip_update_flatten(messages: DataFrame, data: str = "data") -> tuple[DataFrame, DataFrame]:
+    """(trips, stops) of delay messages (message_id, zone_id, data); of duplicates in a message the last wins."""
+    return settled_rows(trip_update_settled(messages.select("message_id", "zone_id", data), data))

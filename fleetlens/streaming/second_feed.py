@@ -11,6 +11,7 @@ from ..functions import clock
 from ..operators import merge
 from ..operators.keyed import first_per_key
 from ..plans import tables
+from ..session import room_for
 from ..sources import feeds
 from ..sources.scans import time_window
 
@@ -104,16 +105,19 @@ def vehicle_batch(store: SecondFeedTables, offset_s: int = DELAY_FEED_CLOCK_OFFS
     return write
 
 
-def _merge_days(store: SecondFeedTables, name: str, schema, incoming: DataFrame, change) -> None:
-    """Replace the service days that ``incoming`` touches. Written aside first: a plan must not overwrite
-    the files it reads; every day is then swapped in by itself."""
-    days = [row[0] for row in incoming.select("service_date").distinct().collect()]  # a few days per round
+def _merge_days(store: SecondFeedTables, name: str, schema, rows: DataFrame, keys, change) -> None:
+    """Replace the service days that ``rows`` touch, by the row of the last message for every key. Written aside first: a
+    plan must not overwrite the files it reads; every day is then swapped in by itself."""
+    named = rows.groupBy("service_date").count().collect()  # a few days per round
+    days = [row["service_date"] for row in named]
+    incoming = first_per_key(rows, keys, F.desc("message_id")).drop("message_id")
     tables.recover(store.spark, store.path(name))
     stored = tables.read_table(store.spark, store.path(name), schema).filter(F.col("service_date").isin(days)) if days else None
     if stored is None:
         return
     aside = f"{store.root}/.new.{name}"
-    change(stored, incoming).hint("rebalance", "service_date").write.mode("overwrite").partitionBy("service_date").parquet(aside)
+    with room_for(store.spark, stored.count() + sum(row["count"] for row in named)):
+        change(stored, incoming).hint("rebalance", "service_date").write.mode("overwrite").partitionBy("service_date").parquet(aside)
     for day in days:
         tables.swap_partition(store.spark, f"{aside}/service_date={day}", f"{store.path(name)}/service_date={day}")
 
@@ -125,24 +129,21 @@ def delay_round(store: SecondFeedTables):
         now = messages.agg(F.max("ingested_at")).first()[0]
         if now is None:
             return
-        calls = feeds.json_envelope_split(messages).persist()
-        trips, stops = feeds.trip_update_flatten(calls.filter("ok").select("message_id", "zone_id", "data"))
-        trips, stops = trips.persist(), stops.persist()
-        try:
-            at = F.timestamp_seconds(F.lit(now))
-            newest = lambda df, keys: first_per_key(df, keys, F.desc("message_id")).drop("message_id")
-            status = newest(trips, merge.STATUS_KEY).withColumn("zone_id", F.col("zone_id").cast("smallint"))
-            _merge_days(store, "trip_status", schemas.TRIP_STATUS, status,
-                        lambda old, new: merge.trip_status_merge(old, new, at, batch_id))
-            _merge_days(store, "stop_delay", schemas.STOP_DELAY, newest(stops, merge.DELAY_KEY),
-                        lambda old, new: merge.stop_delay_merge(old, new, at))
-            count = lambda df, name: df.groupBy("message_id").agg(F.count("*").alias(name))
-            told = calls.select("message_id", "zone_id", "ok", "error").join(count(trips, "trips"), "message_id", "left").join(
-                count(stops, "stops"), "message_id", "left").fillna(0, ["trips", "stops"])
-            told.write.mode("overwrite").parquet(f"{store.path('rounds')}/batch={batch_id}")
-        finally:
-            for df in (trips, stops, calls):
-                df.unpersist()
+        # Parsed once and set aside, nothing is cached.
+        aside = f"{store.root}/.round"
+        settled = feeds.trip_update_settled(feeds.json_envelope_split(messages).select("message_id", "zone_id", "ok", "error", "data"))
+        settled.write.mode("overwrite").parquet(aside)
+        calls = store.spark.read.schema(settled.schema).parquet(aside)
+        trips, stops = feeds.settled_rows(calls)
+        at = F.timestamp_seconds(F.lit(now))
+        status = trips.withColumn("zone_id", F.col("zone_id").cast("smallint"))
+        _merge_days(store, "trip_status", schemas.TRIP_STATUS, status, merge.STATUS_KEY,
+                    lambda old, new: merge.trip_status_merge(old, new, at, batch_id))
+        _merge_days(store, "stop_delay", schemas.STOP_DELAY, stops, merge.DELAY_KEY,
+                    lambda old, new: merge.stop_delay_merge(old, new, at))
+        told = calls.select("message_id", "zone_id", "ok", "error", *[F.size(c).cast("bigint").alias(c) for c in ("trips", "stops")])
+        told.write.mode("overwrite").parquet(f"{store.path('rounds')}/batch={batch_id}")
+        tables.drop_folder(store.spark, aside)
     return write
 
 

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from fleetlens.constants import DELAY_FEED_CLOCK_OFFSET_S
 from fleetlens.operators import merge
 from fleetlens.plans import tables
+from fleetlens.session import room_for
+from fleetlens.sources import feeds
 from fleetlens.streaming import second_feed
 
 MESSAGES = "message_id bigint, ingested_at bigint, body string"
@@ -59,3 +61,36 @@ def test_retention_drops_by_time_and_keeps_first_seen(spark, tmp_path):
         assert values(seconds(store.vehicles), "vehicle_id", "first", "last") == [("A", NOW - 9000, NOW), ("D", NOW, NOW)]
     assert len(tables.partition_values(spark, store.path("latest"), "batch")) <= 2
     second_feed.apply_retention(second_feed.SecondFeedTables(spark, str(tmp_path / "none")), NOW)
+
+
+def delays(trip, *stops):
+    update = [{"stop_sequence": str(n), "arrival": {"delay": str(late)}, "stop_id": f"S{n}"} for n, late in stops]
+    trips = [{"trip_update": {"trip": {"trip_id": trip, "start_date": "05012024"}, "stop_time_update": u}} for u in (update[:1], update)]
+    return json.dumps({"IsSuccess": True, "Data": {"entity": trips}})
+
+
+def test_delay_round_parses_a_message_once_and_is_replayed(spark, tmp_path):
+    store = second_feed.SecondFeedTables(spark, str(tmp_path))
+    write = second_feed.delay_round(store)
+    batch = lambda at, *bodies: spark.createDataFrame([(i, 3, at, b) for i, b in enumerate(bodies)], "message_id bigint, zone_id int, ingested_at bigint, body string")
+    parses = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count("from_json(")
+    one = batch(NOW, delays("T1", (1, 30), (2, 60)), delays("T2", (1, 0)), "no json")
+    assert parses(feeds.json_envelope_split(one)) == 1
+    two = batch(NOW + 900, delays("T1", (1, 30), (2, 90)), delays("T1", (3, 5)))
+    for i, rows in enumerate((one, two, two)):
+        write(rows, min(i, 1))
+        assert not tables.exists(spark, str(tmp_path / ".round"))
+    assert values(store.stop_delay, "trip_id", "stop_sequence", "arrival_delay_s", "changes") == [
+        ("T1", 1, 30, 0), ("T1", 2, 90, 1), ("T1", 3, 5, 0), ("T2", 1, 0, 0)]
+    assert values(store.trip_status, "trip_id", "stops_total") == [("T1", 1), ("T2", 1)]
+    assert values(store.rounds.filter("batch = 0"), "message_id", "ok", "trips", "stops") == [(0, True, 1, 2), (1, True, 1, 1), (2, False, 0, 0)]
+
+
+def test_a_shuffle_has_room_for_its_rows(spark):
+    name = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(name)
+    with room_for(spark, 25_000_001):
+        assert int(spark.conf.get(name)) == 51
+    with room_for(spark, 10):
+        assert spark.conf.get(name) == before
+    assert spark.conf.get(name) == before
