@@ -119,25 +119,35 @@ def _vehicle_entities(messages: DataFrame, offset_s: int, data: str) -> DataFram
         "bearing", F.when(F.col("bearing") != 0, F.col("bearing"))).drop("stamp")
 
 
-def vehicle_json_flatten(messages: DataFrame, now: int, offset_s: int = DELAY_FEED_CLOCK_OFFSET_S,
-                         retention_s: int = DELAY_FEED_RETENTION_S, data: str = "data"):
-    """(rows, audit) of vehicle messages (message_id, data).
-
-    Rows need id, time and both coordinates; rows older than the retention are only counted; per
-    message the newest row of a vehicle stays, the first of equals. Audit: entities and stale rows.
-    """
+def vehicle_entities(messages: DataFrame, now: int, offset_s: int = DELAY_FEED_CLOCK_OFFSET_S,
+                     retention_s: int = DELAY_FEED_RETENTION_S, data: str = "data") -> DataFrame:
+    """The cleaned entities of vehicle messages (message_id, data), with ``usable`` and ``stale``."""
     entities = _vehicle_entities(messages, offset_s, data)
     complete = (F.col("vehicle_id").isNotNull() & F.col("ts").isNotNull()
                 & F.col("lat").isNotNull() & F.col("lon").isNotNull())
     fresh = F.col("ts") >= now - retention_s
+    return entities.withColumn("usable", F.coalesce(complete & fresh, F.lit(False))).withColumn(
+        "stale", F.coalesce(complete & ~fresh, F.lit(False)))
+
+
+def vehicle_rows(entities: DataFrame) -> DataFrame:
+    """Per message the newest usable entity of a vehicle, the first of equals."""
     # Usable rows rank first and the rest is cut afterwards. A filter in front would be pushed down
     # to the raw message and evaluate all of the cleaning twice.
-    usable = entities.withColumn("usable", F.coalesce(complete & fresh, F.lit(False)))
-    rows = first_per_key(usable, ["message_id", "vehicle_id"], F.desc("usable"), F.desc("ts"), "entity_no").filter(
+    return first_per_key(entities.drop("stale"), ["message_id", "vehicle_id"], F.desc("usable"), F.desc("ts"), "entity_no").filter(
         "usable").drop("entity_no", "usable")
-    audit = entities.groupBy("message_id").agg(F.count("*").alias("entities"),
-                                               count_if(complete & ~fresh).alias("stale"))
-    return rows, audit
+
+
+def vehicle_json_flatten(messages: DataFrame, now: int, offset_s: int = DELAY_FEED_CLOCK_OFFSET_S,
+                         retention_s: int = DELAY_FEED_RETENTION_S, data: str = "data"):
+    """(rows, audit) of vehicle messages (message_id, data).
+
+    Rows need id, time and both coordinates; rows older than the retention are only counted; per
+    message the newest row of a vehicle stays, the first of equals. Audit: entities and stale rows.
+    """
+    entities = vehicle_entities(messages, now, offset_s, retention_s, data)
+    audit = entities.groupBy("message_id").agg(F.count("*").alias("entities"), count_if(F.col("stale")).alias("stale"))
+    return vehicle_rows(entities), audit
 
 
 def _last_of_equals(items: Column, *keys: str) -> Column:

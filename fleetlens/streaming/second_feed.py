@@ -65,6 +65,16 @@ class SecondFeedTables:
         return self._read("stop_delay", schemas.STOP_DELAY)
 
 
+def _counted(entities: DataFrame, rows: DataFrame, fresh: DataFrame) -> DataFrame:
+    """Per message: entities, stale ones, rows and new rows, all counted by one grouping."""
+    def ones(df, message, **counts):
+        return df.select(F.col(message).alias("message_id"), *[
+            counts.get(c, F.lit(0)).cast("bigint").alias(c) for c in ("entities", "stale", "rows", "new_rows")])
+    each = ones(entities, "message_id", entities=F.lit(1), stale=F.col("stale")).unionByName(
+        ones(rows, "arrival", rows=F.lit(1))).unionByName(ones(fresh, "arrival", new_rows=F.lit(1)))
+    return each.groupBy("message_id").agg(*[F.sum(c).alias(c) for c in each.columns[1:]])
+
+
 def vehicle_batch(store: SecondFeedTables, offset_s: int = DELAY_FEED_CLOCK_OFFSET_S,
                   retention_s: int = DELAY_FEED_RETENTION_S, compact_every: int = 64):
     """Writer for a micro-batch of vehicle polls (message_id, ingested_at, body): log, latest rows, vehicle
@@ -73,9 +83,10 @@ def vehicle_batch(store: SecondFeedTables, offset_s: int = DELAY_FEED_CLOCK_OFFS
         spark, now = store.spark, messages.agg(F.max("ingested_at")).first()[0]
         if now is None:
             return
-        polls = feeds.json_envelope_split(messages).persist()
-        flat, audit = feeds.vehicle_json_flatten(polls.filter("ok").select("message_id", "data"), now, offset_s, retention_s)
-        rows = flat.withColumnRenamed("message_id", "arrival").persist()
+        polls = feeds.json_envelope_split(messages).drop("body").persist()
+        # Rows and audit come from the same cleaned entities: a message is parsed once.
+        entities = feeds.vehicle_entities(polls.filter("ok").select("message_id", "data"), now, offset_s, retention_s).persist()
+        rows = feeds.vehicle_rows(entities).withColumnRenamed("message_id", "arrival").persist()
         try:
             span = rows.agg(F.min("ts").alias("low"), F.max("ts").alias("high")).first()
             fresh = rows.filter("false").select("arrival")
@@ -87,17 +98,15 @@ def vehicle_batch(store: SecondFeedTables, offset_s: int = DELAY_FEED_CLOCK_OFFS
             # Only the vehicles of this batch are written; readers fold the batches.
             seen = merge.seen_rows(rows, F.timestamp_seconds(F.lit(now)))
             seen.write.mode("overwrite").parquet(f"{store.path('vehicles')}/batch={batch_id}")
-            count = lambda df, name: df.groupBy(F.col("arrival").alias("message_id")).agg(F.count("*").alias(name))
             told = polls.select("message_id", F.col("ingested_at").alias("polled_at"), "ok", "error").join(
-                audit, "message_id", "left").join(count(rows, "_rows"), "message_id", "left").join(
-                count(fresh, "_new"), "message_id", "left")
-            new = F.coalesce("_new", F.lit(0))
-            told.select("message_id", "polled_at", "ok", "error", "entities", F.coalesce("stale", F.lit(0)).alias("stale"),
-                        new.alias("new_rows"), (F.coalesce("_rows", F.lit(0)) - new).alias("duplicates")).write.mode(
+                _counted(entities, rows, fresh), "message_id", "left")
+            zero = lambda name: F.coalesce(name, F.lit(0))
+            told.select("message_id", "polled_at", "ok", "error", "entities", zero("stale").alias("stale"), zero("new_rows").alias("new_rows"),
+                        (zero("rows") - zero("new_rows")).alias("duplicates")).write.mode(
                 "overwrite").parquet(f"{store.path('polls')}/batch={batch_id}")
         finally:
-            rows.unpersist()
-            polls.unpersist()
+            for df in (rows, entities, polls):
+                df.unpersist()
         if batch_id % compact_every == compact_every - 1:
             tables.compact_updates(spark, store.path("latest"), VEHICLE_LATEST, merge.latest_projection)
             tables.compact_updates(spark, store.path("vehicles"), VEHICLES, merge.seen_fold)

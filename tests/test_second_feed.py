@@ -94,3 +94,27 @@ def test_a_shuffle_has_room_for_its_rows(spark):
     with room_for(spark, 10):
         assert spark.conf.get(name) == before
     assert spark.conf.get(name) == before
+
+
+def steps(node):
+    """The text of every step of a plan; what is cached is a step without children."""
+    yield node.simpleString(10_000)
+    for i in range(node.children().size()):
+        yield from steps(node.children().apply(i))
+
+
+def test_rows_and_audit_of_a_batch_come_from_one_parse(spark, tmp_path, monkeypatch):
+    """What a batch counts is read from cached entities; no plan behind the poll rows parses a message again."""
+    store, plans = second_feed.SecondFeedTables(spark, str(tmp_path)), []
+    counted = second_feed._counted
+
+    def seen(entities, rows, fresh):
+        plans.append(list(steps(counted(entities, rows, fresh)._jdf.queryExecution().withCachedData())))
+        return counted(entities, rows, fresh)
+    monkeypatch.setattr(second_feed, "_counted", seen)
+    write = second_feed.vehicle_batch(store, retention_s=7200)
+    write(messages(spark, (0, NOW, poll(("A", "a", 50), ("A", "a", 40), ("B", "b", 9000))), (1, NOW, poll(("A", "a", 40)))), 0)
+    write(messages(spark, (2, NOW, poll()), (3, NOW, "no json"), (4, NOW, poll(("A", "a", 40), ("C", "c", 1)))), 1)
+    got = [(r["message_id"], r["entities"], r["stale"], r["new_rows"], r["duplicates"]) for r in store.polls.orderBy("message_id").collect()]
+    assert got == [(0, 3, 1, 1, 0), (1, 1, 0, 0, 1), (2, None, 0, 0, 0), (3, None, 0, 0, 0), (4, 2, 0, 1, 1)]
+    assert len(plans) == 2 and not any("from_json" in step for plan in plans for step in plan)
