@@ -208,8 +208,7 @@ def trip_update_settled(messages: DataFrame, data: str = "data") -> DataFrame:
         e["service_date"].alias("service_date"), e["trip_id"].alias("trip_id"), u["stop_sequence"].alias("stop_sequence"),
         e["entity_no"].alias("entity_no"), u.alias("u")))))
     trips = F.transform(_last_of_equals(F.col("entities"), "service_date", "trip_id"), summary)
-    stops = F.transform(_last_of_equals(at_stop, *_STOP_KEY), lambda s: F.struct(
-        *[s[c].alias(c) for c in _STOP_KEY], *[s["u"][c].alias(c) for c in _STOP_VALUES]))
+    stops = _last_of_equals(at_stop, *_STOP_KEY)
     return named.select(*kept, F.coalesce(trips, F.array()).alias("trips"), F.coalesce(stops, F.array()).alias("stops"))
 
 
@@ -221,7 +220,8 @@ def settled_rows(settled: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(trips, stops) of settled messages, one row each. The outer form, for the reason given at ``_entities``."""
     trips = settled.select("message_id", "zone_id", F.explode_outer("trips").alias("t")).filter(F.col("t").isNotNull())
     stops = settled.select("message_id", F.explode_outer("stops").alias("s")).filter(F.col("s").isNotNull())
-    return trips.select("message_id", "zone_id", "t.*"), stops.select("message_id", "s.*")
+    return trips.select("message_id", "zone_id", "t.*"), stops.select(
+        "message_id", *[f"s.{c}" for c in _STOP_KEY], *[f"s.u.{c}" for c in _STOP_VALUES])
 
 
 def trip_update_flatten(messages: DataFrame, data: str = "data") -> tuple[DataFrame, DataFrame]:

@@ -147,3 +147,9 @@ def test_window_prunes_days(spark, data, tmp_path):
 def test_agency_records_are_cut_at_number_name_and_address(spark, text, records):
     frame = spark.createDataFrame([(text,)], "t string")
     assert frame.select(csv_lines.regex_split_records(F.col("t"))).first()[0] == records
+
+
+def test_values_of_an_update_are_made_once(spark):
+    """Uses of a value inside a lambda multiply: the plan of the stops held 123 trims before values were bound."""
+    _, stops = feeds.trip_update_flatten(messages(spark, [{"entity": []}], zone_id=3))
+    assert stops._jdf.queryExecution().optimizedPlan().toString().count("trim(") < 60
