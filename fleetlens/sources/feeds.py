@@ -28,6 +28,15 @@ def _entities(array: str):
     return F.posexplode_outer(array).alias("entity_no", "e")
 
 
+def position_entities(messages: DataFrame, body: str = "body") -> DataFrame:
+    """(entity_no, e) of every entity that carries a vehicle, and always of the first one, which also stands for a message
+    without entities; ``header_time`` is the header's own timestamp. Other columns of the message frame are kept."""
+    kept = [c for c in messages.columns if c != body]
+    parsed = messages.withColumn("m", F.from_json(body, schemas.POSITION_MESSAGE))
+    return parsed.select(*kept, F.nullif("m.header.timestamp", F.lit(0)).alias("header_time"), _entities("m.entity")).filter(
+        F.col("e.vehicle").isNotNull() | (F.coalesce("entity_no", F.lit(0)) == 0))
+
+
 def position_feed_flatten(messages: DataFrame, now: int | Column, body: str = "body") -> DataFrame:
     """One row per entity that carries a vehicle.
 
@@ -35,28 +44,26 @@ def position_feed_flatten(messages: DataFrame, now: int | Column, body: str = "b
     back to the header's, then to ``now`` (a number, or a column of the messages). Other columns of
     the message frame are kept.
     """
+    return position_rows(position_entities(messages, body).filter(F.col("e.vehicle").isNotNull()), now).filter(
+        F.col("vehicle_id") != "").drop("header_time")
+
+
+def position_rows(entities: DataFrame, now: int | Column) -> DataFrame:
+    """The values of ``position_entities``, one row each; ``vehicle_id`` is NULL or empty where no vehicle can be named."""
     now = now if isinstance(now, Column) else F.lit(now)
-    kept = [c for c in messages.columns if c != body]
-    parsed = messages.withColumn("m", F.from_json(body, schemas.POSITION_MESSAGE))
-    entities = parsed.select(*kept, F.col("m.header.timestamp").alias("_header"),
-                             _entities("m.entity")).filter(F.col("e.vehicle").isNotNull())
-    vehicle_id = F.trim(F.coalesce(_text("e.vehicle.vehicle.id"), _text("e.vehicle.vehicle.label"), _text("e.id")))
-    ts = F.coalesce(F.nullif("e.vehicle.timestamp", F.lit(0)), F.nullif("_header", F.lit(0)), now)
+    kept = [c for c in entities.columns if c not in ("entity_no", "e")]
+    named = F.trim(F.coalesce(_text("e.vehicle.vehicle.id"), _text("e.vehicle.vehicle.label"), _text("e.id")))
+    ts = F.coalesce(F.nullif("e.vehicle.timestamp", F.lit(0)), F.col("header_time"), now)
     position = lambda name: F.col(f"e.vehicle.position.{name}")
     return entities.select(
-        *kept, "entity_no", vehicle_id.alias("vehicle_id"), ts.alias("ts"),
+        *kept, "entity_no", F.when(F.col("e.vehicle").isNotNull(), named).alias("vehicle_id"), ts.alias("ts"),
         _text("e.vehicle.trip.trip_id").alias("trip_id"), _text("e.vehicle.trip.route_id").alias("route_id"),
         position("latitude").alias("lat"), position("longitude").alias("lon"),
         position("bearing").alias("bearing"), position("speed").alias("speed"),
         _text("e.vehicle.stop_id").alias("stop_id"), F.col("e.vehicle.current_status").alias("current_status"),
         F.col("e.vehicle.congestion_level").alias("congestion_level"),
         F.col("e.vehicle.occupancy_status").alias("occupancy_status"),
-    ).filter(F.col("vehicle_id") != "")
-
-
-def feed_time(body: str = "body") -> Column:
-    """The header's own timestamp of a position message; NULL if there is none or it is 0."""
-    return F.nullif(F.from_json(body, "header struct<timestamp:bigint>")["header"]["timestamp"], F.lit(0))
+    )
 
 
 def _leaves(kind: T.DataType, path: str = "") -> Iterator[str]:

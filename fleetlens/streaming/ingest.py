@@ -10,7 +10,7 @@ from ..constants import HOUR_S
 from ..operators import merge
 from ..plans import tables
 from ..plans.fold import LOG_SCHEMA
-from ..sources.feeds import feed_time, message_fields, position_feed_flatten
+from ..sources.feeds import message_fields, position_entities, position_rows
 from ..sources.scans import time_window
 
 DEAD_SCHEMA = schemas.T.StructType(schemas.DEADLETTERS.fields + schemas.struct_of("arrival:l batch:l").fields)
@@ -68,8 +68,9 @@ _BATCH_SHIFT = MESSAGE_BITS + ENTITY_BITS
 def number_messages(messages: DataFrame, batch_id: int) -> DataFrame:
     """Adds ``message_key``: the batch and the message's place in it, by the time it came and its id.
 
-    Only the keys of one micro-batch's messages are ordered, never their bodies. A message that came
-    twice keeps one number. Messages without an id are told apart by a hash of their text.
+    Only the keys of one micro-batch's messages are ordered, never their bodies, which aren't shuffled either: the
+    numbers, bounded by MESSAGE_BITS, are broadcast to them. A message that came twice keeps one number. Messages
+    without an id are told apart by a hash of their text.
     """
     mark = F.col("message_id") if "message_id" in messages.columns else F.xxhash64("body")
     marked = messages.withColumn("_mark", mark)
@@ -78,16 +79,30 @@ def number_messages(messages: DataFrame, batch_id: int) -> DataFrame:
     fits = F.when(place < 1 << MESSAGE_BITS, place).otherwise(F.raise_error(F.lit("too many messages in one batch")))
     numbered = keys.withColumn("message_key", F.lit(batch_id * (1 << MESSAGE_BITS)) + fits)
     same = F.col("_at").eqNullSafe(F.col("ingested_at")) & F.col("_same").eqNullSafe(F.col("_mark"))
-    return marked.join(numbered, same).select(*messages.columns, "message_key")
+    return marked.join(F.broadcast(numbered), same).select(*messages.columns, "message_key")
 
 
-def observation_rows(numbered: DataFrame) -> DataFrame:
-    """Numbered messages (body, ingested_at, message_key) to log rows with their arrival."""
-    flat = position_feed_flatten(numbered, F.col("ingested_at"))
+def parsed_rows(numbered: DataFrame) -> DataFrame:
+    """Numbered messages (body, ingested_at, message_key) parsed once: the rows of their entities with their arrival, message
+    and ``header_time``, and for every message its first entity, even if that is no row (``vehicle_id`` is then NULL or empty)."""
+    flat = position_rows(position_entities(numbered), F.col("ingested_at"))
     entity = F.when(F.col("entity_no") < 1 << ENTITY_BITS, F.col("entity_no")).otherwise(
         F.raise_error(F.lit("too many entities in one message")))
-    arrival = F.col("message_key") * (1 << ENTITY_BITS) + entity
-    return flat.select(*schemas.POSITION_COLUMNS[:-1], "ingested_at", arrival.cast("bigint").alias("arrival"))
+    arrival = F.col("message_key") * (1 << ENTITY_BITS) + F.when(F.col("entity_no").isNotNull(), entity)
+    return flat.select(*schemas.POSITION_COLUMNS[:-1], "ingested_at", arrival.cast("bigint").alias("arrival"),
+                       "message_key", "entity_no", "header_time")
+
+
+def observation_rows(parsed: DataFrame) -> DataFrame:
+    """The log rows among ``parsed_rows``."""
+    return parsed.filter(F.col("vehicle_id") != "").select(*schemas.POSITION_COLUMNS[:-1], "ingested_at", "arrival")
+
+
+def message_headers(parsed: DataFrame) -> DataFrame:
+    """(message_key, polled_at, feed_timestamp) of every message among ``parsed_rows``, once."""
+    first = parsed.filter(F.coalesce("entity_no", F.lit(0)) == 0)
+    return first.select("message_key", F.col("ingested_at").alias("polled_at"), F.col("header_time").alias("feed_timestamp")).dropDuplicates(
+        ["message_key"])
 
 
 def message_of(arrival: str = "arrival"):
@@ -120,12 +135,13 @@ def ingest_batch(store: IngestTables, routes: DataFrame, late_after_s: int = HOU
     """
     def write(messages: DataFrame, batch_id: int) -> None:
         numbered = number_messages(messages, batch_id).persist()
-        rows = None
+        parsed = None
         try:
             now = numbered.agg(F.max("ingested_at")).first()[0]
             if now is None:
                 return
-            rows = observation_rows(numbered).persist()
+            parsed = parsed_rows(numbered).persist()
+            rows = observation_rows(parsed)
             kept, dead = merge.quarantine_split(rows, routes, now)
             span = kept.agg(F.min("ts").alias("low"), F.max("ts").alias("high")).first()
             if span["low"] is not None:
@@ -137,9 +153,7 @@ def ingest_batch(store: IngestTables, routes: DataFrame, late_after_s: int = HOU
                 merge.latest_projection(kept).write.mode("overwrite").parquet(place)
             dead.write.mode("overwrite").parquet(f"{store.path('dead')}/batch={batch_id}")
             fresh = time_window(store.log, span["low"] or 0, span["high"]).filter(F.col("batch") == batch_id)
-            stamped = numbered.withColumn("feed_timestamp", feed_time()).withColumnRenamed("ingested_at", "polled_at")
-            audit = merge.message_audit(stamped.drop("body").dropDuplicates(["message_key"]), rows.select(message_of()),
-                                        fresh.select(message_of()), "message_key")
+            audit = merge.message_audit(message_headers(parsed), rows.select(message_of()), fresh.select(message_of()), "message_key")
             audit.write.mode("overwrite").parquet(f"{store.path('polls')}/batch={batch_id}")
             before = store.late.filter(F.col("batch") < batch_id).agg(F.max("newest")).first()[0]
             late_counts(rows, before, late_after_s).filter("newest IS NOT NULL").write.mode("overwrite").parquet(
@@ -147,8 +161,8 @@ def ingest_batch(store: IngestTables, routes: DataFrame, late_after_s: int = HOU
             watch_fields(numbered, store, now, batch_id)
         finally:
             numbered.unpersist()
-            if rows is not None:
-                rows.unpersist()
+            if parsed is not None:
+                parsed.unpersist()
         if batch_id % compact_every == compact_every - 1:
             store.compact()
     return write
