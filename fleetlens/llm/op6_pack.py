@@ -7,6 +7,7 @@ window with the neighbours and meet by its number.
 """
 
 import os
+import re
 from collections.abc import Iterator
 from functools import cache
 from itertools import islice
@@ -25,6 +26,8 @@ VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 SEPARATOR = 1
 LENGTH = 2048
 _CACHED_CHARS, _CACHED_WORDS = 32, 400_000
+_MARKS = ".,;:!?"
+_PLAIN = re.compile("[A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF]+[.,;:!?]*")  # normal forms and lower case keep these runs
 _AT_ONCE = 4 << 20  # bytes of text that are encoded together
 
 
@@ -32,8 +35,9 @@ class WordIds(dict):
     """Ids of blank-separated words as little-endian unsigned 32-bit bytes; the first short words are kept.
 
     For vocabularies that drop white space and never let a token reach across it, as VOCABULARY's does: the ids of
-    a text are those of its words, one after the other. Unknown words of many texts are encoded together, with a special
-    token between them, whose id shows where each one ends.
+    a text are those of its words, one after the other. Unknown words of many texts are encoded together. Where each one
+    ends is shown by the vocabulary's own ending tokens if a word is Latin letters, perhaps with sentence marks behind them,
+    for which the number of endings is known; between all others stands a special token, which costs the tokenizer more time.
     """
 
     def __init__(self, path: str):
@@ -44,17 +48,44 @@ class WordIds(dict):
         special = {str(t): i for i, t in self._tokenizer.get_added_tokens_decoder().items() if t.special and not t.normalized}
         self._special = list(special)
         self._cut = next(iter(special.items()), None)
+        self._ends = self._ending()
+
+    def _ending(self) -> np.ndarray | None:
+        """Which ids end a run of letters or of sentence marks; None if the vocabulary doesn't tell for every such character."""
+        suffix = getattr(self._tokenizer.model, "end_of_word_suffix", None)
+        if not suffix:
+            return None
+        ids = [i for t, i in self._tokenizer.get_vocab().items() if t.endswith(suffix)]
+        ends = np.zeros(self._tokenizer.get_vocab_size() + 1, bool)
+        ends[ids] = True
+        letters = [c for c in map(chr, range(256)) if _PLAIN.fullmatch(c)]
+        alone = [np.frombuffer(self._alone(w), "<u4") for w in [*letters, *_MARKS]]
+        return ends if all(len(a) and a.max() < len(ends) and ends[a].sum() == 1 and ends[a[-1]] for a in alone) else None
 
     def _alone(self, word: str) -> bytes:
         return np.array(self._tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
 
+    def _told(self, words: list[str]) -> dict[str, bytes]:
+        """The ids of plain words, cut at their endings; nothing if there are not as many as there should be."""
+        ids = np.array(self._tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u4")
+        ends = np.flatnonzero(self._ends[ids]) + 1
+        runs = np.cumsum([1 + (w[-1] in _MARKS) for w in words])
+        if len(ends) != runs[-1] or ends[-1] != len(ids):
+            return {}
+        data, cuts = ids.tobytes(), (4 * ends[runs - 1]).tolist()
+        return dict(zip(words, (data[a:b] for a, b in zip([0] + cuts, cuts))))
+
     def _encoded(self, words: list[str]) -> dict[str, bytes]:
+        plain = [w for w in words if _PLAIN.fullmatch(w)] if self._ends is not None else []
+        found = self._told(plain) if plain else {}
+        words = [w for w in words if w not in found] if found else words
         text = " ".join(words)
         if not self._cut or any(t in text for t in self._special):
-            found = {w: self._alone(w) for w in words if not self._cut or any(t in w for t in self._special)}
-            rest = [w for w in words if w not in found]
+            alone = {w: self._alone(w) for w in words if not self._cut or any(t in w for t in self._special)}
+            rest = [w for w in words if w not in alone]
+            found.update(alone)
         else:
-            found, rest = {}, words
+            rest = words
         if rest:
             ids = self._tokenizer.encode_batch_fast([self._cut[0].join(rest)], add_special_tokens=False)[0].ids
             ids = np.array(ids, "<u4")
@@ -67,9 +98,10 @@ class WordIds(dict):
         lists = pc.ascii_split_whitespace(texts)
         coded = lists.flatten().dictionary_encode()
         distinct, word = coded.dictionary.to_pylist(), coded.indices.to_numpy()
-        missing = [w for w in distinct if w not in self]
+        held = list(map(self.get, distinct))
+        missing = [w for w, ids in zip(distinct, held) if ids is None]
         new = self._encoded(missing) if missing else {}
-        parts = [new[w] if w in new else self[w] for w in distinct]
+        parts = [new[w] if ids is None else ids for w, ids in zip(distinct, held)] if missing else held
         kept = (w for w in missing if len(w) <= _CACHED_CHARS)
         self.update((w, new[w]) for w in islice(kept, max(0, _CACHED_WORDS - len(self))))
         known, size = np.frombuffer(b"".join(parts), "<u4"), np.array([len(p) // 4 for p in parts], np.int64)
