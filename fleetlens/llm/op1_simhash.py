@@ -90,6 +90,22 @@ def _sketch(distinct: np.ndarray) -> list[int]:
     return np.packbits(bits, bitorder="little").view("<i8").tolist()
 
 
+def _wide(distinct: np.ndarray) -> bytes:
+    """A map like ``_sketch`` whose bits grow with the set, two to four for each shingle, as a power of two."""
+    bits = np.zeros(1 << max(6, (2 * len(distinct) - 1).bit_length()), np.uint8)
+    bits[(distinct & np.uint64(len(bits) - 1)).astype(np.int64)] = 1
+    return np.packbits(bits, bitorder="little").tobytes()
+
+
+def _may_reach(x: bytes, xn: int, y: bytes, yn: int, least: float) -> bool:
+    """Whether the wide maps of two sets allow for a similarity of ``least``; the larger map is folded to the smaller's bits."""
+    one, other = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
+    size = min(len(one), len(other))
+    one, other = (np.bitwise_or.reduce(m.reshape(-1, size), axis=0).view("<u8") for m in (one, other))
+    shared = min(xn - int(np.bitwise_count(one & ~other).sum()), yn - int(np.bitwise_count(other & ~one).sum()))
+    return shared * (1 + least) >= least * (xn + yn) - 1e-6
+
+
 def common_shingles(docs: DataFrame, text: str, shingle: int) -> np.ndarray:
     """Hashes of shingles that many documents share, from about SAMPLED documents. They only set the order of the
     prefix search, which is complete under any order, so a sample may decide."""
@@ -110,7 +126,7 @@ def common_shingles(docs: DataFrame, text: str, shingle: int) -> np.ndarray:
 
 
 def sets_of(docs: DataFrame, doc_id: str, text: str, shingle: int, least: float) -> DataFrame:
-    """``doc_id``, ``fp``, ``sid`` (names the set of shingles), ``n`` (its size), ``map`` and ``prefix`` per row.
+    """``doc_id``, ``fp``, ``sid`` (names the set of shingles), ``n`` (its size), ``map``, ``wide`` and ``prefix`` per row.
 
     A set that reaches a similarity of ``least`` with another one has ceil(least n) shingles in common with it, so
     under one order of all shingles their n - ceil(least n) + 1 first ones have one in common. Shingles that many
@@ -118,7 +134,7 @@ def sets_of(docs: DataFrame, doc_id: str, text: str, shingle: int, least: float)
     """
     common = common_shingles(docs, text, shingle)
     kind = pa.schema([("doc_id", docs.select(doc_id).limit(0).toArrow().schema.field(0).type), ("fp", pa.int64()), ("sid", pa.int64()),
-                      ("n", pa.int32()), ("map", pa.list_(pa.int64())), ("prefix", pa.list_(pa.int64()))])
+                      ("n", pa.int32()), ("map", pa.list_(pa.int64())), ("wide", pa.binary()), ("prefix", pa.list_(pa.int64()))])
 
     def printed(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows():
@@ -129,12 +145,12 @@ def sets_of(docs: DataFrame, doc_id: str, text: str, shingle: int, least: float)
                     length = len(found) - math.ceil(round(least * len(found), 9)) + 1 if len(found) else 0
                     prefix = np.concatenate([found[~late], found[late]])[:length]
                     signed = int(np.array([fp], np.uint64).view(np.int64)[0])
-                    yield (i, signed, _set_id(found), len(found), _sketch(found), prefix.view(np.int64)), 200 + 8 * length
+                    yield (i, signed, _set_id(found), len(found), _sketch(found), _wide(found), prefix.view(np.int64)), 200 + len(found) // 2 + 8 * length
         return batches(kind, rows(), 4 << 20)
 
     ids = dict(docs.dtypes)[doc_id]
     return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(
-        printed, f"doc_id {ids}, fp long, sid long, n int, map array<long>, prefix array<long>")
+        printed, f"doc_id {ids}, fp long, sid long, n int, map array<long>, wide binary, prefix array<long>")
 
 
 def _segment_counts(fp) -> F.Column:
@@ -213,12 +229,35 @@ def block_pairs(entries: DataFrame, least: float) -> DataFrame:
         F.col("xs").alias("x"), F.col("ys").alias("y")).distinct()
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
-    """The pairs whose exact sets of shingle hashes have a Jaccard similarity of ``least``, as edges (a, b) of fingerprints."""
-    both = pairs.join(sets.select(F.col("sid").alias("x"), F.col("fp").alias("a"), F.col("shingles").alias("one")), "x").join(
+def _likely(pairs: DataFrame, known: DataFrame, least: float) -> DataFrame:
+    """The pairs (x, y) that the wide maps allow: a map has a sixteenth to a thirty-second of the bits of its set, so candidates
+    carry maps, and what is left carries sets."""
+    kind = pa.schema([("x", pa.int64()), ("y", pa.int64())])
+
+    def allowed(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            x, xn, y, yn = (part.column(c).to_pylist() for c in ("x", "xn", "y", "yn"))
+            maps = zip(part.column("xw"), part.column("yw"))
+            met = [i for i, (xw, yw) in enumerate(maps) if _may_reach(xw.as_py(), xn[i], yw.as_py(), yn[i], least)]
+            yield pa.RecordBatch.from_arrays([pa.array([c[i] for i in met], pa.int64()) for c in (x, y)], schema=kind)
+
+    side = lambda p: known.select(F.col("sid").alias(p), F.col("n").alias(f"{p}n"), F.col("wide").alias(f"{p}w"))
+    return pairs.join(side("x"), "x").join(side("y"), "y").mapInArrow(allowed, "x long, y long")
+
+
+def _verified(pairs: DataFrame, known: DataFrame, docs: DataFrame, doc_id: str, text: str, shingle: int, least: float) -> DataFrame:
+    """The pairs whose exact sets of shingle hashes have a Jaccard similarity of ``least``, as staged edges (a, b) of
+    fingerprints. Only the sets of pairs that the wide maps allow are made."""
+    likely = staged(_likely(pairs, known, least), "likely")
+    named = staged(known.select("sid", "fp", "first").join(
+        likely.select(F.explode(F.array("x", "y")).alias("sid")).distinct(), "sid"), "named")
+    sets = staged(_shingle_sets(docs, named, doc_id, text, shingle), "shingles")
+    both = likely.join(sets.select(F.col("sid").alias("x"), F.col("fp").alias("a"), F.col("shingles").alias("one")), "x").join(
         sets.select(F.col("sid").alias("y"), F.col("fp").alias("b"), F.col("shingles").alias("other")), "y")
     common, n = F.size(F.array_intersect("one", "other")), F.size("one") + F.size("other")
-    return both.where(common >= least * (n - common) - 1e-9).select("a", "b")
+    edges = staged(both.where(common >= least * (n - common) - 1e-9).select("a", "b").distinct(), "similar")
+    discard(likely, named, sets)
+    return edges
 
 
 def _shingle_sets(docs: DataFrame, named: DataFrame, doc_id: str, text: str, shingle: int) -> DataFrame:
@@ -244,25 +283,30 @@ def similar_links(prints: DataFrame, docs: DataFrame, near: DataFrame, doc_id: s
     """Edges of fingerprints that, with ``near``, have the components of all pairs of texts with a similarity of ``least``.
 
     An exact prefix-filter join of the distinct sets of shingles. What a first pass has connected isn't compared
-    again, so a large group of near copies costs few comparisons; all other candidates are verified.
+    again, so a large group of near copies costs few comparisons; all other candidates are verified. ``prints`` is a
+    staged table of ``sets_of``, which goes once its prefixes are drawn.
     """
     rows = prints.where("n > 0")
-    known = staged(rows.groupBy("sid").agg(F.min("fp").alias("fp"), F.min("doc_id").alias("first"), F.first("n").alias("n"), F.first(
-        "map").alias("map")).select("sid", "fp", "first", "n", *[F.col("map")[i].alias(f"m{i}") for i in range(WORDS)]), "sets")
+    known = staged(rows.groupBy("sid").agg(
+        F.min("fp").alias("fp"), F.min("doc_id").alias("first"), F.first("n").alias("n"), F.first("wide").alias("wide"), F.first("map").alias("map")).select(
+        "sid", "fp", "first", "n", "wide", *[F.col("map")[i].alias(f"m{i}") for i in range(WORDS)]), "sets")
     same = rows.select("sid", F.col("fp").alias("a")).join(known.select("sid", F.col("fp").alias("b")), "sid").where("a <> b")
+    near = staged(near.unionByName(same.select("a", "b").distinct()), "near")
     drawn = rows.select("sid", "prefix").dropDuplicates(["sid"]).select("sid", F.explode("prefix").alias("token"))
     shared = drawn.groupBy("token").agg(F.count("*").alias("members")).where("members > 1").select("token")
     entries = staged(drawn.join(shared, "token"), "entries")
-    named = known.join(entries.select("sid").distinct(), "sid").select("sid", "fp", "first")
-    sets = staged(_shingle_sets(docs, named, doc_id, text, shingle), "shingles")
-    edges = near.unionByName(same.select("a", "b").distinct())
-    edges = staged(edges.unionByName(_verified(star_pairs(entries, known, least), sets, least)).distinct(), "links")
+    discard(prints)
+    verified = lambda pairs: _verified(pairs, known, docs, doc_id, text, shingle, least)
+    star = verified(star_pairs(entries, known, least))
+    edges = staged(near.unionByName(star).distinct(), "links")
+    discard(near, star)
     roots = components(edges).withColumnRenamed("node", "fp")
-    rooted = known.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    rooted = known.drop("wide").join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     rest = staged(block_pairs(entries.join(rooted, "sid"), least), "candidates")
-    discard(entries, known)
-    every = staged(edges.unionByName(_verified(rest, sets, least)), "links")
-    discard(sets, edges, rest)
+    discard(entries)
+    more = verified(rest)
+    every = staged(edges.unionByName(more), "links")
+    discard(known, edges, rest, more)
     return every
 
 
@@ -282,7 +326,6 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle
         full = staged(sets_of(docs, doc_id, text, shingle, similarity), "prefixes")
         prints = staged(full.select("doc_id", "fp"), "simhash")
         edges = similar_links(full, docs, links(prints.select("fp").distinct()), doc_id, text, shingle, similarity)
-        discard(full)
     else:
         prints = staged(fingerprints(docs, doc_id, text, shingle), "simhash")
         edges = links(prints.select("fp").distinct())
